@@ -71,3 +71,23 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         last = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once: they import the helpers of its tasks."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_sessionloom_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "sessionloom_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("sessionloom/__init__.py", "")
+        here = os.path.join(root, "sessionloom", "llm")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"sessionloom/llm/{name}")
+    sc.addPyFile(path)
+    sc._sessionloom_sent = True

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, sharding
+from . import bpe, exact_dedup, line_dedup, near_dedup, sharding
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_bpe": bpe.op4_bpe,
     "op6_sharding": sharding.op6_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
 ORACLE = {
