@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, sharding
+from . import bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, quality, sharding
 
 QUERIES = {
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
