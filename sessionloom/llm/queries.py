@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, quality, sharding
+from . import bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, quality, sharding, substring_dedup
 
 QUERIES = {
     "op2_html_extraction": html_extract.op2_html_extraction,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
