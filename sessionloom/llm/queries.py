@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, line_dedup, near_dedup, quality, sharding, substring_dedup
+from . import bpe, decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
 
 QUERIES = {
+    "op1_context_mixing": mixing.op1_context_mixing,
     "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_bpe": bpe.op4_bpe,

@@ -26,14 +26,14 @@ _IS_WS = np.zeros(256, bool)
 _IS_WS[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start byte of each word of ``data``: a sum of byte values times powers of an odd constant, counted from the word's start."""
+def word_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start byte and length of each word of ``data``: a sum of byte values times powers of an odd constant, counted from the word's start."""
     b = np.frombuffer(data, np.uint8)
     ws = _IS_WS[b]
     edge = np.diff(np.concatenate(([True], ws, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, _U), starts
+        return np.zeros(0, _U), starts, ends
     lengths = ends - starts
     with np.errstate(over="ignore"):
         long = int(lengths.max())
@@ -43,7 +43,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         offset -= starts[np.maximum(owner, 0)]
         value = np.where(ws, _U(0), _BYTES[b] * powers[np.clip(offset, 0, long - 1)])
         sums = np.add.reduceat(value, starts)
-        return mix(sums + lengths.astype(_U)), starts
+        return mix(sums + lengths.astype(_U)), starts, lengths
 
 
 def batch_words(texts: list[bytes], max_bytes: int = 1 << 22):
@@ -54,7 +54,7 @@ def batch_words(texts: list[bytes], max_bytes: int = 1 << 22):
         while j < len(texts) and (j == i or size + len(texts[j]) < max_bytes):
             size += len(texts[j]) + 1
             j += 1
-        hashes, starts = word_hashes(b"\n".join(texts[i:j]))
+        hashes, starts, _ = word_table(b"\n".join(texts[i:j]))
         ends = np.cumsum([len(t) + 1 for t in texts[i:j]])
         yield i, hashes, np.concatenate(([0], np.searchsorted(starts, ends)))
         i = j
