@@ -7,9 +7,10 @@ of ``ROWS`` values; documents that agree on a band share a bucket.
 1. Documents with the same shingle set are one class; its smallest doc_id stands for it.
 2. In each bucket every member is paired with the bucket's smallest member (a star, not all pairs). Pairs
    are confirmed on the full shingle sets, confirmed links give connected components.
-3. Buckets that still hold several components are compared whole: their members are packed in blocks of
-   ``BLOCK`` signatures, and blocks of members outside the bucket's main component meet all blocks. Pairs in
-   different components whose signatures allow the threshold are confirmed and join the components.
+3. Buckets that still hold several components are compared whole. Their members are gathered by the bucket's main
+   (largest) component, each once, and packed in blocks of ``BLOCK``; the blocks of members outside the
+   main component meet all blocks. A task filters a pair of blocks by signatures and confirms on the full sets,
+   so only links leave it, not pairs.
 
 Step 3 leaves no pair out that a bucket holds: pairs inside one component need no link, and any other pair
 has an end outside the main component. A pair at similarity 0.8 shares no bucket with probability
@@ -31,7 +32,7 @@ from .common import connected, ship, stored, table
 from .words import batch_words, mix, ngrams, texts_of
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4  # 64 minima and 64 maxima make 32 bands of 4 values
-BLOCK = 256
+BLOCK = 128
 #: Share of agreeing signature values below which a pair of step 3 is not confirmed on sets.
 LEAST_AGREEMENT = 0.6
 
@@ -105,24 +106,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(size_ok & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b")
 
 
-def _cross_pairs(blocks: DataFrame, least: float) -> DataFrame:
-    """Pairs in different components whose signatures agree on a share of at least ``least``, from pairs of blocks."""
+class _Block:
+    """Members of one packed block, as arrays."""
+
+    def __init__(self, members: pa.ListArray, row: int):
+        a, b = members.offsets[row].as_py(), members.offsets[row + 1].as_py()
+        rows = members.values.slice(a, b - a)
+        self.ids, self.comps = rows.field("rep").to_numpy(), rows.field("comp").to_numpy()
+        self.sigs = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(b - a, -1)
+        sets = rows.field("shingles")
+        self.starts = sets.offsets.to_numpy()
+        self.values = sets.values.to_numpy().view(np.uint64)  # sorted as unsigned
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.values[self.starts[i] : self.starts[i + 1]]
+
+
+def _cross_links(blocks: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between different components, from pairs of blocks (m, m2): signatures choose the pairs, whole sets confirm them.
+
+    One link for a member and a component of the other block is enough, so no more come out.
+    """
     ship(blocks.sparkSession)
 
+    def links(x: _Block, y: _Block):
+        for i in range(len(x.ids)):
+            near = np.flatnonzero(y.comps != x.comps[i])
+            near = near[(y.sigs[near] == x.sigs[i]).mean(1) >= least] if len(near) else near
+            if not len(near):
+                continue
+            own = x.set_of(i)
+            done = set()
+            for j in near:
+                if y.comps[j] in done:
+                    continue
+                theirs = y.set_of(j)
+                if 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
+                    continue
+                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                both = int((own[at] == theirs).sum())
+                if 100 * both >= percent * (len(own) + len(theirs) - both):
+                    done.add(y.comps[j])
+                    yield min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j])
+
     def run(batches):
         for b in batches:
-            a_out, b_out = [], []
-            cols = [b.column(c).to_pylist() for c in ("ids", "comps", "sigs", "ids2", "comps2", "sigs2")]
-            for ids, comps, sigs, ids2, comps2, sigs2 in zip(*cols, strict=True):
-                x = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), -1)
-                y = np.frombuffer(b"".join(sigs2), np.uint32).reshape(len(ids2), -1)
-                c2, i2 = np.array(comps2), np.array(ids2)
-                for i, c, s in zip(ids, comps, x, strict=True):
-                    hit = np.flatnonzero(c2 != c)
-                    hit = hit[(y[hit] == s).mean(1) >= least] if len(hit) else hit
-                    a_out += [min(i, int(j)) for j in i2[hit]]
-                    b_out += [max(i, int(j)) for j in i2[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            found = [link for r in range(b.num_rows) for link in links(_Block(b.column("m"), r), _Block(b.column("m2"), r))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
@@ -140,15 +170,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stored(sets_of(docs.join(near.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
     links = stored(confirmed(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent))
     comps = connected(links, "a", "b")
-    # buckets with several components, whole
+    # buckets with several components: what shares a bucket with a main component meets that component and all else that does
     labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1 and size > 2").select("band", F.col("top.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("parts"))
-    mixed = labelled.join(main, "band").join(reps.select("rep", "sig"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    mixed = stored(mixed.select("band", "rep", "comp", "sig", "part", (F.col("comp") != F.col("main")).alias("outside")))
-    packed = lambda df, tail: df.groupBy("band", "part").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("m")).select("band", F.col("m.rep").alias("ids" + tail), F.col("m.comp").alias("comps" + tail), F.col("m.sig").alias("sigs" + tail))
-    blocks = packed(mixed.where("outside"), "").join(packed(mixed, "2"), "band").drop("band")
-    more = stored(confirmed(stored(_cross_pairs(blocks, LEAST_AGREEMENT)), sets, percent))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1 and size > 2").select("band", F.col("top.comp").alias("main"))
+    mixed = stored(labelled.join(main, "band").select("main", "rep", "comp").distinct())
+    parts = mixed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    full = mixed.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    full = stored(full.select("main", "part", "rep", "comp", "sig", "shingles"))
+    packed = lambda df, m: df.groupBy("main", "part").agg(F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias(m)).select("main", m)
+    blocks = packed(full.where("comp <> main"), "m").join(packed(full, "m2"), "main").select("m", "m2")
+    more = stored(_cross_links(blocks, percent, LEAST_AGREEMENT))
     comps = connected(links.unionByName(more), "a", "b")
     of_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
