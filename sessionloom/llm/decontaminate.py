@@ -38,33 +38,32 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _shifted(x: Column, by: int) -> Column:
-    """x from place ``by`` on."""
-    return F.slice(x, by + 1, F.greatest(F.size(x) - by, F.lit(0)))
-
-
 def _paired(salt: int):
     return lambda a, b: F.xxhash64(F.lit(salt), a, b)
 
 
-def masked(words: Column, mask: tuple[int, ...], salt: int) -> Column:
-    """array<long>: the hash under ``mask`` at each place where the mask fits."""
-    out = words
-    for step, by in enumerate(mask):
-        cut = F.slice(out, 1, F.greatest(F.size(out) - by, F.lit(0)))
-        out = F.zip_with(cut, _shifted(out, by), _paired(salt * 8 + step))
-    return out
-
-
 def seeds(rows: DataFrame, key: str) -> DataFrame:
-    """(key, place, seed) of rows with ``words``; the arrays of all masks are exploded as one."""
-    arrays = [masked(F.col("words"), m, i) for i, m in enumerate(MASKS)]
+    """(key, place, seed) of rows with ``words``.
+
+    Each doubling is a column of its own, made once and shared by the masks that begin alike; the arrays of all
+    masks are then exploded as one.
+    """
+    at_least = lambda n: F.greatest(F.col("width") - n, F.lit(0))
+    out, made = rows.select(key, "words", F.size("words").alias("width")), {(): "words"}
+    for depth in range(1, len(MASKS[0]) + 1):
+        new = {}
+        for m in {m[:depth] for m in MASKS}:
+            source, by, before = F.col(made[m[:-1]]), m[-1], sum(m[:-1])
+            left = F.slice(source, F.lit(1), at_least(before + by))
+            right = F.slice(source, F.lit(by + 1), at_least(before + by))
+            name = made[m] = "m" + "_".join(map(str, m))
+            new[name] = F.zip_with(left, right, _paired(hash(m)))
+        out = out.select(*out.columns, *[c.alias(n) for n, c in new.items()])
     spans = [sum(m) for m in MASKS]
-    width = F.size("words")
     first = [F.lit(0)]
     for s in spans[:-1]:
-        first.append(first[-1] + F.greatest(width - s, F.lit(0)))
-    out = rows.select(key, *[f.alias(f"f{i}") for i, f in enumerate(first)], F.posexplode(F.concat(*arrays)).alias("at", "seed"))
+        first.append(first[-1] + at_least(s))
+    out = out.select(key, *[f.alias(f"f{i}") for i, f in enumerate(first)], F.posexplode(F.concat(*[F.col(made[m]) for m in MASKS])).alias("at", "seed"))
     place = reduce(lambda a, i: F.when(F.col("at") >= F.col(f"f{i}"), F.col("at") - F.col(f"f{i}")).otherwise(a), range(1, len(MASKS)), F.col("at"))
     return out.select(key, place.alias("place"), "seed")
 
