@@ -51,7 +51,7 @@ def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
     The text that stays is spread over one salt for each SALT_ROWS copies, so a huge group is compared in many tasks.
     """
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256))
-    rows = texts.join(hits.distinct(), ["doc_id", "digest"])
+    rows = stored(texts.join(hits.distinct(), ["doc_id", "digest"]))  # read twice, moved once
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     keepers = rows.where("doc_id = keep_id").dropDuplicates(["keep_id", "digest"]).select("keep_id", "digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     members = rows.where("doc_id <> keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
