@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, table
+from .common import WS_CHARS, ascii_lower, stored, table
 
 
 def _raw() -> Column:
@@ -35,7 +35,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     """(doc_id, text_hash, pos): lines to drop. A key of ``min_chars`` code points in ``min_docs`` documents stays in the largest doc_id."""
     lines = docs.select("doc_id", F.xxhash64(_raw()).alias("text_hash"), F.posexplode(_keys()).alias("pos", "key")).where(F.length("key") >= min_chars).select("doc_id", "text_hash", "pos", *_hashes("key"))
     per_doc = docs.select("doc_id", F.explode(F.array_distinct(F.filter(_keys(), lambda k: F.length(k) >= min_chars))).alias("key")).select("doc_id", *_hashes("key"))
-    frequent = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # written first: then both sides of the join are exchanged by themselves, and Spark can split a hot key's partition
+    frequent = stored(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
     return lines.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "text_hash", "pos")
 
 
