@@ -20,4 +20,6 @@ QUERIES = {
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
+    "op10_minhash_near_dedup": near_dedup.SQL,
 }

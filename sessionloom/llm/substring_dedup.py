@@ -290,3 +290,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN first USING (h) WHERE m < doc_id),
+g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
