@@ -46,9 +46,9 @@ def fact_id(kind: str, *parts) -> Column:
 
 
 def context_of(c) -> Column:
-    """First context keyword that occurs (EXT-D4)."""
-    low = F.lower(F.col(c) if isinstance(c, str) else c)
-    return F.coalesce(*[F.when(low.contains(k), F.lit(k)) for k in R.CONTEXTS])
+    """First context keyword, in the list's order, that occurs (EXT-D4)."""
+    found = F.regexp_extract_all(F.lower(F.col(c) if isinstance(c, str) else c), F.lit("(?=(" + "|".join(R.CONTEXTS) + "))"), F.lit(1))
+    return F.get(F.array_intersect(F.array(*map(F.lit, R.CONTEXTS)), found), F.lit(0))
 
 
 # decisions ---------------------------------------------------------------------------------------------------------
@@ -91,17 +91,18 @@ def decisions(messages: DataFrame, thinking: DataFrame | None = None, least: int
     part = lambda n: F.when(F.trim(F.regexp_extract("hit", "(?i)" + R.DECISION_BLOCK, n)) != "", F.trim(F.regexp_extract("hit", "(?i)" + R.DECISION_BLOCK, n)))
     structured = blocks.select(*keys, part(1).alias("decision_text"), part(2).alias("rationale"), F.filter(F.transform(F.split(F.coalesce(part(3), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("alternatives"), F.lit(0).alias("n_rejected"), context_of("whole").alias("context"), F.lit(False).alias("is_correction")).where("decision_text is not null")
     user = m.where("role = 'user'")
-    one = F.coalesce(*[group("content", p) for p in R.CORRECTIONS])
-    other = group("content", R.CORRECTIONS[3], 2)
-    second = F.when(one.isNotNull() & reduce(lambda a, b: a & b, [group("content", p).isNull() for p in R.CORRECTIONS[:3]]), other)
-    technical = context_of("content").isNotNull() | reduce(lambda a, b: a | b, [F.lower("content").contains(k) for k in R.TECHNICAL])
-    corrections = user.where(technical).withColumn("_one", one).withColumn("_two", second).where("_one is not null").select(
+    which = F.coalesce(*[F.when(F.col("content").rlike("(?i)" + p), F.lit(i)) for i, p in enumerate(R.CORRECTIONS)])
+    one = F.coalesce(*[F.when(F.col("_which") == i, F.trim(F.regexp_extract("content", "(?i)" + p, 1))) for i, p in enumerate(R.CORRECTIONS)])
+    two = F.when(F.col("_which") == 3, F.trim(F.regexp_extract("content", "(?i)" + R.CORRECTIONS[3], 2)))
+    technical = F.col("context").isNotNull() | F.lower("content").rlike("|".join(R.TECHNICAL))
+    told = user.withColumn("_which", which).where("_which is not null").withColumn("context", context_of("content")).where(technical).withColumn("_one", one).withColumn("_two", two)
+    corrections = told.select(
         *keys,
         F.when(F.col("_two").isNotNull(), F.concat(F.lit("Use "), F.col("_two"), F.lit(" instead of "), F.col("_one"))).otherwise(F.col("_one")).alias("decision_text"),
         F.lit("User correction - previous approach was incorrect").alias("rationale"),
         F.when(F.col("_two").isNotNull(), F.array("_one")).otherwise(F.array().cast("array<string>")).alias("alternatives"),
         F.lit(1).alias("n_rejected"),
-        context_of("content").alias("context"),
+        "context",
         F.lit(True).alias("is_correction"),
     )
     rows = plain.unionByName(structured).unionByName(corrections).withColumn("score", decision_score())
