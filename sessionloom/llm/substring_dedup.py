@@ -8,7 +8,11 @@ a smaller doc_id; each word that a repeated window covers is removed.
    minimisers, so equal windows are always found under one minimiser.
 2. Equal segments are one class; its smallest doc_id stands for it. In the class's other documents every
    window of the segment is repeated.
-3. Classes that share their minimiser with another class go, with their words, to a shard by minimiser.
+3. Classes that share their minimiser with another class go, with their words, to a shard by minimiser. Where more
+   than ``HOT_CLASSES`` share one (a passage that many documents hold in different surroundings), each is first cut
+   to the words around the minimiser that another class has too, counted by a grouped sum over all
+   lengths of context: what is left is equal for most of them and goes once. No repeated window is cut off,
+   as both its contexts occur in another class.
    The shard's index is the Burrows-Wheeler transform of its segments in a wavelet matrix of packed
    bits with rank counts. Segments stream through it from right to left: one backward step adds a
    word at the left; before it, the interval is widened to the suffixes that share the 49 words that stay.
@@ -25,6 +29,8 @@ of them hold for each; an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +42,8 @@ from .words import batch_words, mix, ngrams, texts_of
 WINDOW, GRAM = 50, 8
 #: Words of a shard's index, about.
 SHARD_WORDS = 1_000_000
+#: Classes of a minimiser beyond which they are cut to shared context first.
+HOT_CLASSES = 500
 _U = np.uint64
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -242,18 +250,99 @@ def _search(shards: DataFrame) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(run, "mini long, h1 long, h2 long, runs array<struct<off:int,len:int>>")
 
 
+def _minimiser_at(words: np.ndarray) -> int:
+    """Place of the minimiser in a segment: the leftmost smallest run of its windows."""
+    low = _U((1 << 24) - 1)
+    grams = ngrams(words, GRAM)
+    return int(((grams & ~low) | np.arange(len(grams), dtype=_U)).argmin())
+
+
+def _contexts(segs: DataFrame) -> DataFrame:
+    """mini, h1, h2, side, r, h: hash of the r words left (side 0) and right (side 1) of each segment's minimiser, for every r."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                out = [[], [], [], []]
+                for row, data in enumerate(part.column("words").to_pylist()):
+                    w = np.frombuffer(data, _U)
+                    p = _minimiser_at(w)
+                    zero = np.zeros(1, np.int64)
+                    for side, near in ((0, w[:p][::-1]), (1, w[p + GRAM :])):
+                        n = len(near)
+                        out[0].append(np.full(n, row))
+                        out[1].append(np.full(n, side))
+                        out[2].append(np.arange(1, n + 1))
+                        out[3].append(span_hashes(near, np.repeat(zero, n), np.arange(1, n + 1)).view(np.int64))
+                row, side, r, h = (np.concatenate(x) for x in out)
+                keys = [part.column(k).take(pa.array(row)) for k in ("mini", "h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(side.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(h)], names=["mini", "h1", "h2", "side", "r", "h"])
+
+    return segs.mapInArrow(run, "mini long, h1 long, h2 long, side int, r int, h long")
+
+
+def _cut(segs: DataFrame) -> DataFrame:
+    """segs (with left and right, words of context to keep): rep, mini, h1, h2, off, n, t1, t2, words of what is left, where it has a window."""
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("rep", "mini", "h1", "h2", "off", "n", "t1", "t2", "words")}
+            for row in b.to_pylist():
+                w = np.frombuffer(row["words"], _U)
+                p = _minimiser_at(w)
+                own = w[p - row["left"] : p + GRAM + row["right"]]
+                if len(own) >= WINDOW:
+                    digest = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                    for k in ("rep", "mini", "h1", "h2"):
+                        out[k].append(row[k])
+                    for k, v in (("off", p - row["left"]), ("n", len(own) - WINDOW + 1), ("t1", int(digest[0])), ("t2", int(digest[1])), ("words", own.tobytes())):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "words" else pa.int32() if k in ("off", "n") else pa.int64()) for k, v in out.items()], names=list(out))
+
+    return segs.mapInArrow(run, "rep long, mini long, h1 long, h2 long, off int, n int, t1 long, t2 long, words binary")
+
+
+def _shared_parts(segs: DataFrame) -> DataFrame:
+    """The segments of hot minimisers, cut to the context that another class shares."""
+    key = ["mini", "h1", "h2"]
+    contexts = stored(_contexts(segs))
+    shared = stored(contexts.groupBy("mini", "side", "r", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k"))
+    reach = contexts.join(shared, ["mini", "side", "r", "h"]).groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("r"))), F.lit(0)).alias("left"), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("r"))), F.lit(0)).alias("right"))
+    return stored(_cut(segs.join(reach, key)))
+
+
+def _class_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """mini, h1, h2 and the repeated runs of each wanted class that has any."""
+    key = ["mini", "h1", "h2"]
+    segs = stored(_with_words(docs, wanted)).join(wanted.select(*key, "hot"), key)
+    cold, hot = segs.where("not hot").select("rep", *key, "words"), wanted.where("hot")
+    parts = None
+    if not hot.isEmpty():
+        parts = _shared_parts(stored(segs.where("hot").select("rep", *key, "words")))
+        whole = stored(parts.groupBy("mini", "t1", "t2").agg(F.min("rep").alias("rep"), F.first("words").alias("words")))
+        cold = cold.unionByName(whole.select("rep", "mini", F.col("t1").alias("h1"), F.col("t2").alias("h2"), "words"))
+    segs = stored(cold)
+    size = segs.agg((F.sum(F.length("words")) / 8).alias("w")).first()["w"] or 0
+    n_shards = int(max(1, -(-size // SHARD_WORDS), min(12, size // 20_000)))
+    runs = stored(_search(segs.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(n_shards))))).where(F.size("runs") > 0)
+    if parts is None:
+        return runs.select(*key, "runs")
+    least = whole.select("mini", "t1", "t2", F.col("rep").alias("least")).join(runs.select("mini", F.col("h1").alias("t1"), F.col("h2").alias("t2"), "runs"), ["mini", "t1", "t2"], "left")
+    all_of = F.array(F.struct(F.col("off"), F.col("n").alias("len")))
+    some = F.transform("runs", lambda r: F.struct((F.col("off") + r["off"]).alias("off"), r["len"].alias("len")))
+    of_hot = parts.drop("words").join(stored(least), ["mini", "t1", "t2"]).select(*key, F.when(F.col("rep") > F.col("least"), all_of).otherwise(some).alias("runs")).where("runs is not null")
+    return stored(runs.join(wanted.where("not hot").select(*key), key, "left_semi").select(*key, "runs").unionByName(of_hot))
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, runs): the runs (start, n) of repeated windows of each document that has any."""
     segs = stored(segment_rows(docs))
     key = ["mini", "h1", "h2"]
     classes = stored(segs.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("start"), F.first("n").alias("n")))
-    several = classes.groupBy("mini").agg(F.count("*").alias("classes"), F.sum(F.col("n") + WINDOW).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("classes > 1 and lo < hi").select("mini", "size")
-    wanted = stored(classes.join(several, "mini").select("rep", "start", "n", *key))
-    size = wanted.agg(F.sum(F.col("n") + WINDOW).alias("w")).first()["w"] or 0
-    n_shards = max(1, -(-size // SHARD_WORDS), min(12, size // 20_000))
-    shards = _with_words(docs, wanted).withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(n_shards)))
-    runs = stored(_search(shards))
-    found = runs.where(F.size("runs") > 0).select(*key, "runs")
+    several = stored(classes.groupBy("mini").agg(F.count("*").alias("classes"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("classes > 1 and lo < hi").select("mini", (F.col("classes") > HOT_CLASSES).alias("hot")))
+    wanted = stored(classes.join(several, "mini").select("rep", "start", "n", *key, "hot"))
+    found = _class_runs(docs, wanted)
     touched = stored(classes.join(found, key, "left").where("last > rep or runs is not null").select(*key, "rep", "runs"))
     whole = F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len")))
     of_doc = F.when(F.col("doc_id") > F.col("rep"), whole).otherwise(F.col("runs"))

@@ -286,3 +286,11 @@ def test_pipeline(spark):
         assert docs.count() <= seen
         seen = docs.count()
     assert cp.run(spark, sf).count() == seen > 100
+
+
+def test_substring_dedup_hot_passage(spark, texts, monkeypatch):
+    """Cutting the segments of hot minimisers to shared context changes nothing."""
+    docs = frame(spark, texts)
+    want = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "HOT_CLASSES", 2)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
