@@ -8,6 +8,7 @@ from sessionloom.functions import predicates as P
 from sessionloom.functions import text as T
 from sessionloom.operators import memory as M
 from sessionloom.operators import relational as R
+from sessionloom.operators import tools as O
 
 from . import bindings as B
 from .bindings import EDITS, MEMORY, MESSAGES, NOW, TOOL_RESULTS, TOOL_USES, table
@@ -261,3 +262,42 @@ def path_likeness(s, d):
 @query(f"SELECT message_id, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM {MESSAGES}")
 def token_estimate(s, d):
     return B.messages(s, d).select("message_id", T.estimated_tokens("content").alias("tokens"))
+
+
+@query(f"""WITH s AS (SELECT conv_id FROM (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY conv_id) ORDER BY t DESC, conv_id LIMIT 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY turn DESC) AS rank FROM conversations WHERE conv_id IN (SELECT conv_id FROM s) AND role IN ('user', 'assistant'))
+SELECT role AS part, rank, CASE WHEN length(x) > 60 THEN substr(x, 1, 59) || '…' ELSE x END AS text FROM (SELECT role, rank, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM r WHERE rank <= 3)
+UNION ALL SELECT 'tool', row_number() OVER (ORDER BY n DESC, tool_name), tool_name || ' x ' || n FROM (SELECT tool_name, count(*) AS n FROM {TOOL_USES} WHERE message_id IN (SELECT turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM s)) GROUP BY tool_name ORDER BY n DESC, tool_name LIMIT 5)
+UNION ALL SELECT 'error', row_number() OVER (ORDER BY timestamp DESC, rid DESC), CASE WHEN length(content) > 60 THEN substr(content, 1, 59) || '…' ELSE content END FROM (SELECT u.timestamp, r.id AS rid, r.content FROM {TOOL_USES} u JOIN {TOOL_RESULTS} r ON r.tool_use_id = u.id WHERE is_error AND message_id IN (SELECT turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM s)) ORDER BY u.timestamp DESC, r.id DESC LIMIT 5)""")
+def latest_session_summary(s, d):
+    c = table(s, d, "conversations")
+    convs = c.groupBy("conv_id").agg(F.max("turn").alias("last_message_at")).withColumnRenamed("conv_id", "id")
+    m = c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"), F.col("turn").alias("timestamp"))
+    return O.session_summary(O.latest_session(convs), m, B.tool_uses(s, d), B.tool_results(s, d), chars=60)
+
+
+@query(f"""SELECT t.id AS tag_id, name, count(i.tag_id) AS usage_count, max(i.created_at) AS last_used, string_agg(DISTINCT item_type, ',' ORDER BY item_type) AS used_in FROM {TAGS} t JOIN {ITEMS} i ON i.tag_id = t.id GROUP BY t.id, name""")
+def list_tags(s, d):
+    tags, items = _tags(s, d)
+    return O.list_tags(tags, items, unused=False)
+
+
+@query(f"""SELECT * FROM (SELECT 'decision' AS kind, CAST(o_orderkey AS VARCHAR) AS id, epoch_us(o_orderdate) // 1000 AS timestamp, o_orderpriority AS text FROM orders WHERE contains(lower(o_orderpriority), 'high') ORDER BY timestamp DESC, o_orderkey LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'mistake', CAST(c_custkey AS VARCHAR), c_custkey, c_mktsegment FROM customer WHERE contains(lower(c_mktsegment), 'high') LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'message', CAST(message_id AS VARCHAR), timestamp, content FROM {MESSAGES} WHERE contains(lower(content), 'high') ORDER BY timestamp DESC, message_id LIMIT 5)""")
+def search_by_file(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), T.millis("o_orderdate").alias("timestamp"), F.col("o_orderpriority").alias("decision_text"))
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("timestamp"), F.col("c_mktsegment").alias("what_went_wrong"))
+    return O.about_file("HIGH", 5, o, c, B.messages(s, d).withColumnRenamed("message_id", "id"))
+
+
+@query("""SELECT lang AS source_type, count(*) FILTER (WHERE n_chars > 5000) AS n FROM documents GROUP BY lang""")
+def hits_per_source(s, d):
+    x = table(s, d, "documents").withColumnRenamed("lang", "source_type")
+    return O.per_source(x.where("n_chars > 5000"), x)
+
+
+@query(None)
+def methodology_features(s, d):
+    uses = B.tool_uses(s, d).withColumn("message_id", F.col("id") % 2000)
+    return O.methodologies(B.messages(s, d), uses, B.tool_results(s, d))

@@ -182,3 +182,35 @@ def test_maintenance(spark):
     t = maintenance.storage_stats(messages=m).first()
     assert (t["table"], t["n"], t["oldest"]) == ("messages", 2, None)
     assert R.health(spark.createDataFrame([("a", "fail")], "check string, status string")).first()["score"] == 25
+
+
+def test_settings_and_models(spark):
+    from sessionloom import settings as G
+
+    assert G.settings(spark) == G.Settings()
+    spark.conf.set("spark.sessionloom.rrf_k", "10")
+    spark.conf.set("spark.sessionloom.chunk_overlap", "2")
+    s = G.settings(spark)
+    assert s.rrf_k == 10 and s.chunk_overlap == 0.1 and s.fts_weight == pytest.approx(0.3)
+    spark.conf.unset("spark.sessionloom.rrf_k")
+    spark.conf.unset("spark.sessionloom.chunk_overlap")
+    assert G.model(spark, "all-minilm").first()["dimensions"] == 384
+    assert G.model(spark, "nomic-embed-text:latest").first()["name"] == "nomic-embed-text"
+    assert G.model(spark, " ").count() == 0 and G.model(spark, "none-such").count() == 0
+    assert G.recommended(spark, "openai").first()["name"] == "text-embedding-3-small"
+    assert G.recommended(spark, "transformers").first()["quality"] == "medium"
+
+
+def test_tools(spark):
+    from sessionloom.operators import tools as O
+
+    f = spark.createDataFrame([("/a/b/c", "-a-b-c", True, 3), ("/x", "-x", False, 0)], "path string, folder string, has_db boolean, n_files long")
+    got = O.old_projects(f, "/a/x/c").collect()
+    assert [r["path"] for r in got] == ["/a/b/c"] and got[0]["score"] == pytest.approx(80 + 40 + 20 + 3)
+    facts = spark.createDataFrame([(1, "fix the cache", 1), (2, "other", 2)], "id long, problem string, timestamp long")
+    assert [r["id"] for r in O.facts_matching(facts, "the ca", ["problem"], "timestamp", 5).collect()] == [1]
+    assert [r["id"] for r in O.facts_matching(facts, "zzz", ["problem"], "timestamp", 5).collect()] == [2, 1]
+    tags = spark.createDataFrame([(1, "a", "/p"), (2, "b", None)], "id long, name string, project_path string")
+    items = spark.createDataFrame([(1, "decision", 5, 9)], "tag_id long, item_type string, item_id long, created_at long")
+    assert [r["name"] for r in O.list_tags(tags, items, scope="global").collect()] == ["b"]
+    assert [r["name"] for r in O.list_tags(tags, items, unused=False).collect()] == ["a"]
