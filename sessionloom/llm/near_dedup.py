@@ -32,9 +32,9 @@ from .common import connected, ship, stored, table
 from .words import batch_words, mix, ngrams, texts_of
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4  # 64 minima and 64 maxima make 32 bands of 4 values
-BLOCK = 128
+BLOCK = 64
 #: Share of agreeing signature values below which a pair of step 3 is not confirmed on sets.
-LEAST_AGREEMENT = 0.6
+LEAST_AGREEMENT = 0.62
 
 _A = mix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(11)) | np.uint64(1)
 _B = mix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(1011))
@@ -116,6 +116,7 @@ class _Block:
         self.sigs = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(b - a, -1)
         sets = rows.field("shingles")
         self.starts = sets.offsets.to_numpy()
+        self.sizes = np.diff(self.starts)
         self.values = sets.values.to_numpy().view(np.uint64)  # sorted as unsigned
 
     def set_of(self, i: int) -> np.ndarray:
@@ -136,18 +137,17 @@ def _cross_links(blocks: DataFrame, percent: int, least: float) -> DataFrame:
             if not len(near):
                 continue
             own = x.set_of(i)
-            done = set()
-            for j in near:
-                if y.comps[j] in done:
-                    continue
-                theirs = y.set_of(j)
-                if 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
-                    continue
-                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-                both = int((own[at] == theirs).sum())
-                if 100 * both >= percent * (len(own) + len(theirs) - both):
-                    done.add(y.comps[j])
-                    yield min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j])
+            size = y.sizes[near]
+            near = near[100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own))]
+            if not len(near):
+                continue
+            size = y.sizes[near]
+            theirs = np.concatenate([y.set_of(j) for j in near])
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.add.reduceat((own[at] == theirs).astype(np.int64), np.cumsum(size) - size)
+            linked = near[100 * both >= percent * (len(own) + size - both)]
+            for j in linked[np.unique(y.comps[linked], return_index=True)[1]]:
+                yield min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j])
 
     def run(batches):
         for b in batches:
@@ -178,8 +178,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = mixed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     full = mixed.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     full = stored(full.select("main", "part", "rep", "comp", "sig", "shingles"))
-    packed = lambda df, m: df.groupBy("main", "part").agg(F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias(m)).select("main", m)
-    blocks = packed(full.where("comp <> main"), "m").join(packed(full, "m2"), "main").select("m", "m2")
+    packed = lambda df, part, m: df.groupBy("main", F.col("part").alias(part)).agg(F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias(m))
+    outside = full.where("comp <> main")
+    # pairs of blocks are dealt by the second block, so one group's pairs spread over as many tasks as it has blocks
+    pairs = outside.select("main", "part").distinct().join(parts, "main").select("main", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part2"))
+    blocks = pairs.join(packed(outside, "part", "m"), ["main", "part"]).join(packed(full, "part2", "m2"), ["main", "part2"]).select("m", "m2")
     more = stored(_cross_links(blocks, percent, LEAST_AGREEMENT))
     comps = connected(links.unionByName(more), "a", "b")
     of_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
