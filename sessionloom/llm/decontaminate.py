@@ -99,7 +99,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, contaminated, n_items, items (ids joined by a comma), matched (0 if clean)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce(F.col("matched"), F.lit(0)).cast("long").alias("matched"))
+    """One row for each document that holds benchmark text: doc_id, contaminated (true), n_items, items (ids joined by a comma), matched (most equal words in a window)."""
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.col("matched").cast("long").alias("matched"))
