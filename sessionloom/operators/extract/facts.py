@@ -229,7 +229,7 @@ def findings(messages: DataFrame) -> DataFrame:
     m = messages.where((F.col("role") == "assistant") & ~P.noise("content", R.SHORT_NOISE))
     one = F.filter(F.array(*[group("content", p) for p in R.DISCOVERIES]), lambda x: x.isNotNull() & (F.length(x) >= 20))
     rows = m.select("message_id", "conversation_id", "content", F.explode(F.array_distinct(one)).alias("discovery"))
-    return rows.select("message_id", "conversation_id", F.substring("discovery", 1, 500).alias("discovery"), first_label("content", R.RELEVANCE, "medium").alias("relevance"), first_label("content", R.SURENESS, "likely").alias("confidence"))
+    return rows.select("message_id", "conversation_id", F.substring("discovery", 1, 500).alias("discovery"), F.substring(F.coalesce(*[group("content", p) for p in R.TOPICS], F.col("discovery")), 1, 100).alias("topic"), first_label("content", R.FINDING_SOURCES, "code").alias("source_type"), first_label("content", R.RELEVANCE, "medium").alias("relevance"), first_label("content", R.SURENESS, "likely").alias("confidence"))
 
 
 def solutions(messages: DataFrame, rows_back: int = 10) -> DataFrame:

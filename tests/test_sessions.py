@@ -108,3 +108,41 @@ def test_live_stream(spark, tmp_path):
 
     got = {r["tags"][0]: r["value"] for r in Tables(spark, str(tmp_path / "s")).read("working_memory").collect()}
     assert got["file"] == "edit /a/b.ts" and "adopt a python api" in got["decision"] and "connection refused" in got["error"]
+
+
+def test_tail_source(spark, tmp_path):
+    from sessionloom.streaming.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    f = tmp_path / "t" / "a.jsonl"
+    f.parent.mkdir()
+    f.write_text("one\ntwo\nhalf")
+    q = spark.readStream.format("session_tail").option("folder", str(f.parent)).load().writeStream.format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        with f.open("a") as out:
+            out.write(" now\nthree\n")
+        q.processAllAvailable()
+        got = [(r["line_no"], r["line"]) for r in spark.sql("select * from tail order by line_no").collect()]
+    finally:
+        q.stop()
+    assert got == [(0, "one"), (1, "two"), (2, "half now"), (3, "three")]
+
+
+def test_git_and_tree(spark, tmp_path):
+    import subprocess
+
+    from sessionloom.sources import files
+
+    repo = tmp_path / "r"
+    (repo / "src").mkdir(parents=True)
+    (repo / "src" / "a.py").write_text("x = 1\n")
+    (repo / "node_modules").mkdir()
+    (repo / "node_modules" / "b.js").write_text("1")
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "src")
+    git("commit", "-qm", "first")
+    c = files.git_commits(spark, str(repo)).collect()
+    assert len(c) == 1 and c[0]["message"] == "first" and c[0]["files_changed"] == ["src/a.py"]
+    assert [(r["path"].split("/")[-1], r["size"]) for r in files.source_tree(spark, str(repo)).collect()] == [("a.py", 6)]
