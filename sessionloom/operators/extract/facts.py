@@ -237,7 +237,23 @@ def solutions(messages: DataFrame, rows_back: int = 10) -> DataFrame:
     w = Window.partitionBy("conversation_id").orderBy("timestamp", "message_id").rowsBetween(0, rows_back)
     m = messages.where(~P.noise("content", R.SHORT_NOISE)).withColumn("_after", F.array_join(F.collect_list("content").over(w), "\n"))
     cue = F.coalesce(*[group("content", p) for p in R.SOLUTIONS])
-    return m.where(F.col("role") == "assistant").withColumn("solution_summary", cue).where("solution_summary is not null").select("message_id", "conversation_id", "solution_summary", first_label("content", R.CATEGORIES, "general").alias("problem_category"), first_label("_after", R.EFFECTIVENESS, "good").alias("effectiveness"))
+    steps = F.slice(F.concat(F.regexp_extract_all("content", F.lit(r"(?m)^\s*\d+[.)]\s+(.+)$"), F.lit(1)), F.regexp_extract_all("content", F.lit(r"(?m)^\s*[-*]\s+(.+)$"), F.lit(1))), 1, 10)
+    code = F.substring(F.regexp_extract("content", r"(?s)```\w*\n(.*?)```", 1), 1, 500)
+    technology = F.slice(F.array_distinct(F.transform(F.concat(*[hits("content", p, 1) for p in R.TECHNOLOGIES]), lambda t: F.lower(t))), 1, 5)
+    when = lambda rules: F.coalesce(*[group("content", p) for p in rules])
+    rows = m.where(F.col("role") == "assistant").withColumn("solution_summary", cue).where("solution_summary is not null")
+    return rows.select(
+        "message_id",
+        "conversation_id",
+        "solution_summary",
+        first_label("content", R.CATEGORIES, "general").alias("problem_category"),
+        first_label("_after", R.EFFECTIVENESS, "good").alias("effectiveness"),
+        steps.alias("solution_steps"),
+        F.when(code != "", code).alias("code_pattern"),
+        technology.alias("technology"),
+        F.coalesce(when(R.APPLIES_WHEN), F.lit("Similar problems")).alias("applies_when"),
+        when(R.AVOID_WHEN).alias("avoid_when"),
+    )
 
 
 # live --------------------------------------------------------------------------------------------------------------

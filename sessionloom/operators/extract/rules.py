@@ -102,6 +102,9 @@ CATEGORIES = {
     "file-operations": [r"file|read|write|path|directory", r"fs|filesystem|io"], "async-patterns": [r"async|await|promise|callback", r"concurrent|parallel|sequential"],
 }
 SOLUTIONS = [r"(?:the (?:solution|fix|answer) is to)\s+(.+?)(?:\.|\z)", r"(?:(?:to )?(?:solve|fix|resolve) this)[,\s]+(.+?)(?:\.|\z)", r"(?:the (?:correct|right|proper) (?:way|approach) is to)\s+(.+?)(?:\.|\z)", r"(?:(?:you (?:can|should)|we (?:can|should)) (?:use|apply|implement))\s+(.+?)(?:\.|\z)", r"(?:here's how to (?:fix|solve|handle) it)[:\s]+(.+?)(?:\.|\z)", r"(?:the (?:trick|key) is to)\s+(.+?)(?:\.|\z)"]
+APPLIES_WHEN = [r"(?:when (?:you|we) (?:need|want) to)\s+(.+?)(?:\.|,|\z)", r"(?:if (?:you|we) (?:have|encounter|see))\s+(.+?)(?:\.|,|\z)", r"(?:for (?:situations|cases) (?:where|when))\s+(.+?)(?:\.|,|\z)", r"(?:this is useful when)\s+(.+?)(?:\.|,|\z)"]
+AVOID_WHEN = [r"(?:(?:don't|do not) use this (?:when|if))\s+(.+?)(?:\.|,|\z)", r"(?:avoid (?:this|using this) (?:when|if))\s+(.+?)(?:\.|,|\z)", r"(?:this (?:won't|doesn't) work (?:when|if))\s+(.+?)(?:\.|,|\z)", r"(?:not (?:suitable|appropriate) (?:for|when))\s+(.+?)(?:\.|,|\z)"]
+TECHNOLOGIES = [r"(?:in|for)\s+(typescript|javascript|python|ruby|go|rust)\b", r"\b(react|vue|angular|svelte|next\.?js|node\.?js|express|fastify)\b", r"\b(jest|mocha|pytest|rspec|vitest)\b"]
 EFFECTIVENESS = [("excellent", [r"works? (?:perfectly|great|excellently)", r"exactly what (?:we|I) needed", r"solves? the problem completely"]), ("poor", [r"still (?:has|have) (?:issues|problems)", r"doesn't (?:fully|completely) (?:work|solve)", r"needs? more work"]), ("moderate", [r"mostly works?|works? for (?:most|some)", r"partial(?:ly)? (?:fixes|solves)", r"could be better"])]
 
 LIVE_DECISIONS = [r"(?:I'll|I will|Let's|We should|I've decided to|Going to) ([^.]+)", r"(?:decided|choosing|opting|selecting) (?:to )?([^.]+)", r"(?:using|implementing|adopting) ([^.]+?) (?:for|because|since)", r"(?:the (?:best|right|correct) (?:approach|solution|way) is) ([^.]+)"]

@@ -214,3 +214,15 @@ def test_tools(spark):
     items = spark.createDataFrame([(1, "decision", 5, 9)], "tag_id long, item_type string, item_id long, created_at long")
     assert [r["name"] for r in O.list_tags(tags, items, scope="global").collect()] == ["b"]
     assert [r["name"] for r in O.list_tags(tags, items, unused=False).collect()] == ["a"]
+
+
+def test_solutions(spark):
+    text = "The fix is to use a lock in python. When you need to share state, do this:\n1. take the lock\n2. write\n```py\nwith lock:\n    pass\n```\nAvoid this when reading only. pytest passes."
+    rows = [(1, 1, "assistant", text, 1), (2, 1, "user", "works perfectly, thanks", 2), (3, 2, "user", "works perfectly", 3)]
+    m = spark.createDataFrame(rows, "message_id long, conversation_id long, role string, content string, timestamp long")
+    r = X.solutions(m).collect()
+    assert len(r) == 1
+    r = r[0]
+    assert r["solution_summary"] == "use a lock in python" and r["effectiveness"] == "excellent"
+    assert r["solution_steps"] == ["take the lock", "write"] and r["code_pattern"].startswith("with lock")
+    assert r["technology"] == ["python", "pytest"] and r["applies_when"] == "share state" and r["avoid_when"] == "reading only"
