@@ -39,7 +39,8 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
 
 
 def ascii_lower(col: Column) -> Column:
-    return F.translate(col, UPPER, LOWER)
+    """``col`` with A-Z lower-cased; translate() looks every character up, so it is kept for strings with others than ASCII."""
+    return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

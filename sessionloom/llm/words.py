@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
+PIECE = 1 << 15
 _U = np.uint64
 
 
@@ -28,22 +31,49 @@ _IS_WS[[32, 9, 10, 11, 12, 13]] = True
 
 def word_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, start byte and length of each word of ``data``: a sum of byte values times powers of an odd constant, counted from the word's start."""
-    b = np.frombuffer(data, np.uint8)
-    ws = _IS_WS[b]
-    edge = np.diff(np.concatenate(([True], ws, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, _U), starts, ends
-    lengths = ends - starts
+    ws = _IS_WS[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(ws[1:] != ws[:-1]) + 1
+    if len(data) and not ws[0]:
+        edges = np.concatenate(([0], edges))
+    if len(edges) % 2:
+        edges = np.concatenate((edges, [len(data)]))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), _U)
+    up, down = _powers()
+    first, after = 0, 0
+    with np.errstate(over="ignore"):
+        while first < len(starts):
+            at = int(starts[first])  # a piece of whole words of about PIECE bytes, in which sums are taken
+            after = max(first + 1, int(np.searchsorted(ends, at + PIECE)))
+            end = int(ends[after - 1])
+            if end - at > PIECE:  # one long word
+                out[first] = _long_word(data[at:end])
+            else:
+                sums = np.zeros(end - at + 1, _U)
+                np.cumsum(_BYTES[np.frombuffer(data, np.uint8, end - at, at)] * up[: end - at], out=sums[1:])
+                s, e = starts[first:after] - at, ends[first:after] - at
+                out[first:after] = (sums[e] - sums[s]) * down[s]
+            first = after
+        lengths = ends - starts
+        return mix(out + lengths.astype(_U)), starts, lengths
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse."""
     with np.errstate(over="ignore"):
-        long = int(lengths.max())
-        powers = np.cumprod(np.concatenate(([_U(1)], np.full(max(long, 1) - 1, _STEP, _U))))
-        offset = np.arange(len(b), dtype=np.int64)
-        owner = np.cumsum(edge[:-1] == -1) - 1  # index of the last word that began
-        offset -= starts[np.maximum(owner, 0)]
-        value = np.where(ws, _U(0), _BYTES[b] * powers[np.clip(offset, 0, long - 1)])
-        sums = np.add.reduceat(value, starts)
-        return mix(sums + lengths.astype(_U)), starts, lengths
+        return tuple(np.cumprod(np.concatenate(([_U(1)], np.full(PIECE, x, _U)))) for x in (_STEP, _U(pow(int(_STEP), -1, 1 << 64))))
+
+
+def _long_word(word: bytes) -> np.uint64:
+    """The same sum for a word of any length, piece by piece."""
+    up = _powers()[0]
+    total, factor = _U(0), _U(1)
+    for i in range(0, len(word), PIECE):
+        part = _BYTES[np.frombuffer(word[i : i + PIECE], np.uint8)]
+        total += (part * up[: len(part)]).sum(dtype=_U) * factor
+        factor *= up[PIECE]
+    return total
 
 
 def batch_words(texts: list[bytes], max_bytes: int = 1 << 22):

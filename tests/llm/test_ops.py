@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
+from sessionloom.llm import words as word_hashes
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -52,6 +53,21 @@ def texts():
     return out
 
 
+def test_word_table():
+    """Equal words have equal hashes wherever they stand, pieces and words longer than a piece included."""
+    rng = random.Random(3)
+    long = bytes(rng.choices(b"abc", k=3 * word_hashes.PIECE + 5))
+    cases = [b"", b" ", b"a", b" a", b"a ", long, b"q " + long + b"\n" + long + b" q", long[:-1] + b"x " + long]
+    cases += [bytes(rng.choices(b"ab \n\x0b", k=n)) for n in [*range(1, 40), 3 * word_hashes.PIECE]]
+    seen = {}
+    for data in cases:
+        hashes, starts, lengths = word_hashes.word_table(data)
+        assert [data[s : s + n] for s, n in zip(starts, lengths, strict=True)] == data.split()
+        for w, h in zip(data.split(), hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_line_dedup(spark, texts):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     keys = collections.defaultdict(set)
