@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,19 @@ def knn(vectors: DataFrame, query: list[float], limit: int, where: Column | None
     return scored.drop(vector_col).orderBy(F.desc("similarity"), F.asc(id_col)).limit(limit)
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, max_queries: int = 1_000) -> DataFrame:
-    """k nearest for each row of ``queries`` (query_id, query). The query side is counted: up to ``max_queries`` are broadcast and met in one pass; each
-    task keeps its own best ``limit`` by partial aggregation, so the shuffle carries k rows a task and query."""
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries; pass blocks of {max_queries} at most")
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, block: int = 1_000) -> DataFrame:
+    """k nearest for each row of ``queries`` (query_id, query), against all vectors. Queries are counted and dealt into blocks of about ``block`` rows; each is
+    broadcast and met in one pass, in which a task keeps its own best ``limit``, so the shuffle carries k rows a task and query."""
+    n_blocks = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+    def nearest(i: int) -> DataFrame:
+        own = dealt.where(F.col("_block") == i).drop("_block")
+        pairs = vectors.crossJoin(F.broadcast(own)).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+    return reduce(DataFrame.unionByName, map(nearest, range(n_blocks)))
 
 
 # full text ---------------------------------------------------------------------------------------------------------

@@ -226,11 +226,11 @@ def like_wildcards(s, d):
 SELECT o.o_orderkey, v.c_custkey AS c_id,
  ((CASE WHEN t BETWEEN a AND b THEN 3.0 WHEN least(abs(t - a), abs(t - b)) < 300000 THEN 2.0 WHEN least(abs(t - a), abs(t - b)) < 3600000 THEN 1.0 ELSE 0.0 END)
   + 4.0 * len(list_intersect(of, vf)) / greatest(len(of), len(vf)) + CASE WHEN ob = vb THEN 1.0 ELSE 0.0 END + 2.0 * least(len(list_filter(vk, lambda k: contains(lower(msg), k))), 3) / 3) / 10 AS confidence
-FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS t, ['f' || (o_orderkey % 97), 'f' || (o_custkey % 89)] AS of, o_orderstatus AS ob, o_orderpriority AS msg FROM orders WHERE o_orderkey < 1500) o
+FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS t, ['f' || (o_orderkey % 97), 'f' || (o_custkey % 89)] AS of, o_orderstatus AS ob, o_orderpriority AS msg FROM orders) o
 JOIN (SELECT c_custkey, 820454400000 + c_custkey * 86400000 * 2 AS a, 820454400000 + c_custkey * 86400000 * 2 + 86400000 AS b, ['f' || (c_custkey % 97)] AS vf, CASE WHEN c_custkey % 2 = 0 THEN 'O' ELSE 'F' END AS vb, ['urgent', 'high'] AS vk FROM customer) v ON true
 ) c WHERE confidence > 0.3 GROUP BY c.o_orderkey""")
 def commit_link_best(s, d):
-    o = table(s, d, "orders").where("o_orderkey < 1500")
+    o = table(s, d, "orders")
     f = lambda c, m: F.concat(F.lit("f"), (F.col(c) % m).cast("string"))
     commits = o.select(F.col("o_orderkey").alias("commit_id"), T.millis("o_orderdate").alias("timestamp"), F.array(f("o_orderkey", 97), f("o_custkey", 89)).alias("files"), F.col("o_orderstatus").alias("branch"), F.col("o_orderpriority").alias("message"))
     first = F.lit(820454400000) + F.col("c_custkey") * 86400000 * 2
@@ -251,10 +251,10 @@ def events_ttl_live(s, d):
 
 
 @query("""SELECT a.doc_id AS doc_id, b.doc_id AS other, CASE WHEN a.p = b.p THEN 100.0 WHEN len(a.x) = len(b.x) AND len(a.x) - same = 1 THEN 80.0 ELSE same / greatest(len(a.x), len(b.x))::DOUBLE * 100 END AS likeness
-FROM (SELECT doc_id, '/home/' || lang || '/' || source AS p, ['home', lang, source] AS x FROM documents WHERE doc_id < 200) a JOIN (SELECT doc_id, '/home/' || lang || '/' || source AS p, ['home', lang, source] AS x FROM documents WHERE doc_id < 200) b ON b.doc_id = a.doc_id + 1,
+FROM (SELECT doc_id, '/home/' || lang || '/' || source AS p, ['home', lang, source] AS x FROM documents) a JOIN (SELECT doc_id, '/home/' || lang || '/' || source AS p, ['home', lang, source] AS x FROM documents) b ON b.doc_id = a.doc_id + 1,
 LATERAL (SELECT (CASE WHEN a.x[1] = b.x[1] THEN 1 ELSE 0 END) + (CASE WHEN a.x[2] = b.x[2] THEN 1 ELSE 0 END) + (CASE WHEN a.x[3] = b.x[3] THEN 1 ELSE 0 END) AS same)""")
 def path_likeness(s, d):
-    p = table(s, d, "documents").where("doc_id < 200").select("doc_id", F.concat(F.lit("/home/"), "lang", F.lit("/"), "source").alias("p"))
+    p = table(s, d, "documents").select("doc_id", F.concat(F.lit("/home/"), "lang", F.lit("/"), "source").alias("p"))
     j = p.join(p.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("q")), "doc_id")
     return j.select("doc_id", (F.col("doc_id") + 1).alias("other"), T.path_likeness("p", "q").alias("likeness"))
 

@@ -226,3 +226,13 @@ def test_solutions(spark):
     assert r["solution_summary"] == "use a lock in python" and r["effectiveness"] == "excellent"
     assert r["solution_steps"] == ["take the lock", "write"] and r["code_pattern"].startswith("with lock")
     assert r["technology"] == ["python", "pytest"] and r["applies_when"] == "share state" and r["avoid_when"] == "reading only"
+
+
+def test_knn_join_in_blocks(spark):
+    """Blocks of queries change nothing, ties included."""
+    rows = [(i, [float(i % 4), 1.0, float(i % 3)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 2 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    got = [{(r["query_id"], r["rank"], r["vec_id"]) for r in S.knn_join(vectors, queries, 3, block).collect()} for block in (1_000, 6)]
+    assert got[0] == got[1] and len(got[0]) == 60
+    assert S.knn_join(vectors, queries.limit(0), 3).count() == 0
