@@ -258,28 +258,24 @@ def _minimiser_at(words: np.ndarray) -> int:
 
 
 def _contexts(segs: DataFrame) -> DataFrame:
-    """mini, h1, h2, side, r, h: hash of the r words left (side 0) and right (side 1) of each segment's minimiser, for every r."""
+    """mini, h1, h2, side, hs: hashes of the 1, 2, ... words left (side 0) and right (side 1) of each segment's minimiser."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                out = [[], [], [], []]
+                rows, sides, hashes = [], [], []
                 for row, data in enumerate(part.column("words").to_pylist()):
                     w = np.frombuffer(data, _U)
                     p = _minimiser_at(w)
-                    zero = np.zeros(1, np.int64)
                     for side, near in ((0, w[:p][::-1]), (1, w[p + GRAM :])):
-                        n = len(near)
-                        out[0].append(np.full(n, row))
-                        out[1].append(np.full(n, side))
-                        out[2].append(np.arange(1, n + 1))
-                        out[3].append(span_hashes(near, np.repeat(zero, n), np.arange(1, n + 1)).view(np.int64))
-                row, side, r, h = (np.concatenate(x) for x in out)
-                keys = [part.column(k).take(pa.array(row)) for k in ("mini", "h1", "h2")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(side.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(h)], names=["mini", "h1", "h2", "side", "r", "h"])
+                        rows.append(row)
+                        sides.append(side)
+                        hashes.append(span_hashes(near, np.zeros(len(near), np.int64), np.arange(1, len(near) + 1)).view(np.int64))
+                keys = [part.column(k).take(pa.array(rows, pa.int64())) for k in ("mini", "h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(sides, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["mini", "h1", "h2", "side", "hs"])
 
-    return segs.mapInArrow(run, "mini long, h1 long, h2 long, side int, r int, h long")
+    return segs.mapInArrow(run, "mini long, h1 long, h2 long, side int, hs array<long>")
 
 
 def _cut(segs: DataFrame) -> DataFrame:
@@ -307,8 +303,17 @@ def _shared_parts(segs: DataFrame) -> DataFrame:
     """The segments of hot minimisers, cut to the context that another class shares."""
     key = ["mini", "h1", "h2"]
     contexts = stored(_contexts(segs))
-    shared = stored(contexts.groupBy("mini", "side", "r", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k"))
-    reach = contexts.join(shared, ["mini", "side", "r", "h"]).groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("r"))), F.lit(0)).alias("left"), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("r"))), F.lit(0)).alias("right"))
+    each = contexts.select("mini", "side", F.posexplode("hs").alias("r", "h")).select("mini", "side", (F.col("r") + 1).alias("_r"), F.col("h").alias("_h"))
+    shared = stored(each.groupBy("mini", "side", "_r", "_h").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k"))
+    # a context that is shared is shared at every smaller length, so its length is found bit by bit: one look-up a class, side and bit
+    found = contexts.withColumn("reach", F.lit(0))
+    for bit in range((WINDOW - GRAM).bit_length() - 1, -1, -1):
+        there = F.size("hs") >= F.col("reach") + 2**bit
+        probe = found.withColumn("_r", F.when(there, F.col("reach") + 2**bit).otherwise(-1)).withColumn("_h", F.when(there, F.get("hs", F.col("reach") + 2**bit - 1)).otherwise(F.col("h1")))
+        met = probe.join(shared.withColumn("_met", F.lit(2**bit)), ["mini", "side", "_r", "_h"], "left")
+        found = met.select(*contexts.columns, (F.col("reach") + F.coalesce("_met", F.lit(0))).alias("reach"))
+    of_side = lambda side: F.max(F.when(F.col("side") == side, F.col("reach")).otherwise(0))
+    reach = found.groupBy(*key).agg(of_side(0).alias("left"), of_side(1).alias("right"))
     return stored(_cut(segs.join(reach, key)))
 
 
