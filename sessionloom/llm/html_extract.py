@@ -46,6 +46,18 @@ KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 #: Places of these kinds hold everything below them.
 CLOSED = frozenset([*KINDS, "nav", "footer", "aside", "form", "menu", "dialog", "header"])
 
+#: Start tags whose end tags may be left out: the open elements that each ends, and the elements it does not look beyond.
+_LIST_ENDS = frozenset("article aside blockquote body button center details dialog dir dl fieldset figcaption figure footer form header main menu nav ol section summary table td th ul".split())
+_ROW_GROUPS = frozenset("thead tbody tfoot".split())
+_CELLS = frozenset(("td", "th"))
+IMPLIED = {
+    "li": (frozenset(("li",)), _LIST_ENDS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), _LIST_ENDS)),
+    **dict.fromkeys(_CELLS, (_CELLS, frozenset(("tr", "table")))),
+    "tr": (_CELLS | {"tr"}, _ROW_GROUPS | {"table"}),
+    **dict.fromkeys(_ROW_GROUPS, (_CELLS | _ROW_GROUPS | {"tr"}, frozenset(("table",)))),
+}
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSERS = {s: re.compile(rf"</{s}\b[^>]*>", re.I) for s in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
@@ -64,6 +76,13 @@ def _kind(name: str, attributes: str) -> str | None:
 def events(page: str):
     """Yields ("tag", name, block?, place) and ("text", decoded text, place) in page order; place: the kind that counts, "" for none."""
     stack: list[tuple[str, str]] = []  # element, place inside it
+    opened: Counter[str] = Counter()  # elements of the stack by name, so that an end tag without a start costs nothing
+
+    def cut(k: int) -> None:
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     pos, end = 0, len(page)
     while pos < end:
         m = TOKEN.match(page, pos)
@@ -74,10 +93,11 @@ def events(page: str):
         elif m[2]:
             name = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 60), -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
+                    cut(k)
                 yield "tag", "/" + name, name not in INLINE, stack[-1][1] if stack else ""
                 continue
             yield "tag", name, name not in INLINE, place
@@ -85,15 +105,26 @@ def events(page: str):
                 c = CLOSERS[name].search(page, pos)
                 pos = c.end() if c else end
             elif name not in VOID and not m[3].endswith("/"):
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
-                    place = stack[-1][1] if stack else ""
+                if name in ("p", "option") and stack and stack[-1][0] == name:
+                    cut(len(stack) - 1)
+                elif name in IMPLIED:
+                    ends, beyond = IMPLIED[name]
+                    if any(opened[e] for e in ends):
+                        k, at = len(stack) - 1, None
+                        while k >= 0 and stack[k][0] not in beyond:
+                            if stack[k][0] in ends:
+                                at = k
+                            k -= 1
+                        if at is not None:
+                            cut(at)
+                place = stack[-1][1] if stack else ""
                 kind = "silent" if name in SILENT else _kind(name, m[3])
                 if place == "silent" or place in CLOSED:
                     kind = place  # header inside an article included
                 elif kind == "a" and place:
                     kind = place + "+a"
                 stack.append((name, kind or place))
+                opened[name] += 1
 
 
 class Weights:

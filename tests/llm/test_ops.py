@@ -310,3 +310,22 @@ def test_substring_dedup_hot_passage(spark, texts, monkeypatch):
     want = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(substring_dedup, "HOT_CLASSES", 2)
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
+
+
+@pytest.mark.parametrize("inner", ["<dl>" + "<dt>a term<dd>its meaning" * 40 + "</dl>", "<dl>" + "<dt>a term<dd>its meaning" * 40, "<table>" + "<tr><td>one cell" * 40 + "</table>", "<table>" + "<tr><td>one cell" * 40, "<ul>" + "<li><b>point" * 80, "<div>" * 70])
+@pytest.mark.parametrize("closed", ["aside", "header", "form", "nav"])
+def test_html_omitted_end_tags(closed, inner):
+    """The end tag of an element is found however many elements were left open in it."""
+    w = html_extract.fit(html_extract.labelled_pages())
+    prose = "The river rose in the night and the lower fields were under water by dawn."
+    assert html_extract.extract(f"<html><body><{closed}>{inner}</{closed}><article><p>{prose}</p></article></body></html>", w) == prose
+
+
+def test_html_implied_ends():
+    """A cell, row, term or point ends the one before it, and not those of an outer table or list."""
+    def places(page):
+        return {what.strip(): place for kind, what, *rest in html_extract.events(page) if kind == "text" for place in rest}
+
+    assert places("<table><tr><td><form>x<td>y<tr><th>z</table>") == {"x": "form", "y": "td", "z": "th"}
+    assert places("<dl><dt><a>x<dd>y<dt>z</dl>w") == {"x": "dt+a", "y": "dd", "z": "dt", "w": ""}
+    assert places("<ul><li>a<ol><li>b<li>c</ol>d<li>e</ul>f") == {"a": "li", "b": "li", "c": "li", "d": "li", "e": "li", "f": ""}
