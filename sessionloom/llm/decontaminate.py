@@ -3,16 +3,18 @@
 A mask fixes which of a run of words are read; the others may differ. Every place of every text is hashed
 under each mask and joined with the hashes of the benchmark items. Each hit names an item and a diagonal
 (place in the document less place in the item); on it the words are compared: the overlap counts
-if some window of ``WINDOW`` words of the diagonal has ``LEAST`` equal words at least.
+if some window of ``WINDOW`` words of the diagonal has ``LEAST`` equal words at least. For an item of fewer words
+than ``WINDOW`` the same share of its own words is asked for, rounded up.
 
-A mask is built by doubling: pairs of words, pairs of pairs, pairs of those, so that a place costs three
-hash steps and a mask of eight words is given by three distances.
+A mask is built by doubling: pairs of words, then pairs of pairs, so that a mask of four words is given by two
+distances. Together the masks miss nothing: however the words that differ lie, every overlap that counts, of
+items of ``SHORTEST`` words or more, is hit by one of them (a test goes through all cases).
 
 The benchmark is broadcast when its seeds are ``BROADCAST_ROWS`` rows at most, which is counted; beyond that Spark
 joins by shuffle on the hash. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
-Defined cases: null and empty texts are clean; a text or item with fewer words than the shortest mask has no
-seeds, so it neither is nor makes contamination; items that occur twice count under both ids; rows that repeat a
+Defined cases: null and empty texts are clean; items of fewer than ``SHORTEST`` words make no contamination, as
+everyday phrases would match them, not even as exact copies; items that occur twice count under both ids; rows that repeat a
 doc_id share the verdict of all of them; without items every document is clean; other columns are carried along by
 :func:`drop_contaminated`.
 """
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import WS_CLASS, ascii_lower, stored, table
 
-#: Distances of the three doublings: words read are all sums of subsets.
-MASKS = ((1, 3, 6), (2, 3, 7), (1, 5, 2))
-WINDOW, LEAST = 16, 12
+#: Distances of the doublings: words read are all sums of subsets.
+MASKS = ((1, 2), (1, 3), (1, 5))
+WINDOW, LEAST, SHORTEST = 16, 12, 8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -38,6 +40,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def least_equal(n_words: Column) -> Column:
+    """Equal words that an overlap with an item of ``n_words`` words needs."""
+    return F.ceil(F.least(n_words, F.lit(WINDOW)) * LEAST / WINDOW)
+
+
 def _paired(salt: int):
     return lambda a, b: F.xxhash64(F.lit(salt), a, b)
 
@@ -70,7 +77,7 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched): the most equal words in a window, for each document and item that overlap."""
-    items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")))
+    items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST))
     item_seeds = stored(seeds(items, "item_id").select("item_id", F.col("place").alias("item_place"), "seed"))
     small = item_seeds.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
@@ -82,10 +89,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start, end = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item_words"), F.size("doc_words") - F.col("diagonal"))
     own = F.slice("item_words", start + 1, end - start)
     theirs = F.slice("doc_words", start + F.col("diagonal") + 1, end - start)
-    equal = pairs.select("doc_id", "item_id", F.zip_with(own, theirs, lambda a, b: F.when(a == b, 1).otherwise(0)).alias("equal"))
+    equal = pairs.select("doc_id", "item_id", least_equal(F.size("item_words")).alias("least"), F.zip_with(own, theirs, lambda a, b: F.when(a == b, 1).otherwise(0)).alias("equal"))
     sums = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("equal") - WINDOW + 1)), lambda i: F.aggregate(F.slice("equal", i, WINDOW), F.lit(0), lambda s, x: s + x))
-    best = equal.select("doc_id", "item_id", F.array_max(sums).alias("matched"))
-    return best.where(F.col("matched") >= LEAST).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    best = equal.select("doc_id", "item_id", "least", F.array_max(sums).alias("matched"))
+    return best.where(F.col("matched") >= F.col("least")).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -329,3 +330,30 @@ def test_html_implied_ends():
     assert places("<table><tr><td><form>x<td>y<tr><th>z</table>") == {"x": "form", "y": "td", "z": "th"}
     assert places("<dl><dt><a>x<dd>y<dt>z</dl>w") == {"x": "dt+a", "y": "dd", "z": "dt", "w": ""}
     assert places("<ul><li>a<ol><li>b<li>c</ol>d<li>e</ul>f") == {"a": "li", "b": "li", "c": "li", "d": "li", "e": "li", "f": ""}
+
+
+def test_decontamination_masks_miss_nothing():
+    """Whatever words differ, each overlap that counts holds all words of some mask."""
+    masks = [{sum(c) for r in range(len(m) + 1) for c in itertools.combinations(m, r)} for m in decontaminate.MASKS]
+    for n in range(8, 17):
+        for equal in map(set, itertools.combinations(range(n), math.ceil(n * 12 / 16))):
+            assert any({at + k for k in m} <= equal for m in masks for at in range(n)), (n, equal)
+
+
+def test_decontamination_against_brute_force(spark):
+    """Copies with replaced words, in items of 8 to 40 words: all that reach the threshold are found, and no others."""
+    rng = random.Random(8)
+    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate([*range(7, 20), 40])]
+    docs, want = [], {}
+    for i, item in enumerate(items):
+        n = len(item)
+        away = [set(), set(range(3, n, 4)), *(set(rng.sample(range(n), k)) for k in (1, 2, 3, 4, 5) for _ in range(6))]
+        for a in away:
+            own = [k not in a for k in range(n)]
+            best = max(sum(own[k : k + 16]) for k in range(max(1, n - 15)))
+            if n >= 8 and best >= math.ceil(min(n, 16) * 12 / 16):
+                want[len(docs)] = ([i], best)
+            docs.append(" ".join(["before"] * 9 + [w if o else "other" for w, o in zip(item, own, strict=True)] + ["after"] * 9))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["matched"]) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got == want
