@@ -3,9 +3,9 @@
 A page is read as one run of words and tags. Every tag costs, every word adds or costs by where it
 stands: weights are log odds of a word in each kind of place (a kind is the innermost telling element) being
 article text, counted on labelled pages; tags cost by how much more often they stand outside the article.
-A linear scan finds the contiguous run with the largest sum: the content region. Its words in places that
-the labelled pages never show as article text (menus, adverts, forms, ...) are left out, the others
-form blocks at block-level tags.
+A linear scan finds the contiguous run with the largest sum: the content region. Its words in places elements that hold no article text (``CLOSED``: nav, footer, aside, form, ...) are left out, and so are those
+whose weight a listed class, id or role (``KINDS``) lowers to 0 or less; the others form blocks at block-level tags.
+Names on html, body, main and article count for nothing.
 
 The labelled pages are small hand-marked ones in :func:`labelled_pages`; others can be passed to :func:`fit`.
 
@@ -31,20 +31,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template iframe svg math object canvas head title select option textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 TELLING = frozenset("nav header footer aside form menu article main section p h1 h2 h3 h4 h5 h6 li td th blockquote pre figure figcaption div body a dialog details dd dt".split())
-#: Words of class, id and role that name a kind of place.
+#: Whole names in class, id and role that speak for a kind of place, "_" read as "-". Each lowers the weight of the words below it.
 KINDS = {
-    "advert": "ad ads advert adverts advertisement adsense banner promo promoted promotion sponsor sponsored",
+    "advert": "ad ads advert adverts advertisement adsense ad-slot ad-banner banner promo promoted promotion sponsor sponsored",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip",
     "side": "sidebar side aside widget related recommended recommendations trending popular more",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall",
+    "notice": "cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall",
     "social": "share sharing social follow tags tagcloud",
     "comment": "comment comments reply replies respond discussion disqus",
     "frame": "header masthead footer copyright colophon legal topbar site-header site-footer",
     "form": "form login search searchbox",
 }
 KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
-#: Places of these kinds hold everything below them.
-CLOSED = frozenset([*KINDS, "nav", "footer", "aside", "form", "menu", "dialog", "header"])
+#: Elements whose places hold everything below them.
+CLOSED = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "header"])
+#: Elements that hold the article: their names say nothing against it.
+HOLDERS = frozenset(["html", "body", "main", "article"])
 
 #: Start tags whose end tags may be left out: the open elements that each ends, and the elements it does not look beyond.
 _LIST_ENDS = frozenset("article aside blockquote body button center details dialog dir dl fieldset figcaption figure footer form header main menu nav ol section summary table td th ul".split())
@@ -63,18 +65,18 @@ NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 CLOSERS = {s: re.compile(rf"</{s}\b[^>]*>", re.I) for s in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
 
-def _kind(name: str, attributes: str) -> str | None:
+def _named(attributes: str) -> str | None:
+    """The kind that a class, id or role names."""
     if "=" in attributes:
         for m in NAMES.finditer(attributes):
             for w in (m[1] or m[2] or m[3] or "").lower().replace("_", "-").split():
-                for part in (w, *w.split("-")):
-                    if part in KIND_OF:
-                        return KIND_OF[part]
-    return name if name in TELLING else None
+                if w in KIND_OF:
+                    return KIND_OF[w]
+    return None
 
 
 def events(page: str):
-    """Yields ("tag", name, block?, place) and ("text", decoded text, place) in page order; place: the kind that counts, "" for none."""
+    """Yields ("tag", name, block?, place) and ("text", decoded text, place) in page order; place: the kind that counts, "" for none, then "~" and the kind that names speak for, if any."""
     stack: list[tuple[str, str]] = []  # element, place inside it
     opened: Counter[str] = Counter()  # elements of the stack by name, so that an end tag without a start costs nothing
 
@@ -118,12 +120,20 @@ def events(page: str):
                         if at is not None:
                             cut(at)
                 place = stack[-1][1] if stack else ""
-                kind = "silent" if name in SILENT else _kind(name, m[3])
-                if place == "silent" or place in CLOSED:
+                base, _, named = place.partition("~")
+                if name in SILENT:
+                    kind = "silent"
+                elif base == "silent" or base.removesuffix("+a") in CLOSED:
                     kind = place  # header inside an article included
-                elif kind == "a" and place:
-                    kind = place + "+a"
-                stack.append((name, kind or place))
+                else:
+                    kind = name if name in TELLING else base
+                    if kind == "a" and base:
+                        kind = base.removesuffix("+a") + "+a"
+                    if not named and name not in HOLDERS:
+                        named = _named(m[3])
+                    if named:
+                        kind += "~" + named
+                stack.append((name, kind))
                 opened[name] += 1
 
 
@@ -136,6 +146,10 @@ class Weights:
     def word(self, place: str) -> float:
         if place == "silent":
             return 0.0
+        place, _, named = place.partition("~")
+        return self._of(place) + (min(0.0, self.words.get("~" + named, -2.0)) if named else 0.0)
+
+    def _of(self, place: str) -> float:
         if place in self.words:
             return self.words[place]
         base = place.removesuffix("+a")
@@ -162,7 +176,8 @@ def fit(pages: list[list[tuple[str, bool]]]) -> Weights:
             label = marks[seen][1]
             if kind == "text":
                 if rest[0] != "silent":
-                    words[label][rest[0]] += len(what.split())
+                    base, _, named = rest[0].partition("~")
+                    words[label]["~" + named if named else base] += len(what.split())
             else:
                 tags[label][what] += 1
     odds = lambda c, k, s: math.log((c[True][k] + s) / (sum(c[True].values()) + 1)) - math.log((c[False][k] + s) / (sum(c[False].values()) + 1))
@@ -185,11 +200,19 @@ def _positioned(page: str):
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """The main text of ``page``."""
+    """The main text of ``page``. Where names of classes would leave no word of it, it is read without them."""
+    found = list(events(page or ""))
+    text = _extract(found, weights)
+    if not text and any("~" in e[-1] for e in found):
+        text = _extract([(*e[:-1], e[-1].partition("~")[0]) for e in found], weights)
+    return text
+
+
+def _extract(found: list[tuple], weights: Weights) -> str:
     blocks: list[list] = []  # (text pieces), one for each run between block tags
     items: list[tuple[float, int]] = []  # score, block or -1 for a tag
     open_block = False
-    for kind, what, *rest in events(page or ""):
+    for kind, what, *rest in found:
         if kind == "tag":
             items.append((weights.tag(what), -1))
             if rest[0]:
@@ -217,9 +240,12 @@ def extract(page: str | None, weights: Weights) -> str:
     if best_span is None:
         return ""
     inside = {b for _, b in items[best_span[0] : best_span[1] + 1] if b >= 0}
+    def kept(place: str) -> bool:
+        return place.partition("~")[0].removesuffix("+a") not in CLOSED and ("~" not in place or weights.word(place) > 0)
+
     out = []
     for b in sorted(inside):
-        text = " ".join("".join(t for t, place in blocks[b] if place.removesuffix("+a") not in CLOSED).split())
+        text = " ".join("".join(t for t, place in blocks[b] if kept(place)).split())
         if text:
             out.append(text)
     return "\n".join(out)

@@ -357,3 +357,14 @@ def test_decontamination_against_brute_force(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     got = {r["doc_id"]: (r["items"], r["matched"]) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("start", ["<body class='has-sidebar'>", "<body class='sidebar'>", "<article class='post comments-open'>", "<article class='comments'>", "<main id=content class=related>", "<div class='content-with-sidebar'>", "<div class='popular'>"])
+def test_html_names_do_not_empty_a_page(start):
+    """Names of layouts cost no text; listed ones are still left out inside the article."""
+    w = html_extract.fit(html_extract.labelled_pages())
+    one, two = "The river rose in the night and the lower fields were under water by dawn.", "Engineers will look at the dam on Monday and the road stays shut."
+    got = html_extract.extract(f"<html>{start}<p>{one}</p><div class='ad'>Buy one now.</div><p>{two}</p><div class='comments'><p>Great piece, thanks!</p></div>", w)
+    assert one in got and two in got
+    if "popular" not in start:
+        assert got == f"{one}\n{two}"
