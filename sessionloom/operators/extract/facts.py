@@ -225,10 +225,10 @@ def outcome(c) -> Column:
 
 
 def findings(messages: DataFrame) -> DataFrame:
-    """Research findings of assistant messages (EXT-F1): discoveries of 20 to 500 characters with relevance and confidence."""
+    """Research findings of assistant messages (EXT-F1): every discovery of 20 characters or more, cut to 500, with relevance and confidence of its message."""
     m = messages.where((F.col("role") == "assistant") & ~P.noise("content", R.SHORT_NOISE))
-    one = F.filter(F.array(*[group("content", p) for p in R.DISCOVERIES]), lambda x: x.isNotNull() & (F.length(x) >= 20))
-    rows = m.select("message_id", "conversation_id", "content", F.explode(F.array_distinct(one)).alias("discovery"))
+    found = F.filter(F.concat(*[F.transform(hits("content", p, 1), lambda x: F.trim(x)) for p in R.DISCOVERIES]), lambda x: F.length(x) >= 20)
+    rows = m.select("message_id", "conversation_id", "content", F.explode(F.array_distinct(found)).alias("discovery"))
     return rows.select("message_id", "conversation_id", F.substring("discovery", 1, 500).alias("discovery"), F.substring(F.coalesce(*[group("content", p) for p in R.TOPICS], F.col("discovery")), 1, 100).alias("topic"), first_label("content", R.FINDING_SOURCES, "code").alias("source_type"), first_label("content", R.RELEVANCE, "medium").alias("relevance"), first_label("content", R.SURENESS, "likely").alias("confidence"))
 
 

@@ -202,6 +202,11 @@ def requirement_extract(s, d):
     return X.requirements(B.messages(s, d)).where("type = 'compatibility' and description like 'must support%'").select("message_id", "type", "description")
 
 
+@query(None)
+def requirement_extract_all(s, d):
+    return X.requirements(B.messages(s, d))
+
+
 RUNS = "(SELECT event_id, event_type = 'error' AS is_error, CASE event_id % 3 WHEN 0 THEN (event_id % 50) || ' passed, 0 failed in ' || (event_id % 900) || ' ms' WHEN 1 THEN (event_id % 40) || ' passed, ' || (event_id % 7 + 1) || ' failed in 2 s' ELSE 'ran' END AS content FROM events)"
 
 

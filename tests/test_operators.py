@@ -236,3 +236,32 @@ def test_knn_join_in_blocks(spark):
     got = [{(r["query_id"], r["rank"], r["vec_id"]) for r in S.knn_join(vectors, queries, 3, block).collect()} for block in (1_000, 6)]
     assert got[0] == got[1] and len(got[0]) == 60
     assert S.knn_join(vectors, queries.limit(0), 3).count() == 0
+
+
+def test_findings_all_matches(spark):
+    """Every discovery of a message, against Python's own search; a short first match hides no later one."""
+    import re
+
+    from sessionloom.operators.extract import facts, rules
+
+    said = ["I found that it is off. I found that the cache keeps rows of closed sessions. I noticed that the second index is never used by any query.", "This means nothing. The problem is a lock that two writers take in turn. This shows the queue was full for most of the night", "Nothing here."]
+    rows = [(i, 1, "assistant", t) for i, t in enumerate(said)]
+    want = {(i, m[1].strip()) for i, t in enumerate(said) for p in rules.DISCOVERIES for m in re.finditer(p.replace(r"\z", r"\Z"), t, re.I) if len(m[1].strip()) >= 20}
+    got = facts.findings(spark.createDataFrame(rows, "message_id int, conversation_id int, role string, content string")).collect()
+    assert sorted((r["message_id"], r["discovery"]) for r in got) == sorted(want) and len(want) == 4
+
+
+def test_requirement_query_keeps_every_type(spark):
+    """The unfiltered query against Python's own search over all patterns."""
+    import re
+
+    from sessionloom.operators.extract import rules
+    from sessionloom.plans import bindings, retrieval
+
+    sf = "/root/testdata/sf0.001"
+    want = set()
+    for r in bindings.messages(spark, sf).select("message_id", "content").collect():
+        for kind, p in rules.REQUIREMENTS:
+            want |= {(r["message_id"], kind, m[0].strip(" ")[:50]) for m in re.finditer(p, r["content"] or "", re.I)}
+    got = retrieval.QUERIES["requirement_extract_all"](spark, sf).collect()
+    assert {(r["message_id"], r["type"], r["description"][:50]) for r in got} == want and want
