@@ -1,12 +1,12 @@
 """Line dedup: lines that many documents share stay in one of them.
 
 Lines are cut at ``\\n``; a line's key is the line without white space at both ends, A-Z lower-cased.
-Keys go through the plan as 128-bit hashes, so no text is shuffled: one aggregation counts the documents
-of each hash (map-side partial sums, safe for hot lines), a join returns the frequent hashes to the
+Keys go through the plan as 128-bit hashes, so no text is shuffled: each document's hashes are made distinct,
+an aggregation counts the documents of each hash (partial sums before the exchange, safe for hot lines), a join returns the frequent hashes to the
 positions that hold them, and each text is put together again from its positions.
 
 Defined cases: null or empty text is one empty line, which is never dropped; a key repeated inside one
-document counts once; rows that repeat a doc_id are separate documents for the count, and all of them
+document counts once; rows that repeat a doc_id are one document for the count, and all of them
 keep the line if that doc_id is the largest; an empty table gives an empty result; other columns are
 carried along untouched by :func:`dedup_lines`.
 """
@@ -36,7 +36,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     lines = docs.select("doc_id", F.xxhash64(_raw()).alias("text_hash"), F.posexplode(_keys()).alias("pos", "key")).where(F.length("key") >= min_chars).select("doc_id", "text_hash", "pos", *_hashes("key"))
     per_doc = docs.select("doc_id", F.explode(F.array_distinct(F.filter(_keys(), lambda k: F.length(k) >= min_chars))).alias("key")).select("doc_id", *_hashes("key"))
     # written first: then both sides of the join are exchanged by themselves, and Spark can split a hot key's partition
-    frequent = stored(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
+    frequent = stored(per_doc.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
     return lines.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "text_hash", "pos")
 
 

@@ -368,3 +368,11 @@ def test_html_names_do_not_empty_a_page(start):
     assert one in got and two in got
     if "popular" not in start:
         assert got == f"{one}\n{two}"
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    """A line of two documents stays in both, however many rows one of them has."""
+    line = "a line that is long enough to count"
+    ids, texts = [1, 1, 2, 3, 4, 5], [f"x\n{line}", f"y\n{line}", line, *[line + " twice over"] * 3]
+    got = sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(frame(spark, texts, ids)).collect())
+    assert got == [(1, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 0)]
