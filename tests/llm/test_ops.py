@@ -264,24 +264,102 @@ def test_mixing(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_mixing_is_a_distribution():
-    """Over all codes the probabilities sum to one, after any context."""
+def learnt_state(*texts):
     s = mixing.State()
     for _ in range(3):
-        s.learn(*mixing.tokens_of([b"the cat sat on the mat", b"a dog ran"])[:2])
-    s.freeze()
+        s.learn(*mixing.tokens_of(list(texts))[:2])
+    return s
+
+
+def test_mixing_is_a_distribution():
+    """Over all codes the probabilities sum to one, after any context."""
+    s = learnt_state(b"the cat sat on the mat", b"a dog ran")
     codes = np.arange(1 << mixing.BITS)
-    _, contexts, _ = mixing.tokens_of([b"the cat"])
+    contexts = mixing.tokens_of([b"the cat"])[1]
     for k in range(contexts.shape[1]):
-        assert np.sum(10 ** s.log10(codes, np.repeat(contexts[:, k : k + 1], len(codes), 1))) == pytest.approx(1)
+        assert np.sum(10 ** s.log10(codes, np.repeat(contexts[:, k : k + 1], len(codes), 1))) == pytest.approx(1, rel=1e-4)
+
+
+def test_mixing_against_scalar_code():
+    """log10 of each code, bit by bit from leaf counts, weights and map."""
+    s = learnt_state(b"the cat sat on the mat", b"the cat ran to the dog", b"a dog ran")
+    code, contexts, *_ = mixing.tokens_of([b"the cat ran on", b""])
+    keys = s.keys(contexts)
+    refined = s.refined().reshape(mixing.GATES, mixing.STEPS)
+    got = s.log10(code, contexts)
+    for t in range(len(code)):
+        want = 0.0
+        for b in range(mixing.BITS):
+            g, k = divmod(b, mixing.GROUP)
+            logits = []
+            for leaf in s.leaf(code[t : t + 1], keys[:, t : t + 1], g)[:, 0]:
+                run, end = divmod(int(leaf), 16)
+                width = 8 >> k
+                first = end // width * width  # leaves below the bit that came
+                other = first ^ width
+                came, not_came = (int(s.leaves[run, f : f + width].sum()) for f in (first, other))
+                logits.append(max(-127, min(127, round(math.log((came + 0.02) / (not_came + 0.02)) * mixing.UNIT))))
+            gate = 0 if logits[2] == 0 else 2 if abs(logits[2]) >= mixing.SURE else 1
+            z = sum(float(w) * x / mixing.UNIT for w, x in zip(s.weights[3 * b + gate], logits, strict=True))
+            z = max(-mixing.LIMIT, min(mixing.LIMIT, z))
+            z = (z + refined[3 * b + gate, int(z * 2 + 16.5)]) / 2
+            want -= math.log10(1 + math.exp(-z))
+        assert got[t] == pytest.approx(want, abs=1e-3)
+
+
+def test_mixing_followers(spark, monkeypatch):
+    """Words that are not hot: the gain of each text is that of their followers, counted over the learnt texts without its own."""
+    monkeypatch.setattr(mixing, "HOT_WORDS", 0)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=rng.randint(0, 40))) for _ in range(40)]
+    texts += [texts[3], texts[4], texts[4]]
+    docs = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id long, text string, use boolean")
+    got = {r["doc_id"]: r["score"] for r in mixing.score(docs, F.col("use")).collect()}
+    monkeypatch.setattr(mixing, "followers", lambda rare: rare.limit(0).selectExpr("word", "0L as total", "0L as top", "0 as follower"))
+    plain = {r["doc_id"]: r["score"] for r in mixing.score(docs, F.col("use")).collect()}
+    codes = {i: mixing.tokens_of([t.encode()])[0].tolist() for i, t in enumerate(texts)}
+    pairs, kinds = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, t in enumerate(texts):
+        if i % 4:
+            for w, c in zip(t.split(), codes[i][1:], strict=True):
+                pairs[w][c] += 1
+    best = {w: max((n, c) for c, n in f.items()) for w, f in pairs.items()}
+
+    def kind(top, total):
+        size = top - 1 if top <= 3 else 3 if top < 8 else 4 if top < 16 else 5
+        return 3 * size + (0 if top == total else 1 if 2 * top > total else 2) if top else None
+
+    for w, f in pairs.items():
+        for c, n in f.items():
+            for _ in range(n):
+                kinds[kind(best[w][0] - (c == best[w][1]), sum(f.values()) - 1), c == best[w][1]] += 1
+    for i, t in enumerate(texts):
+        lo = hi = 0.0
+        for w, c in zip(t.split(), codes[i][1:], strict=True):
+            if w in best:
+                top, follower = best[w]
+                k = kind(top - (c == follower and i % 4 > 0), sum(pairs[w].values()) - (i % 4 > 0))
+                n = kinds[k, True] + kinds[k, False]
+                q = (kinds[k, True] + 0.5) / (n + 1) if k is not None and n else 0.0
+                if c != follower:
+                    lo, hi = lo + math.log10(1 - q), hi + math.log10(1 - q)
+                else:
+                    hi += math.log10(q + 1e-9) + 9 if q else 0.0
+        assert lo - 1e-6 <= got[i] - plain[i] <= hi + 1e-6
+        if all(c != best.get(w, (0, c))[1] for w, c in zip(t.split(), codes[i][1:], strict=True)):
+            assert got[i] - plain[i] == pytest.approx(lo, abs=1e-6)
 
 
 def test_mixing_odd_rows(spark):
+    """Nulls, empty and long texts, repeats, no training rows, and columns that have the names of the module's own."""
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "a " * 5000), (None, "x")], "doc_id long, text string")
-    got = mixing.score(docs, docs.where("doc_id = 3")).collect()
+    odd = docs.withColumn("row", F.lit("r")).withColumn("n_tokens", F.lit("mine")).withColumn("learnt", F.lit(7)).withColumn("a.b", F.lit(1)).withColumn("_0", F.lit(2)).withColumn("word", F.lit("w"))
+    got = mixing.score(odd, F.col("doc_id") == 3).collect()
     assert len(got) == 5 and sorted(r["n_tokens"] for r in got) == [1, 1, 1, 2, 5001]
-    none = mixing.score(docs, docs.limit(0)).collect()
+    assert {(r["row"], r["learnt"], r["a.b"], r["_0"], r["word"]) for r in got} == {("r", 7, 1, 2, "w")}
+    none = mixing.score(docs, F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
+    assert mixing.score(docs.limit(0), F.lit(True)).count() == 0
 
 
 @pytest.mark.parametrize("texts", [[], [None], [None, None, "", "same text", "same text"]])
