@@ -268,6 +268,7 @@ def learnt_state(*texts):
     s = mixing.State()
     for _ in range(3):
         s.learn(*mixing.tokens_of(list(texts))[:2])
+    s.freeze()
     return s
 
 
@@ -315,7 +316,8 @@ def test_mixing_followers(spark, monkeypatch):
     texts += [texts[3], texts[4], texts[4]]
     docs = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id long, text string, use boolean")
     got = {r["doc_id"]: r["score"] for r in mixing.score(docs, F.col("use")).collect()}
-    monkeypatch.setattr(mixing, "followers", lambda rare: rare.limit(0).selectExpr("word", "0L as total", "0L as top", "0 as follower"))
+    real = mixing.followers
+    monkeypatch.setattr(mixing, "followers", lambda rare: real(rare).withColumn("top", F.lit(0).cast("long")).withColumn("follower", F.lit(-1)))
     plain = {r["doc_id"]: r["score"] for r in mixing.score(docs, F.col("use")).collect()}
     codes = {i: mixing.tokens_of([t.encode()])[0].tolist() for i, t in enumerate(texts)}
     pairs, kinds = collections.defaultdict(collections.Counter), collections.Counter()
