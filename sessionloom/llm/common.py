@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -38,6 +41,28 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`stored` frame that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``columns`` (case is ignored, as in Spark)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, result: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+    """The columns of ``docs`` but those of ``result`` under names by number, and the columns that give them their names back."""
+    taken = {r.lower() for r in result}
+    carried = [c for c in docs.columns if c.lower() not in taken]
+    return [docs[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(carried)], [F.col(f"_{i}").alias(c) for i, c in enumerate(carried)]
+
+
 def ascii_lower(col: Column) -> Column:
     """``col`` with A-Z lower-cased; translate() looks every character up, so it is kept for strings with others than ASCII."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
@@ -65,7 +90,8 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     last = mark(e)
     while last[0]:
-        e = stored(star(star(e, True), False))
+        last_e, e = e, stored(star(star(e, True), False))
+        discard(last_e)
         now = mark(e)
         if now == last:
             break

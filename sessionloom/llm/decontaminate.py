@@ -15,7 +15,7 @@ joins by shuffle on the hash. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-
 
 Defined cases: null and empty texts are clean; items of fewer than ``SHORTEST`` words make no contamination, as
 everyday phrases would match them, not even as exact copies; items that occur twice count under both ids; rows that repeat a
-doc_id share the verdict of all of them; without items every document is clean; other columns are carried along by
+doc_id share the verdict of all of them; rows without doc_id are not looked at and stay; without items every document is clean; other columns are carried along by
 :func:`drop_contaminated`.
 """
 
@@ -81,15 +81,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_seeds = stored(seeds(items, "item_id").select("item_id", F.col("place").alias("item_place"), "seed"))
     small = item_seeds.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
-    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    hits = seeds(hashed, "doc_id").join(hint(item_seeds), "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
+    # a row is known by doc_id and text, as rows may repeat a doc_id
+    docs = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("row"), "text")
+    hashed = docs.select("row", word_hashes(F.col("text")).alias("words"))
+    hits = seeds(hashed, "row").join(hint(item_seeds), "seed").select("row", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
     hits = stored(hits.distinct())
-    touched = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", word_hashes(F.col("text")).alias("doc_words"))
-    pairs = hits.join(touched, "doc_id").join(hint(items.withColumnRenamed("words", "item_words")), "item_id")
+    touched = docs.join(hits.select("row").distinct(), "row", "left_semi").select("row", word_hashes(F.col("text")).alias("doc_words"))
+    # the document's words come last and are cut to the item's span at once: what a row holds is bounded by the item
+    pairs = hits.join(hint(items.withColumnRenamed("words", "item_words")), "item_id").join(touched, "row")
     start, end = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item_words"), F.size("doc_words") - F.col("diagonal"))
     own = F.slice("item_words", start + 1, end - start)
     theirs = F.slice("doc_words", start + F.col("diagonal") + 1, end - start)
-    equal = pairs.select("doc_id", "item_id", least_equal(F.size("item_words")).alias("least"), F.zip_with(own, theirs, lambda a, b: F.when(a == b, 1).otherwise(0)).alias("equal"))
+    equal = pairs.select("row.doc_id", "item_id", least_equal(F.size("item_words")).alias("least"), F.zip_with(own, theirs, lambda a, b: F.when(a == b, 1).otherwise(0)).alias("equal"))
     sums = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("equal") - WINDOW + 1)), lambda i: F.aggregate(F.slice("equal", i, WINDOW), F.lit(0), lambda s, x: s + x))
     best = equal.select("doc_id", "item_id", "least", F.array_max(sums).alias("matched"))
     return best.where(F.col("matched") >= F.col("least")).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))

@@ -3,9 +3,12 @@
 A page is read as one run of words and tags. Every tag costs, every word adds or costs by where it
 stands: weights are log odds of a word in each kind of place (a kind is the innermost telling element) being
 article text, counted on labelled pages; tags cost by how much more often they stand outside the article.
-A linear scan finds the contiguous run with the largest sum: the content region. Its words in places elements that hold no article text (``CLOSED``: nav, footer, aside, form, ...) are left out, and so are those
-whose weight a listed class, id or role (``KINDS``) lowers to 0 or less; the others form blocks at block-level tags.
-Names on html, body, main and article count for nothing.
+A linear scan (:func:`best_run`) finds the contiguous run with the largest sum: the content region. Inside it, two rules decide
+besides the weights: words in elements that hold no article text (``CLOSED``: nav, footer, aside, form, ...) are left out, and so
+are those whose weight a listed class, id or role (``KINDS``) lowers to 0 or less; the others form blocks at block-level tags.
+As such words are left out wherever they stand, a stretch of them costs ``BREAK`` at most, so that a long menu between two
+parts of an article does not part them. Names on html, body, main and article count for nothing, and the headings of
+an article's own header are text.
 
 The labelled pages are small hand-marked ones in :func:`labelled_pages`; others can be passed to :func:`fit`.
 
@@ -44,7 +47,11 @@ KINDS = {
 }
 KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 #: Elements whose places hold everything below them.
-CLOSED = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "header"])
+CLOSED = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "header", "lead"])
+#: What a stretch of words and tags that are left out in any case costs at most: about a dozen words of prose.
+BREAK = 25.0
+#: Headings that are text in a header of main or article ("lead"), whose other words neither count nor cost.
+TITLES = frozenset(["h1", "h2", "h3"])
 #: Elements that hold the article: their names say nothing against it.
 HOLDERS = frozenset(["html", "body", "main", "article"])
 
@@ -60,7 +67,7 @@ IMPLIED = {
     **dict.fromkeys(_ROW_GROUPS, (_CELLS | _ROW_GROUPS | {"tr"}, frozenset(("table",)))),
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)|([^<]+|<)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSERS = {s: re.compile(rf"</{s}\b[^>]*>", re.I) for s in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
@@ -123,8 +130,12 @@ def events(page: str):
                 base, _, named = place.partition("~")
                 if name in SILENT:
                     kind = "silent"
+                elif base == "lead" and name in TITLES:
+                    kind = name
+                elif name == "header" and base not in CLOSED and (opened["article"] or opened["main"]):
+                    kind = "lead"
                 elif base == "silent" or base.removesuffix("+a") in CLOSED:
-                    kind = place  # header inside an article included
+                    kind = place
                 else:
                     kind = name if name in TELLING else base
                     if kind == "a" and base:
@@ -144,7 +155,7 @@ class Weights:
         self.words, self.tags = words, tags
 
     def word(self, place: str) -> float:
-        if place == "silent":
+        if place in ("silent", "lead"):
             return 0.0
         place, _, named = place.partition("~")
         return self._of(place) + (min(0.0, self.words.get("~" + named, -2.0)) if named else 0.0)
@@ -208,13 +219,33 @@ def extract(page: str | None, weights: Weights) -> str:
     return text
 
 
+def best_run(scores: list[float]) -> tuple[int, int] | None:
+    """First and last place of the contiguous run with the largest sum (of equal ones the first that ends); None if no sum is above 0. One pass."""
+    best, span, total, start = 0.0, None, 0.0, 0
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, span = total, (start, i)
+    return span
+
+
 def _extract(found: list[tuple], weights: Weights) -> str:
     blocks: list[list] = []  # (text pieces), one for each run between block tags
     items: list[tuple[float, int]] = []  # score, block or -1 for a tag
-    open_block = False
+    open_block, left = False, BREAK  # what a stretch that is left out may still cost
+
+    def kept(place: str) -> bool:
+        return place.partition("~")[0].removesuffix("+a") not in CLOSED and ("~" not in place or weights.word(place) > 0)
+
     for kind, what, *rest in found:
         if kind == "tag":
-            items.append((weights.tag(what), -1))
+            score = weights.tag(what) if rest[-1] != "lead" else 0.0
+            if not kept(rest[-1]):
+                score = max(score, -left)
+                left += min(score, 0.0)
+            items.append((score, -1))
             if rest[0]:
                 open_block = False
             elif what == "br" and open_block:
@@ -229,20 +260,17 @@ def _extract(found: list[tuple], weights: Weights) -> str:
             open_block = True
         blocks[-1].append((what, place))
         if n:
-            items.append((n * weights.word(place), len(blocks) - 1))
-    best, best_span, total, start = 0.0, None, 0.0, 0
-    for i, (score, _) in enumerate(items):
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total > best:
-            best, best_span = total, (start, i)
-    if best_span is None:
+            score = n * weights.word(place)
+            if kept(place):
+                left = BREAK
+            else:
+                score = max(score, -left)
+                left += min(score, 0.0)
+            items.append((score, len(blocks) - 1))
+    span = best_run([score for score, _ in items])
+    if span is None:
         return ""
-    inside = {b for _, b in items[best_span[0] : best_span[1] + 1] if b >= 0}
-    def kept(place: str) -> bool:
-        return place.partition("~")[0].removesuffix("+a") not in CLOSED and ("~" not in place or weights.word(place) > 0)
-
+    inside = {b for _, b in items[span[0] : span[1] + 1] if b >= 0}
     out = []
     for b in sorted(inside):
         text = " ".join("".join(t for t, place in blocks[b] if kept(place)).split())
@@ -260,6 +288,9 @@ def labelled_pages() -> list[list[tuple[str, bool]]]:
         [("<html><head><title>Flood</title></head><body>" + nav + "<div class='ad'>Buy one now and save.</div>", False), ("<article><h1>River floods fields</h1>" + prose + more, True), ("</article><footer>Copyright The Paper. All rights reserved.</footer></body></html>", False)],
         [("<html><body><header><a href='/'>The Paper</a><form><input name='q'>Search the site</form></header>", False), ("<main><h1>River floods fields</h1>" + prose, True), ("</main><aside><h3>Most read</h3><ul><li><a href='/1'>Ten tips for rain</a></li><li><a href='/2'>Dams of the north</a></li></ul></aside><div class='comments'><p>Great piece, thanks!</p><p>I saw it too from my house.</p></div><footer><a href='/t'>Terms</a> <a href='/p'>Privacy</a></footer></body></html>", False)],
         [("<html><body><div id='menu'><a href='/'>Start</a><a href='/a'>Archive</a></div><div class='cookie-notice'>We use cookies to improve your visit.</div><div id='body'><div>", False), ("<p>Short news from the valley today, with more to come later in the week.</p>" + prose, True), ("</div></div><div class='sidebar'><div>Weather: rain, later dry</div><div><a href='/w'>Full forecast</a></div></div><div class='share'><a href='#'>Share this</a></div></body></html>", False)],
+        [("<html><body><div id='top'><p><a href='/'>Kitchen Notes</a></p><ul><li><a href='/r'>Recipes</a></li><li><a href='/t'>Tools</a></li></ul></div>", False), ("<article><header><h1>Bread without kneading</h1></header><p>Mix flour, water and salt in a bowl and leave it under a cloth until the next day.</p><ol><li>Heat the pot for half an hour.</li><li>Turn the dough into it and bake with the lid on.</li></ol><p>It keeps for three days if you wrap it in linen, and toasts well after that.</p></article>", True), ("<div class='related'><h3>You may also like</h3><p><a href='/1'>Soda bread</a> <a href='/2'>Rye in a tin</a></p></div><div class='newsletter'><p>One letter a month, no more. Leave your address below.</p></div><footer><p>All recipes tested twice.</p></footer></body></html>", False)],
+        [("<html><body><div class='navbar'><span><a href='/'>Docs</a></span><span><a href='/api'>Reference</a></span></div>", False), ("<main><h1>Installing the client</h1><p>The client needs a recent runtime and about ten megabytes of disk.</p><pre>install client\nclient init</pre><dl><dt>port</dt><dd>Where the service listens; any free one will do.</dd><dt>log</dt><dd>A file that the client may write to.</dd></dl><figure><img src='a.png'><figcaption>The first screen after a fresh start</figcaption></figure></main>", True), ("<nav><a href='/p'>Previous</a><a href='/n'>Next</a></nav><div id='cookie-banner'><p>This site keeps a cookie to remember your theme.</p></div><footer><ul><li><a href='/l'>License</a></li><li><a href='/c'>Contact</a></li></ul></footer></body></html>", False)],
+        [("<html><body><header><h2>City Forum</h2><p>Talk of the town since long ago</p></header><div class='breadcrumb'><a href='/'>Home</a> <a href='/f'>Transport</a></div>", False), ("<div class='post'><h2>Night buses to the harbour</h2><p>From next month two lines will run to the harbour after midnight, the council said on Tuesday.</p><p>Tickets cost the same as by day. Whoever has a pass rides for free, and dogs do too.</p></div>", True), ("<div class='ads'><p>Bikes from ninety nine, only this week!</p></div><section class='replies'><h3>Two replies</h3><p>About time, thank you.</p><p>And what of the hill?</p></section><aside><p>Members online: twelve</p></aside><footer>Rules and privacy</footer></body></html>", False)],
         [("<html><body><table><tr><td><a href='/'>Index</a></td><td><a href='/x'>Contact</a></td></tr></table>", False), ("<section><h1>Notes</h1>" + prose + more + "<table><tr><td>Gauge at noon</td><td>three metres</td></tr></table></section>", True), ("<div class='promo'><p>Sign up for our letter and never miss a story.</p></div><form><label>Your name</label></form><footer><p>Made by hand since the year one.</p></footer></body></html>", False)],
     ]
 

@@ -1,14 +1,14 @@
 """Line dedup: lines that many documents share stay in one of them.
 
 Lines are cut at ``\\n``; a line's key is the line without white space at both ends, A-Z lower-cased.
-Keys go through the plan as 128-bit hashes, so no text is shuffled: each document's hashes are made distinct,
+Keys go through the plan as 128-bit hashes: each document's hashes are made distinct,
 an aggregation counts the documents of each hash (partial sums before the exchange, safe for hot lines), a join returns the frequent hashes to the
-positions that hold them, and each text is put together again from its positions.
+positions that hold them. A second join brings each document its positions, which moves the texts once; they are put together again from their lines.
 
 Defined cases: null or empty text is one empty line, which is never dropped; a key repeated inside one
 document counts once; rows that repeat a doc_id are one document for the count, and all of them
-keep the line if that doc_id is the largest; an empty table gives an empty result; other columns are
-carried along untouched by :func:`dedup_lines`.
+keep the line if that doc_id is the largest; rows without doc_id count for no line and lose none; an empty table gives an
+empty result; other columns are carried along untouched by :func:`dedup_lines`, but for those named n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, stored, table
+from .common import WS_CHARS, ascii_lower, numbered, stored, table
 
 
 def _raw() -> Column:
@@ -33,6 +33,7 @@ def _hashes(key: str) -> tuple[Column, Column]:
 
 def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, text_hash, pos): lines to drop. A key of ``min_chars`` code points in ``min_docs`` documents stays in the largest doc_id."""
+    docs = docs.where("doc_id is not null")
     lines = docs.select("doc_id", F.xxhash64(_raw()).alias("text_hash"), F.posexplode(_keys()).alias("pos", "key")).where(F.length("key") >= min_chars).select("doc_id", "text_hash", "pos", *_hashes("key"))
     per_doc = docs.select("doc_id", F.explode(F.array_distinct(F.filter(_keys(), lambda k: F.length(k) >= min_chars))).alias("key")).select("doc_id", *_hashes("key"))
     # written first: then both sides of the join are exchanged by themselves, and Spark can split a hot key's partition
@@ -42,12 +43,14 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with the shared lines gone from ``text``, and ``n_lines`` (before) and ``n_dropped`` added."""
-    drops = dropped_positions(docs, min_chars, min_docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_drops"))
-    lines = F.split(_raw(), "\n")
-    joined = docs.join(drops, (docs["doc_id"] == drops["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == drops["_hash"]), "left").drop("_id", "_hash").withColumn("_lines", lines).withColumn("n_lines", F.size("_lines").cast("long"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
-    text = F.when(F.col("_drops").isNull(), _raw()).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return joined.withColumn("text", text).withColumn("n_dropped", F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long")).drop("_lines", "_drops")
+    drops = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
+    own, back = numbered(docs, ("text", "n_lines", "n_dropped"))
+    rows = docs.select(*own, "doc_id", "text", F.xxhash64(_raw()).alias("text_hash"))
+    joined = rows.join(drops, ["doc_id", "text_hash"], "left").withColumn("lines", F.split(_raw(), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    text = F.when(F.col("drops").isNull(), _raw()).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    out = joined.select(*(c for c in joined.columns if c.startswith("_")), text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"))
+    return out.select(*back, "text", "n_lines", "n_dropped").select(*(f"`{c}`" for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

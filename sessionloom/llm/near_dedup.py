@@ -4,7 +4,7 @@ Each permutation gives two values, the smallest and the largest hash of a docume
 hash evaluation serves both and the signature's estimate has less variance. Signatures are cut into bands
 of ``ROWS`` values; documents that agree on a band share a bucket.
 
-1. Documents with the same shingle set are one class; its smallest doc_id stands for it.
+1. Documents with the same shingle set are one class, named by its first hash; its smallest doc_id stands for it.
 2. In each bucket every member is paired with the bucket's smallest member (a star, not all pairs). Pairs
    are confirmed on the full shingle sets, confirmed links give connected components.
 3. Buckets that still hold several components are compared whole. Their members are gathered by the bucket's main
@@ -17,15 +17,16 @@ has an end outside the main component. A pair at similarity 0.8 shares no bucket
 (1 - 0.8^4)^32 < 1e-7; the signature filter of step 3 lies more than five standard deviations below the threshold.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words
-than a shingle is one shingle; rows that repeat a doc_id are one document if their texts agree (both rows
-are returned); an empty table gives an empty result; other columns are not read.
+than a shingle is one shingle; rows that repeat a doc_id are each judged by their own text, and where one of them is linked to
+a smaller doc_id only that row is not kept; rows without doc_id are linked with nothing, have no component and are
+kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, ship, stored, table
@@ -47,6 +48,17 @@ def shingle_sets(texts: list[bytes], words: int):
             yield np.unique(ngrams(hashes[a:b], min(words, b - a))) if b > a else np.zeros(0, np.uint64)
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[np.int64, np.int64]:
+    """128 bits of a shingle set."""
+    with np.errstate(over="ignore"):
+        return mix(shingles).sum(dtype=np.uint64).view(np.int64), mix(shingles ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)
+
+
+def text_hash(text: Column) -> Column:
+    """Which text a row has, among rows that repeat a doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """uint32 values: minimum and maximum of each permutation in turn."""
     low, high = np.full(PERMUTATIONS, 2**32 - 1, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
@@ -58,7 +70,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (128-bit hash of the shingle set), sig (binary), bands (array<long>)."""
+    """doc_id, text_hash, n_shingles, h1 and h2 (128-bit hash of the shingle set), sig (binary), bands (array<long>)."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -69,23 +81,24 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 n, h1, h2, sig, bands = [], [], [], [], []
                 for s in shingle_sets(texts_of(b.column("text")), words):
                     n.append(len(s))
+                    pair = set_hashes(s)
+                    h1.append(int(pair[0]))
+                    h2.append(int(pair[1]))
                     with np.errstate(over="ignore"):
-                        h1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                        h2.append(int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
                         x = signature(s) if len(s) else np.zeros(2 * PERMUTATIONS, np.uint32)
                         rows, key = x.reshape(BANDS, ROWS).astype(np.uint64), band_seed.copy()
                         for k in range(ROWS):
                             key = mix(key * np.uint64(31) + rows[:, k])
                     sig.append(x.tobytes())
                     bands.append(key.view(np.int64) if len(s) else np.zeros(0, np.int64))
-                arrays = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "h1", "h2", "sig", "bands"])
+                arrays = [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig", "bands"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_hash(docs["text"]).alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its whole shingle set (array<long>)."""
+    """node (first hash of the set) and its whole shingle set (array<long>)."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -93,14 +106,15 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 sets = [s.view(np.int64) for s in shingle_sets(texts_of(b.column("text")), words)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                nodes = [int(set_hashes(s.view(np.uint64))[0]) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     size_ok = (100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
     return pairs.join(left, "a").join(right, "b").where(size_ok & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b")
@@ -158,16 +172,18 @@ def _cross_links(blocks: DataFrame, percent: int, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+    """One row a document: doc_id, n_shingles, component_id, kept, text_hash (of :func:`text_hash`)."""
     docs = docs.select("doc_id", "text")
     feats = stored(features(docs, words))
-    classes = stored(feats.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    reps = feats.join(classes, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["rep"])
+    classes = stored(feats.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")))
+    # the class's first hash names it from here on: a doc_id may have several texts
+    reps = feats.join(classes, ["h1", "h2"]).where("doc_id = first").dropDuplicates(["h1"]).withColumn("rep", F.col("h1"))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1")
     members = stored(banded.join(buckets.select("band", "center"), "band"))
     near = stored(members.select("rep").distinct())
-    sets = stored(sets_of(docs.join(near.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
+    first = classes.join(near, classes["h1"] == near["rep"], "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    sets = stored(sets_of(docs.join(first, "doc_id", "left_semi"), words).join(near.withColumnRenamed("rep", "node"), "node", "left_semi").dropDuplicates(["node"]))
     links = stored(confirmed(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent))
     comps = connected(links, "a", "b")
     # buckets with several components: what shares a bucket with a main component meets that component and all else that does
@@ -176,7 +192,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1 and size > 2").select("band", F.col("top.comp").alias("main"))
     mixed = stored(labelled.join(main, "band").select("main", "rep", "comp").distinct())
     parts = mixed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    full = mixed.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    full = mixed.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("node", "rep"), "rep")
     full = stored(full.select("main", "part", "rep", "comp", "sig", "shingles"))
     packed = lambda df, part, m: df.groupBy("main", F.col("part").alias(part)).agg(F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias(m))
     outside = full.where("comp <> main")
@@ -185,14 +201,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     blocks = pairs.join(packed(outside, "part", "m"), ["main", "part"]).join(packed(full, "part2", "m2"), ["main", "part2"]).select("m", "m2")
     more = stored(_cross_links(blocks, percent, LEAST_AGREEMENT))
     comps = connected(links.unionByName(more), "a", "b")
-    of_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    linked = stored(classes.join(comps, classes["h1"] == comps["node"]).select("h1", "h2", "component", "first"))
+    smallest = linked.groupBy("component").agg(F.min("first").alias("least"))
+    of_class = classes.join(linked.join(smallest, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("least"))
+    out = feats.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("text_hash")
 
 
 SQL = r"""

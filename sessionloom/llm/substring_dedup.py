@@ -23,8 +23,8 @@ a smaller doc_id; each word that a repeated window covers is removed.
 Words are compared as 64-bit hashes, segments as 128-bit hashes.
 
 Defined cases: null and empty texts have no words; documents of fewer than 50 words lose nothing; a passage
-repeated inside one document only is kept; rows that repeat a doc_id never remove each other, and the intervals of all
-of them hold for each; an empty table gives an empty result; other columns are not read.
+repeated inside one document only is kept; rows that repeat a doc_id never remove each other, and each loses what is
+repeated in its own text; rows without doc_id neither lose words nor make others lose any; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -91,18 +91,23 @@ def segments(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram
     return owner[starts], starts - offsets[owner[starts]], counts, grams[at[starts]].view(np.int64), h1.view(np.int64), h2.view(np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text; both together tell rows apart that repeat a doc_id."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+
+
 def segment_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n (windows), mini, h1, h2 of each segment of each document."""
+    """doc_id, text_hash, start, n (windows), mini, h1, h2 of each segment of each document."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            ids, own = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             for first, hashes, offsets in batch_words(texts_of(batch.column("text"))):
                 text, start, n, mini, h1, h2 = segments(hashes, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first + text] if len(text) else text, start.astype(np.int32), n.astype(np.int32), mini, h1, h2)], names=["doc_id", "start", "n", "mini", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first + text], own[first + text], start.astype(np.int32), n.astype(np.int32), mini, h1, h2)], names=["doc_id", "text_hash", "start", "n", "mini", "h1", "h2"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, start int, n int, mini long, h1 long, h2 long")
+    return keyed(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, start int, n int, mini long, h1 long, h2 long")
 
 
 class FMIndex:
@@ -213,7 +218,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (rep, start, n, mini, h1, h2) with the words of each segment as binary."""
+    """``wanted`` (rep, text_hash, start, n, mini, h1, h2) with the words of each segment as binary."""
 
     def run(batches):
         for batch in batches:
@@ -232,8 +237,8 @@ def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                 out["words"].append(piece.tobytes())
                 yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("rep", "mini", "h1", "h2")), pa.array(out["words"], pa.binary())], names=list(out))
 
-    lists = wanted.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("rep", "start", "n", "mini", "h1", "h2")).alias("wanted"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(lists, "doc_id").select("text", "wanted")
+    lists = wanted.groupBy(F.col("rep").alias("doc_id"), "text_hash").agg(F.collect_list(F.struct("rep", "start", "n", "mini", "h1", "h2")).alias("wanted"))
+    rows = keyed(docs).join(lists, ["doc_id", "text_hash"]).select("text", "wanted")
     return rows.mapInArrow(run, "rep long, mini long, h1 long, h2 long, words binary").dropDuplicates(["mini", "h1", "h2"])
 
 
@@ -341,18 +346,18 @@ def _class_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs): the runs (start, n) of repeated windows of each document that has any."""
+    """(doc_id, text_hash, runs): the runs (start, n) of repeated windows of each document that has any."""
     segs = stored(segment_rows(docs))
     key = ["mini", "h1", "h2"]
-    classes = stored(segs.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("start"), F.first("n").alias("n")))
+    classes = stored(segs.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "text_hash", "start")).alias("at"), F.first("n").alias("n")).select(*key, "rep", "last", "n", "at.text_hash", "at.start"))
     several = stored(classes.groupBy("mini").agg(F.count("*").alias("classes"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("classes > 1 and lo < hi").select("mini", (F.col("classes") > HOT_CLASSES).alias("hot")))
-    wanted = stored(classes.join(several, "mini").select("rep", "start", "n", *key, "hot"))
+    wanted = stored(classes.join(several, "mini").select("rep", "text_hash", "start", "n", *key, "hot"))
     found = _class_runs(docs, wanted)
     touched = stored(classes.join(found, key, "left").where("last > rep or runs is not null").select(*key, "rep", "runs"))
     whole = F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len")))
     of_doc = F.when(F.col("doc_id") > F.col("rep"), whole).otherwise(F.col("runs"))
-    hits = segs.join(touched, key).select("doc_id", F.explode(F.transform(of_doc, lambda r: F.struct((F.col("start") + r["off"]).alias("start"), r["len"].alias("n")))).alias("run"))
-    return hits.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    hits = segs.join(touched, key).select("doc_id", "text_hash", F.explode(F.transform(of_doc, lambda r: F.struct((F.col("start") + r["off"]).alias("start"), r["len"].alias("n")))).alias("run"))
+    return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("run").alias("runs"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -377,7 +382,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    rows = keyed(docs).join(found, ["doc_id", "text_hash"], "left")
     return rows.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
 

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
+from sessionloom.llm import common
 from sessionloom.llm import words as word_hashes
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -248,6 +249,40 @@ def test_html(spark):
     assert got[:3] == [(1, 0), (2, 0), (3, 0)] and got[3] == got[4] and got[3][1] > 80
 
 
+def test_html_best_run_against_all_runs():
+    rng = random.Random(5)
+    for _ in range(400):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 2.0]) for _ in range(rng.randint(0, 14))]
+        sums = {(a, b): sum(scores[a : b + 1]) for a in range(len(scores)) for b in range(a, len(scores))}
+        got = html_extract.best_run(scores)
+        if got is None:
+            assert max(sums.values(), default=0) <= 0
+        else:
+            assert sums[got] == max(sums.values()) > 0
+
+
+PROSE = ("The river rose in the night and the lower fields were under water by dawn, said the keeper of the lock.", "Engineers will look at the dam on Monday and the road stays shut until they have come to a view of it.")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><header><h1>Flood</h1><p>By A. Writer</p></header><p>{0}</p></article>", "Flood\n{0}"),
+        ("<header><h1>The Paper</h1></header><article><p>{0}</p></article>", "{0}"),
+        ("<div class='article-header'><h1>Flood</h1></div><p>{0}</p>", "Flood\n{0}"),
+        ("<div><p>{0}</p></div><nav><ul>" + "<li><a href='/x'>Some other page of ours</a></li>" * 80 + "</ul></nav><div><p>{1}</p></div>", "{0}\n{1}"),
+        ("<p title=it's>{0}</p>", "{0}"),
+        ("<p title='a > b' class=\"x\">{0}</p>", "{0}"),
+        ("<form id=f><p>x</p></form><div>" + "<div>" * 3000 + "<p>{0}</p>", "{0}"),
+        ("<p>{0}</p>" + "<p>{1}</p>" * 3000, "{0}" + "\n{1}" * 3000),
+    ],
+)
+def test_html_regions(page, want):
+    """An article's own title, parts around a menu, stray quotes, deep nesting and long pages."""
+    w = html_extract.fit(html_extract.labelled_pages())
+    assert html_extract.extract(f"<html><body>{page.format(*PROSE)}</body></html>", w) == want.format(*PROSE)
+
+
 def test_mixing(spark):
     sf = "/root/testdata/sf0.001"
     rows = mixing.op1_context_mixing(spark, sf).collect()
@@ -456,3 +491,190 @@ def test_line_dedup_counts_documents_not_rows(spark):
     ids, texts = [1, 1, 2, 3, 4, 5], [f"x\n{line}", f"y\n{line}", line, *[line + " twice over"] * 3]
     got = sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(frame(spark, texts, ids)).collect())
     assert got == [(1, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 0)]
+
+
+def odd_frame(spark, rows):
+    """(doc_id, text) with columns that the modules use themselves."""
+    out = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_id", "_hash", "_lines", "_drops", "n_lines", "lines", "text_hash", "score", "_score", "kept", "rep", "digest", "salt", "block", "words", "_0"):
+        out = out.withColumn(name, F.lit("mine"))
+    return out
+
+
+ODD = [(None, None), (None, "one two three"), (1, ""), (2, "a b c d e f " * 30), (2, "other words that say nothing at all to anyone here"), (3, "a b c d e f " * 30), (3, "a b c d e f " * 30), (4, "z" * 100_000), (4, None)]
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    """Every operator returns one row a row, whatever the other columns are called."""
+    docs = odd_frame(spark, ODD)
+    for op in (line_dedup.dedup_lines, exact_dedup.dedup, near_dedup.near_duplicates, substring_dedup.remove_repeats, sharding.assign, bpe.digests):
+        assert op(docs).count() == len(ODD), op
+        assert op(docs.limit(0)).count() == 0, op
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_dropped"]
+    assert {r["_id"] for r in kept.collect()} == {"mine"}
+    bench = spark.createDataFrame([(1, "a b c d e f a b c d")], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), len(r["text"] or "")) for r in left.collect()) == [(0, 0), (0, 13), (1, 0), (4, 0), (4, 100_000)]
+    assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_exact_dedup_repeats_and_collisions(spark, monkeypatch):
+    """Repeated ids, rows without id, salted groups, and digests that several texts have."""
+    texts = ["a", " a", "b b", "bb ", None, "", "c", "cc"]
+    rows = [(i % 7 if i % 9 else None, texts[i % 8] if i % 5 else "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def brute():
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[WS.sub("", t or "")].append((-len(t or ""), i is None, i or 0))
+        best = {k: min(g) for k, g in groups.items()}
+        return sorted((i if i is not None else -1, best[k][2] if not best[k][1] else -1, len(groups[k]), hashlib.sha256(k.encode()).hexdigest()) for i, t in rows for k in [WS.sub("", t or "")])
+
+    def got():
+        return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["keep_id"] if r["keep_id"] is not None else -1, r["group_size"], r["text_sha256"]) for r in exact_dedup.dedup(docs).collect())
+
+    assert got() == brute()
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    assert got() == brute()
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.when(norm.isin("a", "bb"), F.lit("same")).otherwise(norm))
+    assert [x[:3] for x in got()] == [x[:3] for x in brute()]
+
+
+def test_exact_dedup_levels(spark):
+    """Compaction of runs and of levels made before gives the same entries as of all at once; the filter lets all of them through."""
+    docs = frame(spark, [f"t{i % 17}" for i in range(60)])
+    a, b = exact_dedup.flush(docs.where("doc_id < 25")), exact_dedup.flush(docs.where("doc_id >= 25"))
+    once, twice = exact_dedup.compact(a, b), exact_dedup.compact(exact_dedup.compact(a), b)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    few = once.where("size > 3")
+    passed = exact_dedup.with_pass(once, *exact_dedup.filter_of(few)).where("may")
+    assert passed.join(few, "digest", "left_semi").count() == few.count() and passed.count() < once.count()
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Rows that share a doc_id are judged by their own text."""
+    rng = random.Random(9)
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, a)], "doc_id long, text string")
+    gone = {(r["doc_id"], r["text"]): r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert gone == {(1, a): 0, (2, ""): 60, (2, b): 0, (None, a): 0}
+    near = sorted(((r["doc_id"] or 0), r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert near == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True)]
+    lines = spark.createDataFrame([(1, a), (2, a), (3, a), (3, b), (None, a)], "doc_id long, text string")
+    assert sorted(((r["doc_id"] or 0), r["n_dropped"]) for r in line_dedup.dedup_lines(lines).collect()) == [(0, 0), (1, 1), (2, 1), (3, 0), (3, 0)]
+
+
+def test_near_dedup_links_of_repeated_ids(spark):
+    """Both texts of a repeated doc_id keep their links."""
+    rng = random.Random(10)
+    a, b = ([f"w{rng.randrange(9000)}" for _ in range(100)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join([*a, "more"])), (7, " ".join([*b, "more"])), (8, "something else entirely, of few words")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in ((5, 96), (6, 97), (7, 97))] == [5, 5, 5]
+
+
+def test_quality_odd_rows(spark):
+    """Labels that disagree, repeated rows, rows without id, empty tables."""
+    docs = spark.createDataFrame([(i, f"good text number {i} with words") for i in range(0, 40)] + [(i, "BUY!!! 1234 $$$ NOW") for i in range(40, 80)] + [(0, "another text"), (None, "x"), (None, None)], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(0, 0), (1, None), (999, 1)], "doc_id long, quality int")
+    one, two = (sorted(map(tuple, quality.with_scores(docs, quality.fit(docs, labels), "score").select("doc_id", "text", "score").na.fill(-1).na.fill("").collect())) for _ in range(2))
+    assert one == two and len(one) == 83
+    assert np.mean([s for i, t, s in one if t.startswith("good")]) > 0.8 > 0.2 > np.mean([s for i, t, s in one if t.startswith("BUY")])
+    assert quality.with_scores(docs.limit(0), quality.fit(docs, labels)).count() == 0
+
+
+def test_quality_against_full_sort():
+    """The vote of each text is that of its nearest neighbours by a full sort of all cosines."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "12", "!!", "é"], 12)).encode() for _ in range(90)]
+    rows = [quality.terms(t) for t in texts]
+    labels = rng.integers(0, 2, 90)
+    model = quality.Neighbours(np.stack([r[0] for r in rows]), np.array([r[1] for r in rows]), labels)
+    for t, got in zip(texts[:20], model.score(texts[:20], block=7), strict=True):
+        x = model.embed(np.stack([quality.terms(t)[0]]), np.array([quality.terms(t)[1]]))[0]
+        cosine = sorted(((float(v @ x), int(q)) for v, q in zip(model.vectors, labels, strict=True)), reverse=True)
+        weight = [max(c, 1e-6) ** quality.SHARPNESS for c, _ in cosine]
+        edge = cosine[quality.NEIGHBOURS - 1][0]
+        if cosine[quality.NEIGHBOURS][0] < edge - 1e-5:  # no tie at the edge
+            k = quality.NEIGHBOURS
+            assert got == pytest.approx(sum(w * q for w, (_, q) in zip(weight[:k], cosine[:k], strict=True)) / sum(weight[:k]), abs=1e-4)
+
+
+def test_sharding_against_drawn_tree(spark):
+    """Every row's shard by descending the tree outside Spark, rows without doc_id and repeated rows included."""
+    import struct
+
+    xxhash = pytest.importorskip("xxhash")
+
+    def draw(key, children):
+        costs = []
+        for name, weight, value in children:
+            seed = xxhash.xxh64_intdigest(name.encode(), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), seed) if key is not None else seed
+            costs.append((-math.log(((h >> 11) + 1.0) / 2**53) / weight, value))
+        return min(costs)[1] if len(children) > 1 else children[0][2]
+
+    def shard(key, shape):
+        region = draw(key, [(r, sum(map(len, racks.values())), r) for r, racks in shape.items()])
+        rack = draw(key, [(k, len(s), k) for k, s in shape[region].items()])
+        return draw(key, [(f"{rack}s{s}", 1, s) for s in shape[region][rack]])
+
+    docs = spark.createDataFrame([(i, "t") for i in [*range(300), 5, 5]] + [(None, None)], "doc_id long, text string")
+    rows = sharding.assign(docs).collect()
+    assert len(rows) == 303
+    for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (shard(r["doc_id"], sharding.tree(16)), shard(r["doc_id"], sharding.tree(16, extra=1)))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
+def test_discard(spark):
+    import os
+
+    df = common.stored(spark.range(3))
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder)
+    common.discard(df)
+    assert not os.path.exists(folder)
+
+
+def test_pipeline_against_brute_force(spark, monkeypatch):
+    """Rows, not counts, of all stages on a small corpus with odd rows and columns."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    shared = "this line stands in many documents of the corpus"
+    base = rng.choices(vocab, k=80)
+    item = rng.choices(vocab, k=20)
+    texts = {1: " ".join(base), 2: " ".join([*base, "tail"]), 3: f"{shared}\n" + " ".join(rng.choices(vocab, k=50)), 4: f"{shared}\n" + " ".join(rng.choices(vocab, k=50)), 5: f"{shared}\n" + " ".join(rng.choices(vocab, k=50)), 6: "x y " + " ".join(item) + " z", 7: "BAD", 8: "", None: "no id"}
+    docs = odd_frame(spark, list(texts.items()))
+    monkeypatch.setattr(quality, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(quality, "with_scores", lambda docs, model, name: docs.withColumn(name, F.when(F.col("text") == "BAD", 0.1).otherwise(0.9)))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    monkeypatch.setattr(cp, "table", lambda spark, sf_dir, name: {"documents": docs, "benchmark": bench}.get(name))
+    columns, at = docs.columns, docs
+    for name, stage in cp.STAGES[:-1]:
+        at = cp.stored(stage(spark, at, ""))
+        assert at.columns == columns, name
+        assert {r["_id"] for r in at.collect()} == {"mine"} and {r["n_lines"] for r in at.collect()} == {"mine"}
+    want = {1: texts[1], 3: texts[3].split("\n")[1], 4: texts[4].split("\n")[1], 5: texts[5], 8: "", None: "no id"}
+    assert {r["doc_id"]: r["text"] for r in at.collect()} == want
+    assert {r["doc_id"]: r["decoded_sha256"] for r in cp.run(spark, "").collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
