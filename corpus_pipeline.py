@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before it kept, and returns a
 DataFrame; all but the last return the columns of documents. A stage's rows are written to the shared
 folder before the next one reads them, so a lost executor repeats tasks of one stage at most.
+
+Defined cases: null texts count as empty; rows without doc_id go through the stages that look at a text by itself (quality,
+encoding) and stay in the others; rows that repeat a doc_id are judged each by its own text, but by benchmark
+text together; columns of any name are carried along; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -11,24 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from sessionloom.llm.common import stored, table
+from sessionloom.llm.common import free_name, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.5 or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model, "_score").where("_score >= 0.5").select(docs.columns)
+    score = free_name(docs.columns, "score")
+    return quality.with_scores(docs, model, score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that it shares with two or more others (the largest doc_id keeps them)."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    aside = {c: free_name(docs.columns, c) for c in ("n_lines", "n_dropped") if c in docs.columns}
+    cut = line_dedup.dedup_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped").withColumnsRenamed({b: a for a, b in aside.items()})
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"), "text_hash").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (near_dedup.text_hash(docs["text"]) == gone["text_hash"]), "left_anti")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
