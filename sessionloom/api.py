@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions import predicates as P
 from sessionloom.functions import text as T
 from sessionloom.functions import vectors as V
-from sessionloom.operators import chunking, maintenance, memory, relational, report, search
+from sessionloom.operators import chunking, maintenance, memory, relational, report, search, tools
 from sessionloom.operators.extract import facts
-from sessionloom.sources import session_logs
+from sessionloom.sources import files, session_logs
 from sessionloom.sources.store import Tables
 
 
+FACTS = ("decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns")
+
+
 class Engine:
     """``now`` (epoch milliseconds) is given to calls that depend on time, so results are repeatable."""
 
@@ -21,40 +26,156 @@ class Engine:
         self.spark, self.tables = spark, Tables(spark, root)
 
     # indexing
-    def index(self, project: str, folders: list[str], now: int, since_ms: int | None = None, rollouts: bool = False, skip_servers: list[str] | None = None) -> dict[str, int]:
-        """Parse logs, upsert entities, extract facts and embeddings; rows by table."""
+    def index(self, project: str, folders: list[str], now: int, since_ms: int | None = None, rollouts: bool = False, skip_servers: list[str] | None = None, repo: str | None = None) -> dict[str, int]:
+        """Parse logs, upsert entities, extract all facts, embed messages and chunks, link commits of ``repo``; rows by table, and messages left out.
+
+        A project that has an alias goes on under its canonical path. Facts are made of the messages of conversations that this run has read.
+        """
+        project = self.canonical(project)
         lines = session_logs.read_lines(self.spark, folders, "rollout-*.jsonl" if rollouts else "*.jsonl", since_ms, rollouts)
         parsed = session_logs.parse_rollouts(lines, now) if rollouts else session_logs.parse(lines, project, now)
         if skip_servers is not None:
             parsed = session_logs.without_servers(parsed, skip_servers or None)
-        for name in ("conversations", "messages", "tool_uses", "tool_results", "thinking_blocks", "file_edits"):
+        self.tables.upsert("conversations", parsed["conversations"])
+        skipped = self.tables.upsert_messages(parsed["messages"])
+        for name in ("tool_uses", "tool_results", "thinking_blocks", "file_edits"):
             if name in parsed:
                 self.tables.upsert(name, parsed[name])
-        m = self.tables.read("messages").withColumnRenamed("id", "message_id")
-        thinking = self.tables.read("thinking_blocks")
-        self.tables.upsert("decisions", facts.decisions(m, thinking))
-        self.tables.upsert("requirements", facts.requirements(m), ["id"])
-        self.tables.upsert("embeddings", m.select("message_id", V.hashed_embedding(T.tokens("content")).alias("embedding")), ["message_id"])
-        return {n: self.tables.read(n).count() for n in ("conversations", "messages", "tool_uses", "tool_results", "decisions", "requirements")}
+        self._facts(parsed["conversations"].select(F.col("id").alias("conversation_id")))
+        if repo:
+            self.link_commits(repo)
+        names = ("conversations", "messages", "tool_uses", "tool_results", *FACTS)
+        return {**{n: self.tables.read(n).count() for n in names}, "skipped_messages": skipped}
+
+    def index_all(self, projects: dict[str, list[str]], now: int, rollout_folders: list[str] | None = None, since_ms: int | None = None) -> dict[str, dict[str, int]]:
+        """Every project of both dialects (index_all_projects); rows by project."""
+        out = {p: self.index(p, folders, now, since_ms) for p, folders in projects.items()}
+        if rollout_folders:
+            out["rollouts"] = self.index("", rollout_folders, now, since_ms, rollouts=True)
+        return out
+
+    def _facts(self, ids: DataFrame) -> None:
+        t = self.tables
+        own = t.read("messages").join(ids, "conversation_id", "left_semi")
+        m = own.withColumnRenamed("id", "message_id")
+        of = lambda name: t.read(name).join(m.select("message_id"), "message_id", "left_semi")
+        uses, results = of("tool_uses"), of("tool_results")
+        t.upsert("decisions", facts.decisions(m, of("thinking_blocks")))
+        t.upsert("mistakes", facts.mistakes(m, results))
+        t.upsert("requirements", facts.requirements(m))
+        runs = uses.select("id", "message_id", "timestamp", F.get_json_object("tool_input", "$.command").alias("command"))
+        checked = facts.validations(runs.select("id", "command"), results.select("tool_use_id", "is_error", "content"))
+        t.upsert("validations", checked.join(runs.select("id", "message_id", "timestamp"), "id").join(m.select("message_id", "conversation_id"), "message_id"))
+        keyed = lambda df, kind, *parts: df.withColumn("id", facts.fact_id(kind, *parts))
+        found = keyed(facts.findings(m, uses), "finding", "message_id", F.lower("discovery"))
+        solved = keyed(facts.solutions(m, uses), "solution", "message_id", F.lower("solution_summary"))
+        at = m.select("message_id", "timestamp")
+        t.upsert("research_findings", found.join(at, "message_id"))
+        t.upsert("solution_patterns", solved.join(at, "message_id"))
+        ways = keyed(tools.methodologies(m, uses, results), "methodology", "start_message_id")
+        t.upsert("methodologies", ways.join(at.withColumnRenamed("message_id", "start_message_id"), "start_message_id"))
+        parts = chunking.chunks(own, "id", "content").withColumn("embedding", V.hashed_embedding(T.tokens("content")))
+        parts = parts.withColumn("id", F.concat_ws("_", "message_id", F.col("chunk_index").cast("string")))
+        t.upsert("chunk_embeddings", parts)
+        # the first chunk is the message's own vector
+        t.upsert("embeddings", parts.where("chunk_index = 0").select("message_id", "embedding"))
+
+    def link_commits(self, repo: str, days: int | None = None) -> int:
+        """Commits of a repository with the conversation that they belong to; how many are linked (link_commits)."""
+        commits = files.git_commits(self.spark, repo, days).select(F.col("hash").alias("commit_id"), "timestamp", F.col("files_changed").alias("files"), "branch", "message", "author")
+        edits = self.tables.read("file_edits")
+        root = repo.rstrip("/") + "/"
+        changed = edits.groupBy("conversation_id").agg(F.array_sort(F.collect_set(F.when(F.col("file_path").startswith(root), F.expr(f"substring(file_path, {len(root) + 1})")).otherwise(F.col("file_path")))).alias("files"))
+        said = self.tables.read("decisions").where("context is not null").groupBy("conversation_id").agg(F.array_sort(F.collect_set("context")).alias("keywords"))
+        none = F.array().cast("array<string>")
+        c = self.tables.read("conversations").select(F.col("id").alias("conversation_id"), F.col("first_message_at").alias("first_at"), F.col("last_message_at").alias("last_at"), F.col("git_branch").alias("branch"))
+        c = c.join(changed, "conversation_id", "left").join(said, "conversation_id", "left").withColumns({"files": F.coalesce("files", none), "keywords": F.coalesce("keywords", none)}).withColumnRenamed("conversation_id", "conv_id")
+        best = relational.link_commits(commits.drop("author"), c)
+        rows = commits.join(best, "commit_id", "left").select(F.col("commit_id").alias("hash"), "message", "author", "timestamp", "branch", F.col("files").alias("files_changed"), F.col("conv_id").alias("conversation_id"), "confidence")
+        self.tables.upsert("git_commits", rows)
+        return self.tables.read("git_commits").where("conversation_id is not null").count()
+
+    def canonical(self, project: str) -> str:
+        """The path that a project's rows are under: its own if it has rows or no alias, else its alias's (SNK-1, JN-19)."""
+        aliases, known = self.tables.read("project_aliases"), self.tables.read("conversations")
+        if aliases is None or (known is not None and not known.where(F.col("project_path") == project).isEmpty()):
+            return project
+        found = aliases.where(F.col("alias_path") == project).orderBy("canonical_path").first()
+        return found["canonical_path"] if found else project
 
     # search
-    def search(self, query: str, limit: int = 10, where=None, expand: bool = False) -> DataFrame:
-        """Messages by vector and full text, fused by rank, with snippets; filters come before any cut."""
+    def search(self, query: str, limit: int = 10, where=None, expand: bool = False, by_session: bool = False) -> DataFrame:
+        """Messages by vectors of chunks and messages and by full text, fused by rank, with snippets; filters come before any cut (HYB-4).
+
+        Chunk hits make message hits, which replace them where they are better; near repeats go before ranks are given.
+        """
         m = self.tables.read("messages")
         m = m if where is None else m.where(where)
-        e = self.tables.read("embeddings").join(m.select(F.col("id").alias("message_id")), "message_id", "left_semi")
+        own = m.select(F.col("id").alias("message_id"))
         q = self.spark.createDataFrame([(query,)], "q string").select(V.hashed_embedding(T.tokens("q"))).first()[0]
-        v = search.ranked(search.knn(e, q, 3 * limit, id_col="message_id").select(F.col("message_id").alias("id"), "similarity"), "similarity", "id", 3 * limit)
+        near = lambda name, key: search.knn(self.tables.read(name).join(own, "message_id", "left_semi"), q, 5 * limit, id_col=key)
+        chunk_hits = search.chunks_to_messages(near("chunk_embeddings", "id"), 1e-6)
+        hits = search.merge_hits(chunk_hits, near("embeddings", "message_id").where("similarity > 0"), 3 * limit)
+        said = hits.join(m.select(F.col("id").alias("message_id"), "content"), "message_id").select(F.col("message_id").alias("id"), "similarity", "content")
+        v = search.ranked(search.without_near_repeats(said, 3 * limit).select("id", "similarity"), "similarity", "id", 3 * limit)
         match = F.lit(False)
         for text in chunking.expansions(query) if expand else [query]:
             match = match | search.match_all("content", text)
         t = search.ranked(m.where(match).select("id", "timestamp"), "timestamp", "id", 3 * limit)
         fused = search.reciprocal_rank_fusion(v, t, limit)
-        return fused.join(m, "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
+        out = fused.join(m, "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
+        return search.sessions_of(out.withColumnRenamed("score", "similarity"), limit) if by_session else out
+
+    def _found(self, name: str, columns: list[str], text: str | None, limit: int, *where) -> DataFrame:
+        """Facts with their source, by likeness of their text to ``text`` and by words of it, the likest first; without text the latest (VEC-5, JN-2, JN-3)."""
+        rows = self.tables.read(name).where(P.all_of(None, *where))
+        rows = relational.with_source(rows, self.tables.read("conversations"), self.tables.read("messages"))
+        if not text:
+            return rows.orderBy(F.desc("timestamp"), "id").limit(limit)
+        q = self.spark.createDataFrame([(text,)], "q string").select(V.hashed_embedding(T.tokens("q"))).first()[0]
+        said = F.concat_ws(" ", *columns)
+        scored = rows.withColumn("similarity", V.cosine_to(V.hashed_embedding(T.tokens(said)), q)).withColumn("_named", P.contains_any(columns, text) | search.match_all(said, text))
+        return scored.where(F.col("_named") | (F.col("similarity") > 0.3)).orderBy(F.desc("_named"), F.desc("similarity"), F.desc("timestamp"), "id").limit(limit).drop("_named")
 
     def decisions(self, text: str | None = None, limit: int = 20) -> DataFrame:
-        where = P.contains_any(["decision_text", "rationale"], text) if text else F.lit(True)
-        return self.tables.read("decisions").where(where).orderBy(F.desc("timestamp"), "id").limit(limit)
+        return self._found("decisions", ["decision_text", "rationale"], text, limit)
+
+    def mistakes(self, text: str | None = None, kind: str | None = None, limit: int = 10, conversation: str | None = None) -> DataFrame:
+        """search_mistakes."""
+        return self._found("mistakes", ["what_went_wrong", "correction"], text, limit, F.col("mistake_type") == kind if kind else None, F.col("conversation_id") == conversation if conversation else None)
+
+    def requirements(self, component: str, kind: str | None = None, limit: int = 50) -> DataFrame:
+        """get_requirements: those that touch a component or name it."""
+        r = self.tables.read("requirements").where(P.all_of({"type": kind}, F.array_contains("affects_components", component.lower()) | P.contains("description", component)))
+        return r.orderBy(F.desc("timestamp"), "id").limit(limit)
+
+    def validations(self, limit: int = 20) -> DataFrame:
+        return self.tables.read("validations").orderBy(F.desc("timestamp"), "id").limit(limit)
+
+    def facts(self, name: str, text: str | None = None, limit: int = 10) -> DataFrame:
+        """get_methodologies, get_research_findings, get_solution_patterns: by phrase prefix, else the latest."""
+        columns = {"methodologies": ["problem_statement", "approach"], "research_findings": ["topic", "discovery"], "solution_patterns": ["solution_summary", "problem_category"]}[name]
+        return tools.facts_matching(self.tables.read(name), text, columns, "timestamp", limit)
+
+    def recall_and_apply(self, query: str, file_path: str | None = None, since: int | None = None, until: int | None = None, limit: int = 5) -> tuple[DataFrame, list[str]]:
+        """(kind, id, timestamp, text) of messages, decisions, mistakes, file changes and commits for a task, ``limit`` of each, and what to do with them."""
+        row = lambda df, kind, key, text: df.where(P.all_of(None, P.between_ms("timestamp", since, until))).limit(limit).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "timestamp", text.alias("text"))
+        parts = [row(self.search(query, limit), "conversation", "id", F.col("snippet")), row(self.decisions(query, limit), "decision", "id", F.col("decision_text")), row(self.mistakes(query, limit=limit), "mistake", "id", F.col("what_went_wrong"))]
+        edits = self.tables.read("file_edits").withColumn("timestamp", F.col("snapshot_timestamp"))
+        edits = edits.where(P.contains("file_path", file_path or query))
+        parts.append(row(edits.orderBy(F.desc("timestamp"), "id"), "file_change", "id", F.col("file_path")))
+        if self.tables.read("git_commits") is not None:
+            parts.append(row(self.commits(query, limit), "commit", "hash", F.col("message")))
+        out = reduce(DataFrame.unionByName, parts)
+        n = {r["kind"]: r["count"] for r in out.groupBy("kind").count().collect()}
+        says = {"conversation": "Read the messages before starting.", "decision": "Keep to these decisions or say why not.", "mistake": "Check that these mistakes are not made again.", "file_change": "See how these files have changed.", "commit": "See what these commits did."}
+        return out, [f"{n[k]} {k.replace('_', ' ')}s: {text}" for k, text in says.items() if n.get(k)]
+
+    def commits(self, text: str | None = None, limit: int = 20, project: str | None = None) -> DataFrame:
+        """Commits with the conversation that they are linked to (JN-6)."""
+        c = self.tables.read("git_commits")
+        c = c.where(P.contains_any(["message", "hash"], text) | search.match_any("message", text)) if text else c
+        return relational.commits_with_talk(c, self.tables.read("conversations"), self.tables.read("messages"), project).orderBy(F.desc("timestamp"), "hash").limit(limit)
 
     def tool_history(self, **filters) -> DataFrame:
         return relational.tool_history(self.tables.read("tool_uses"), self.tables.read("tool_results"), **filters).orderBy(F.desc("timestamp"), "id")
@@ -62,9 +183,18 @@ class Engine:
     def sessions(self, limit: int = 20) -> DataFrame:
         return relational.session_previews(self.tables.read("conversations"), self.tables.read("messages")).orderBy(F.desc("last_message_at"), "id").limit(limit)
 
-    def file_timeline(self, path: str) -> DataFrame:
+    def file_timeline(self, path: str, decisions: bool = True, commits: bool = True) -> DataFrame:
+        """Edits of a file, and the decisions and commits that name it (get_file_evolution)."""
         e = self.tables.read("file_edits").where(F.lower("file_path") == path.lower())
-        return relational.timeline(e.select(F.lit("edit").alias("kind"), F.col("id").alias("ref"), F.col("snapshot_timestamp").alias("timestamp"), F.col("file_path").alias("detail")))
+        parts = [e.select(F.lit("edit").alias("kind"), F.col("id").alias("ref"), F.col("snapshot_timestamp").alias("timestamp"), F.col("file_path").alias("detail"))]
+        if decisions:
+            d = self.tables.read("decisions").where(P.contains("decision_text", path))
+            parts.append(d.select(F.lit("decision").alias("kind"), F.col("id").alias("ref"), "timestamp", F.col("decision_text").alias("detail")))
+        c = self.tables.read("git_commits") if commits else None
+        if c is not None:
+            hit = c.where(F.exists("files_changed", lambda f: (F.length(f) > 0) & F.lit(path.lower()).endswith(F.lower(f))))
+            parts.append(hit.select(F.lit("commit").alias("kind"), F.col("hash").alias("ref"), "timestamp", F.col("message").alias("detail")))
+        return relational.timeline(*parts)
 
     # memory
     def remember(self, items: DataFrame, now: int) -> None:
@@ -76,9 +206,45 @@ class Engine:
     def recall(self, now: int, **filters) -> DataFrame:
         return memory.recall(self.tables.read("working_memory"), now, **filters)
 
+    def resume(self, project: str, session: str, now: int, handoff_id: str | None = None, inject: bool = True) -> DataFrame | None:
+        """The latest hand-off of a project that is open, or the one of an id: marked as resumed, its memory put back (HND-2)."""
+        all_of = self.tables.read("session_handoffs")
+        if all_of is None:
+            return None
+        taken = self.spark.createDataFrame(memory.resume(all_of, project, handoff_id).collect(), all_of.schema)
+        if taken.isEmpty():
+            return None
+        self.tables.write("session_handoffs", memory.mark_resumed(all_of, taken, session, now))
+        old = self.tables.read("working_memory")
+        if inject and old is not None:
+            self.tables.write("working_memory", memory.injected(old, taken, now))
+        return taken
+
+    # upkeep
+    def maintain(self, now: int, days: int = 90) -> DataFrame:
+        """Archive stale items, drop expired ones and embeddings without a message, compact tables; the history of such runs (run_maintenance)."""
+        t, done = self.tables, []
+        items = t.read("working_memory")
+        if items is not None:
+            live = memory.sweep(items, now)
+            done.append(maintenance.log_row(self.spark, "sweep_expired", now, items.count() - live.count()))
+            t.write("working_memory", live)
+        for name in ("embeddings", "chunk_embeddings"):
+            e = t.read(name)
+            if e is not None:
+                kept = e.join(t.read("messages").select(F.col("id").alias("message_id")), "message_id", "left_semi")
+                done.append(maintenance.log_row(self.spark, f"cleanup_{name}", now, e.count() - kept.count()))
+                t.write(name, kept)
+        for name in ("messages", "tool_uses", "tool_results"):
+            if t.read(name) is not None:
+                t.compact(name)
+                done.append(maintenance.log_row(self.spark, f"compact_{name}", now, t.read(name).count()))
+        t.upsert("maintenance_log", reduce(DataFrame.unionByName, done))
+        return t.read("maintenance_log").orderBy(F.desc("at"), "id")
+
     def forget_topic(self, topic: str, backup: str | None = None, confirm: bool = False) -> dict[str, int]:
         """Conversations about a topic: counted, or backed up and deleted."""
-        ids = maintenance.about(self.tables.read("messages"), topic).select(F.col("conversation_id").alias("id"))
+        ids = maintenance.about(self.tables.read("messages"), topic).union(self.search(topic, 20).select("conversation_id")).distinct().select(F.col("conversation_id").alias("id"))
         n = ids.count()
         if confirm:
             kept = self.tables.backup(ids, backup) if backup else {}
@@ -88,5 +254,4 @@ class Engine:
 
     def report(self, project: str) -> str:
         e = self.tables.read("file_edits").withColumn("timestamp", F.col("snapshot_timestamp"))
-        talk = facts.error_talk(self.tables.read("messages").withColumnRenamed("id", "message_id"))
-        return report.project_report(project, self.tables.read("decisions"), talk, self.tables.read("requirements"), e)
+        return report.project_report(project, self.tables.read("decisions"), self.tables.read("mistakes"), self.tables.read("requirements"), e)

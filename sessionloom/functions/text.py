@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +47,23 @@ def preview(c, limit: int) -> Column:
 
 def tokens(c) -> Column:
     """Lower-case runs of letters and digits, marks stripped (FTS-6)."""
-    return F.filter(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(without_marks(F.lower(_col(c))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+# Letters with marks and the letters they fold to; combining marks fold to nothing.
+MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def folded(query: str) -> str:
+    """A query as :func:`tokens` folds texts."""
+    low = query.lower().translate(str.maketrans(MARKED, PLAIN))
+    return "".join(x for x in low if not unicodedata.combining(x))
+
+
+def without_marks(c: Column) -> Column:
+    """Letters without their diacritics; texts of ASCII alone are left as they are."""
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{M}+", ""))
 
 
 def word_set(c, longer_than: int = 2) -> Column:

@@ -56,18 +56,29 @@ def context_of(c) -> Column:
 
 def _fields(hit: Column) -> dict[str, Column]:
     lead = F.regexp_replace(hit, r"(?i)^(?:we|i|let's)\s+(?:decided|choose|chose|went with|picked|selected)\s+(?:to\s+)?", "")
-    rejected = hits(hit, r"(?:rejected|dismissed|avoided|didn't use)\s+(.+?)\s+(?:because|due to|since)\s+(.+?)(?:\.|\z)", 0)
+    rejected = hits(hit, REJECTED, 0)
     instead = group(hit, r"(?:instead of|over|rather than)\s+(.+?)(?:\s+because|\z)")
     considered = F.transform(F.split(F.coalesce(group(hit, r"considered\s+(.+?)(?:\s+but|\z)"), F.lit("")), ",|and"), lambda x: F.trim(x))
     return {
         "decision_text": F.trim(F.regexp_replace(lead, r"(?i)\s+(?:because|since|as|for|due to).+\z", "")),
         "rationale": group(hit, r"(?:because|since|as|for|due to)\s+(.+?)(?:\.|\z)"),
         "alternatives": F.filter(F.concat(F.array(instead), considered), lambda x: x.isNotNull() & (x != "")),
+        "rejected_reasons": F.map_from_entries(rejections(hit)),
         "n_rejected": F.size(rejected),
         "context": context_of(hit),
     }
 
 
+REJECTED = r"(?:rejected|dismissed|avoided|didn't use)\s+(.+?)\s+(?:because|due to|since)\s+(.+?)(?:\.|\z)"
+
+
+def rejections(hit: Column) -> Column:
+    """array<struct<key,value>>: what was rejected and why, the last reason of each (MAP-1, EXT-D4)."""
+    both = F.arrays_zip(F.transform(hits(hit, REJECTED, 1), lambda x: F.trim(x)).alias("key"), F.transform(hits(hit, REJECTED, 2), lambda x: F.trim(x)).alias("value"))
+    pairs = F.transform(both, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
+
+
 def decision_score(rationale="rationale", alternatives="alternatives", n_rejected="n_rejected", n_files="n_files", context="context", correction="is_correction") -> Column:
     """Importance of a decision (EXT-D5)."""
     return F.when(F.col(rationale).isNotNull(), 2).otherwise(0) + F.when(F.size(alternatives) > 0, 3).otherwise(0) + F.when(F.col(n_rejected) > 0, 3).otherwise(0) + F.when(F.col(n_files) > 0, 2).otherwise(0) + F.when(F.col(context).isNotNull(), 1).otherwise(0) + F.when(F.col(correction), 5).otherwise(0)
@@ -89,7 +100,7 @@ def decisions(messages: DataFrame, thinking: DataFrame | None = None, least: int
     plain = found.select(*keys, *[c.alias(n) for n, c in _fields(F.col("hit")).items()], F.lit(False).alias("is_correction"))
     blocks = talk.select(*keys, "whole", F.explode(hits("whole", R.DECISION_BLOCK)).alias("hit"))
     part = lambda n: F.when(F.trim(F.regexp_extract("hit", "(?i)" + R.DECISION_BLOCK, n)) != "", F.trim(F.regexp_extract("hit", "(?i)" + R.DECISION_BLOCK, n)))
-    structured = blocks.select(*keys, part(1).alias("decision_text"), part(2).alias("rationale"), F.filter(F.transform(F.split(F.coalesce(part(3), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("alternatives"), F.lit(0).alias("n_rejected"), context_of("whole").alias("context"), F.lit(False).alias("is_correction")).where("decision_text is not null")
+    structured = blocks.select(*keys, part(1).alias("decision_text"), part(2).alias("rationale"), F.filter(F.transform(F.split(F.coalesce(part(3), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("alternatives"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("rejected_reasons"), F.lit(0).alias("n_rejected"), context_of("whole").alias("context"), F.lit(False).alias("is_correction")).where("decision_text is not null")
     user = m.where("role = 'user'")
     which = F.coalesce(*[F.when(F.col("content").rlike("(?i)" + p), F.lit(i)) for i, p in enumerate(R.CORRECTIONS)])
     one = F.coalesce(*[F.when(F.col("_which") == i, F.trim(F.regexp_extract("content", "(?i)" + p, 1))) for i, p in enumerate(R.CORRECTIONS)])
@@ -101,6 +112,7 @@ def decisions(messages: DataFrame, thinking: DataFrame | None = None, least: int
         F.when(F.col("_two").isNotNull(), F.concat(F.lit("Use "), F.col("_two"), F.lit(" instead of "), F.col("_one"))).otherwise(F.col("_one")).alias("decision_text"),
         F.lit("User correction - previous approach was incorrect").alias("rationale"),
         F.when(F.col("_two").isNotNull(), F.array("_one")).otherwise(F.array().cast("array<string>")).alias("alternatives"),
+        F.when(F.col("_two").isNotNull(), F.create_map("_one", F.lit("User correction"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("rejected_reasons"),
         F.lit(1).alias("n_rejected"),
         "context",
         F.lit(True).alias("is_correction"),
@@ -157,21 +169,50 @@ def severity(kind="mistake_type", correction="correction", user="is_user", n_fil
     return F.when(F.col(correction).isNotNull(), 2).otherwise(0) + F.when(F.col(user), 3).otherwise(0) + F.when(F.col(n_files) > 0, 2).otherwise(0) + by_kind
 
 
+def mistakes(messages: DataFrame, results: DataFrame, least: int = 2) -> DataFrame:
+    """All mistakes of a severity of ``least`` or more, one a message, kind and start of text (EXT-M1 to EXT-M4)."""
+    at = messages.select("message_id", "conversation_id", "timestamp", "content")
+    failed = tool_errors(results).drop("id").join(at.select("message_id", "conversation_id", "timestamp"), "message_id").withColumn("correction", F.lit(None).cast("string")).withColumn("source", F.lit("tool"))
+    told = user_corrections(messages).join(at.select("message_id", "timestamp"), "message_id")
+    told = told.select(F.coalesce("mistake_message_id", "message_id").alias("message_id"), "conversation_id", "timestamp", "mistake_type", F.substring("correction", 1, 200).alias("what_went_wrong"), "correction", F.lit("user").alias("source"))
+    talked = error_talk(messages).join(at.select("message_id", "timestamp"), "message_id").withColumn("source", F.lit("assistant"))
+    cols = ["message_id", "conversation_id", "timestamp", "mistake_type", "what_went_wrong", "correction", "source"]
+    rows = failed.select(cols).unionByName(told.select(cols)).unionByName(talked.withColumn("mistake_type", F.coalesce("mistake_type", F.lit("general"))).select(cols))
+    rows = rows.withColumn("files_affected", T.paths_in(F.concat_ws(" ", "what_went_wrong", "correction"))).withColumn("is_user", F.col("source") == "user").withColumn("n_files", F.size("files_affected"))
+    rows = rows.withColumn("severity", severity()).where(F.col("severity") >= least)
+    rows = rows.withColumn("id", fact_id("mistake", "message_id", "mistake_type", F.substring(F.lower("what_went_wrong"), 1, 100)))
+    w = Window.partitionBy("id").orderBy(F.desc("severity"), F.col("correction").isNull(), "source", "timestamp", "correction")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "is_user", "n_files")
+
+
 # requirements and validations --------------------------------------------------------------------------------------
 
+# Parts of a system that a requirement may touch.
+COMPONENTS = ["frontend", "backend", "api", "database", "auth", "ui", "server", "client"]
+REASON = r"(?:because|since|for|due to)\s+(.+?)(?:\.|\z)"
+
 
 def requirements(messages: DataFrame) -> DataFrame:
-    """All matches of the requirement patterns (EXT-R1)."""
-    found = F.concat(*[F.transform(hits("content", p), _typed(kind)) for kind, p in R.REQUIREMENTS])
-    rows = messages.select("message_id", "conversation_id", "timestamp", F.explode(found).alias("r"))
+    """All matches of the requirement patterns, with rationale and components (EXT-R1).
+
+    The description is what the pattern asks for; the rationale comes from the match, else from what follows its first
+    place up to the sentence's end; components are those that the message names.
+    """
+    found = F.concat(*[F.transform(F.arrays_zip(hits("content", p), hits("content", p, 1)), _typed(kind)) for kind, p in R.REQUIREMENTS])
+    rows = messages.select("message_id", "conversation_id", "timestamp", "content", F.explode(found).alias("r"))
+    rows = rows.select("message_id", "conversation_id", "timestamp", "content", F.col("r.type").alias("type"), F.trim("r.description").alias("description"), F.col("r.whole").alias("whole")).where("description <> ''")
+    after = F.expr("substring(content, locate(whole, content) + length(whole))")
+    rationale = F.coalesce(group("whole", REASON), group(after, r"\A[^.]*?" + REASON))
+    low = F.lower("content")
+    components = F.filter(F.array(*map(F.lit, COMPONENTS)), lambda c: F.contains(low, c))
     sig = F.concat_ws("_", F.col("message_id").cast("string"), "type", F.substring("description", 1, 50))
-    w = Window.partitionBy("_sig").orderBy("timestamp", "description")
-    out = rows.select("message_id", "conversation_id", "timestamp", F.col("r.type").alias("type"), F.trim("r.description").alias("description")).withColumn("_sig", sig)
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("id", fact_id("requirement", "_sig")).drop("_n", "_sig")
+    w = Window.partitionBy("_sig").orderBy("timestamp", "description", "whole")
+    out = rows.select("message_id", "conversation_id", "timestamp", "type", "description", "whole", rationale.alias("rationale"), components.alias("affects_components")).withColumn("_sig", sig)
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("id", fact_id("requirement", "_sig")).drop("_n", "_sig", "whole")
 
 
 def _typed(kind: str):
-    return lambda h: F.struct(F.lit(kind).alias("type"), h.alias("description"))
+    return lambda h: F.struct(F.lit(kind).alias("type"), h["0"].alias("whole"), h["1"].alias("description"))
 
 
 def validations(uses: DataFrame, results: DataFrame) -> DataFrame:
@@ -185,34 +226,33 @@ def validations(uses: DataFrame, results: DataFrame) -> DataFrame:
     ms = number(time).cast("double") * F.when(F.lower(number(time, 2)).startswith("s"), 1000.0).otherwise(1.0)
     subject = F.coalesce(group("command", r"test[/\\](.+?)(?:\s|\z)"), group("content", r"(?:Test Suite|Describe):\s*(.+)"), F.col("command"))
     outcome = F.when(F.col("is_error"), "error").when(passed, "passed").when(failed, "failed").otherwise("passed")
-    return j.select(uses["id"], subject.alias("what_was_tested"), outcome.alias("result"), ms.alias("duration_ms"), number(r"(\d+)\s+passed").cast("long").alias("tests_passed"), number(r"(\d+)\s+failed").cast("long").alias("tests_failed"))
+    files = T.paths_in(F.concat_ws(" ", "command", "content"), r"(?:[\w.-]*/)*[\w.-]*(?:test|spec)[\w.-]*\.\w+")
+    return j.select(uses["id"], files.alias("test_files"), subject.alias("what_was_tested"), outcome.alias("result"), ms.alias("duration_ms"), number(r"(\d+)\s+passed").cast("long").alias("tests_passed"), number(r"(\d+)\s+failed").cast("long").alias("tests_failed"))
 
 
 # segments ----------------------------------------------------------------------------------------------------------
 
 
-def methodology_segments(messages: DataFrame) -> DataFrame:
-    """Problem-solving segments of each conversation (EXT-G1): a user problem opens one, a resolved or failed answer closes it, two messages at least.
+def in_segments(messages: DataFrame) -> DataFrame:
+    """Messages inside problem-solving segments, with ``segment`` (number in the conversation), ``good`` and ``closes`` (EXT-G1).
 
-    A fold over each conversation's flags, as the closing rule needs the segment's length so far.
+    A user problem opens a segment and ends the one before it; the first resolved or failed answer closes it. Both are running sums over a
+    conversation in order of time, so no conversation is gathered in one row.
     """
-    flags = F.struct("timestamp", F.col("message_id").alias("id"), ((F.col("role") == "user") & anyof("content", R.PROBLEM_START)).alias("opens"), ((F.col("role") == "assistant") & (anyof("content", R.SUCCESS) | anyof("content", R.FAILURE))).alias("closes"), ((F.col("role") == "assistant") & anyof("content", R.SUCCESS)).alias("good"))
-    rows = messages.groupBy("conversation_id").agg(F.array_sort(F.collect_list(flags)).alias("rows"))
-    kind = "struct<start:bigint,last:bigint,n:int,outcome:string>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("done"))
+    said = lambda role, *p: (F.col("role") == role) & anyof("content", [x for y in p for x in y])
+    order = Window.partitionBy("conversation_id").orderBy("timestamp", "message_id")
+    rows = messages.withColumn("segment", F.sum(said("user", R.PROBLEM_START).cast("int")).over(order))
+    rows = rows.withColumns({"closes": F.coalesce(said("assistant", R.SUCCESS, R.FAILURE), F.lit(False)), "good": F.coalesce(said("assistant", R.SUCCESS), F.lit(False))})
+    before = Window.partitionBy("conversation_id", "segment").orderBy("timestamp", "message_id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.where("segment > 0").withColumn("_closed", F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0))).where("_closed = 0").drop("_closed")
 
-    def close(acc, last, n, outcome):
-        return F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), last.cast("bigint").alias("last"), n.cast("int").alias("n"), outcome.cast("string").alias("outcome")).cast(kind)))
 
-    def step(acc, r):
-        one = F.lit(1)
-        opened = F.struct(r["id"].cast("bigint").alias("start"), r["id"].cast("bigint").alias("last"), one.alias("n"), F.when(acc["n"] >= 2, close(acc, acc["last"], acc["n"], F.lit("open"))).otherwise(acc["done"]).alias("done"))
-        ended = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("n"), close(acc, r["id"], acc["n"] + 1, F.when(r["good"], F.lit("success")).otherwise(F.lit("failed"))).alias("done"))
-        longer = F.struct(acc["start"].alias("start"), r["id"].cast("bigint").alias("last"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))
-        return F.when(r["opens"], opened).when((acc["n"] > 0) & r["closes"], ended).when(acc["n"] > 0, longer).otherwise(acc)
-
-    folded = F.aggregate("rows", zero, step, lambda acc: F.when(acc["n"] >= 2, close(acc, acc["last"], acc["n"], F.lit("open"))).otherwise(acc["done"]))
-    return rows.select("conversation_id", F.explode(folded).alias("s")).select("conversation_id", F.col("s.start").alias("start_message_id"), F.col("s.last").alias("end_message_id"), F.col("s.n").alias("n_messages"), F.col("s.outcome").alias("outcome"))
+def methodology_segments(messages: DataFrame) -> DataFrame:
+    """Problem-solving segments of each conversation (EXT-G1), two messages at least: first and last message, size and outcome."""
+    at = F.struct("timestamp", "message_id")
+    closed = F.when(F.max("good"), "success").when(F.max("closes"), "failed").otherwise("open")
+    g = in_segments(messages).groupBy("conversation_id", "segment").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").cast("int").alias("n_messages"), closed.alias("outcome"))
+    return g.where("n_messages >= 2").select("conversation_id", F.col("a.message_id").alias("start_message_id"), F.col("b.message_id").alias("end_message_id"), "n_messages", "outcome")
 
 
 def approach(c) -> Column:
@@ -224,36 +264,133 @@ def outcome(c) -> Column:
     return first_label(c, [("success", R.SUCCESS), ("failed", R.FAILURE), ("partial", R.PARTIAL)], "ongoing")
 
 
-def findings(messages: DataFrame) -> DataFrame:
-    """Research findings of assistant messages (EXT-F1): every discovery of 20 characters or more, cut to 500, with relevance and confidence of its message."""
+PATHS = r"(?:/[\w.-]+)+\.[\w]+"
+#: Sources that tools speak for, before any words do.
+TOOL_SOURCES = {"Read": "code", "Glob": "code", "Grep": "code", "WebFetch": "documentation", "WebSearch": "web", "Bash": "experimentation"}
+
+
+def _tools_of(uses: DataFrame) -> DataFrame:
+    """message_id with the source, reference and items of its tool calls (message_id, tool_name, tool_input as JSON), the first call first."""
+    at = F.struct("timestamp", "id")
+    value = lambda k: F.get_json_object("tool_input", f"$.{k}")
+    source = F.coalesce(*[F.when(F.col("tool_name") == k, F.lit(v)) for k, v in TOOL_SOURCES.items()])
+    place = F.coalesce(value("file_path"), value("url"), value("path"))
+    items = F.array_compact(F.array(value("file_path"), value("path")))
+    return uses.groupBy("message_id").agg(F.min_by(source, F.when(source.isNotNull(), at)).alias("tool_source"), F.min_by(place, F.when(place.isNotNull(), at)).alias("tool_place"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id", items.alias("items")))), lambda x: x["items"]))).alias("tool_items"))
+
+
+def findings(messages: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """Research findings of assistant messages (EXT-F1): every discovery of 20 characters or more, cut to 500.
+
+    Topic, source, reference, relevance, confidence and related items are read from the words around the first place of
+    the match (200 before, 400 after) and, if ``uses`` are given, from the message's tool calls, which go first.
+    """
     m = messages.where((F.col("role") == "assistant") & ~P.noise("content", R.SHORT_NOISE))
-    found = F.filter(F.concat(*[F.transform(hits("content", p, 1), lambda x: F.trim(x)) for p in R.DISCOVERIES]), lambda x: F.length(x) >= 20)
-    rows = m.select("message_id", "conversation_id", "content", F.explode(F.array_distinct(found)).alias("discovery"))
-    return rows.select("message_id", "conversation_id", F.substring("discovery", 1, 500).alias("discovery"), F.substring(F.coalesce(*[group("content", p) for p in R.TOPICS], F.col("discovery")), 1, 100).alias("topic"), first_label("content", R.FINDING_SOURCES, "code").alias("source_type"), first_label("content", R.RELEVANCE, "medium").alias("relevance"), first_label("content", R.SURENESS, "likely").alias("confidence"))
+    each = [F.transform(F.arrays_zip(hits("content", p), hits("content", p, 1)), lambda x: F.struct(x["0"].alias("whole"), F.trim(x["1"]).alias("text"))) for p in R.DISCOVERIES]
+    found = F.filter(F.concat(*each), lambda x: F.length(x["text"]) >= 20)
+    rows = m.select("message_id", "conversation_id", "content", F.explode(F.array_distinct(found)).alias("x")).withColumn("discovery", F.col("x.text"))
+    rows = rows.withColumn("_at", F.expr("locate(x.whole, content)")).withColumn("around", F.expr("substring(content, greatest(_at - 200, 1), _at + 400 - greatest(_at - 200, 1))"))
+    first_place = Window.partitionBy("message_id", "discovery").orderBy("_at", F.length("x.whole"), "x.whole")
+    rows = rows.withColumn("_n", F.row_number().over(first_place)).where("_n = 1")
+    if uses is not None:
+        rows = rows.join(_tools_of(uses), "message_id", "left")
+    else:
+        rows = rows.withColumns({"tool_source": F.lit(None).cast("string"), "tool_place": F.lit(None).cast("string"), "tool_items": F.lit(None).cast("array<string>")})
+    first = lambda p: F.when(F.col("around").rlike(p), F.regexp_extract("around", p, 0))
+    return rows.select(
+        "message_id",
+        "conversation_id",
+        F.substring("discovery", 1, 500).alias("discovery"),
+        F.substring(F.coalesce(*[group("around", p) for p in R.TOPICS], F.col("discovery")), 1, 100).alias("topic"),
+        F.coalesce("tool_source", first_label("around", R.FINDING_SOURCES, "code")).alias("source_type"),
+        F.coalesce("tool_place", first(PATHS), first(r"https?://[^\s)]+")).alias("source_reference"),
+        first_label("around", [(k, R.RELEVANCE[k]) for k in ("high", "low")], "medium").alias("relevance"),
+        first_label("around", [(k, R.SURENESS[k]) for k in ("verified", "uncertain")], "likely").alias("confidence"),
+        F.array_distinct(F.concat(F.coalesce("tool_items", F.array().cast("array<string>")), T.paths_in("around", PATHS))).alias("related_to"),
+    )
+
+
+#: What a solution asks for first.
+PREREQUISITES = [r"(?:(?:first|before),? (?:you need|ensure|make sure))\s+(.+?)(?:\.|\z)", r"(?:requires?|needs?)\s+(.+?)(?:\.|\z)", r"(?:install|setup|configure)\s+(.+?)(?:\.|\z)"]
+COMPLETE = [r"(?:done|complete|finished|working|fixed)", r"(?:successfully|correctly) (?:implemented|fixed)"]
 
 
-def solutions(messages: DataFrame, rows_back: int = 10) -> DataFrame:
-    """Solution cues with category and effectiveness (EXT-S1, EXT-S2); effectiveness is read from the next messages of the conversation."""
-    w = Window.partitionBy("conversation_id").orderBy("timestamp", "message_id").rowsBetween(0, rows_back)
-    m = messages.where(~P.noise("content", R.SHORT_NOISE)).withColumn("_after", F.array_join(F.collect_list("content").over(w), "\n"))
+def problem_of(c) -> Column:
+    """The problem that a user's message states: the first pattern's words, else its first sentence of more than ten characters."""
+    sentence = F.trim(F.get(F.split(c, "[.!?]"), F.lit(0)))
+    return F.coalesce(*[group(c, p) for p in R.PROBLEM_START], F.when(F.length(sentence) > 10, F.substring(sentence, 1, 200)))
+
+
+def solution_segments(messages: DataFrame, most: int = 10) -> DataFrame:
+    """(conversation_id, segment, message_id): rolling segments of each conversation (EXT-S1).
+
+    A segment that has shown a solution ends at a completed answer, and any segment after more than ``most`` messages, where it
+    counts only if it has shown one. The rule depends on where the segments before it ended, so it is a fold, over flags and ids only.
+    """
+    clean = messages.where(~P.noise("content", R.SHORT_NOISE))
+    flags = F.struct("timestamp", "message_id", ((F.col("role") == "assistant") & anyof("content", R.SOLUTIONS)).alias("cue"), anyof("content", COMPLETE).alias("done"))
+    rows = clean.groupBy("conversation_id").agg(F.array_sort(F.collect_list(flags)).alias("rows"))
+    kind = messages.schema["message_id"].dataType.simpleString()
+    none, no_list = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    zero = F.struct(none.alias("open"), F.lit(False).alias("cue"), no_list.alias("ended"))
+    state = lambda open, cue, ended: F.struct(open.alias("open"), F.coalesce(cue, F.lit(False)).alias("cue"), ended.alias("ended"))
+
+    def step(a, r):
+        own, cue = F.concat(a["open"], F.array(r["message_id"])), a["cue"] | F.coalesce(r["cue"], F.lit(False))
+        push = F.concat(a["ended"], F.array(own))
+        full = F.size(own) > most
+        return F.when(cue & (F.size(own) >= 2) & r["done"], state(none, F.lit(False), push)).when(full & cue, state(none, F.lit(False), push)).when(full, state(none, F.lit(False), a["ended"])).otherwise(state(own, cue, a["ended"]))
+
+    folded = F.aggregate("rows", zero, step, lambda a: F.when(a["cue"] & (F.size(a["open"]) >= 2), F.concat(a["ended"], F.array(a["open"]))).otherwise(a["ended"]))
+    ended = rows.select("conversation_id", F.posexplode(folded).alias("segment", "ids"))
+    return ended.select("conversation_id", "segment", F.explode("ids").alias("message_id"))
+
+
+def solutions(messages: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """Solution patterns of rolling segments that hold a user's problem and a solution (EXT-S1, EXT-S2); written files need ``uses``.
+
+    Rows of one segment meet by key: eleven messages at most. One pattern of each category and start of summary is kept in a conversation.
+    """
+    at = solution_segments(messages).join(messages.select("message_id", "conversation_id", "role", "content", "timestamp"), ["conversation_id", "message_id"])
+    key = ["conversation_id", "segment"]
     cue = F.coalesce(*[group("content", p) for p in R.SOLUTIONS])
-    steps = F.slice(F.concat(F.regexp_extract_all("content", F.lit(r"(?m)^\s*\d+[.)]\s+(.+)$"), F.lit(1)), F.regexp_extract_all("content", F.lit(r"(?m)^\s*[-*]\s+(.+)$"), F.lit(1))), 1, 10)
+    order = F.struct("timestamp", "message_id")
+    answer = (F.col("role") == "assistant") & (F.length("content") > 0)
+    rows = F.array_sort(F.collect_list(F.struct("timestamp", "message_id", "content")))
+    text = lambda a: F.array_join(F.transform(a, lambda r: r["content"]), "\n")
+    best = F.struct("message_id", "content", cue.alias("cue"))
+    g = at.groupBy(*key).agg(
+        F.min_by("content", F.when((F.col("role") == "user") & (F.length("content") > 0), order)).alias("asked"),
+        F.coalesce(F.min_by(best, F.when(answer & cue.isNotNull(), order)), F.max_by(best, F.when(answer, order))).alias("told"),
+        text(rows).alias("whole"),
+        text(F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3))).alias("end"),
+    )
+    g = g.withColumn("problem", problem_of("asked")).where("problem is not null and told is not null").withColumn("content", F.col("told.content"))
+    if uses is None:
+        g = g.withColumn("applied_to_files", F.array().cast("array<string>"))
+    else:
+        wrote = uses.where(F.col("tool_name").isin("Write", "Edit", "MultiEdit")).select("message_id", F.get_json_object("tool_input", "$.file_path").alias("f")).join(at.select("message_id", *key), "message_id")
+        g = g.join(wrote.groupBy(*key).agg(F.array_sort(F.collect_set("f")).alias("applied_to_files")), key, "left").withColumn("applied_to_files", F.coalesce("applied_to_files", F.array().cast("array<string>")))
+    steps = F.slice(F.concat(F.regexp_extract_all("whole", F.lit(r"(?m)^\s*\d+[.)]\s+(.+)$"), F.lit(1)), F.regexp_extract_all("whole", F.lit(r"(?m)^\s*[-*]\s+(.+)$"), F.lit(1))), 1, 10)
     code = F.substring(F.regexp_extract("content", r"(?s)```\w*\n(.*?)```", 1), 1, 500)
-    technology = F.slice(F.array_distinct(F.transform(F.concat(*[hits("content", p, 1) for p in R.TECHNOLOGIES]), lambda t: F.lower(t))), 1, 5)
-    when = lambda rules: F.coalesce(*[group("content", p) for p in rules])
-    rows = m.where(F.col("role") == "assistant").withColumn("solution_summary", cue).where("solution_summary is not null")
-    return rows.select(
-        "message_id",
+    several = lambda c, rules: F.concat(*[hits(c, p, 1) for p in rules])
+    when = lambda rules: F.substring(F.coalesce(*[group("whole", p) for p in rules]), 1, 200)
+    out = g.select(
+        F.col("told.message_id").alias("message_id"),
         "conversation_id",
-        "solution_summary",
-        first_label("content", R.CATEGORIES, "general").alias("problem_category"),
-        first_label("_after", R.EFFECTIVENESS, "good").alias("effectiveness"),
+        F.coalesce(F.col("told.cue"), F.substring(F.trim(F.get(F.split("content", "[.!?]"), F.lit(0))), 1, 200)).alias("solution_summary"),
+        first_label("problem", R.CATEGORIES, "general").alias("problem_category"),
+        first_label("end", [(k, dict(R.EFFECTIVENESS)[k]) for k in ("excellent", "poor", "moderate") if k in dict(R.EFFECTIVENESS)], "good").alias("effectiveness"),
         steps.alias("solution_steps"),
         F.when(code != "", code).alias("code_pattern"),
-        technology.alias("technology"),
-        F.coalesce(when(R.APPLIES_WHEN), F.lit("Similar problems")).alias("applies_when"),
+        F.slice(F.array_distinct(F.transform(several("whole", R.TECHNOLOGIES), lambda t: F.lower(t))), 1, 5).alias("technology"),
+        F.transform(F.slice(several("content", PREREQUISITES), 1, 5), lambda x: F.substring(F.trim(x), 1, 100)).alias("prerequisites"),
+        F.coalesce(when(R.APPLIES_WHEN), F.substring("problem", 1, 200)).alias("applies_when"),
         when(R.AVOID_WHEN).alias("avoid_when"),
+        "applied_to_files",
     )
+    w = Window.partitionBy("conversation_id", "problem_category", F.substring(F.lower("solution_summary"), 1, 50)).orderBy("message_id")
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 # live --------------------------------------------------------------------------------------------------------------

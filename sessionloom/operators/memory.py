@@ -107,6 +107,54 @@ def merge_tags(item_tags: DataFrame, sources: list[int], target: int) -> DataFra
     return moved.groupBy("tag_id", "item_type", "item_id").agg(F.min("created_at").alias("created_at"))
 
 
+def tag_breakdown(found: DataFrame, matched: str = "matched") -> DataFrame:
+    """How many of the found items each tag name is on (AGG-12, TAG-2); ``matched`` holds the names joined by commas."""
+    return found.select(F.explode(F.split(matched, ",")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def tag_items(item_tags: DataFrame, items: DataFrame, tags: list[int], now: int) -> DataFrame:
+    """``items`` (item_type, item_id) under each of the tags as well; links that exist keep their time (TAG-3)."""
+    fresh = items.select("item_type", "item_id").distinct().select(F.explode(F.array(*[F.lit(t).cast("long") for t in tags])).alias("tag_id"), "item_type", "item_id", F.lit(now).cast("long").alias("created_at"))
+    return item_tags.select("tag_id", "item_type", "item_id", "created_at").unionByName(fresh).groupBy("tag_id", "item_type", "item_id").agg(F.min("created_at").alias("created_at"))
+
+
+def untag_items(item_tags: DataFrame, items: DataFrame, tags: list[int] | None = None) -> DataFrame:
+    """Without the links of ``items`` to the tags, or to any tag (TAG-3)."""
+    gone = items.select("item_type", "item_id").distinct().withColumn("_gone", F.lit(True))
+    hit = F.col("_gone").isNotNull() & (F.col("tag_id").isin(tags) if tags is not None else F.lit(True))
+    return item_tags.join(gone, ["item_type", "item_id"], "left").where(~hit).select(item_tags.columns)
+
+
+def rename_tag(tags: DataFrame, item_tags: DataFrame, old: str, new: str, now: int, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tags and links after a tag is renamed in a project (None: global tags); if the new name exists there, the old tag's links move to it (TAG-3)."""
+    scope = F.col("project_path").isNull() if project is None else F.col("project_path") == project
+    ids = {r["name"]: r["id"] for r in tags.where(scope & F.col("name").isin(old, new)).select("id", "name").collect()}
+    if old not in ids:
+        return tags, item_tags
+    if new in ids and new != old:
+        return tags.where(F.col("id") != ids[old]), merge_tags(item_tags, [ids[old]], ids[new])
+    hit = F.col("id") == ids[old]
+    return tags.withColumn("name", F.when(hit, F.lit(new)).otherwise(F.col("name"))).withColumn("updated_at", F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))), item_tags
+
+
+def delete_tag(tags: DataFrame, item_tags: DataFrame, tag: int, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tags and links without a tag; one that is in use goes only with ``force`` (TAG-3)."""
+    used = not item_tags.where(F.col("tag_id") == tag).isEmpty()
+    if used and not force:
+        raise ValueError(f"tag {tag} is in use")
+    return tags.where(F.col("id") != tag), item_tags.where(F.col("tag_id") != tag)
+
+
+def recall_relevant(memory: DataFrame, query: str, now: int, limit: int = 10, project: str | None = None, session: str | None = None) -> DataFrame:
+    """Live items in scope by relevance to a query (MEM-3)."""
+    from sessionloom.operators import search
+
+    live = memory.where(P.all_of({"project_path": project, "session_id": session}, P.live(now)))
+    said = live.select(F.struct("project_path", "key").alias("id"), F.concat_ws(" ", *[c for c in ("key", "value", "context") if c in memory.columns]).alias("text"))
+    best = search.bm25(said, query, limit)
+    return live.join(F.broadcast(best.select("id.project_path", "id.key", "score")), ["project_path", "key"]).orderBy(F.desc("score"), "key")
+
+
 # hand-off and context ----------------------------------------------------------------------------------------------
 
 
@@ -132,12 +180,41 @@ def handoff(decisions: DataFrame, files: DataFrame, tasks: DataFrame, memory: Da
 
 
 def within_budget(items: DataFrame, max_tokens: int, priority: str = "priority", ts: str = "timestamp", tokens: str = "tokens", tie: str = "id") -> DataFrame:
-    """Items in order of priority and recency until the first that overflows the budget (WIN-7, CTX-1).
+    """Items in order of priority and recency until the first that overflows the budget (WIN-7, CTX-1); items without tokens cost nothing.
 
-    Candidates are cut to those that a running sum can reach: an item costs one token at least, so the first
-    ``max_tokens`` in order are enough, and only they meet in one task.
+    Items that cost something are cut to those that a running sum can reach, the first ``max_tokens``; only they meet in one task. An
+    item without tokens stays if no item before it overflows, and gets the sum before it, by a range join with the running sums.
     """
     order = [F.asc(priority), F.desc(ts), F.asc(tie)]
-    top = items.orderBy(*order).limit(max_tokens + 1)
-    run = F.sum(F.greatest(F.col(tokens), F.lit(1))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return top.withColumn("used", run).where(F.col("used") <= max_tokens)
+    cost = F.coalesce(F.col(tokens), F.lit(0))
+    top = items.where(cost > 0).orderBy(*order).limit(max_tokens + 1)
+    run = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = top.withColumn("used", run)
+    place = F.struct(F.col(priority).alias("p"), (-F.col(ts)).alias("t"), F.col(tie).alias("i"))
+    ends = summed.select(place.alias("at"), "used").agg(F.array_sort(F.collect_list(F.struct("at", "used"))).alias("_ends"))  # max_tokens + 1 rows at most
+    free = items.where(cost == 0).crossJoin(F.broadcast(ends)).withColumn("used", F.coalesce(F.array_max(F.transform(F.filter("_ends", lambda e: e["at"] < place), lambda e: e["used"])), F.lit(0))).drop("_ends")
+    return summed.unionByName(free).where(F.col("used") <= max_tokens)
+
+
+def resume(handoffs: DataFrame, project: str, handoff_id: str | None = None) -> DataFrame:
+    """The hand-off of an id, or the latest of a project that nobody has resumed (HND-2)."""
+    rows = handoffs.where(F.col("id") == handoff_id) if handoff_id else handoffs.where((F.col("project_path") == project) & F.col("resumed_by_session_id").isNull())
+    return rows.orderBy(F.desc("created_at"), "id").limit(1)
+
+
+def mark_resumed(handoffs: DataFrame, taken: DataFrame, session: str, now: int) -> DataFrame:
+    """Hand-offs with the taken ones (id) marked as resumed by a session (HND-2)."""
+    hit = F.broadcast(taken.select("id", F.lit(True).alias("_hit")))
+    out = handoffs.join(hit, "id", "left")
+    mark = lambda c, v: F.when(F.col("_hit"), F.lit(v)).otherwise(F.col(c))
+    return out.withColumn("resumed_by_session_id", mark("resumed_by_session_id", session)).withColumn("resumed_at", mark("resumed_at", now)).select(handoffs.columns)
+
+
+#: Hand-off data that is put back into the working memory.
+HANDOFF = "memory array<struct<key:string,value:string,tags:array<string>>>"
+
+
+def injected(memory: DataFrame, taken: DataFrame, now: int) -> DataFrame:
+    """The working memory with the items of resumed hand-offs (project_path, handoff_data as JSON) (HND-2)."""
+    items = taken.select("project_path", F.explode(F.from_json("handoff_data", HANDOFF)["memory"]).alias("m")).select("project_path", "m.key", "m.value", "m.tags", F.lit(0).alias("ttl"))
+    return remember(memory, items.where("key is not null").dropDuplicates(["project_path", "key"]), now)

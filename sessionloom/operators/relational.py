@@ -56,9 +56,11 @@ def timeline(*frames: DataFrame) -> DataFrame:
 
 
 def file_changes(edits: DataFrame, limit: int) -> DataFrame:
-    """Conversations, last change and their ids by file, most recent first (AGG-4)."""
-    g = edits.groupBy("file_path").agg(F.countDistinct("conversation_id").alias("n_conversations"), F.max("timestamp").alias("last_change"), F.array_join(F.transform(F.sort_array(F.collect_set("conversation_id")), lambda x: x.cast("string")), ",").alias("conversations"))
-    return g.orderBy(F.desc("last_change"), "file_path").limit(limit)
+    """Conversations, last change and their ids by file, most recent first (AGG-4). Ids are gathered for the ``limit`` files only."""
+    pairs = edits.groupBy("file_path", "conversation_id").agg(F.max("timestamp").alias("t"))
+    top = pairs.groupBy("file_path").agg(F.count("conversation_id").alias("n_conversations"), F.max("t").alias("last_change")).orderBy(F.desc("last_change"), "file_path").limit(limit)
+    ids = edits.join(F.broadcast(top.select("file_path")), "file_path", "left_semi").groupBy("file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_set("conversation_id")), lambda x: x.cast("string")), ",").alias("conversations"))
+    return top.join(ids, "file_path").select("file_path", "n_conversations", "last_change", "conversations").orderBy(F.desc("last_change"), "file_path")
 
 
 def registry_stats(sources: DataFrame) -> DataFrame:
@@ -103,30 +105,106 @@ def mode(df: DataFrame, value: str, position: str) -> DataFrame:
 
 def duplicate_groups(items: DataFrame, id_col: str, value: str, importance: str, created: str) -> DataFrame:
     """Groups of items with one normalised value; the item to keep is the most important, then the newest (AGG-10, WIN-9)."""
-    level = F.when(F.col(importance) == "critical", 4).when(F.col(importance) == "high", 3).when(F.col(importance) == "normal", 2).otherwise(1)
-    rows = items.select(F.lower(F.trim(F.col(value))).alias("norm"), F.struct((-level).alias("a"), (-F.col(created)).alias("b"), F.col(id_col).alias("id")).alias("r"))
+    rows = items.select(F.lower(F.trim(F.col(value))).alias("norm"), _rank(id_col, importance, created).alias("r"))
     g = rows.groupBy("norm").agg(F.count("*").alias("n"), F.min("r")["id"].alias("keep_id"))
     return g.where(F.col("n") > 1)
 
 
+def duplicate_members(items: DataFrame, id_col: str, value: str, importance: str, created: str) -> DataFrame:
+    """norm, id, rank of each item of a group of duplicates, 1 for the item to keep (AGG-10)."""
+    rows = items.select(F.lower(F.trim(F.col(value))).alias("norm"), _rank(id_col, importance, created).alias("r"))
+    w = Window.partitionBy("norm")
+    ranked = rows.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("r")))
+    return ranked.where("n > 1").select("norm", F.col("r.id").alias("id"), "rank")
+
+
+def _rank(id_col: str, importance: str, created: str) -> Column:
+    level = F.when(F.col(importance) == "critical", 4).when(F.col(importance) == "high", 3).when(F.col(importance) == "normal", 2).otherwise(1)
+    return F.struct((-level).alias("a"), (-F.col(created)).alias("b"), F.col(id_col).alias("id"))
+
+
 def monthly(df: DataFrame, ts: str) -> DataFrame:
     """Events by month (AGG-15)."""
     return df.groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
-def module_rollup(files: DataFrame, decisions: DataFrame, mistakes: DataFrame) -> DataFrame:
-    """Files, decisions and mistakes by directory, busiest first (AGG-14). Paths are cut to their directory, so the joins are on equality."""
-    module = lambda c: F.regexp_extract(F.col(c), r"^(.*?)/[^/]*$", 1)
-    f = files.groupBy(module("file_path").alias("module")).agg(F.count("*").alias("n_files"))
-    d = decisions.groupBy(module("file_path").alias("module")).agg(F.count("*").alias("n_decisions"))
-    m = mistakes.groupBy(module("file_path").alias("module")).agg(F.count("*").alias("n_mistakes"))
-    j = f.join(d, "module", "left").join(m, "module", "left").na.fill(0, ["n_decisions", "n_mistakes"])
-    return j.withColumn("complexity", F.least((F.col("n_decisions") + F.col("n_mistakes")) / F.col("n_files"), F.lit(10.0)))
+def module_of(c) -> Column:
+    """Directory of a path (AGG-14)."""
+    return F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"^(.*?)/[^/]*$", 1)
+
+
+def module_rollup(files: DataFrame, decisions: DataFrame, mistakes: DataFrame, requirements: DataFrame | None = None, edits: DataFrame | None = None) -> DataFrame:
+    """Files, decisions, mistakes, and if given requirements and edits, by directory (AGG-14). Paths are cut to their directory, so the
+    joins are on equality; :func:`busiest_first` orders the result."""
+    parts = {"n_decisions": decisions, "n_mistakes": mistakes, "n_requirements": requirements, "n_changes": edits}
+    out = files.groupBy(module_of("file_path").alias("module")).agg(F.count("*").alias("n_files"))
+    for name, df in parts.items():
+        if df is not None:
+            out = out.join(df.groupBy(module_of("file_path").alias("module")).agg(F.count("*").alias(name)), "module", "left").na.fill(0, [name])
+    return out.withColumn("complexity", F.least((F.col("n_decisions") + F.col("n_mistakes")) / F.col("n_files"), F.lit(10.0)))
+
+
+def busiest_first(modules: DataFrame, limit: int) -> DataFrame:
+    """The modules with the most decisions and mistakes."""
+    return modules.orderBy(F.desc(F.col("n_decisions") + F.col("n_mistakes")), "module").limit(limit)
+
+
+def documentation_stats(modules: DataFrame) -> DataFrame:
+    """Totals over modules and their mean complexity, to one decimal (AGG-20)."""
+    totals = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c.replace("n_", "total_")) for c in ("n_files", "n_decisions", "n_mistakes")]
+    return modules.agg(F.count("*").alias("modules"), *totals, F.round(F.coalesce(F.avg("complexity"), F.lit(0.0)), 1).alias("average_complexity"))
+
+
+def cross_references(modules: DataFrame, files: DataFrame, decisions: DataFrame, mistakes: DataFrame) -> DataFrame:
+    """Modules with a name, a description, and their first decision and mistake (REP-3). decisions, mistakes: file_path, text, timestamp."""
+    first = lambda df, name: df.groupBy(module_of("file_path").alias("module")).agg(F.min_by("text", F.struct("timestamp", "text")).alias(name))
+    lead = files.groupBy(module_of("file_path").alias("module")).agg(F.min("file_path").alias("first_file"))
+    name = F.coalesce(F.regexp_extract("module", r"([^/]+)$", 1), F.lit(""))
+    out = modules.join(lead, "module", "left").join(first(decisions, "first_decision"), "module", "left").join(first(mistakes, "first_mistake"), "module", "left")
+    about = F.concat(name, F.lit(": "), F.col("n_files").cast("string"), F.lit(" files, "), F.col("n_decisions").cast("string"), F.lit(" decisions, "), F.col("n_mistakes").cast("string"), F.lit(" mistakes"))
+    return out.withColumn("name", name).withColumn("description", about)
 
 
-def mistake_summary(mistakes: DataFrame) -> DataFrame:
-    """Mistakes and distinct lessons by kind (AGG-13)."""
-    return mistakes.groupBy("mistake_type").agg(F.count("*").alias("n"), F.countDistinct("correction").alias("lessons"))
+def mistake_summary(mistakes: DataFrame, lessons: int = 10) -> DataFrame:
+    """Mistakes, distinct lessons and the first of them by kind, in order of time (AGG-13)."""
+    each = mistakes.where("correction is not null").groupBy("mistake_type", "correction").agg(F.min("timestamp").alias("t"))
+    w = Window.partitionBy("mistake_type").orderBy("t", "correction")
+    firsts = each.withColumn("_n", F.row_number().over(w))
+    said = firsts.groupBy("mistake_type").agg(F.count("*").alias("lessons"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= lessons, F.struct("_n", "correction")))), lambda x: x["correction"]).alias("first_lessons"))
+    n = mistakes.groupBy("mistake_type").agg(F.count("*").alias("n"))
+    return n.join(said, "mistake_type", "left").withColumn("lessons", F.coalesce("lessons", F.lit(0))).withColumn("first_lessons", F.coalesce("first_lessons", F.array().cast("array<string>")))
+
+
+def critical_mistakes(mistakes: DataFrame, least: int = 5, limit: int = 10) -> DataFrame:
+    """The gravest mistakes of a severity of ``least`` or more (AGG-13)."""
+    return mistakes.where(F.col("severity") >= least).orderBy(F.desc("severity"), F.desc("timestamp"), "id").limit(limit)
+
+
+def with_source(facts: DataFrame, conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Facts with project and branch of their conversation and role and time of their message; facts that have lost either are left out (JN-2, JN-3, JN-5)."""
+    c = conversations.select(F.col("id").alias("conversation_id"), "project_path", "git_branch")
+    m = messages.select(F.col("id").alias("message_id"), F.col("role").alias("message_role"), F.col("timestamp").alias("message_timestamp"))
+    return facts.join(c, "conversation_id").join(m, "message_id")
+
+
+def commits_with_talk(commits: DataFrame, conversations: DataFrame, messages: DataFrame, project: str | None = None) -> DataFrame:
+    """Commits with the conversation they are linked to and its first message; unlinked ones stay unless a project is asked for (JN-6)."""
+    c = conversations.select(F.col("id").alias("conversation_id"), "project_path", F.col("first_message_at").alias("conversation_start"))
+    m = messages.groupBy("conversation_id").agg(F.min_by("content", F.struct("timestamp", "id")).alias("first_message"))
+    out = commits.join(c, "conversation_id", "left").join(m, "conversation_id", "left")
+    return out if project is None else out.where(F.col("project_path") == project)
+
+
+def project_ids(paths: DataFrame, projects: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Each path with its project: by canonical path, else by alias, else a new one whose id is the path's hash (SNK-1, JN-19).
+
+    projects: id, canonical_path; aliases: alias_path, project_id.
+    """
+    p = projects.select(F.col("canonical_path").alias("project_path"), F.col("id").alias("_own"))
+    a = aliases.groupBy(F.col("alias_path").alias("project_path")).agg(F.min("project_id").alias("_alias"))
+    found = paths.join(p, "project_path", "left").join(a, "project_path", "left")
+    how = F.when(F.col("_own").isNotNull(), "canonical").when(F.col("_alias").isNotNull(), "alias").otherwise("new")
+    return found.withColumn("project_id", F.coalesce("_own", "_alias", F.sha2("project_path", 256))).withColumn("found_by", how).drop("_own", "_alias")
 
 
 def health(checks: DataFrame) -> DataFrame:
@@ -140,19 +218,27 @@ def link_commits(commits: DataFrame, conversations: DataFrame, hour_ms: int = 3_
     """Best conversation of each commit (JN-17, WIN-10).
 
     commits: commit_id, timestamp, files, branch, message. conversations: conv_id, first_at, last_at, files, branch, keywords.
-    A link needs more than 0.3 of 1, which time or a shared file must give: candidates are an equi-join on the
-    hours that a conversation (and an hour around it) touches, and one on shared files; no pair beyond those is looked at.
+    A link needs more than 0.3 of 1, which time or a shared file must give. Near in time: an equi-join on the hours that a
+    conversation (and an hour around it) touches. Away from it a conversation counts by files, branch and keywords only, so those that
+    have the same ones are one class, for which the first in order stands; shared files are summed by commit and class. Scores
+    are computed where rows meet and reduced to the best by partial aggregation: no pair is joined back to its rows.
     """
+    branch = F.when(F.col("c_branch") == F.col("branch"), 1.0).otherwise(0.0)
+    words = F.size(F.filter("keywords", lambda k: F.lower(F.col("message")).contains(F.lower(k))))
+    score = lambda time, files: (time + files + branch + 2.0 * F.least(words, F.lit(3)) / 3) / 10
+    c = commits.withColumnsRenamed({"files": "c_files", "branch": "c_branch"})
     hours = F.explode(F.sequence(F.floor((F.col("first_at") - hour_ms) / hour_ms), F.floor((F.col("last_at") + hour_ms) / hour_ms)))
-    by_time = commits.select("commit_id", F.floor(F.col("timestamp") / hour_ms).alias("h")).join(conversations.select("conv_id", hours.alias("h")), "h").select("commit_id", "conv_id")
-    by_file = commits.select("commit_id", F.explode("files").alias("f")).join(conversations.select("conv_id", F.explode("files").alias("f")), "f").select("commit_id", "conv_id")
-    p = by_time.union(by_file).distinct().join(commits.withColumnsRenamed({"files": "c_files", "branch": "c_branch"}), "commit_id").join(conversations, "conv_id")
+    near = c.withColumn("h", F.floor(F.col("timestamp") / hour_ms)).join(conversations.withColumn("h", hours), "h")
     gap = F.least(F.abs(F.col("timestamp") - F.col("first_at")), F.abs(F.col("timestamp") - F.col("last_at")))
     time = F.when((F.col("timestamp") >= F.col("first_at")) & (F.col("timestamp") <= F.col("last_at")), 3.0).when(gap < five_ms, 2.0).when(gap < hour_ms, 1.0).otherwise(0.0)
-    shared = F.size(F.array_intersect("c_files", "files"))
-    files = F.when((F.size("c_files") > 0) & (F.size("files") > 0), 4.0 * shared / F.greatest(F.size("c_files"), F.size("files"))).otherwise(0.0)
-    branch = F.when(F.col("c_branch") == F.col("branch"), 1.0).otherwise(0.0)
-    words = F.size(F.filter("keywords", lambda k: F.lower(F.col("message")).contains(F.lower(k))))
-    score = (time + files + branch + 2.0 * F.least(words, F.lit(3)) / 3) / 10
-    best = latest(p.withColumn("confidence", score), ["commit_id"], [F.desc("confidence"), F.asc("conv_id")])
-    return best.where(F.col("confidence") > least).select("commit_id", "conv_id", "confidence")
+    both = F.size(F.array_intersect("c_files", "files"))
+    share = F.when((F.size("c_files") > 0) & (F.size("files") > 0), 4.0 * both / F.greatest(F.size("c_files"), F.size("files"))).otherwise(0.0)
+    by_time = near.select("commit_id", "conv_id", score(time, share).alias("confidence"))
+    classes = conversations.where(F.size("files") > 0).groupBy("files", "branch", "keywords").agg(F.min("conv_id").alias("conv_id"))
+    asked = c.select("commit_id", "c_branch", "message", F.size("c_files").alias("c_size"), F.explode(F.array_distinct("c_files")).alias("f"))
+    held = classes.select("conv_id", "branch", "keywords", F.size("files").alias("size"), F.explode(F.array_distinct("files")).alias("f"))
+    met = asked.join(held, "f").select("commit_id", "conv_id", branch.alias("b"), words.alias("w"), F.greatest("c_size", "size").alias("most"))
+    summed = met.groupBy("commit_id", "conv_id", "b", "w", "most").agg(F.count("*").alias("n"))
+    by_file = summed.select("commit_id", "conv_id", ((F.lit(0.0) + 4.0 * F.col("n") / F.col("most") + F.col("b") + 2.0 * F.least(F.col("w"), F.lit(3)) / 3) / 10).alias("confidence"))
+    best = by_time.unionByName(by_file).where(F.col("confidence") > least).groupBy("commit_id").agg(F.min(F.struct((-F.col("confidence")).alias("below"), F.col("conv_id").alias("id"))).alias("best"))
+    return best.select("commit_id", F.col("best.id").alias("conv_id"), (-F.col("best.below")).alias("confidence"))

@@ -26,10 +26,11 @@ def knn(vectors: DataFrame, query: list[float], limit: int, where: Column | None
     return scored.drop(vector_col).orderBy(F.desc("similarity"), F.asc(id_col)).limit(limit)
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, block: int = 1_000) -> DataFrame:
-    """k nearest for each row of ``queries`` (query_id, query), against all vectors. Queries are counted and dealt into blocks of about ``block`` rows; each is
+def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, block_bytes: int = 32 << 20) -> DataFrame:
+    """k nearest for each row of ``queries`` (query_id, query), against all vectors. Queries are measured and dealt into blocks of about ``block_bytes``; each is
     broadcast and met in one pass, in which a task keeps its own best ``limit``, so the shuffle carries k rows a task and query."""
-    n_blocks = max(1, -(-queries.count() // block))
+    measured = queries.agg(F.sum(8 * F.size("query") + 24)).first()[0] or 0
+    n_blocks = max(1, -(-measured // block_bytes))
     dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id"))
 
@@ -44,16 +45,10 @@ def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, block: int = 1_
 # full text ---------------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, tf, dl): occurrences of each token and the length of its text."""
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(text_col).alias("tokens"))
-    return words.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def query_terms(query: str) -> list[str]:
     """Distinct search terms of a query: folded runs of letters and digits (FTS-1, FTS-2)."""
     out, word = [], ""
-    for c in query.lower() + " ":
+    for c in T.folded(query) + " ":
         if c.isalnum():
             word += c
         elif word:
@@ -126,10 +121,11 @@ def reciprocal_rank_fusion(vector: DataFrame, fts: DataFrame, limit: int, k: int
 
 
 def chunks_to_messages(chunks: DataFrame, least: float) -> DataFrame:
-    """Best similarity, number of matched chunks and best chunk's text of each message (AGG-9)."""
+    """Best similarity, number of matched chunks, best chunk's text and the matched chunks, best first, of each message (AGG-9)."""
     hit = chunks.where(F.col("similarity") >= least)
     best = F.max_by("content", F.struct(F.col("similarity"), -F.col("chunk_index")))
-    return hit.groupBy("message_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_chunks"), best.alias("snippet"))
+    matched = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("chunk_index").alias("i")))), lambda x: x["i"])
+    return hit.groupBy("message_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_chunks"), best.alias("snippet"), matched.alias("matched_chunks"))
 
 
 def merge_hits(chunk_hits: DataFrame, message_hits: DataFrame, limit: int) -> DataFrame:
@@ -151,5 +147,12 @@ def without_near_repeats(hits: DataFrame, limit: int, least: float = 0.7) -> Dat
 
 
 def by_conversation(hits: DataFrame) -> DataFrame:
-    """Hits grouped by conversation, best first (AGG-8)."""
+    """Score and number of hits by conversation (AGG-8)."""
     return hits.groupBy("conversation_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_hits"))
+
+
+def sessions_of(hits: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Conversations of ``hits`` (id, conversation_id, similarity) with their message ids, best first, by page (AGG-8)."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "id"))), lambda x: x["id"])
+    g = hits.groupBy("conversation_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_hits"), ids.alias("message_ids"))
+    return g.orderBy(F.desc("similarity"), "conversation_id").offset(offset).limit(limit)

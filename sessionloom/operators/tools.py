@@ -10,7 +10,6 @@ from sessionloom.functions import text as T
 from sessionloom.operators import relational as R
 from sessionloom.operators import search as S
 from sessionloom.operators.extract import facts as X
-from sessionloom.operators.extract import rules
 
 
 def latest_session(conversations: DataFrame, project: str | None = None, source: str | None = None) -> DataFrame:
@@ -70,17 +69,22 @@ def old_projects(folders: DataFrame, current: str, least: float = 50.0) -> DataF
     return rows.withColumn("score", T.migration_score("path_score", "folder_score", "has_db", "n_files")).where(F.col("score") >= least).orderBy(F.desc("score"), "path")
 
 
-def methodologies(messages: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
-    """Segments with problem, approach, tools, files, failed steps and outcome (EXT-G2)."""
-    segs = X.methodology_segments(messages)
-    m = messages.select("conversation_id", "message_id", "role", "content", "timestamp")
-    at = m.join(segs.withColumnRenamed("conversation_id", "_c"), (F.col("conversation_id") == F.col("_c")) & F.col("message_id").between(F.col("start_message_id"), F.col("end_message_id"))).drop("_c")
+def methodologies(messages: DataFrame, uses: DataFrame, results: DataFrame, most: int = 20) -> DataFrame:
+    """Segments with problem, approach, tools, files, the first ``most`` steps in order, what failed, what worked and the outcome (EXT-G2)."""
+    key = ["conversation_id", "segment"]
+    at = X.in_segments(messages.select("conversation_id", "message_id", "role", "content", "timestamp"))
+    order = F.struct("timestamp", "message_id")
     rows = F.array_sort(F.collect_list(F.struct("timestamp", "message_id", "content")))
-    text = at.groupBy("conversation_id", "start_message_id", "end_message_id", "n_messages").agg(F.array_join(F.transform(rows, lambda r: r["content"]), "\n").alias("_all"), F.array_join(F.transform(F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3)), lambda r: r["content"]), "\n").alias("_end"), F.min_by("content", F.when(F.col("role") == "user", F.struct("timestamp", "message_id"))).alias("_first"))
-    problem = F.coalesce(*[X.group("_first", p) for p in rules.PROBLEM_START], F.when(F.length(F.trim(F.get(F.split("_first", "[.!?]"), F.lit(0)))) > 10, F.substring(F.trim(F.get(F.split("_first", "[.!?]"), F.lit(0))), 1, 200)))
+    text = lambda a: F.array_join(F.transform(a, lambda r: r["content"]), "\n")
+    g = at.groupBy(*key).agg(F.count("*").cast("int").alias("n_messages"), F.min(order)["message_id"].alias("start_message_id"), F.max(order)["message_id"].alias("end_message_id"), text(rows).alias("_all"), text(F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3))).alias("_end"), F.min_by("content", F.when(F.col("role") == "user", order)).alias("_first"), F.max_by("content", F.when(F.col("good"), order)).alias("_good"))
+    g = g.where("n_messages >= 2")
     r = results.groupBy("tool_use_id").agg(F.max("is_error").alias("is_error"))
-    steps = uses.join(r, uses["id"] == r["tool_use_id"], "left").join(at.select("message_id", "conversation_id", "start_message_id"), "message_id")
-    used = steps.groupBy("conversation_id", "start_message_id").agg(F.array_sort(F.collect_set("tool_name")).alias("tools_used"), F.count("*").alias("n_steps"), F.count_if("is_error").alias("n_failed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.paths_in("tool_input"))))).alias("files_involved"))
-    out = text.join(used, ["conversation_id", "start_message_id"], "left")
-    out = out.select("conversation_id", "start_message_id", "end_message_id", "n_messages", problem.alias("problem_statement"), X.approach("_all").alias("approach"), X.outcome("_end").alias("outcome"), F.coalesce("tools_used", F.array().cast("array<string>")).alias("tools_used"), F.coalesce("files_involved", F.array().cast("array<string>")).alias("files_involved"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))
+    steps = uses.join(r, uses["id"] == r["tool_use_id"], "left").drop("tool_use_id").join(at.select("message_id", *key), "message_id")
+    steps = steps.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("timestamp", "id")))
+    named = lambda c: F.transform(F.array_sort(F.collect_list(F.when((F.col("_n") <= most) & c, F.struct("_n", "tool_name")))), lambda x: x["tool_name"])
+    used = steps.groupBy(*key).agg(F.array_sort(F.collect_set("tool_name")).alias("tools_used"), F.count("*").alias("n_steps"), F.count_if("is_error").alias("n_failed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_n") <= most, T.paths_in("tool_input")))))).alias("files_involved"), named(F.lit(True)).alias("steps"), named(F.coalesce("is_error", F.lit(False))).alias("what_failed"))
+    out = g.join(used, key, "left")
+    none = F.array().cast("array<string>")
+    empty = [F.coalesce(c, none).alias(c) for c in ("tools_used", "files_involved", "steps", "what_failed")]
+    out = out.select("conversation_id", "start_message_id", "end_message_id", "n_messages", X.problem_of("_first").alias("problem_statement"), X.approach("_all").alias("approach"), X.outcome("_end").alias("outcome"), *empty, F.substring("_good", 1, 300).alias("what_worked"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))
     return out.where("problem_statement is not null")

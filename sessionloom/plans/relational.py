@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import predicates as P
@@ -211,10 +214,16 @@ def module_rollup(s, d):
     return R.module_rollup(e, e.where("conversation_id % 7 = 1"), e.where("conversation_id % 7 = 2"))
 
 
-@query("""SELECT failed, warned, CASE WHEN failed > 0 THEN greatest(0, 50 - 25 * failed) WHEN warned > 1 THEN greatest(50, 100 - 15 * warned) ELSE 100 - 10 * warned END AS score
-FROM (SELECT count(*) FILTER (WHERE r_regionkey = 9) AS failed, count(*) FILTER (WHERE r_regionkey IN (1, 3)) AS warned FROM region)""")
+@query("""SELECT scenario, failed, warned, CASE WHEN failed > 0 THEN greatest(0, 50 - 25 * failed) WHEN warned > 1 THEN greatest(50, 100 - 15 * warned) ELSE 100 - 10 * warned END AS score
+FROM (SELECT scenario, count(*) FILTER (WHERE scenario >= 3 AND r_regionkey >= 7 - scenario) AS failed, count(*) FILTER (WHERE r_regionkey > 0 AND r_regionkey <= scenario AND NOT (scenario >= 3 AND r_regionkey >= 7 - scenario)) AS warned FROM region, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS scenario) GROUP BY scenario)""")
 def health_score(s, d):
-    return R.health(table(s, d, "region").select(F.col("r_name").alias("check"), F.when(F.col("r_regionkey").isin(1, 3), "warn").otherwise("pass").alias("status")))
+    def one(n):
+        k = F.col("r_regionkey")
+        bad = (k >= 7 - n) if n >= 3 else F.lit(False)
+        status = F.when(bad, "fail").when((k > 0) & (k <= n), "warn").otherwise("pass")
+        return R.health(table(s, d, "region").select(F.col("r_name").alias("check"), status.alias("status"))).withColumn("scenario", F.lit(n))
+
+    return reduce(DataFrame.unionByName, map(one, range(6)))
 
 
 @query(f"""SELECT id, key, value FROM {MEMORY} WHERE context ILIKE '%brand#1_%'""")

@@ -55,7 +55,7 @@ def knn_join(s, d):
     return S.knn_join(e, q, 5).select("query_id", "vec_id", "rank")
 
 
-TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'of', 'thnt'])")
@@ -63,7 +63,7 @@ def fts_and(s, d):
     return table(s, d, "documents").where(S.match_all("text", "the OF thnt")).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE list_has_any({TOKENS}, ['thnt', 'einütz'])")
+@query(f"SELECT doc_id FROM documents WHERE list_has_any({TOKENS}, ['thnt', 'einutz'])")
 def fts_or(s, d):
     return table(s, d, "documents").where(S.match_any("text", "thnt einütz")).select("doc_id")
 
@@ -74,7 +74,7 @@ def fts_phrase_prefix(s, d):
 
 
 @query(f"""WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w),
-h AS (SELECT doc_id, len(t) AS dl, q.q AS token, len(list_filter(t, lambda x: x = q.q)) AS tf FROM w, (SELECT unnest(['thnt', 'einütz', 'thor']) AS q) q), f AS (SELECT token, count(*) AS df FROM h WHERE tf > 0 GROUP BY token)
+h AS (SELECT doc_id, len(t) AS dl, q.q AS token, len(list_filter(t, lambda x: x = q.q)) AS tf FROM w, (SELECT unnest(['thnt', 'einutz', 'thor']) AS q) q), f AS (SELECT token, count(*) AS df FROM h WHERE tf > 0 GROUP BY token)
 SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN f USING (token), c WHERE tf > 0 GROUP BY doc_id) ORDER BY score DESC, doc_id LIMIT 15""")
 def fts_or_bm25(s, d):
     return S.bm25(table(s, d, "documents"), "thnt einütz thor", 15, "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -109,9 +109,9 @@ def _chunks(s, d):
     return table(s, d, "orders").select(F.col("o_custkey").alias("message_id"), k.alias("chunk_index"), F.concat(F.lit("c"), k.cast("string")).alias("content"), ((k % 100) / 100).alias("similarity"))
 
 
-@query(f"SELECT message_id, max(similarity) AS similarity, count(*) AS n_chunks, arg_max(content, (similarity, -chunk_index)) AS snippet FROM {CHUNKS} WHERE similarity >= 0.4 GROUP BY message_id")
+@query(f"SELECT message_id, max(similarity) AS similarity, count(*) AS n_chunks, arg_max(content, (similarity, -chunk_index)) AS snippet, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY similarity DESC, chunk_index) AS matched_chunks FROM {CHUNKS} WHERE similarity >= 0.4 GROUP BY message_id")
 def chunk_to_message_agg(s, d):
-    return S.chunks_to_messages(_chunks(s, d), 0.4)
+    return S.chunks_to_messages(_chunks(s, d), 0.4).withColumn("matched_chunks", F.array_join(F.col("matched_chunks").cast("array<string>"), ","))
 
 
 @query(f"""WITH c AS (SELECT message_id, max(similarity) AS c FROM {CHUNKS} WHERE similarity >= 0.4 GROUP BY 1), m AS (SELECT c_custkey AS message_id, (c_custkey % 90) / 100.0::DOUBLE AS m FROM customer)
@@ -162,6 +162,29 @@ def hashed_embeddings(s, d):
     return table(s, d, "benchmark").select("item_id", V.hashed_embedding(T.tokens("text"), 32).alias("embedding"))
 
 
+# SQL of the extraction rules, from the same patterns -----------------------------------------------------------------
+
+
+def _re(p: str) -> str:
+    return "'(?i)" + p.replace("'", "''") + "'"
+
+
+def _any(c: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, {_re(p)})" for p in patterns) + ")"
+
+
+def _group(c: str, p: str, n: int = 1) -> str:
+    return f"CASE WHEN regexp_matches({c}, {_re(p)}) THEN trim(regexp_extract({c}, {_re(p)}, {n})) END"
+
+
+def _label(c: str, pairs, default: str | None) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(c, p)} THEN '{k}'" for k, p in pairs) + (f" ELSE '{default}' END" if default else " END")
+
+
+def _noise(patterns: list[str]) -> str:
+    return f"NOT coalesce({_any('substr(content, 1, 500)', patterns)}, false)"
+
+
 # extraction --------------------------------------------------------------------------------------------------------
 
 
@@ -192,32 +215,36 @@ def mistake_user_correction_prev(s, d):
     return X.user_corrections(B.messages(s, d)).select("message_id", "mistake_message_id")
 
 
-@query(f"""SELECT message_id, first_fix AS correction FROM (SELECT *, first_value(CASE WHEN role = 'assistant' AND regexp_matches(content, '(?i)(?:fixed|resolved|corrected|solved)') THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY timestamp, message_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS first_fix FROM {MESSAGES}) WHERE role = 'assistant' AND content LIKE 'Error:%'""")
+@query(f"""SELECT message_id, {_label("content", rules.MISTAKE_TYPES.items(), None)} AS mistake_type, trim(list_filter(regexp_split_to_array(content, '[.!?]'), lambda s: {_any("s", rules.ERROR_TALK)})[1]) AS what_went_wrong, first_fix AS correction
+FROM (SELECT *, first_value(CASE WHEN role = 'assistant' AND {_any("content", [rules.FIXED])} THEN substr(content, 1, 500) END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY timestamp, message_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS first_fix FROM {MESSAGES} WHERE {_noise(rules.MISTAKE_NOISE)})
+WHERE role = 'assistant' AND {_any("content", rules.ERROR_TALK)}""")
 def mistake_next4_fix(s, d):
-    return X.error_talk(B.messages(s, d)).where("what_went_wrong like 'Error:%'").select("message_id", "correction")
+    return X.error_talk(B.messages(s, d)).select("message_id", "mistake_type", "what_went_wrong", "correction")
 
 
-@query(f"SELECT message_id, 'compatibility' AS type, trim(regexp_extract(content, '(?i)must\\s+support\\s+.+')) AS description FROM {MESSAGES} WHERE content LIKE 'We must support%'")
+@query(f"""WITH m AS (SELECT * FROM {MESSAGES}), h AS ({" UNION ALL ".join(f"SELECT message_id, timestamp, content, '{k}' AS type, unnest(regexp_extract_all(content, {_re(p)})) AS whole, unnest(regexp_extract_all(content, {_re(p)}, 1)) AS d FROM m" for k, p in rules.REQUIREMENTS)}),
+n AS (SELECT *, trim(d) AS description, row_number() OVER (PARTITION BY message_id, type, substr(trim(d), 1, 50) ORDER BY timestamp, trim(d), whole) AS n FROM h WHERE trim(d) <> '')
+SELECT message_id, type, description, coalesce({_group("whole", X.REASON)}, {_group("substr(content, instr(content, whole) + length(whole))", chr(92) + "A[^.]*?" + X.REASON)}) AS rationale, array_to_string(list_filter({X.COMPONENTS!r}, lambda c: contains(lower(content), c)), ',') AS affects_components FROM n WHERE n = 1""")
 def requirement_extract(s, d):
-    return X.requirements(B.messages(s, d)).where("type = 'compatibility' and description like 'must support%'").select("message_id", "type", "description")
+    return X.requirements(B.messages(s, d)).select("message_id", "type", "description", "rationale", F.array_join("affects_components", ",").alias("affects_components"))
 
 
 @query(None)
 def requirement_extract_all(s, d):
-    return X.requirements(B.messages(s, d))
+    return X.requirements(B.messages(s, d)).withColumn("affects_components", F.array_join("affects_components", ","))
 
 
 RUNS = "(SELECT event_id, event_type = 'error' AS is_error, CASE event_id % 3 WHEN 0 THEN (event_id % 50) || ' passed, 0 failed in ' || (event_id % 900) || ' ms' WHEN 1 THEN (event_id % 40) || ' passed, ' || (event_id % 7 + 1) || ' failed in 2 s' ELSE 'ran' END AS content FROM events)"
 
 
-@query(f"""SELECT event_id AS id, 'unit' AS what_was_tested, CASE WHEN is_error THEN 'error' WHEN regexp_matches(content, '\\d+ passed, 0 failed') THEN 'passed' WHEN content LIKE '%failed%' THEN 'failed' ELSE 'passed' END AS result,
+@query(f"""SELECT event_id AS id, '' AS test_files, 'unit' AS what_was_tested, CASE WHEN is_error THEN 'error' WHEN regexp_matches(content, '\\d+ passed, 0 failed') THEN 'passed' WHEN content LIKE '%failed%' THEN 'failed' ELSE 'passed' END AS result,
 CASE WHEN content LIKE '% ms' THEN CAST(event_id % 900 AS DOUBLE) WHEN content LIKE '% s' THEN 2000.0 END AS duration_ms, CAST(nullif(regexp_extract(content, '(\\d+) passed', 1), '') AS BIGINT) AS tests_passed, CAST(nullif(regexp_extract(content, '(\\d+) failed', 1), '') AS BIGINT) AS tests_failed FROM {RUNS}""")
 def validation_perf(s, d):
     k = F.col("event_id")
     c = lambda *x: F.concat(*[v if not isinstance(v, str) else F.lit(v) for v in x])
     content = F.when(k % 3 == 0, c((k % 50).cast("string"), " passed, 0 failed in ", (k % 900).cast("string"), " ms")).when(k % 3 == 1, c((k % 40).cast("string"), " passed, ", (k % 7 + 1).cast("string"), " failed in 2 s")).otherwise("ran")
     e = table(s, d, "events")
-    return X.validations(e.select(k.alias("id"), F.lit("pytest test/unit -q").alias("command")), e.select(k.alias("tool_use_id"), (F.col("event_type") == "error").alias("is_error"), content.alias("content")))
+    return X.validations(e.select(k.alias("id"), F.lit("pytest test/unit -q").alias("command")), e.select(k.alias("tool_use_id"), (F.col("event_type") == "error").alias("is_error"), content.alias("content"))).withColumn("test_files", F.array_join("test_files", ","))
 
 
 KEYWORD = "(" + " OR ".join(f"contains(lower(content), '{k}')" for k in rules.ACTIONABLE) + ")"
@@ -228,9 +255,11 @@ def validator_confidence(s, d):
     return B.messages(s, d).select("message_id", F.round(X.decision_confidence("content"), 6).alias("confidence"))
 
 
-@query(f"""SELECT message_id, trim(regexp_extract(content, '(?i)We should ([^.]+)', 1)) AS text, 0.6 AS confidence FROM {MESSAGES} WHERE content LIKE 'We should adopt%'""")
+@query(f"""WITH m AS (SELECT * FROM {MESSAGES}), h AS ({" UNION ALL ".join(f"SELECT message_id, length(content) AS size, trim(unnest(regexp_extract_all(content, {_re(p)}, 1))) AS text FROM m" for p in rules.LIVE_DECISIONS)}),
+t AS (SELECT DISTINCT message_id, size, text FROM h WHERE length(text) BETWEEN 10 AND 200)
+SELECT * FROM (SELECT message_id, text, least(greatest(5 + {" + ".join(f"CASE WHEN regexp_matches(text, {_re(p)}) THEN 1 ELSE 0 END" for p in rules.TECH_FAMILIES)} + CASE WHEN size > 500 THEN 1 ELSE 0 END - CASE WHEN contains(text, '?') THEN 2 ELSE 0 END, 0), 10) / 10.0::DOUBLE AS confidence FROM t) WHERE confidence > 0.5""")
 def live_decision_confidence(s, d):
-    return X.live_decisions(B.messages(s, d)).where("text like 'adopt%'").select("message_id", "text", "confidence")
+    return X.live_decisions(B.messages(s, d)).select("message_id", "text", "confidence")
 
 
 @query("""SELECT event_id AS id, CASE WHEN event_type = 'error' THEN '/tmp/x' || event_id ELSE '/src/f' || event_id END AS path, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'create' ELSE 'delete' END AS action FROM events WHERE event_type <> 'signup'""")
@@ -241,19 +270,30 @@ def live_file_ops(s, d):
     return X.live_file_ops(u)
 
 
-@query(None)
+@query(f"""WITH m AS (SELECT *, coalesce(role = 'user' AND {_any("content", rules.PROBLEM_START)}, false) AS opens, coalesce(role = 'assistant' AND {_any("content", [*rules.SUCCESS, *rules.FAILURE])}, false) AS closes, coalesce(role = 'assistant' AND {_any("content", rules.SUCCESS)}, false) AS good FROM {MESSAGES}),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conversation_id ORDER BY timestamp, message_id) AS segment FROM m),
+c AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY conversation_id, segment ORDER BY timestamp, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM s WHERE segment > 0)
+SELECT conversation_id, arg_min(message_id, (timestamp, message_id)) AS start_message_id, arg_max(message_id, (timestamp, message_id)) AS end_message_id, count(*)::INT AS n_messages, CASE WHEN bool_or(good) THEN 'success' WHEN bool_or(closes) THEN 'failed' ELSE 'open' END AS outcome FROM c WHERE closed = 0 GROUP BY conversation_id, segment HAVING count(*) >= 2""")
 def methodology_segments(s, d):
     return X.methodology_segments(B.messages(s, d))
 
 
-@query(None)
+PATHS = "'" + X.PATHS + "'"
+
+
+@query(f"""WITH m AS (SELECT * FROM {MESSAGES} WHERE role = 'assistant' AND {_noise(rules.SHORT_NOISE)}), h AS ({" UNION ALL ".join(f"SELECT message_id, conversation_id, content, unnest(regexp_extract_all(content, {_re(p)})) AS whole, trim(unnest(regexp_extract_all(content, {_re(p)}, 1))) AS t FROM m" for p in rules.DISCOVERIES)}),
+n AS (SELECT *, instr(content, whole) AS pos, row_number() OVER (PARTITION BY message_id, t ORDER BY instr(content, whole), length(whole), whole) AS n FROM h WHERE length(t) >= 20),
+a AS (SELECT *, substr(content, greatest(pos - 200, 1), pos + 400 - greatest(pos - 200, 1)) AS around FROM n WHERE n = 1)
+SELECT message_id, conversation_id, substr(t, 1, 500) AS discovery, substr(coalesce({", ".join(_group("around", p) for p in rules.TOPICS)}, t), 1, 100) AS topic, {_label("around", rules.FINDING_SOURCES.items(), "code")} AS source_type,
+CASE WHEN regexp_matches(around, {PATHS}) THEN regexp_extract(around, {PATHS}) WHEN regexp_matches(around, 'https?://[^\\s)]+') THEN regexp_extract(around, 'https?://[^\\s)]+') END AS source_reference,
+{_label("around", [(k, rules.RELEVANCE[k]) for k in ("high", "low")], "medium")} AS relevance, {_label("around", [(k, rules.SURENESS[k]) for k in ("verified", "uncertain")], "likely")} AS confidence, array_to_string(list_sort(list_distinct(regexp_extract_all(around, {PATHS}))), ',') AS related_to FROM a""")
 def research_findings(s, d):
-    return X.findings(B.messages(s, d))
+    return X.findings(B.messages(s, d)).withColumn("related_to", F.array_join(F.array_sort("related_to"), ","))
 
 
 @query(None)
 def solution_patterns(s, d):
-    return X.solutions(B.messages(s, d))
+    return X.solutions(B.messages(s, d)).withColumns({c: F.array_join(c, "|") for c in ("solution_steps", "technology", "prerequisites", "applied_to_files")})
 
 
 @query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'fatal: permission denied' ELSE 'odd line' END AS what_went_wrong FROM events WHERE event_type = 'error'")
@@ -267,7 +307,7 @@ def message_roles(s, d):
     return B.messages(s, d).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT message_id FROM {MESSAGES} WHERE content LIKE 'Let me summarize%'""")
+@query(f"SELECT message_id FROM {MESSAGES} WHERE NOT {_noise(rules.NOISE)}")
 def noise_messages(s, d):
     from sessionloom.functions import predicates as P
 

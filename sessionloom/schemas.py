@@ -21,7 +21,8 @@ KEYS = {
     "tool_results": ["id"],
     "file_edits": ["id"],
     "thinking_blocks": ["id"],
-    "decisions": ["id"],
+    **dict.fromkeys(("decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns", "session_handoffs", "maintenance_log", "chunk_embeddings"), ["id"]),
+    "embeddings": ["message_id"],
     "git_commits": ["hash"],
     "working_memory": ["project_path", "key"],
 }

@@ -11,6 +11,11 @@ from sessionloom import schemas
 from sessionloom.operators.memory import merge
 
 
+#: Tables whose rows go with their message, and those that go with their conversation.
+OF_MESSAGE = ("tool_uses", "tool_results", "thinking_blocks", "embeddings", "chunk_embeddings")
+OF_CONVERSATION = ("file_edits", "decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns")
+
+
 class Tables:
     """Named tables under one folder; the newest complete version of each is read.
 
@@ -45,6 +50,21 @@ class Tables:
         keep = ("created_at",) if "created_at" in new.columns else ()
         self.write(name, new if old is None else merge(old, new, keys, keep))
 
+    def upsert_messages(self, new: DataFrame) -> int:
+        """Messages of known conversations; how many were left out because theirs is not (SNK-3)."""
+        known = self.read("conversations")
+        if known is None:
+            return new.count()
+        ids = known.select(F.col("id").alias("conversation_id"))
+        self.upsert("messages", new.join(ids, "conversation_id", "left_semi"))
+        return new.join(ids, "conversation_id", "left_anti").count()
+
+    def clear(self, name: str) -> None:
+        """No rows any more (SNK-10)."""
+        old = self.read(name)
+        if old is not None:
+            self.write(name, old.limit(0))
+
     def delete(self, name: str, doomed: DataFrame) -> None:
         """Rows whose values are in ``doomed`` (its columns are the key) go."""
         old = self.read(name)
@@ -55,21 +75,26 @@ class Tables:
         """Conversations (id) and, by their keys, all that hangs on them (SNK-13)."""
         messages = self.read("messages")
         gone = messages.join(ids.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select(F.col("id").alias("message_id")) if messages is not None else None
-        for name in ("tool_uses", "tool_results", "thinking_blocks"):
+        for name in OF_MESSAGE:
             if gone is not None:
                 self.delete(name, gone)
-        for name in ("messages", "file_edits", "decisions"):
+        for name in ("messages", *OF_CONVERSATION):
             self.delete(name, ids.select(F.col("id").alias("conversation_id")))
+        commits = self.read("git_commits")
+        if commits is not None:  # commits stay, without their link
+            lost = F.broadcast(ids.select(F.col("id").alias("conversation_id"), F.lit(True).alias("_lost")))
+            self.write("git_commits", commits.join(lost, "conversation_id", "left").withColumn("conversation_id", F.when(F.col("_lost").isNull(), F.col("conversation_id"))).select(commits.columns))
         self.delete("conversations", ids.select("id"))
 
     def backup(self, ids: DataFrame, to: str) -> dict[str, int]:
-        """Selected conversations and their messages as JSON; rows by table (SNK-14)."""
-        out = {}
-        for name, key in (("conversations", "id"), ("messages", "conversation_id"), ("decisions", "conversation_id"), ("file_edits", "conversation_id")):
+        """Selected conversations and all that hangs on them as JSON; rows by table (SNK-14)."""
+        out, messages = {}, self.read("messages")
+        own = None if messages is None else messages.join(ids.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select(F.col("id").alias("message_id"))
+        keys = {"conversations": ids.select("id"), **dict.fromkeys(("messages", *OF_CONVERSATION, "git_commits"), ids.select(F.col("id").alias("conversation_id"))), **dict.fromkeys(OF_MESSAGE, own)}
+        for name, key in keys.items():
             df = self.read(name)
-            if df is not None:
-                rows = df.join(ids.select(F.col("id").alias(key)), key, "left_semi")
-                rows.write.json(f"{to}/{name}")
+            if df is not None and key is not None:
+                df.join(key, key.columns, "left_semi").write.json(f"{to}/{name}")
                 out[name] = self.spark.read.text(f"{to}/{name}").count()
         return out
 
@@ -79,8 +104,33 @@ class Tables:
         if df is not None:
             self.write(name, df.withColumn("project_path", F.when(F.col("project_path") == old, F.lit(new)).otherwise(F.col("project_path"))))
 
-    def compact(self, name: str, files: int = 1) -> None:
-        """The table rewritten in few files (SNK-19)."""
+    def migrate(self, old: str, new: str, alias: bool = True) -> dict[str, int]:
+        """Every table's project_path moves from old to new; rows moved by table (migrate_project). Nothing may stand under ``new`` yet. With ``alias`` the old path still finds the project."""
+        there = [n for n in ("conversations", "working_memory") if (df := self.read(n)) is not None and not df.where(F.col("project_path") == new).isEmpty()]
+        if there:
+            raise ValueError(f"{new} has rows already in {', '.join(there)}")
+        out = {}
+        for name in ("conversations", "working_memory", "session_handoffs", "tags"):
+            df = self.read(name)
+            if df is not None:
+                out[name] = df.where(F.col("project_path") == old).count()
+                if out[name]:
+                    self.repath(name, old, new)
+        if alias:
+            made = self.spark.createDataFrame([(old, new)], "alias_path string, canonical_path string").select("alias_path", "canonical_path", F.sha2("canonical_path", 256).alias("project_id"))
+            self.upsert("project_aliases", made, ["alias_path"])
+        return out
+
+    def bytes(self, name: str) -> int:
+        """Size of the files of the newest version."""
+        v = self._versions(name)
+        if not v:
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{v[-1]}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def compact(self, name: str, file_bytes: int = 128 << 20) -> None:
+        """The table rewritten in files of about ``file_bytes``, in as many tasks as there are files (SNK-19)."""
         df = self.read(name)
         if df is not None:
-            self.write(name, df.coalesce(files))
+            self.write(name, df.repartition(-(-self.bytes(name) // file_bytes) or 1))

@@ -39,12 +39,21 @@ def live_facts(batch: DataFrame) -> DataFrame:
     return rows.withColumn("ttl", ttl)
 
 
+def batch_metrics(batch: DataFrame, number: int, now: int) -> DataFrame:
+    """One row of what a micro-batch held: messages, tool calls, errors, and facts by kind (STR-5)."""
+    n = batch.agg(F.count_if(F.col("type") == "message").alias("messages"), F.count_if(F.col("type") == "tool_use").alias("tool_uses"), F.count_if(F.coalesce("is_error", F.lit(False))).alias("failed"))
+    kinds = live_facts(batch).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in TTL])
+    return n.crossJoin(F.broadcast(kinds)).select(F.lit(number).cast("long").alias("batch"), F.lit(now).alias("at"), "*")
+
+
 def remember_live(spark: SparkSession, folder: str, store: str, checkpoint: str, project: str, now: int, once: bool = True) -> StreamingQuery:
     """Run the stream into the table working_memory of ``store``."""
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         rows = live_facts(batch)
         fresh = rows.select(F.lit(project).alias("project_path"), "key", "value", F.array("kind").alias("tags"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), (F.lit(now) + F.col("ttl") * 1000).cast("long").alias("expires_at"))
-        Tables(spark, store).upsert("working_memory", fresh)
+        tables = Tables(spark, store)
+        tables.upsert("working_memory", fresh)
+        tables.upsert("live_metrics", batch_metrics(batch, number, now), ["batch"])
 
     q = records(spark, folder).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if once else q.trigger(processingTime="1 second")).start()

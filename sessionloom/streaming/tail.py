@@ -1,46 +1,82 @@
 """A streaming source of lines appended to session logs (STR-1, STR-3, SRC-16).
 
-Spark's file stream reads a file once; this source goes on where it stopped. The offset is the number of complete
-lines read of each file, so a restart from the checkpoint neither loses nor repeats lines; a file that has become
-shorter is read from its start. Listing and reading are the driver's, as live logs are few and local.
+Spark's file stream reads a file once; this source goes on where it stopped. The offset is the end of the last complete
+line of each file, in bytes, so a restart from the checkpoint neither loses nor repeats lines; a file that has become
+shorter is read from its start. The driver lists files and looks at their ends only; tasks read the appended ranges, long
+ones in parts of ``PART_BYTES``, each from its first line start to the end of the line that begins in it.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+PART_BYTES = 32 << 20
+LOOK_BYTES = 1 << 16
 
-class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str, pattern: str):
-        self.pattern = os.path.join(folder, "**", pattern)
 
-    def _lines(self, path: str) -> list[str]:
-        try:
-            with open(path, encoding="utf-8", errors="replace") as f:
-                return f.read().split("\n")[:-1]  # what follows the last line break is not complete yet
-        except OSError:
-            return []
+@dataclass
+class Range(InputPartition):
+    """Lines of a file that begin at ``start`` or later and before ``end``."""
+
+    path: str
+    start: int
+    end: int
+    inner: bool  # ``start`` may lie inside a line
+
+
+def complete_bytes(path: str) -> int | None:
+    """Bytes up to the last line break, found from the end of the file; None if it cannot be read now."""
+    try:
+        with open(path, "rb") as f:
+            at = f.seek(0, os.SEEK_END)
+            while at > 0:
+                begin = max(0, at - LOOK_BYTES)
+                f.seek(begin)
+                found = f.read(at - begin).rfind(b"\n")
+                if found >= 0:
+                    return begin + found + 1
+                at = begin
+            return 0
+    except OSError:
+        return None
+
+
+class _Reader(DataSourceStreamReader):
+    def __init__(self, folder: str, pattern: str):
+        self.pattern, self.last = os.path.join(folder, "**", pattern), {}
 
     def initialOffset(self) -> dict:
         return {}
 
-    def _between(self, start: dict, end: dict) -> list[tuple]:
+    def latestOffset(self) -> dict:
+        ends = {p: complete_bytes(p) for p in sorted(glob.glob(self.pattern, recursive=True))}
+        # a file that cannot be read now keeps its offset
+        self.last = {p: self.last.get(p, 0) if n is None else n for p, n in ends.items()}
+        return self.last
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
         out = []
         for path, upto in sorted(end.items()):
-            lines = self._lines(path)
             begin = start.get(path, 0) if start.get(path, 0) <= upto else 0
-            out += [(path, i, lines[i]) for i in range(begin, min(upto, len(lines)))]
+            out += [Range(path, at, min(at + PART_BYTES, upto), at > begin) for at in range(begin, upto, PART_BYTES)]
         return out
 
-    def read(self, start: dict) -> tuple:
-        end = {p: len(self._lines(p)) for p in glob.glob(self.pattern, recursive=True)}
-        return iter(self._between(start, end)), end
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._between(start, end))
+    def read(self, partition: Range):
+        with open(partition.path, "rb") as f:
+            f.seek(partition.start - 1 if partition.inner else partition.start)
+            if partition.inner:
+                f.readline()  # the rest of a line that the part before has read, or its line break
+            at = f.tell()
+            while at < partition.end:
+                line = f.readline()
+                if not line:
+                    return
+                yield partition.path, at, line.rstrip(b"\n").decode("utf-8", "replace")
+                at += len(line)
 
 
 class TailSource(DataSource):
@@ -51,7 +87,7 @@ class TailSource(DataSource):
         return "session_tail"
 
     def schema(self) -> str:
-        return "path string, line_no int, line string"
+        return "path string, start long, line string"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Reader(self.options["folder"], self.options.get("pattern", "*.jsonl"))

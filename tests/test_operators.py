@@ -233,7 +233,7 @@ def test_knn_join_in_blocks(spark):
     rows = [(i, [float(i % 4), 1.0, float(i % 3)]) for i in range(40)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     queries = vectors.where("vec_id % 2 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
-    got = [{(r["query_id"], r["rank"], r["vec_id"]) for r in S.knn_join(vectors, queries, 3, block).collect()} for block in (1_000, 6)]
+    got = [{(r["query_id"], r["rank"], r["vec_id"]) for r in S.knn_join(vectors, queries, 3, block).collect()} for block in (1_000, 240)]
     assert got[0] == got[1] and len(got[0]) == 60
     assert S.knn_join(vectors, queries.limit(0), 3).count() == 0
 
@@ -262,6 +262,6 @@ def test_requirement_query_keeps_every_type(spark):
     want = set()
     for r in bindings.messages(spark, sf).select("message_id", "content").collect():
         for kind, p in rules.REQUIREMENTS:
-            want |= {(r["message_id"], kind, m[0].strip(" ")[:50]) for m in re.finditer(p, r["content"] or "", re.I)}
+            want |= {(r["message_id"], kind, m[1].strip(" ")[:50]) for m in re.finditer(p, r["content"] or "", re.I)}
     got = retrieval.QUERIES["requirement_extract_all"](spark, sf).collect()
     assert {(r["message_id"], r["type"], r["description"][:50]) for r in got} == want and want

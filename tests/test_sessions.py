@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sessionloom.api import Engine
@@ -96,6 +98,146 @@ def test_engine(spark, tmp_path):
     assert e.tables.read("messages").count() == 0 and e.tables.read("tool_uses").count() == 0
 
 
+def test_engine_facts(spark, tmp_path):
+    """Everything that is indexed is found again, linked to its source, and goes with its conversation."""
+    import subprocess
+
+    said = [("user", "help me fix the login api."), ("assistant", "We decided to use redis because it is fast. I found that the session cache keeps rows of closed sessions in /src/cache.py."), ("user", "that's wrong, use postgres for the database"), ("assistant", "error: connection refused by server"), ("assistant", "The fix is to use a lock. It is fixed and done."), ("user", "we must support python 3 because the client needs it.")]
+    folder = tmp_path / "p"
+    folder.mkdir()
+    rows = [{"type": r, "uuid": f"u{i}", "sessionId": "s1", "timestamp": f"2025-01-17T10:0{i}:00.000Z", "cwd": "/w", "message": {"role": r, "content": t}} for i, (r, t) in enumerate(said)]
+    use = {"type": "assistant", "uuid": "t1", "sessionId": "s1", "timestamp": "2025-01-17T10:06:00.000Z", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "x", "name": "Bash", "input": {"command": "pytest tests/test_a.py"}}]}}
+    result = {"type": "user", "uuid": "t2", "sessionId": "s1", "timestamp": "2025-01-17T10:07:00.000Z", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "x", "content": "1 failed in 2 s", "is_error": True}]}}
+    (folder / "s1.jsonl").write_text("\n".join(map(json.dumps, [*rows, use, result])))
+    repo = tmp_path / "r"
+    repo.mkdir()
+    (repo / "cache.py").write_text("x\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True, env={"GIT_COMMITTER_DATE": "2025-01-17T10:05:00Z", "GIT_AUTHOR_DATE": "2025-01-17T10:05:00Z", "PATH": "/usr/bin:/bin:/usr/local/bin"})
+    for a in (("init", "-q"), ("add", "."), ("commit", "-qm", "keep sessions in the database")):
+        git(*a)
+    e = Engine(spark, str(tmp_path / "store"))
+    n = e.index("/proj", [str(folder)], NOW, repo=str(repo))
+    assert all(n[k] >= 1 for k in ("decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns")), n
+    assert n["skipped_messages"] == 0
+    d = e.decisions("redis").first()
+    assert d["project_path"] == "/proj" and d["message_role"] == "assistant"
+    assert "connection refused" in e.mistakes("connection refused").first()["what_went_wrong"] or e.mistakes("failed").count()
+    r = e.requirements("client").first()
+    assert r["description"].startswith("python 3") and r["rationale"] == "the client needs it" and "client" in r["affects_components"]
+    assert e.validations().first()["result"] == "error" and e.validations().first()["test_files"] == ["tests/test_a.py"]
+    assert e.facts("research_findings").first()["source_reference"] == "/src/cache.py"
+    assert e.facts("solution_patterns").first()["solution_summary"] == "use a lock"
+    assert e.facts("methodologies").count() == 1
+    c = e.commits().first()
+    assert c["conversation_id"] is not None and c["project_path"] == "/proj" and c["first_message"].startswith("help me")
+    found, advice = e.recall_and_apply("redis database")
+    assert {"decision", "commit"} <= {x["kind"] for x in found.collect()} and advice
+    assert e.search("redis", by_session=True).first()["n_hits"] >= 1
+    page = e.report("/proj")
+    assert "## Architecture" in page and "## Quality" in page and "2025-01: " in page
+    assert e.maintain(NOW).count() >= 4
+    assert e.tables.migrate("/proj", "/moved")["conversations"] == 1 and e.canonical("/proj") == "/moved"
+    kept = e.forget_topic("redis", str(tmp_path / "backup"), confirm=True)
+    assert kept["mistakes"] >= 1 and kept["embeddings"] >= 6
+    for name in ("messages", "embeddings", "chunk_embeddings", *[k for k in n if k not in ("skipped_messages",)]):
+        assert e.tables.read(name).count() == 0, name
+    assert e.commits().first()["conversation_id"] is None
+
+
+def test_handoff_resume(spark):
+    from sessionloom.operators import memory
+
+    schema = "id string, from_session_id string, project_path string, created_at long, handoff_data string, resumed_by_session_id string, resumed_at long"
+    data = json.dumps({"memory": [{"key": "k", "value": "v", "tags": ["t"]}, {"key": None}]})
+    h = spark.createDataFrame([("a", "s", "/p", 1, data, None, None), ("b", "s", "/p", 2, data, "old", 5), ("c", "s", "/q", 9, "broken", None, None)], schema)
+    taken = memory.resume(h, "/p")
+    assert [r["id"] for r in taken.collect()] == ["a"] and [r["id"] for r in memory.resume(h, "/p", "c").collect()] == ["c"]
+    marked = {r["id"]: (r["resumed_by_session_id"], r["resumed_at"]) for r in memory.mark_resumed(h, taken, "me", 7).collect()}
+    assert marked == {"a": ("me", 7), "b": ("old", 5), "c": (None, None)}
+    m = spark.createDataFrame([], "project_path string, key string, value string, tags array<string>, created_at long, updated_at long, expires_at long")
+    assert [(r["key"], r["value"], r["expires_at"]) for r in memory.injected(m, h, 7).where("project_path = '/p'").collect()] == [("k", "v", None)]
+
+
+def test_project_ids(spark):
+    from sessionloom.operators import relational as R
+
+    paths = spark.createDataFrame([("/a",), ("/old",), ("/new",)], "project_path string")
+    projects = spark.createDataFrame([("p1", "/a"), ("p2", "/b")], "id string, canonical_path string")
+    aliases = spark.createDataFrame([("/old", "p2"), ("/a", "p9")], "alias_path string, project_id string")
+    got = {r["project_path"]: (r["found_by"], r["project_id"]) for r in R.project_ids(paths, projects, aliases).collect()}
+    assert got["/a"] == ("canonical", "p1") and got["/old"] == ("alias", "p2") and got["/new"][0] == "new" and len(got["/new"][1]) == 64
+
+
+def test_tag_operations(spark):
+    from sessionloom.operators import maintenance, memory
+
+    tags = spark.createDataFrame([(1, "x", "/p", 0), (2, "y", "/p", 0), (3, "x", None, 0)], "id long, name string, project_path string, updated_at long")
+    links = spark.createDataFrame([(1, "d", 10, 5), (2, "d", 10, 4), (2, "m", 11, 3)], "tag_id long, item_type string, item_id long, created_at long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    t, k = memory.rename_tag(tags, links, "x", "z", 9, "/p")
+    assert {(r["id"], r["name"]) for r in t.collect()} == {(1, "z"), (2, "y"), (3, "x")} and rows(k) == rows(links)
+    t, k = memory.rename_tag(tags, links, "y", "x", 9, "/p")  # the name is there: links move
+    assert {r["id"] for r in t.collect()} == {1, 3} and rows(k) == [(1, "d", 10, 4), (1, "m", 11, 3)]
+    with pytest.raises(ValueError):
+        memory.delete_tag(tags, links, 1)
+    assert memory.delete_tag(tags, links, 1, force=True)[1].count() == 2
+    items = spark.createDataFrame([("d", 10), ("d", 12)], "item_type string, item_id long")
+    assert rows(memory.tag_items(links, items, [1], 8)) == [(1, "d", 10, 5), (1, "d", 12, 8), (2, "d", 10, 4), (2, "m", 11, 3)]
+    assert rows(memory.untag_items(links, items, [2])) == [(1, "d", 10, 5), (2, "m", 11, 3)]
+    found = memory.tagged(links, tags, ["x", "y"], False)
+    assert rows(memory.tag_breakdown(found)) == [("x", 1), ("y", 2)]
+    facts = spark.createDataFrame([(10, "a"), (12, "b"), (13, "c")], "id long, value string")
+    kept, moved = maintenance.merge_duplicates(facts, links, 12, [10], "d", strategy="merge_content")
+    assert rows(kept) == [(12, "b\na"), (13, "c")] and (1, "d", 12, 5) in rows(moved)
+
+
+def test_budget_with_free_items(spark):
+    """Against a running sum in Python; items without tokens cost nothing."""
+    import random
+
+    from sessionloom.operators import memory
+
+    rng = random.Random(1)
+    rows = [(i, rng.randint(0, 2), rng.randint(0, 5), rng.choice([0, 0, 1, 3, 8])) for i in range(80)]
+    for budget in (0, 1, 10, 60, 1000):
+        used, want = 0, {}
+        for i, _, _, n in sorted(rows, key=lambda r: (r[1], -r[2], r[0])):
+            used += n
+            if used > budget:
+                break
+            want[i] = used
+        df = spark.createDataFrame(rows, "id long, priority int, timestamp long, tokens int")
+        assert {r["id"]: r["used"] for r in memory.within_budget(df, budget).collect()} == want, budget
+
+
+def test_link_commits_against_all_pairs(spark):
+    import random
+
+    from sessionloom.operators import relational as R
+
+    rng = random.Random(3)
+    files = [f"f{i}" for i in range(6)]
+    hour = 3_600_000
+    commits = [(i, rng.randrange(40) * hour // 3, rng.sample(files, rng.randint(0, 3)), rng.choice("ab"), rng.choice(["Fix db", "api", ""])) for i in range(40)]
+    convs = [(i, s := rng.randrange(40) * hour // 3, s + rng.randrange(3) * hour, rng.sample(files, rng.randint(0, 3)), rng.choice("ab"), rng.sample(["db", "API", "x"], rng.randint(0, 2))) for i in range(30)]
+
+    def score(c, v):
+        gap = min(abs(c[1] - v[1]), abs(c[1] - v[2]))
+        time = 3 if v[1] <= c[1] <= v[2] else 2 if gap < hour / 12 else 1 if gap < hour else 0
+        shared = len(set(c[2]) & set(v[3]))
+        if not time and not shared:
+            return 0.0
+        return (time + (4 * shared / max(len(c[2]), len(v[3])) if c[2] and v[3] else 0) + (c[3] == v[4]) + 2 * min(sum(k.lower() in c[4].lower() for k in v[5]), 3) / 3) / 10
+
+    want = {}
+    for c in commits:
+        best = min(((-round(score(c, v), 9), v[0]) for v in convs))
+        if -best[0] > 0.3 + 1e-9:
+            want[c[0]] = (best[1], -best[0])
+    got = R.link_commits(spark.createDataFrame(commits, "commit_id long, timestamp long, files array<string>, branch string, message string"), spark.createDataFrame(convs, "conv_id long, first_at long, last_at long, files array<string>, branch string, keywords array<string>")).collect()
+    assert {r["commit_id"]: r["conv_id"] for r in got if r["confidence"] > 0.3 + 1e-9} == {k: v[0] for k, v in want.items()}
+
+
 def test_live_stream(spark, tmp_path):
     folder = tmp_path / "live"
     folder.mkdir()
@@ -123,10 +265,26 @@ def test_tail_source(spark, tmp_path):
         with f.open("a") as out:
             out.write(" now\nthree\n")
         q.processAllAvailable()
-        got = [(r["line_no"], r["line"]) for r in spark.sql("select * from tail order by line_no").collect()]
+        got = [(r["start"], r["line"]) for r in spark.sql("select * from tail order by start").collect()]
     finally:
         q.stop()
-    assert got == [(0, "one"), (1, "two"), (2, "half now"), (3, "three")]
+    assert got == [(0, "one"), (4, "two"), (8, "half now"), (17, "three")]
+
+
+def test_tail_ranges(tmp_path, monkeypatch):
+    """Parts of any size give each line once."""
+    from sessionloom.streaming import tail
+
+    f = tmp_path / "a.jsonl"
+    lines = ["x" * n for n in (0, 1, 5, 17, 2, 0, 40, 3)]
+    f.write_text("\n".join(lines) + "\nrest")
+    for size in (1, 2, 7, 16, 1000):
+        monkeypatch.setattr(tail, "PART_BYTES", size)
+        monkeypatch.setattr(tail, "LOOK_BYTES", 3)
+        r = tail._Reader(str(tmp_path), "*.jsonl")
+        end = r.latestOffset()
+        assert [x[2] for p in r.partitions({}, end) for x in r.read(p)] == lines
+        assert r.partitions(end, end) == []
 
 
 def test_git_and_tree(spark, tmp_path):
