@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,15 +53,18 @@ MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩī
 PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+#: Combining marks; translate() drops characters that have no counterpart.
+COMBINING = "".join(map(chr, range(0x300, 0x370)))
+
+
 def folded(query: str) -> str:
     """A query as :func:`tokens` folds texts."""
-    low = query.lower().translate(str.maketrans(MARKED, PLAIN))
-    return "".join(x for x in low if not unicodedata.combining(x))
+    return query.lower().translate(str.maketrans(MARKED, PLAIN, COMBINING))
 
 
 def without_marks(c: Column) -> Column:
-    """Letters without their diacritics; texts of ASCII alone are left as they are."""
-    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{M}+", ""))
+    """Letters without their diacritics, in one pass; texts of ASCII alone are left as they are."""
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(c, MARKED + COMBINING, PLAIN))
 
 
 def word_set(c, longer_than: int = 2) -> Column:
