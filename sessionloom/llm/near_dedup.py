@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     feats = stored(features(docs, words))
     classes = stored(feats.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")))
     # the class's first hash names it from here on: a doc_id may have several texts
-    reps = feats.join(classes, ["h1", "h2"]).where("doc_id = first").dropDuplicates(["h1"]).withColumn("rep", F.col("h1"))
+    reps = feats.join(classes.withColumnRenamed("first", "doc_id"), ["doc_id", "h1", "h2"]).dropDuplicates(["h1"]).withColumn("rep", F.col("h1"))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1")
     members = stored(banded.join(buckets.select("band", "center"), "band"))
