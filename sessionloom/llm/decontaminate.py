@@ -10,8 +10,8 @@ A mask is built by doubling: pairs of words, then pairs of pairs, so that a mask
 distances. Together the masks miss nothing: however the words that differ lie, every overlap that counts, of
 items of ``SHORTEST`` words or more, is hit by one of them (a test goes through all cases).
 
-The benchmark is broadcast when its seeds are ``BROADCAST_ROWS`` rows at most, which is counted; beyond that Spark
-joins by shuffle on the hash. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
+The benchmark is broadcast when its seeds are ``BROADCAST_ROWS`` rows at most, which is counted, and so are the ids of the documents that
+are hit; beyond that Spark joins by shuffle on the hash or the row. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
 Defined cases: null and empty texts are clean; items of fewer than ``SHORTEST`` words make no contamination, as
 everyday phrases would match them, not even as exact copies; items that occur twice count under both ids; rows that repeat a
@@ -75,18 +75,22 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
     return out.select(key, place.alias("place"), "seed")
 
 
+def _hinted(ids: DataFrame) -> DataFrame:
+    """Stored ids, to be broadcast if they are BROADCAST_ROWS at most, which is counted: then the texts that they are joined with stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched): the most equal words in a window, for each document and item that overlap."""
     items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST))
     item_seeds = stored(seeds(items, "item_id").select("item_id", F.col("place").alias("item_place"), "seed"))
-    small = item_seeds.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if item_seeds.count() <= BROADCAST_ROWS else (lambda df: df)
     # a row is known by doc_id and text, as rows may repeat a doc_id
     docs = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("row"), "text")
     hashed = docs.select("row", word_hashes(F.col("text")).alias("words"))
     hits = seeds(hashed, "row").join(hint(item_seeds), "seed").select("row", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
     hits = stored(hits.distinct())
-    touched = docs.join(hits.select("row").distinct(), "row", "left_semi").select("row", word_hashes(F.col("text")).alias("doc_words"))
+    touched = docs.join(_hinted(stored(hits.select("row").distinct())), "row", "left_semi").select("row", word_hashes(F.col("text")).alias("doc_words"))
     # the document's words come last and are cut to the item's span at once: what a row holds is bounded by the item
     pairs = hits.join(hint(items.withColumnRenamed("words", "item_words")), "item_id").join(touched, "row")
     start, end = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item_words"), F.size("doc_words") - F.col("diagonal"))
@@ -105,7 +109,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold benchmark text."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    found = stored(contaminated(docs, benchmark).select("doc_id"))
+    return docs.join(_hinted(found), "doc_id", "left_anti").select(docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
