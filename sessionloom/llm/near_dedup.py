@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     comps = connected(links.unionByName(more), "a", "b")
     linked = stored(classes.join(comps, classes["h1"] == comps["node"]).select("h1", "h2", "component", "first"))
     smallest = linked.groupBy("component").agg(F.min("first").alias("least"))
-    of_class = classes.join(linked.join(smallest, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("least"))
+    # written first: then both sides of the last join are exchanged by themselves, and Spark can split the rows of a large class
+    of_class = stored(classes.join(linked.join(smallest, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("least")))
     out = feats.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
