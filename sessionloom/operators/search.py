@@ -57,40 +57,56 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+#: Edges of a token, and what lies between two (FTS-6).
+_START, _END, _GAP = r"(?<![\p{L}\p{N}\p{M}])", r"(?![\p{L}\p{N}\p{M}])", r"[^\p{L}\p{N}\p{M}]+"
+
+
+def term_pattern(term: str) -> str:
+    """A pattern for a folded term in a lower-case text: each letter with any of its marks. One pass over the text finds it, without cutting the text in tokens."""
+    variants = {c: "".join(m for m, p in zip(T.MARKED, T.PLAIN, strict=True) if p == c) for c in set(term)}
+    return "".join(f"[{c}{variants[c]}]" + r"\p{M}*" for c in term)
+
+
+def _lower(text_col) -> Column:
+    return F.lower(F.col(text_col) if isinstance(text_col, str) else text_col)
+
+
 def match_all(text_col, query: str) -> Column:
     """All terms occur (FTS-1); an empty query matches nothing."""
     terms = query_terms(query)
-    if not terms:
-        return F.lit(False)
-    return F.size(F.array_intersect(T.tokens(text_col), F.array(*map(F.lit, terms)))) == len(terms)
+    return reduce(lambda a, b: a & b, [_lower(text_col).rlike(_START + term_pattern(t) + _END) for t in terms]) if terms else F.lit(False)
 
 
 def match_any(text_col, query: str) -> Column:
     """One term at least occurs (FTS-2)."""
     terms = query_terms(query)
-    return F.arrays_overlap(T.tokens(text_col), F.array(*map(F.lit, terms))) if terms else F.lit(False)
+    return _lower(text_col).rlike(_START + "(?:" + "|".join(map(term_pattern, terms)) + ")" + _END) if terms else F.lit(False)
 
 
 def match_phrase_prefix(text_col, query: str) -> Column:
     """The terms follow each other, the last as a prefix (FTS-3)."""
     terms = query_terms(query)
-    if not terms:
-        return F.lit(False)
-    return F.concat(F.lit(" "), F.array_join(T.tokens(text_col), " ")).contains(" " + " ".join(terms))
+    return _lower(text_col).rlike(_START + _GAP.join(map(term_pattern, terms))) if terms else F.lit(False)
 
 
 def bm25(docs: DataFrame, query: str, limit: int, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best documents by BM25 over any term (FTS-5). Terms are few, so the postings are filtered before anything is shuffled."""
+    """The best documents by BM25 over any term (FTS-5). All texts are measured once; terms are counted only in those that hold one, and no token is shuffled."""
     terms = query_terms(query)
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(text_col).alias("tokens")).withColumn("dl", F.size("tokens"))
-    totals = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = words.select("id", "dl", F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("token")) if terms else words.select("id", "dl", F.lit("").alias("token")).limit(0)
-    tf = hits.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(df), "token").join(F.broadcast(totals)).groupBy("id").agg(F.sum(part).alias("score"))
-    return scored.orderBy(F.desc("score"), F.asc("id")).limit(limit)
+    low = F.coalesce(F.lower(F.col(text_col)), F.lit(""))
+    plain = F.when(low.rlike(r"\p{M}"), F.regexp_replace(low, r"\p{M}+", "")).otherwise(low)
+    length = F.size(F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    n_and_length = docs.select(length.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    holding = docs.where(match_any(text_col, query))
+    words = holding.select(F.col(id_col).alias("id"), T.tokens(text_col).alias("tokens"))
+    counted = words.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("found")) if terms else words.select("id", F.lit(0).alias("dl"), F.array().alias("found"))
+    counted = counted.select("id", "dl", *[(F.size("found") - F.size(F.array_remove("found", t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    totals = n_and_length.join(counted.agg(F.lit(1).alias("_one"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]))
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    return counted.join(F.broadcast(totals)).select("id", score.alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(limit)
 
 
 def recent_candidates(docs: DataFrame, matches: Column, order: str, limit: int, id_col: str) -> DataFrame:
