@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ WS_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders that stored() has written since the innermost settled() began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,14 +44,36 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.options(**options).parquet(path)
+    if (folders := _written.get()) is not None:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` gives, stored; whatever was stored on the way to it is deleted then, so ``make`` may hand out nothing else."""
+    outer, folders = _written.get(), []
+    token = _written.set(folders)
+    try:
+        out = stored(make())
+    finally:
+        _written.reset(token)
+    *passed, own = folders
+    for folder in passed:
+        _delete(out.sparkSession, folder)
+    if outer is not None:
+        outer.append(own)
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a :func:`stored` frame that nothing reads any more."""
     for file in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rpartition("/")[0])
 
 
 def free_name(columns: list[str], name: str) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, ship, stored, table
+from .common import connected, settled, ship, stored, table
 from .words import batch_words, mix, ngrams, texts_of
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4  # 64 minima and 64 maxima make 32 bands of 4 values
@@ -171,11 +171,8 @@ def _cross_links(blocks: DataFrame, percent: int, least: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept, text_hash (of :func:`text_hash`)."""
-    docs = docs.select("doc_id", "text")
-    feats = stored(features(docs, words))
-    classes = stored(feats.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")))
+def _least_of_classes(docs: DataFrame, feats: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """h1, h2 and the smallest doc_id of the component of each class."""
     # the class's first hash names it from here on: a doc_id may have several texts
     reps = feats.join(classes.withColumnRenamed("first", "doc_id"), ["doc_id", "h1", "h2"]).dropDuplicates(["h1"]).withColumn("rep", F.col("h1"))
     banded = reps.select("rep", F.explode("bands").alias("band"))
@@ -203,8 +200,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     comps = connected(links.unionByName(more), "a", "b")
     linked = stored(classes.join(comps, classes["h1"] == comps["node"]).select("h1", "h2", "component", "first"))
     smallest = linked.groupBy("component").agg(F.min("first").alias("least"))
+    return classes.join(linked.join(smallest, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept, text_hash (of :func:`text_hash`)."""
+    docs = docs.select("doc_id", "text")
+    feats = stored(features(docs, words))
+    classes = stored(feats.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")))
     # written first: then both sides of the last join are exchanged by themselves, and Spark can split the rows of a large class
-    of_class = stored(classes.join(linked.join(smallest, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("least")))
+    of_class = settled(lambda: _least_of_classes(docs, feats, classes, words, percent))
     out = feats.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")

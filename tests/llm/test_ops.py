@@ -413,7 +413,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = docs.columns, docs.count()
     for name, stage in cp.STAGES[:-1]:
-        docs = cp.stored(stage(spark, docs, sf))
+        docs = common.stored(stage(spark, docs, sf))
         assert docs.columns == columns, name
         assert docs.count() <= seen
         seen = docs.count()
@@ -672,9 +672,24 @@ def test_pipeline_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cp, "table", lambda spark, sf_dir, name: {"documents": docs, "benchmark": bench}.get(name))
     columns, at = docs.columns, docs
     for name, stage in cp.STAGES[:-1]:
-        at = cp.stored(stage(spark, at, ""))
+        at = common.stored(stage(spark, at, ""))
         assert at.columns == columns, name
         assert {r["_id"] for r in at.collect()} == {"mine"} and {r["n_lines"] for r in at.collect()} == {"mine"}
     want = {1: texts[1], 3: texts[3].split("\n")[1], 4: texts[4].split("\n")[1], 5: texts[5], 8: "", None: "no id"}
     assert {r["doc_id"]: r["text"] for r in at.collect()} == want
     assert {r["doc_id"]: r["decoded_sha256"] for r in cp.run(spark, "").collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_settled_leaves_only_the_result(spark, tmp_path, monkeypatch):
+    """What was stored on the way is gone, within a settled frame of a settled frame too; what was stored before stays."""
+    folders = (f"file://{tmp_path}/{k}" for k in itertools.count())
+    monkeypatch.setattr(common, "shared_dir", lambda spark: next(folders))
+    outside = common.stored(spark.range(3))
+
+    def inner():
+        return common.stored(outside.where("id > 0")).unionByName(common.stored(spark.range(9, 10)))
+
+    out = common.settled(lambda: common.settled(inner).unionByName(common.stored(outside)))
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 1, 2, 2, 9]
+    assert len(list(tmp_path.iterdir())) == 2 and outside.count() == 3
+    assert common.settled(lambda: common.stored(outside).limit(0)).count() == 0
