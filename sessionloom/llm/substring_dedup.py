@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table
+from .common import settled, ship, stored, table
 from .words import batch_words, mix, ngrams, texts_of
 
 WINDOW, GRAM = 50, 8
@@ -342,7 +342,7 @@ def _class_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     all_of = F.array(F.struct(F.col("off"), F.col("n").alias("len")))
     some = F.transform("runs", lambda r: F.struct((F.col("off") + r["off"]).alias("off"), r["len"].alias("len")))
     of_hot = parts.drop("words").join(stored(least), ["mini", "t1", "t2"]).select(*key, F.when(F.col("rep") > F.col("least"), all_of).otherwise(some).alias("runs")).where("runs is not null")
-    return stored(runs.join(wanted.where("not hot").select(*key), key, "left_semi").select(*key, "runs").unionByName(of_hot))
+    return runs.join(wanted.where("not hot").select(*key), key, "left_semi").select(*key, "runs").unionByName(of_hot)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     classes = stored(segs.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "text_hash", "start")).alias("at"), F.first("n").alias("n")).select(*key, "rep", "last", "n", "at.text_hash", "at.start"))
     several = stored(classes.groupBy("mini").agg(F.count("*").alias("classes"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("classes > 1 and lo < hi").select("mini", (F.col("classes") > HOT_CLASSES).alias("hot")))
     wanted = stored(classes.join(several, "mini").select("rep", "text_hash", "start", "n", *key, "hot"))
-    found = _class_runs(docs, wanted)
+    found = settled(lambda: _class_runs(docs, wanted))
     touched = stored(classes.join(found, key, "left").where("last > rep or runs is not null").select(*key, "rep", "runs"))
     whole = F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len")))
     of_doc = F.when(F.col("doc_id") > F.col("rep"), whole).otherwise(F.col("runs"))
