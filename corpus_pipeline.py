@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before it kept, and returns a
 DataFrame; all but the last return the columns of documents. A stage's rows are written to the shared
-folder before the next one reads them, so a lost executor repeats tasks of one stage at most.
+folder before the next one reads them, so a lost executor repeats tasks of one stage at most; what only that
+stage has read or written on the way is deleted then.
 
 Defined cases: null texts count as empty; rows without doc_id go through the stages that look at a text by itself (quality,
 encoding) and stay in the others; rows that repeat a doc_id are judged each by its own text, but by benchmark
@@ -11,11 +12,13 @@ text together; columns of any name are carried along; empty tables give an empty
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from sessionloom.llm.common import free_name, stored, table
+from sessionloom.llm.common import discard, free_name, settled, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(partial(stage, spark, docs, sf_dir))
+        if k:  # the first stage's are the table
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
