@@ -34,8 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.getCheckpointDir() is None:  # the setting itself cannot be changed in a running session
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -645,6 +645,32 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
         common.shared_dir(Session)
 
 
+def test_shared_folder_of_a_local_session_without_setting():
+    """A folder of one's own is set once, on the context, as the setting cannot be changed in a running session."""
+
+    class Context:
+        master, folder = "local[2]", None
+
+        @staticmethod
+        def getConf():
+            return {}
+
+        @classmethod
+        def getCheckpointDir(cls):
+            return cls.folder
+
+        @classmethod
+        def setCheckpointDir(cls, folder):
+            assert cls.folder is None
+            cls.folder = folder + "/app"
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    one, two = common.shared_dir(Session), common.shared_dir(Session)
+    assert one != two and one.startswith(Context.folder + "/") and two.startswith(Context.folder + "/")
+
+
 def test_discard(spark):
     import os
 
