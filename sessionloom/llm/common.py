@@ -97,6 +97,13 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: the unsigned CRC-32 of the UTF-8 bytes of ``text``, bit by bit, as DuckDB has no function for it."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    byte = "list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, octet))"
+    return f"xor(list_reduce({octets}, lambda crc, octet: {byte}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of the undirected ``edges``; the component is its smallest node.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
+from . import bpe, decontaminate, embedding_dedup, exact_dedup, html_extract, importance, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, word_runs
 
 QUERIES = {
     "op1_context_mixing": mixing.op1_context_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_word_runs": word_runs.op12_word_runs,
+    "op13_embedding_near_dedup": embedding_dedup.op13_embedding_near_dedup,
 }
 
 ORACLE = {
@@ -22,4 +25,7 @@ ORACLE = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_minhash_near_dedup": near_dedup.SQL,
+    "op11_importance_resampling": importance.SQL,
+    "op12_word_runs": word_runs.SQL,
+    "op13_embedding_near_dedup": embedding_dedup.SQL,
 }
