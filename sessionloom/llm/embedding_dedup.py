@@ -4,8 +4,8 @@ Unit vectors are cut in two halves, each with a codebook of its own; the pair of
 vector's cell in the grid of both codebooks. A vector looks into its own cell and into the cells nearest to it: the centroids
 of each half are sorted by how far the vector is from their side of the border to its own centroid, and the two
 sequences are walked together while the sum of both squared distances is at most a reach. The reach is measured,
-not set: it is the least one with which ``recall`` of planted neighbours at just the cosine asked for, and ``recall``
-of the real links of a sample, are met. Cells are ordered by their number and a vector looks into higher ones only, so no pair
+not set: it is the least one with which ``recall`` of ``PLANTED`` planted neighbours at just the cosine asked for, and ``recall``
+of the real links between as many vectors of a sample, are met. Cells are ordered by their number and a vector looks into higher ones only, so no pair
 of vectors meets twice and links can be counted without writing pairs down.
 
 1. Rows with the same vector are one class, named by a number; classes of valid vectors are written once.
@@ -30,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected, settled, ship, stored, table
 
-COSINE, RECALL = 0.95, 0.999
-SAMPLE, PLANTED, MAX_CENTROIDS, CELL_ROWS, BLOCK = 20_000, 2_000, 1_024, 256, 256
+COSINE, RECALL = 0.95, 1.0
+SAMPLE, PLANTED, MAX_CENTROIDS, CELL_ROWS, BLOCK = 20_000, 2_000, 1_024, 1_024, 512
 
 
 class Grid:
@@ -115,8 +116,9 @@ def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8)
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
-    """Unit vectors in double precision from rows of packed doubles."""
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+    """Unit vectors in double precision from rows of packed numbers, single or double."""
+    raw = b"".join(column.to_pylist())
+    x = np.frombuffer(raw, np.float32 if len(raw) == 4 * width * len(column) else np.float64).reshape(-1, width).astype(np.float64)
     return x / np.linalg.norm(x / (scale := np.abs(x).max(1, keepdims=True)), axis=1, keepdims=True) / scale
 
 
@@ -127,15 +129,15 @@ def _valid(vector: Column) -> Column:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """vec_id, dim and vec (the components as doubles, packed) of valid rows."""
+    """vec_id, dim and vec (the components packed as they are, single or double) of valid rows."""
     ship(rows.sparkSession)
 
     def run(batches):
         for b in batches:
             v = b.column("v")
-            values, sizes = v.flatten().to_numpy() + 0.0, np.diff(v.offsets.to_numpy())  # -0.0 becomes 0.0
-            raw, ends = values.tobytes(), np.cumsum(sizes) * 8
-            vec = [raw[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            values, sizes = v.flatten().to_numpy() + np.float32(0), np.diff(v.offsets.to_numpy())  # -0.0 becomes 0.0
+            raw, wide = values.tobytes(), values.itemsize
+            vec = [raw[e - wide * n : e] for e, n in zip((np.cumsum(sizes) * wide).tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(sizes.astype(np.int32)), pa.array(vec, pa.binary())], names=["vec_id", "dim", "vec"])
 
     return rows.mapInArrow(run, "vec_id long, dim int, vec binary")
@@ -250,7 +252,9 @@ def _components(classes: DataFrame, cosine: float, recall: float) -> DataFrame:
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of ``vec_id`` and ``embedding``."""
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = rows.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & _valid(F.col("v"))
     keys = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")]
     packed = _packed(rows.where(good))

@@ -234,16 +234,25 @@ def test_near_vectors_with_many_cells(spark, planted, monkeypatch):
     """Cells and blocks so small that most links lie between them."""
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 8)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
-    got = sorted((tuple(r) for r in embedding_dedup.near_vectors(vectors(spark, planted), recall=1.0).collect()), key=str)
+    got = sorted((tuple(r) for r in embedding_dedup.near_vectors(vectors(spark, planted)).collect()), key=str)
     want = linked_by_hand(planted)
     assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want) and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
     assert sum(a[2:] == b[2:] for a, b in zip(got, want, strict=True)) >= 0.99 * len(want)
 
 
-def test_near_vectors_in_one_cell(spark, planted):
+def test_near_vectors_in_one_cell(spark, planted, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 10_000)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
     assert sorted((tuple(r) for r in embedding_dedup.near_vectors(vectors(spark, planted[::-1])).collect()), key=str) == linked_by_hand(planted)
 
 
+def test_near_vectors_of_single_precision(spark, planted, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 10_000)
+    rows = [(i, [float(np.float32(x)) for x in v], n) for i, v, n in planted]
+    got = embedding_dedup.near_vectors(vectors(spark, rows).withColumn("embedding", F.col("embedding").cast("array<float>")))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == linked_by_hand(rows)
+
+
 def test_near_vectors_odd_rows(spark):
     one, two = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0]
     rows = [(5, one, 1), (6, [2.0, 0.0, -0.0], 1), (7, two, 2), (8, [0.0, 0.0, 0.0], 1), (9, None, 1), (10, [], 1), (11, [1.0, None, 0.0], 1), (12, [1.0, float("nan"), 0.0], 1), (13, [float("inf"), 0.0, 0.0], 1)]
