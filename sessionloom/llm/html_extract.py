@@ -5,12 +5,17 @@ stands: weights are log odds of a word in each kind of place (a kind is the inne
 article text, counted on labelled pages; tags cost by how much more often they stand outside the article.
 A linear scan (:func:`best_run`) finds the contiguous run with the largest sum: the content region. Inside it, two rules decide
 besides the weights: words in elements that hold no article text (``CLOSED``: nav, footer, aside, form, ...) are left out, and so
-are those whose weight a listed class, id or role (``KINDS``) lowers to 0 or less; the others form blocks at block-level tags.
+are those whose weight the names around them (class, id and role) lower to 0 or less; the others form blocks at block-level tags.
 As such words are left out wherever they stand, a stretch of them costs ``BREAK`` at most, so that a long menu between two
-parts of an article does not part them. Names on html, body, main and article count for nothing, and the headings of
-an article's own header are text.
+parts of an article does not part them.
 
-The labelled pages are small hand-marked ones in :func:`labelled_pages`; others can be passed to :func:`fit`.
+What a name costs is learnt: its parts ("site-sidebar": site, sidebar) have the log odds with which elements of that name hold article text in
+:func:`labelled_layouts`; a name that occurs there whole counts as such. Names on html, body, main and a page's first article
+count for nothing, and the headings of an article's own header are text. A form, or an element whose names speak against it, is
+read as if it were a plain block if it holds more than half of the page's words outside links and, for names, its first heading, for
+a form, any article or main that there is; so are all names on a page that would be left without text.
+
+The labelled pages are small hand-marked ones in :func:`labelled_pages` and layouts in :func:`labelled_layouts`; others can be passed to :func:`fit`.
 
 Defined cases: null, empty and tag-only pages give an empty text; unclosed and crossed tags and truncated
 pages are read as far as they go; a page is never cut; repeated rows give equal results; an empty table
@@ -34,26 +39,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template iframe svg math object canvas head title select option textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 TELLING = frozenset("nav header footer aside form menu article main section p h1 h2 h3 h4 h5 h6 li td th blockquote pre figure figcaption div body a dialog details dd dt".split())
-#: Whole names in class, id and role that speak for a kind of place, "_" read as "-". Each lowers the weight of the words below it.
-KINDS = {
-    "advert": "ad ads advert adverts advertisement adsense ad-slot ad-banner banner promo promoted promotion sponsor sponsored",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip",
-    "side": "sidebar side aside widget related recommended recommendations trending popular more",
-    "notice": "cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall",
-    "social": "share sharing social follow tags tagcloud",
-    "comment": "comment comments reply replies respond discussion disqus",
-    "frame": "header masthead footer copyright colophon legal topbar site-header site-footer",
-    "form": "form login search searchbox",
-}
-KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 #: Elements whose places hold everything below them.
 CLOSED = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "header", "lead"])
 #: What a stretch of words and tags that are left out in any case costs at most: about a dozen words of prose.
 BREAK = 25.0
 #: Headings that are text in a header of main or article ("lead"), whose other words neither count nor cost.
 TITLES = frozenset(["h1", "h2", "h3"])
-#: Elements that hold the article: their names say nothing against it.
-HOLDERS = frozenset(["html", "body", "main", "article"])
+#: Elements that hold the article: their names say nothing against it (an article's only if no other came before it).
+HOLDERS = frozenset(["html", "body", "main"])
+#: Elements that may stand in a head; any other, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
+#: Parts of a form around a page that are no text.
+OF_FORM = frozenset("fieldset label legend".split())
+#: Least letters of a known part that a longer one may begin with ("comments", "commentlist").
+STEM = 5
 
 #: Start tags whose end tags may be left out: the open elements that each ends, and the elements it does not look beyond.
 _LIST_ENDS = frozenset("article aside blockquote body button center details dialog dir dl fieldset figcaption figure footer form header main menu nav ol section summary table td th ul".split())
@@ -69,26 +68,69 @@ IMPLIED = {
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)|([^<]+|<)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A slash at the end that is not part of a value without quotes.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=]+)/$")
 CLOSERS = {s: re.compile(rf"</{s}\b[^>]*>", re.I) for s in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
 
-def _named(attributes: str) -> str | None:
-    """The kind that a class, id or role names."""
-    if "=" in attributes:
-        for m in NAMES.finditer(attributes):
-            for w in (m[1] or m[2] or m[3] or "").lower().replace("_", "-").split():
-                if w in KIND_OF:
-                    return KIND_OF[w]
-    return None
+def _names(attributes: str) -> list[str]:
+    """Names in class, id and role, as they stand."""
+    return [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split()] if "=" in attributes else []
+
+
+def _parts(name: str) -> list[str]:
+    """ "siteSidebar", "site_sidebar", "site-sidebar-2": site, sidebar."""
+    return [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
+
+
+class Names:
+    """Log odds of names of elements and of their parts."""
+
+    def __init__(self, whole: dict[str, float], parts: dict[str, float]):
+        self.whole, self.parts = whole, parts
+        self.stems = sorted((p for p, w in parts.items() if len(p) >= STEM and w < 0), key=len, reverse=True)
+
+    def part(self, p: str) -> float:
+        if p in self.parts:
+            return self.parts[p]
+        stem = next((x for x in self.stems if p.startswith(x)), None)
+        return self.parts[stem] if stem else 0.0
+
+    def score(self, attributes: str) -> float:
+        """What the names of an element add to the weight of the words below it."""
+        total = 0.0
+        for name in _names(attributes):
+            own = self.whole.get(name.lower())
+            total += own if own is not None else sum(map(self.part, _parts(name)))
+        return max(-4.0, min(0.5, total))
+
+
+NO_NAMES = Names({}, {})
+
 
+class _Held:
+    """Words outside links, in all and in each element that its names or a form close, and which of those hold the first heading."""
 
-def events(page: str):
-    """Yields ("tag", name, block?, place) and ("text", decoded text, place) in page order; place: the kind that counts, "" for none, then "~" and the kind that names speak for, if any."""
-    stack: list[tuple[str, str]] = []  # element, place inside it
+    def __init__(self):
+        self.words, self.inside, self.titled, self.forms, self.title = 0, Counter(), set(), set(), False
+        self.article = False  # one stands outside all of them
+
+    def plain(self) -> frozenset[int]:
+        """Elements to read as plain blocks."""
+        return frozenset(k for k, n in self.inside.items() if 2 * n > self.words and (not self.article if k in self.forms else k in self.titled))
+
+
+def events(page: str, names: Names = NO_NAMES, plain: frozenset[int] = frozenset(), held: _Held | None = None):
+    """Yields ("tag", name, block?, place) and ("text", decoded text, place) in page order; place: the kind that counts, "" for none, then "~" and what names cost, if anything.
+
+    ``plain``: start tags, by number, that are read as plain blocks; ``held`` is filled on the way.
+    """
+    stack: list[tuple[str, str, int | None]] = []  # element, place inside it, the start tag that closes it
+    number, articles = 0, 0
     opened: Counter[str] = Counter()  # elements of the stack by name, so that an end tag without a start costs nothing
 
     def cut(k: int) -> None:
-        for name, _ in stack[k:]:
+        for name, *_ in stack[k:]:
             opened[name] -= 1
         del stack[k:]
 
@@ -96,11 +138,18 @@ def events(page: str):
     while pos < end:
         m = TOKEN.match(page, pos)
         pos = m.end()
-        place = stack[-1][1] if stack else ""
+        name = m[2].lower() if m[2] else ""
+        if opened["head"] and (m[4].strip() if m[4] is not None else name and not m[1] and name not in IN_HEAD):
+            cut(next(k for k, x in enumerate(stack) if x[0] == "head"))
+        place, closer = stack[-1][1:] if stack else ("", None)
         if m[4] is not None:
-            yield "text", html.unescape(m[4]), place
+            text = html.unescape(m[4])
+            if held is not None and place != "silent" and not opened["a"]:
+                held.words += (n := len(text.split()))
+                if closer is not None:
+                    held.inside[closer] += n
+            yield "text", text, place
         elif m[2]:
-            name = m[2].lower()
             if m[1]:
                 if opened[name]:
                     k = len(stack) - 1
@@ -109,11 +158,15 @@ def events(page: str):
                     cut(k)
                 yield "tag", "/" + name, name not in INLINE, stack[-1][1] if stack else ""
                 continue
+            number += 1
+            if held is not None and name == "h1" and not held.title:
+                held.title = True
+                held.titled |= {x[2] for x in stack if x[2] is not None}
             yield "tag", name, name not in INLINE, place
             if name in CLOSERS:
                 c = CLOSERS[name].search(page, pos)
                 pos = c.end() if c else end
-            elif name not in VOID and not m[3].endswith("/"):
+            elif name not in VOID and not SELF_CLOSED.search(m[3]):
                 if name in ("p", "option") and stack and stack[-1][0] == name:
                     cut(len(stack) - 1)
                 elif name in IMPLIED:
@@ -126,8 +179,11 @@ def events(page: str):
                             k -= 1
                         if at is not None:
                             cut(at)
-                place = stack[-1][1] if stack else ""
+                place, closer = stack[-1][1:] if stack else ("", None)
                 base, _, named = place.partition("~")
+                articles += name == "article"
+                if held is not None and closer is None and name in ("article", "main"):
+                    held.article = True
                 if name in SILENT:
                     kind = "silent"
                 elif base == "lead" and name in TITLES:
@@ -137,28 +193,35 @@ def events(page: str):
                 elif base == "silent" or base.removesuffix("+a") in CLOSED:
                     kind = place
                 else:
-                    kind = name if name in TELLING else base
+                    kind = name if name in TELLING and number not in plain else base
                     if kind == "a" and base:
                         kind = base.removesuffix("+a") + "+a"
-                    if not named and name not in HOLDERS:
-                        named = _named(m[3])
-                    if named:
-                        kind += "~" + named
-                stack.append((name, kind))
+                    if name in OF_FORM and opened["form"]:
+                        kind = "form"
+                    cost = float(named or 0)
+                    if number not in plain and name not in HOLDERS and (name != "article" or articles > 1):
+                        cost = min(0.0, cost + names.score(m[3]))
+                    if cost:
+                        kind += f"~{cost:.2f}"
+                    if closer is None and (name == "form" or cost) and number not in plain:
+                        closer = number
+                        if held is not None and name == "form":
+                            held.forms.add(number)
+                stack.append((name, kind, closer))
                 opened[name] += 1
 
 
 class Weights:
-    """Log odds for words by place and costs of tags."""
+    """Log odds for words by place, costs of tags, and names."""
 
-    def __init__(self, words: dict[str, float], tags: dict[str, float]):
-        self.words, self.tags = words, tags
+    def __init__(self, words: dict[str, float], tags: dict[str, float], names: Names = NO_NAMES):
+        self.words, self.tags, self.names = words, tags, names
 
     def word(self, place: str) -> float:
         if place in ("silent", "lead"):
             return 0.0
         place, _, named = place.partition("~")
-        return self._of(place) + (min(0.0, self.words.get("~" + named, -2.0)) if named else 0.0)
+        return self._of(place) + float(named or 0)
 
     def _of(self, place: str) -> float:
         if place in self.words:
@@ -170,8 +233,33 @@ class Weights:
         return self.tags.get(name, -0.5)
 
 
-def fit(pages: list[list[tuple[str, bool]]]) -> Weights:
-    """Weights from labelled pages, each a list of (piece of HTML, whether it is article text)."""
+def learnt_names(pages: list[list[tuple[str, bool]]]) -> Names:
+    """Names by the share of article text in the elements that bear them, in pages of (piece of HTML, whether it is article text)."""
+    seen: dict[str, Counter] = {"yes": Counter(), "no": Counter()}
+    for pieces in pages:
+        stack: list[list] = []  # element, names, words that are article text, others
+        for piece, label in pieces:
+            for m in TOKEN.finditer(piece):
+                if m[4] is not None:
+                    for entry in stack:
+                        entry[2 if label else 3] += len(m[4].split())
+                elif m[2] and not m[1]:
+                    if m[2].lower() not in VOID:
+                        stack.append([m[2].lower(), _names(m[3]) if m[2].lower() not in HOLDERS else [], 0, 0])
+                elif m[2] and stack:
+                    _, own, yes, no = stack.pop()
+                    if yes + no:
+                        for name in own:
+                            for key in {f"={name.lower()}", *_parts(name)}:
+                                seen["yes"][key] += yes / (yes + no)
+                                seen["no"][key] += no / (yes + no)
+    odds = {k: max(-3.0, min(3.0, math.log((seen["yes"][k] + 0.1) / (seen["no"][k] + 0.1)))) for k in {*seen["yes"], *seen["no"]}}
+    return Names({k[1:]: w for k, w in odds.items() if k[0] == "="}, {k: w for k, w in odds.items() if k[0] != "="})
+
+
+def fit(pages: list[list[tuple[str, bool]]], layouts: list[list[tuple[str, bool]]] | None = None) -> Weights:
+    """Weights from labelled pages, each a list of (piece of HTML, whether it is article text); names from those and from ``layouts``."""
+    names = learnt_names([*pages, *(labelled_layouts() if layouts is None else layouts)])
     words: dict[bool, Counter] = {True: Counter(), False: Counter()}
     tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for pieces in pages:
@@ -180,7 +268,7 @@ def fit(pages: list[list[tuple[str, bool]]]) -> Weights:
             at += len(p)
             marks.append((at, label))
         seen = 0
-        for kind, what, *rest in _positioned(whole):
+        for kind, what, *rest in _positioned(whole, names):
             at = rest[-1]
             while marks[seen][0] <= at and seen < len(marks) - 1:
                 seen += 1
@@ -188,18 +276,18 @@ def fit(pages: list[list[tuple[str, bool]]]) -> Weights:
             if kind == "text":
                 if rest[0] != "silent":
                     base, _, named = rest[0].partition("~")
-                    words[label]["~" + named if named else base] += len(what.split())
+                    words[label]["~" if named else base] += len(what.split())
             else:
                 tags[label][what] += 1
     odds = lambda c, k, s: math.log((c[True][k] + s) / (sum(c[True].values()) + 1)) - math.log((c[False][k] + s) / (sum(c[False].values()) + 1))
     clip = lambda x: max(-3.0, min(3.0, x))
-    return Weights({k: clip(odds(words, k, 0.5)) for k in {*words[True], *words[False]}}, {k: -0.2 + min(0.0, clip(odds(tags, k, 0.5))) / 3 for k in {*tags[True], *tags[False]}})
+    return Weights({k: clip(odds(words, k, 0.5)) for k in {*words[True], *words[False]}}, {k: -0.2 + min(0.0, clip(odds(tags, k, 0.5))) / 3 for k in {*tags[True], *tags[False]}}, names)
 
 
-def _positioned(page: str):
+def _positioned(page: str, names: Names):
     """events() with the place in the page of each: pieces of labelled pages end at tags, so counting is enough."""
     at = 0
-    for e in events(page):
+    for e in events(page, names):
         if e[0] == "text":
             yield "text", e[1], e[2], at
             at = page.find("<", at + 1)
@@ -211,8 +299,13 @@ def _positioned(page: str):
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """The main text of ``page``. Where names of classes would leave no word of it, it is read without them."""
-    found = list(events(page or ""))
+    """The main text of ``page``. Where names would leave no word of it, it is read without them."""
+    held = _Held()
+    found = list(events(page or "", weights.names, held=held))
+    plain: frozenset[int] = frozenset()
+    while more := held.plain() - plain:  # what such an element holds may be such an element itself
+        plain, held = plain | more, _Held()
+        found = list(events(page or "", weights.names, plain, held))
     text = _extract(found, weights)
     if not text and any("~" in e[-1] for e in found):
         text = _extract([(*e[:-1], e[-1].partition("~")[0]) for e in found], weights)
@@ -295,6 +388,32 @@ def labelled_pages() -> list[list[tuple[str, bool]]]:
     ]
 
 
+#: Names of common page layouts: around the article, and of what stands around it, one layout a line.
+LAYOUTS = """
+site-main content-area post hentry entry-content entry-title | site-header site-branding main-navigation menu-toggle primary-menu widget-area sidebar secondary widget comments-area comment-list comment-body comment-respond reply entry-footer entry-meta post-navigation site-footer site-info
+page-content article-body article-content story story-body | masthead top-bar topbar nav-links navbar breadcrumb breadcrumbs related-articles related recommended recommendations trending most-read most-popular popular more-stories newsletter newsletter-signup subscribe subscription signup share share-buttons social social-links follow colophon copyright legal
+main-content content text body-text lead prose | skip-link skip header logo menu main-menu submenu off-canvas search-form searchbox search login login-form cookie-notice cookie-banner cookie-bar cookie-consent consent consent-banner gdpr gdpr-banner footer footer-links back-to-top
+field-name-body node node-content region-content | region-header region-navigation block-menu block-search region-sidebar-first sidebar-first sidebar-second pager pagination tabs block-comments comment comment-wrapper links region-footer
+mw-body-content parser-output bodycontent page-body | mw-navigation mw-panel toc toc-list catlinks sitenotice notice printfooter jump-to-nav personal portlet
+post-content post-body post-text post-full-content | ad ads advert adverts advertisement ad-slot ad-banner adsense sponsor sponsored promo promotion promoted banner post-meta author-box author-bio byline tags tag-list tagcloud related-posts related-stories disqus disqus-thread discussion responses replies reply-list
+document documentation section-text markdown-body | sphinxsidebar side-nav side sidebar-wrapper sidebar-right sidebar-left nav nav-bar navigation toolbar header-links footer-wrapper footer-nav social-icons sharing share-bar
+layout-content with-sidebar has-sidebar content-wrapper page-wrapper | aside-content overlay modal popup popup-banner alert alert-bar paywall teaser teaser-list outbrain taboola user-comments comment-thread comments comments-section comment-form comment-count
+article article-text article-main main | contentinfo complementary navigation banner search dialog alert form cookies cookie-message privacy-banner privacy-notice site-notice site-navigation site-menu mobile-menu dropdown-menu mega-menu
+"""
+
+
+def labelled_layouts() -> list[list[tuple[str, bool]]]:
+    """A page for each layout and way of naming (class or id): its article in each of the article's names, and a block for each other name."""
+    said = ("The lock on the canal was mended in spring, and boats of any length may pass again.", "Bake the loaf until it sounds hollow, then let it cool on a rack.", "The council heard both sides and put off the vote until the autumn.")
+    out = []
+    for i, line in enumerate(LAYOUTS.strip().split("\n")):
+        own, others = (x.split() for x in line.split("|"))
+        for attribute in ("class", "id"):
+            page = [(f"<div {attribute}='{name}'><p>{said[(i + k) % 3]}</p></div>", True) for k, name in enumerate(own)]
+            out.append(page + [(f"<div {attribute}='{name}'><p>Elsewhere on this site</p></div>", False) for name in others])
+    return out
+
+
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     ship(pages.sparkSession)

@@ -485,6 +485,80 @@ def test_html_names_do_not_empty_a_page(start):
         assert got == f"{one}\n{two}"
 
 
+PAGE = "Flood\nThe river rose in the night and the lower fields were under water by dawn, said the keeper.\nEngineers will look at the dam on Monday and the road stays shut until then."
+ARTICLE = "<article><h1>{}</h1><p>{}</p><p>{}</p></article>".format(*PAGE.split("\n"))
+OTHERS = "<p>Great piece, thanks for it, I liked it!</p><p>Me too, said another reader.</p>"
+
+
+@pytest.fixture(scope="module")
+def html_weights():
+    return html_extract.fit(html_extract.labelled_pages())
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>x</title><body>", "<html><head><meta charset=utf-8><title>x</title><link href=y><script>var a='<p>';</script>", "<head><title>x</title><div>", "<html><head><noscript><link href=y></noscript><style>p{}</style></head><body>"])
+def test_html_head_ends_by_itself(html_weights, start):
+    assert html_extract.extract(start + ARTICLE, html_weights) == PAGE
+
+
+@pytest.mark.parametrize("inner", [ARTICLE, ARTICLE.replace("article", "div"), f"<div class=main-content>{ARTICLE}</div><label>Your name</label><fieldset>Pick one of these</fieldset>"])
+def test_html_form_around_a_page(html_weights, inner):
+    page = f"<html><body><form id=aspnetForm action=/><input name=v><nav><a href=/>Home</a></nav>{inner}<footer>Copyright nobody</footer></form></body></html>"
+    assert html_extract.extract(page, html_weights) == PAGE
+    assert html_extract.extract(f"<html><body>{ARTICLE}<form id=f><p>Leave us your address.</p><input></form></body></html>", html_weights) == PAGE
+
+
+@pytest.mark.parametrize("where", ["before", "after", "inside"])
+@pytest.mark.parametrize("names", ["class='comment-list'", "id='comments-section'", "class='site-sidebar'", "class='main-menu'", "id='gdpr-banner'", "class='commentList'", "id=disqus_thread", "class='sidebar-right col-4'", "class='related-posts'", "class='social-share-bar'", "class='cookieConsent'", "class='newsletter-box'", "class='site-footer-inner'", "class='ad-container'", "role='complementary'", "class='popup-overlay'"])
+def test_html_names_are_learnt_by_part(html_weights, names, where):
+    other = f"<div {names}>{OTHERS}</div>"
+    body = {"before": other + ARTICLE, "after": ARTICLE + other, "inside": ARTICLE.replace("<p>Eng", other + "<p>Eng")}[where]
+    assert html_extract.extract(f"<html><body>{body}</body></html>", html_weights) == PAGE
+
+
+@pytest.mark.parametrize("names", ["class='content-with-sidebar'", "class='page has-sidebar'", "class='post-12 post type-post hentry'", "class='col-md-8 container'", "class='l-content clearfix'", "id='bodyContent'", "class='layout-sidebar-left'", "class='navbar-fixed'"])
+def test_html_names_around_an_article(html_weights, names):
+    for inner in (ARTICLE, ARTICLE.replace("article", "div")):
+        assert html_extract.extract(f"<html><body><nav><a href=/>x</a></nav><div {names}>{inner}</div></body></html>", html_weights) == PAGE
+
+
+def test_html_comments_as_articles(html_weights):
+    many = f"<section><article class='comment'>{OTHERS * 9}</article></section>"
+    assert html_extract.extract(f"<html><body>{ARTICLE}{many}</body></html>", html_weights) == PAGE
+
+
+def test_html_whole_rule_by_hand(html_weights):
+    """Random flat pages: the blocks that the rule keeps, worked out from the weights without the scan."""
+    w, rng = html_weights, random.Random(12)
+
+    def by_hand(blocks, use_names):
+        scores, left = [], html_extract.BREAK
+        for k, (tag, text) in enumerate(blocks):
+            name, _, names = tag.partition(" ")
+            closed, cost = name in html_extract.CLOSED, min(0.0, w.names.score(" " + names)) if names and use_names else 0.0
+            weight = w.word(name + (f"~{cost:.2f}" if cost else ""))
+            kept = not closed and (not cost or weight > 0)
+            for score, is_text in ((w.tag(name), False), (len(text.split()) * weight, True), (w.tag("/" + name), False)):
+                if is_text and kept:
+                    left = html_extract.BREAK
+                elif is_text:
+                    score = max(score, -left)
+                    left += min(score, 0.0)
+                scores.append((score, text if is_text and kept else None))
+        runs = [(sum(s for s, _ in scores[a : b + 1]), a, b) for a in range(len(scores)) for b in range(a, len(scores))]
+        best = max(r[0] for r in runs)
+        _, a, b = min((r for r in runs if r[0] > best - 1e-9), key=lambda r: (r[2], r[1]))
+        return "\n".join(t for _, t in scores[a : b + 1] if t) if best > 0 else ""
+
+    for _ in range(60):
+        tags = [rng.choice(["p", "nav", "p", "footer", "p class=sidebar", "p class=comment-list"]) for _ in range(rng.randint(1, 9))]
+        blocks = [(tag, " ".join(f"w{k}x{j}" for j in range(rng.randint(1, 12)))) for k, tag in enumerate(tags)]
+        page = "".join(f"<{tag}>{text}</{tag.split()[0]}>" for tag, text in blocks)
+        want = by_hand(blocks, True)
+        if not want and any(" " in tag for tag in tags):
+            want = by_hand(blocks, False)
+        assert html_extract.extract(page, w) == want, page
+
+
 def test_line_dedup_counts_documents_not_rows(spark):
     """A line of two documents stays in both, however many rows one of them has."""
     line = "a line that is long enough to count"
