@@ -16,7 +16,11 @@ from sessionloom.sources import files, session_logs
 from sessionloom.sources.store import Tables
 
 
+#: Facts that are found by likeness, and the columns that speak for them.
+FACT_TEXT = {"decisions": ["decision_text", "rationale"], "mistakes": ["what_went_wrong", "correction"]}
 FACTS = ("decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns")
+#: Tables whose rows are counted by run and in all.
+COUNTED = ("conversations", "messages", "tool_uses", "tool_results", *FACTS)
 
 
 class Engine:
@@ -36,16 +40,29 @@ class Engine:
         parsed = session_logs.parse_rollouts(lines, now) if rollouts else session_logs.parse(lines, project, now)
         if skip_servers is not None:
             parsed = session_logs.without_servers(parsed, skip_servers or None)
-        self.tables.upsert("conversations", parsed["conversations"])
-        skipped = self.tables.upsert_messages(parsed["messages"])
+        t, came = self.tables, {}
+        came["conversations"] = t.upsert("conversations", parsed["conversations"])
+        came["messages"], skipped = t.upsert_messages(parsed["messages"])
         for name in ("tool_uses", "tool_results", "thinking_blocks", "file_edits"):
             if name in parsed:
-                self.tables.upsert(name, parsed[name])
-        self._facts(parsed["conversations"].select(F.col("id").alias("conversation_id")))
+                came[name] = t.upsert(name, parsed[name])
+        ids, _ = t.staged(parsed["conversations"].select(F.col("id").alias("conversation_id")).distinct())
+        came |= self._facts(ids)
+        t.unstage(ids)
         if repo:
             self.link_commits(repo)
-        names = ("conversations", "messages", "tool_uses", "tool_results", *FACTS)
-        return {**{n: self.tables.read(n).count() for n in names}, "skipped_messages": skipped}
+        counted = {n: came.get(n, 0) for n in (*COUNTED, "embedded")}
+        t.append("index_runs", self.spark.createDataFrame([(project, now, "rollouts" if rollouts else "sessions", skipped, *counted.values())], ", ".join(["project_path string, at long, source string, skipped_messages long", *(f"{n} long" for n in counted)])))
+        return {**self.statistics(), "skipped_messages": skipped}
+
+    def statistics(self) -> dict[str, int]:
+        """Rows by table, as the writes have counted them: no table is read (AGG-7, AGG-17)."""
+        return {n: self.tables.count(n) for n in COUNTED}
+
+    def sources(self) -> DataFrame:
+        """Each project that was indexed: runs, the time of the last one, and the rows that came in all runs by table (SNK-11)."""
+        runs = self.tables.read("index_runs")
+        return runs.groupBy("project_path", "source").agg(F.count("*").alias("runs"), F.max("at").alias("last_indexed"), *[F.sum(n).alias(n) for n in (*COUNTED, "embedded", "skipped_messages")]).orderBy(F.desc("last_indexed"), "project_path", "source")
 
     def index_all(self, projects: dict[str, list[str]], now: int, rollout_folders: list[str] | None = None, since_ms: int | None = None) -> dict[str, dict[str, int]]:
         """Every project of both dialects (index_all_projects); rows by project."""
@@ -54,31 +71,58 @@ class Engine:
             out["rollouts"] = self.index("", rollout_folders, now, since_ms, rollouts=True)
         return out
 
-    def _facts(self, ids: DataFrame) -> None:
-        t = self.tables
+    def _facts(self, ids: DataFrame) -> dict[str, int]:
+        """Facts and vectors of the given conversations; rows that came by table, and messages that were embedded."""
+        t, came = self.tables, {}
         own = t.read("messages").join(ids, "conversation_id", "left_semi")
         m = own.withColumnRenamed("id", "message_id")
         of = lambda name: t.read(name).join(m.select("message_id"), "message_id", "left_semi")
         uses, results = of("tool_uses"), of("tool_results")
-        t.upsert("decisions", facts.decisions(m, of("thinking_blocks")))
-        t.upsert("mistakes", facts.mistakes(m, results))
-        t.upsert("requirements", facts.requirements(m))
+        came["decisions"] = t.upsert("decisions", facts.decisions(m, of("thinking_blocks")))
+        came["mistakes"] = t.upsert("mistakes", facts.mistakes(m, results))
+        came["requirements"] = t.upsert("requirements", facts.requirements(m))
         runs = uses.select("id", "message_id", "timestamp", F.get_json_object("tool_input", "$.command").alias("command"))
         checked = facts.validations(runs.select("id", "command"), results.select("tool_use_id", "is_error", "content"))
-        t.upsert("validations", checked.join(runs.select("id", "message_id", "timestamp"), "id").join(m.select("message_id", "conversation_id"), "message_id"))
+        came["validations"] = t.upsert("validations", checked.join(runs.select("id", "message_id", "timestamp"), "id").join(m.select("message_id", "conversation_id"), "message_id"))
         keyed = lambda df, kind, *parts: df.withColumn("id", facts.fact_id(kind, *parts))
         found = keyed(facts.findings(m, uses), "finding", "message_id", F.lower("discovery"))
         solved = keyed(facts.solutions(m, uses), "solution", "message_id", F.lower("solution_summary"))
         at = m.select("message_id", "timestamp")
-        t.upsert("research_findings", found.join(at, "message_id"))
-        t.upsert("solution_patterns", solved.join(at, "message_id"))
+        came["research_findings"] = t.upsert("research_findings", found.join(at, "message_id"))
+        came["solution_patterns"] = t.upsert("solution_patterns", solved.join(at, "message_id"))
         ways = keyed(tools.methodologies(m, uses, results), "methodology", "start_message_id")
-        t.upsert("methodologies", ways.join(at.withColumnRenamed("message_id", "start_message_id"), "start_message_id"))
-        parts = chunking.chunks(own, "id", "content").withColumn("embedding", V.hashed_embedding(T.tokens("content")))
-        parts = parts.withColumn("id", F.concat_ws("_", "message_id", F.col("chunk_index").cast("string")))
-        t.upsert("chunk_embeddings", parts)
-        # the first chunk is the message's own vector
-        t.upsert("embeddings", parts.where("chunk_index = 0").select("message_id", "embedding"))
+        came["methodologies"] = t.upsert("methodologies", ways.join(at.withColumnRenamed("message_id", "start_message_id"), "start_message_id"))
+        came["embedded"] = self._embed(own)
+        for kind, columns in FACT_TEXT.items():
+            self._embed_facts(kind, columns, t.read(kind).join(ids, "conversation_id", "left_semi"))
+        return came
+
+    def _embed(self, own: DataFrame) -> int:
+        """Vectors of the chunks of messages whose text has none yet or has changed; how many messages (VEC-6)."""
+        t, known = self.tables, self.tables.read("embeddings")
+        said = own.select("id", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("content_hash"))
+        if known is not None:
+            said = said.join(known.select(F.col("message_id").alias("id"), "content_hash"), ["id", "content_hash"], "left_anti")
+        todo, n = t.staged(said)
+        if n or known is None:
+            parts = chunking.chunks(todo, "id", "content").withColumn("embedding", V.hashed_embedding(T.tokens("content")))
+            parts, _ = t.staged(parts.withColumn("id", F.concat_ws("_", "message_id", F.col("chunk_index").cast("string"))))
+            t.delete("chunk_embeddings", todo.select(F.col("id").alias("message_id")))  # of an earlier text
+            t.append("chunk_embeddings", parts, ["id"])
+            # the first chunk is the message's own vector; written last, as it says that the message is done
+            hashes = todo.select(F.col("id").alias("message_id"), "content_hash")
+            t.upsert("embeddings", parts.where("chunk_index = 0").select("message_id", "embedding").join(hashes, "message_id"))
+            t.unstage(parts)
+        t.unstage(todo)
+        return n
+
+    def _embed_facts(self, kind: str, columns: list[str], rows: DataFrame) -> int:
+        """Vectors of facts that have none yet or whose text has changed; how many (VEC-5)."""
+        known, said = self.tables.read("fact_embeddings"), F.concat_ws(" ", *columns)
+        rows = rows.select(F.lit(kind).alias("kind"), "id", said.alias("said"), F.xxhash64(said).alias("content_hash"))
+        if known is not None:
+            rows = rows.join(known.select("kind", "id", "content_hash"), ["kind", "id", "content_hash"], "left_anti")
+        return self.tables.upsert("fact_embeddings", rows.withColumn("embedding", V.hashed_embedding(T.tokens("said"))).drop("said"))
 
     def link_commits(self, repo: str, days: int | None = None) -> int:
         """Commits of a repository with the conversation that they belong to; how many are linked (link_commits)."""
@@ -126,23 +170,25 @@ class Engine:
         out = fused.join(m, "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
         return search.sessions_of(out.withColumnRenamed("score", "similarity"), limit) if by_session else out
 
-    def _found(self, name: str, columns: list[str], text: str | None, limit: int, *where) -> DataFrame:
-        """Facts with their source, by likeness of their text to ``text`` and by words of it, the likest first; without text the latest (VEC-5, JN-2, JN-3)."""
+    def _found(self, name: str, text: str | None, limit: int, *where) -> DataFrame:
+        """Facts with their source, by likeness of their stored vectors to ``text`` and by words of it, the likest first; without text the latest (VEC-5, JN-2, JN-3)."""
+        columns = FACT_TEXT[name]
         rows = self.tables.read(name).where(P.all_of(None, *where))
         rows = relational.with_source(rows, self.tables.read("conversations"), self.tables.read("messages"))
         if not text:
             return rows.orderBy(F.desc("timestamp"), "id").limit(limit)
         q = self.spark.createDataFrame([(text,)], "q string").select(V.hashed_embedding(T.tokens("q"))).first()[0]
-        said = F.concat_ws(" ", *columns)
-        scored = rows.withColumn("similarity", V.cosine_to(V.hashed_embedding(T.tokens(said)), q)).withColumn("_named", P.contains_any(columns, text) | search.match_all(said, text))
+        vectors = self.tables.read("fact_embeddings").where(F.col("kind") == name).select("id", F.col("embedding").alias("_vector"))
+        scored = rows.join(vectors, "id", "left").withColumn("similarity", F.coalesce(V.cosine_to(F.col("_vector"), q), F.lit(0.0))).drop("_vector")
+        scored = scored.withColumn("_named", P.contains_any(columns, text) | search.match_all(F.concat_ws(" ", *columns), text))
         return scored.where(F.col("_named") | (F.col("similarity") > 0.3)).orderBy(F.desc("_named"), F.desc("similarity"), F.desc("timestamp"), "id").limit(limit).drop("_named")
 
     def decisions(self, text: str | None = None, limit: int = 20) -> DataFrame:
-        return self._found("decisions", ["decision_text", "rationale"], text, limit)
+        return self._found("decisions", text, limit)
 
     def mistakes(self, text: str | None = None, kind: str | None = None, limit: int = 10, conversation: str | None = None) -> DataFrame:
         """search_mistakes."""
-        return self._found("mistakes", ["what_went_wrong", "correction"], text, limit, F.col("mistake_type") == kind if kind else None, F.col("conversation_id") == conversation if conversation else None)
+        return self._found("mistakes", text, limit, F.col("mistake_type") == kind if kind else None, F.col("conversation_id") == conversation if conversation else None)
 
     def requirements(self, component: str, kind: str | None = None, limit: int = 50) -> DataFrame:
         """get_requirements: those that touch a component or name it."""
@@ -199,9 +245,7 @@ class Engine:
     # memory
     def remember(self, items: DataFrame, now: int) -> None:
         """items: project_path, key, value, tags, ttl (seconds)."""
-        old = self.tables.read("working_memory")
-        fresh = memory.remember(old if old is not None else self.spark.createDataFrame([], "project_path string, key string, value string, tags array<string>, created_at long, updated_at long, expires_at long"), items, now)
-        self.tables.write("working_memory", fresh)
+        self.tables.upsert("working_memory", memory.fresh(items, now))
 
     def recall(self, now: int, **filters) -> DataFrame:
         return memory.recall(self.tables.read("working_memory"), now, **filters)
@@ -214,10 +258,9 @@ class Engine:
         taken = self.spark.createDataFrame(memory.resume(all_of, project, handoff_id).collect(), all_of.schema)
         if taken.isEmpty():
             return None
-        self.tables.write("session_handoffs", memory.mark_resumed(all_of, taken, session, now))
-        old = self.tables.read("working_memory")
-        if inject and old is not None:
-            self.tables.write("working_memory", memory.injected(old, taken, now))
+        self.tables.upsert("session_handoffs", memory.mark_resumed(taken, taken, session, now))
+        if inject and self.tables.version("working_memory") is not None:
+            self.tables.upsert("working_memory", memory.fresh(memory.handed_over(taken), now))
         return taken
 
     # upkeep
@@ -226,19 +269,19 @@ class Engine:
         t, done = self.tables, []
         items = t.read("working_memory")
         if items is not None:
-            live = memory.sweep(items, now)
-            done.append(maintenance.log_row(self.spark, "sweep_expired", now, items.count() - live.count()))
-            t.write("working_memory", live)
+            expired, _ = t.staged(items.where(~F.coalesce(P.live(now), F.lit(False))).select("project_path", "key"))
+            done.append(maintenance.log_row(self.spark, "sweep_expired", now, t.delete("working_memory", expired)))
+            t.unstage(expired)
         for name in ("embeddings", "chunk_embeddings"):
             e = t.read(name)
             if e is not None:
-                kept = e.join(t.read("messages").select(F.col("id").alias("message_id")), "message_id", "left_semi")
-                done.append(maintenance.log_row(self.spark, f"cleanup_{name}", now, e.count() - kept.count()))
-                t.write(name, kept)
+                lost, _ = t.staged(e.select("message_id").distinct().join(t.read("messages").select(F.col("id").alias("message_id")), "message_id", "left_anti"))
+                done.append(maintenance.log_row(self.spark, f"cleanup_{name}", now, t.delete(name, lost)))
+                t.unstage(lost)
         for name in ("messages", "tool_uses", "tool_results"):
             if t.read(name) is not None:
                 t.compact(name)
-                done.append(maintenance.log_row(self.spark, f"compact_{name}", now, t.read(name).count()))
+                done.append(maintenance.log_row(self.spark, f"compact_{name}", now, t.count(name)))
         t.upsert("maintenance_log", reduce(DataFrame.unionByName, done))
         return t.read("maintenance_log").orderBy(F.desc("at"), "id")
 

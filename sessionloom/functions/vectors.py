@@ -38,11 +38,30 @@ def cosine_to(a: Column, query: list[float]) -> Column:
 
 
 def hashed_embedding(tokens: Column, dimensions: int = 64) -> Column:
-    """Signed feature hashing of a token array to a unit vector: the offline embedding provider, in plain column expressions."""
-    def at(i):
-        hits = F.filter(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)) == i)
-        return F.aggregate(hits, F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(F.lit(1), t), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), at)
-    length = norm(raw)
-    return F.when(length == 0, raw).otherwise(F.transform(raw, lambda x: x / length))
+    """Signed feature hashing of a token array to a unit vector: the offline embedding provider, in plain column expressions.
+
+    A token's hash is its place, with a sign; one fold over the tokens adds them up.
+    """
+    return unit(_folded(F.transform(tokens, lambda t: place(t, dimensions)), dimensions, lambda p: F.signum(p.cast("double"))))
+
+
+def place(token: Column, dimensions: int) -> Column:
+    """Dimension of a token, from 1, negative for tokens that count against it."""
+    at = F.pmod(F.xxhash64(token), F.lit(dimensions)).cast("int") + 1
+    return F.when(F.pmod(F.xxhash64(F.lit(1), token), F.lit(2)) == 0, at).otherwise(-at)
+
+
+def _folded(items: Column, dimensions: int, value, at=lambda x: x) -> Column:
+    """Sum of ``value(item)`` by dimension ``abs(at(item))``, in one pass."""
+
+    def step(a, x):
+        i = F.abs(at(x))
+        return F.concat(F.slice(a, 1, i - 1), F.array(F.get(a, i - 1) + value(x)), F.slice(a, i + 1, F.lit(dimensions)))
+
+    return F.aggregate(items, F.array_repeat(F.lit(0.0), dimensions), step)
+
+
+def unit(v: Column) -> Column:
+    """``v`` with length 1; zero vectors stay."""
+    # bound as a lambda variable, so that it is computed once
+    return F.get(F.transform(F.array(v), lambda raw: F.get(F.transform(F.array(norm(raw)), lambda n: F.when(n == 0, raw).otherwise(F.transform(raw, lambda x: x / n))), F.lit(0))), F.lit(0))

@@ -28,10 +28,14 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...]
     return old.join(new.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def fresh(items: DataFrame, now: int) -> DataFrame:
+    """Items (project_path, key, value, ttl seconds, ...) as rows of the memory. A TTL of 0 never expires, a negative one already has."""
+    return items.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)).withColumn("expires_at", F.when(F.coalesce("ttl", F.lit(0)) != 0, F.lit(now) + F.col("ttl") * 1000)).drop("ttl")
+
+
 def remember(memory: DataFrame, items: DataFrame, now: int) -> DataFrame:
-    """Upsert items (project_path, key, value, ttl seconds, ...) (MEM-1). A TTL of 0 never expires, a negative one already has."""
-    fresh = items.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now)).withColumn("expires_at", F.when(F.coalesce("ttl", F.lit(0)) != 0, F.lit(now) + F.col("ttl") * 1000)).drop("ttl")
-    return merge(memory, fresh, ["project_path", "key"])
+    """Upsert items (MEM-1)."""
+    return merge(memory, fresh(items, now), ["project_path", "key"])
 
 
 def recall(memory: DataFrame, now: int, project: str | None = None, key: str | None = None, tags: list[str] | None = None, session: str | None = None) -> DataFrame:
@@ -214,7 +218,12 @@ def mark_resumed(handoffs: DataFrame, taken: DataFrame, session: str, now: int)
 HANDOFF = "memory array<struct<key:string,value:string,tags:array<string>>>"
 
 
-def injected(memory: DataFrame, taken: DataFrame, now: int) -> DataFrame:
-    """The working memory with the items of resumed hand-offs (project_path, handoff_data as JSON) (HND-2)."""
+def handed_over(taken: DataFrame) -> DataFrame:
+    """Memory items of hand-offs (project_path, handoff_data as JSON) (HND-2)."""
     items = taken.select("project_path", F.explode(F.from_json("handoff_data", HANDOFF)["memory"]).alias("m")).select("project_path", "m.key", "m.value", "m.tags", F.lit(0).alias("ttl"))
-    return remember(memory, items.where("key is not null").dropDuplicates(["project_path", "key"]), now)
+    return items.where("key is not null").dropDuplicates(["project_path", "key"])
+
+
+def injected(memory: DataFrame, taken: DataFrame, now: int) -> DataFrame:
+    """The working memory with the items of resumed hand-offs (HND-2)."""
+    return remember(memory, handed_over(taken), now)

@@ -23,6 +23,8 @@ KEYS = {
     "thinking_blocks": ["id"],
     **dict.fromkeys(("decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns", "session_handoffs", "maintenance_log", "chunk_embeddings"), ["id"]),
     "embeddings": ["message_id"],
+    "fact_embeddings": ["kind", "id"],
+    "index_runs": ["project_path", "at"],
     "git_commits": ["hash"],
     "working_memory": ["project_path", "key"],
 }

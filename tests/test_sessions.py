@@ -1,6 +1,7 @@
 """Logs of both dialects, the table store, live streaming and the facade."""
 
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -83,6 +84,8 @@ def test_engine(spark, tmp_path):
     n = e.index("/proj", [str(tmp_path / "p")], NOW)
     assert n["messages"] == 3 and n["decisions"] == 1
     assert e.index("/proj", [str(tmp_path / "p")], NOW) == n  # a second run changes nothing
+    run = e.sources().first()  # nor is a text embedded again, and nobody counts the tables
+    assert (run["runs"], run["embedded"], run["messages"], e.statistics()["messages"]) == (2, 3, 6, 3)
     assert e.search("redis").first()["snippet"].startswith("We decided")
     assert e.decisions("redis").count() == 1
     assert e.tool_history(name="mcp__files__read").first()["content"] == "fine"
@@ -96,6 +99,39 @@ def test_engine(spark, tmp_path):
     assert e.forget_topic("redis") == {"conversations": 1}
     e.forget_topic("redis", str(tmp_path / "backup"), confirm=True)
     assert e.tables.read("messages").count() == 0 and e.tables.read("tool_uses").count() == 0
+    left = [f for f in (tmp_path / "store").rglob("part-*") if any("redis" in str(r) for r in spark.read.parquet(str(f)).collect())]
+    assert left == [] and list((tmp_path / "store" / "_staged").iterdir()) == []
+
+
+def test_tables_rewrite_touched_buckets(spark, tmp_path):
+    """One changed row replaces the files of its bucket and of no other; replaced and deleted rows are in no file."""
+    from sessionloom.sources.store import Tables
+
+    t = Tables(spark, str(tmp_path), buckets=8)
+    files = lambda: {str(f.relative_to(tmp_path)) for f in tmp_path.rglob("part-*")}
+    row = lambda rows: spark.createDataFrame(rows, "id long, v string, created_at long")
+    assert t.upsert("x", row([(i, f"old{i}", 1) for i in range(100)]), ["id"]) == 100
+    first = files()
+    assert len(first) == 8 and t.count("x") == 100
+    assert t.upsert("x", row([(7, "new", 2), (7, "new", 2)]), ["id"]) == 1
+    assert len(files() - first) == 1 and len(first - files()) == 1 and t.count("x") == 100
+    assert [tuple(r) for r in t.read("x").where("id = 7").collect()] == [(7, "new", 1)]
+    one = t.read_keys("x", spark.createDataFrame([(7,)], "id long"))
+    assert len(one.inputFiles()) == 1 and one.where("id = 7").count() == 1
+    before = files()
+    assert t.upsert("x", row([]), ["id"]) == 0 and files() == before
+    assert t.append("x", row([(500, "more", 3)])) == 1 and before < files() and t.count("x") == 101
+    assert t.upsert("x", spark.createDataFrame([(500, "int key")], "id int, v string"), ["id"]) == 1 and t.count("x") == 101
+    assert t.delete("x", spark.createDataFrame([(f"old{i}",) for i in range(50)], "v string")) == 49
+    said = [r["v"] for f in tmp_path.rglob("part-*") for r in spark.read.parquet(str(f)).collect()]
+    assert len(said) == 52 and not {f"old{i}" for i in range(50)} & set(said)
+    t.compact("x")
+    assert t.count("x") == t.read("x").count() == 52 and len(files()) == 1
+    late = t.version("x")
+    t.clear("x")
+    assert t.read("x").count() == 0 and files() == set()
+    with pytest.raises(RuntimeError):  # a writer that began before
+        t._commit("x", late, replace(late, number=late.number + 1))
 
 
 def test_engine_facts(spark, tmp_path):
