@@ -12,6 +12,7 @@ from sessionloom.functions import text as T
 from sessionloom.functions import vectors as V
 from sessionloom.operators import chunking, maintenance, memory, relational, report, search, tools
 from sessionloom.operators.extract import facts
+from sessionloom.operators.text_index import TextIndex
 from sessionloom.sources import files, session_logs
 from sessionloom.sources.store import Tables
 
@@ -28,6 +29,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.tables = spark, Tables(spark, root)
+        self.text = TextIndex(self.tables, "message_text")
 
     # indexing
     def index(self, project: str, folders: list[str], now: int, since_ms: int | None = None, rollouts: bool = False, skip_servers: list[str] | None = None, repo: str | None = None) -> dict[str, int]:
@@ -93,6 +95,7 @@ class Engine:
         ways = keyed(tools.methodologies(m, uses, results), "methodology", "start_message_id")
         came["methodologies"] = t.upsert("methodologies", ways.join(at.withColumnRenamed("message_id", "start_message_id"), "start_message_id"))
         came["embedded"] = self._embed(own)
+        self.text.add(own, "id", "content")
         for kind, columns in FACT_TEXT.items():
             self._embed_facts(kind, columns, t.read(kind).join(ids, "conversation_id", "left_semi"))
         return came
@@ -162,14 +165,17 @@ class Engine:
         hits = search.merge_hits(chunk_hits, near("embeddings", "message_id").where("similarity > 0"), 3 * limit)
         said = hits.join(m.select(F.col("id").alias("message_id"), "content"), "message_id").select(F.col("message_id").alias("id"), "similarity", "content")
         v = search.ranked(search.without_near_repeats(said, 3 * limit).select("id", "similarity"), "similarity", "id", 3 * limit)
-        match = F.lit(False)
-        for text in chunking.expansions(query) if expand else [query]:
-            match = match | search.match_all("content", text)
-        t = search.ranked(m.where(match).select("id", "timestamp"), "timestamp", "id", 3 * limit)
+        named = reduce(DataFrame.unionByName, [self.text.matching(text) for text in (chunking.expansions(query) if expand else [query])])
+        t = search.ranked(m.join(named, "id", "left_semi").select("id", "timestamp"), "timestamp", "id", 3 * limit)
         fused = search.reciprocal_rank_fusion(v, t, limit)
         out = fused.join(m, "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
         return search.sessions_of(out.withColumnRenamed("score", "similarity"), limit) if by_session else out
 
+    def search_words(self, query: str, limit: int = 10) -> DataFrame:
+        """Messages by BM25 over any word of the query, from the stored index (FTS-5)."""
+        best = self.text.bm25(query, limit)
+        return best.join(self.tables.read("messages"), "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
+
     def _found(self, name: str, text: str | None, limit: int, *where) -> DataFrame:
         """Facts with their source, by likeness of their stored vectors to ``text`` and by words of it, the likest first; without text the latest (VEC-5, JN-2, JN-3)."""
         columns = FACT_TEXT[name]
@@ -288,12 +294,18 @@ class Engine:
     def forget_topic(self, topic: str, backup: str | None = None, confirm: bool = False) -> dict[str, int]:
         """Conversations about a topic: counted, or backed up and deleted."""
         ids = maintenance.about(self.tables.read("messages"), topic).union(self.search(topic, 20).select("conversation_id")).distinct().select(F.col("conversation_id").alias("id"))
-        n = ids.count()
+        ids, n = self.tables.staged(ids)
+        kept = self.tables.backup(ids, backup) if confirm and backup else {}
         if confirm:
-            kept = self.tables.backup(ids, backup) if backup else {}
-            self.tables.delete_conversations(ids)
-            return {"conversations": n, **kept}
-        return {"conversations": n}
+            self.delete_conversations(ids)
+        self.tables.unstage(ids)
+        return {"conversations": n, **kept}
+
+    def delete_conversations(self, ids: DataFrame) -> dict[str, int]:
+        """Conversations (id) with all that hangs on them, in the tables and in the text index; rows that went by table. No file holds them any more."""
+        gone = self.tables.read("messages").join(ids.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select("id")
+        self.text.remove(gone)
+        return self.tables.delete_conversations(ids)
 
     def report(self, project: str) -> str:
         e = self.tables.read("file_edits").withColumn("timestamp", F.col("snapshot_timestamp"))

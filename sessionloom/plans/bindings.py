@@ -7,6 +7,9 @@ sentences put together from part columns so that the extraction rules have somet
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +127,13 @@ MESSAGES = (
     + _case([" || ".join(f"'{v}'" if kind == "text" else v for kind, v in _fill(t)) for t, _ in TEMPLATES])
     + " AS content, p_partkey AS timestamp FROM part)"
 )
+
+
+def scratch(s) -> str:
+    """A new folder that driver and executors share, for tables that a query builds: under spark.checkpoint.dir; a session on one machine that names none gets a temporary one."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir()
+    if not base:
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

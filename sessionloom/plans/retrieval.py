@@ -11,6 +11,8 @@ from sessionloom.operators import relational as R
 from sessionloom.operators import search as S
 from sessionloom.operators.extract import facts as X
 from sessionloom.operators.extract import rules
+from sessionloom.operators.text_index import TextIndex
+from sessionloom.sources.store import Tables
 
 from . import bindings as B
 from .bindings import MESSAGES, table
@@ -80,6 +82,14 @@ def fts_or_bm25(s, d):
     return S.bm25(table(s, d, "documents"), "thnt einütz thor", 15, "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLE["fts_or_bm25"])
+def fts_indexed_bm25(s, d):
+    """The same from a stored index, which is built first."""
+    index = TextIndex(Tables(s, B.scratch(s), buckets=16))
+    index.add(table(s, d, "documents"), "doc_id")
+    return index.bm25("thnt einütz thor", 15).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_has_any({TOKENS}, ['thnt']) ORDER BY n_chars DESC, doc_id LIMIT 20")
 def fts_recent_candidates(s, d):
     return S.recent_candidates(table(s, d, "documents"), S.match_any("text", "thnt"), "n_chars", 20, "doc_id").select("doc_id")

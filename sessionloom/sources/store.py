@@ -199,15 +199,19 @@ class Tables:
         if old is not None:
             self._commit(name, old, replace(old, number=old.number + 1, folders={}, rows={}))
 
-    def delete(self, name: str, doomed: DataFrame) -> int:
-        """Rows whose values are in ``doomed`` (its columns are the key) go, from every file; how many. ``doomed`` must not be read from this table."""
+    def delete(self, name: str, doomed: DataFrame, instead: DataFrame | None = None) -> int:
+        """Rows whose values are in ``doomed`` (its columns are the key) go, from every file; how many fewer there are. Neither frame may be read from this table.
+
+        Rows ``instead`` of them, of the same keys, come with the same write.
+        """
         old = self.version(name)
         if old is None:
             return 0
         touched = [r[0] for r in self._of(name, old).join(doomed, doomed.columns, "left_semi").select(old.bucket()).distinct().collect()]
         if not touched:
             return 0
-        self._replaced(name, old, self._of(name, old, touched).join(doomed, doomed.columns, "left_anti"), touched)
+        left = self._of(name, old, touched).join(doomed, doomed.columns, "left_anti")
+        self._replaced(name, old, left if instead is None else left.unionByName(instead, allowMissingColumns=True), touched)
         return sum(old.rows.values()) - self.count(name)
 
     def delete_conversations(self, ids: DataFrame) -> dict[str, int]:
