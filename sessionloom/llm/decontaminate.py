@@ -8,13 +8,14 @@ than ``WINDOW`` the same share of its own words is asked for, rounded up.
 
 A mask is built by doubling: pairs of words, then pairs of pairs, so that a mask of four words is given by two
 distances. Together the masks miss nothing: however the words that differ lie, every overlap that counts, of
-items of ``SHORTEST`` words or more, is hit by one of them (a test goes through all cases).
+items of ``SHORTEST`` words or more, is hit by one of them (a test goes through all cases). An item of fewer words, but ``LEAST_WORDS``
+at least, counts where it occurs whole: runs of as many words are hashed for the lengths that the benchmark has.
 
 The benchmark is broadcast when its seeds are ``BROADCAST_ROWS`` rows at most, which is counted, and so are the ids of the documents that
 are hit; beyond that Spark joins by shuffle on the hash or the row. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
-Defined cases: null and empty texts are clean; items of fewer than ``SHORTEST`` words make no contamination, as
-everyday phrases would match them, not even as exact copies; items that occur twice count under both ids; rows that repeat a
+Defined cases: null and empty texts are clean; items of fewer than ``LEAST_WORDS`` words make no contamination, as
+everyday phrases are such copies; items that occur twice count under both ids; rows that repeat a
 doc_id share the verdict of all of them; rows without doc_id are not looked at and stay; without items every document is clean; other columns are carried along by
 :func:`drop_contaminated`.
 """
@@ -30,7 +31,7 @@ from .common import WS_CLASS, ascii_lower, stored, table
 
 #: Distances of the doublings: words read are all sums of subsets.
 MASKS = ((1, 2), (1, 3), (1, 5))
-WINDOW, LEAST, SHORTEST = 16, 12, 8
+WINDOW, LEAST, SHORTEST, LEAST_WORDS = 16, 12, 8, 4
 BROADCAST_ROWS = 1_000_000
 
 
@@ -75,6 +76,14 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
     return out.select(key, place.alias("place"), "seed")
 
 
+def runs(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """(key, place, n, seed) of all runs of n words, for each of the lengths."""
+    words = F.col("words")
+    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct((i - 1).alias("place"), F.lit(n).alias("n"), F.xxhash64(F.slice(words, i, F.lit(n))).alias("seed"))))
+    none = F.array().cast("array<struct<place:int,n:int,seed:bigint>>")
+    return rows.select(key, F.explode(F.concat(*[F.coalesce(of(n), none) for n in lengths])).alias("r")).select(key, "r.*")
+
+
 def _hinted(ids: DataFrame) -> DataFrame:
     """Stored ids, to be broadcast if they are BROADCAST_ROWS at most, which is counted: then the texts that they are joined with stay where they are."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
@@ -82,13 +91,18 @@ def _hinted(ids: DataFrame) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched): the most equal words in a window, for each document and item that overlap."""
-    items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST))
-    item_seeds = stored(seeds(items, "item_id").select("item_id", F.col("place").alias("item_place"), "seed"))
+    items = stored(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= LEAST_WORDS))
+    item_seeds = stored(seeds(items.where(F.size("words") >= SHORTEST), "item_id").select("item_id", F.col("place").alias("item_place"), "seed"))
     hint = F.broadcast if item_seeds.count() <= BROADCAST_ROWS else (lambda df: df)
     # a row is known by doc_id and text, as rows may repeat a doc_id
     docs = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("row"), "text")
     hashed = docs.select("row", word_hashes(F.col("text")).alias("words"))
     hits = seeds(hashed, "row").join(hint(item_seeds), "seed").select("row", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
+    short = items.where(F.size("words") < SHORTEST)
+    lengths = sorted(r[0] for r in short.select(F.size("words")).distinct().collect())
+    if lengths:  # a whole run is the item itself, so its place is the diagonal
+        whole = short.select("item_id", F.size("words").alias("n"), F.xxhash64("words").alias("seed"))
+        hits = hits.unionByName(runs(hashed, "row", lengths).join(_hinted(whole), ["n", "seed"]).select("row", "item_id", F.col("place").alias("diagonal")))
     hits = stored(hits.distinct())
     touched = docs.join(_hinted(stored(hits.select("row").distinct())), "row", "left_semi").select("row", word_hashes(F.col("text")).alias("doc_words"))
     # the document's words come last and are cut to the item's span at once: what a row holds is bounded by the item

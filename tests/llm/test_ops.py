@@ -456,17 +456,17 @@ def test_decontamination_masks_miss_nothing():
 
 
 def test_decontamination_against_brute_force(spark):
-    """Copies with replaced words, in items of 8 to 40 words: all that reach the threshold are found, and no others."""
+    """Copies with replaced words, in items of 8 to 40 words: all that reach the threshold are found, shorter ones where they are whole, and no others."""
     rng = random.Random(8)
-    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate([*range(7, 20), 40])]
+    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate([*range(2, 20), 40])]
     docs, want = [], {}
     for i, item in enumerate(items):
         n = len(item)
-        away = [set(), set(range(3, n, 4)), *(set(rng.sample(range(n), k)) for k in (1, 2, 3, 4, 5) for _ in range(6))]
+        away = [set(), set(range(3, n, 4)), *(set(rng.sample(range(n), min(k, n))) for k in (1, 2, 3, 4, 5) for _ in range(6))]
         for a in away:
             own = [k not in a for k in range(n)]
             best = max(sum(own[k : k + 16]) for k in range(max(1, n - 15)))
-            if n >= 8 and best >= math.ceil(min(n, 16) * 12 / 16):
+            if best >= math.ceil(min(n, 16) * 12 / 16) if n >= 8 else n >= 4 and not a:
                 want[len(docs)] = ([i], best)
             docs.append(" ".join(["before"] * 9 + [w if o else "other" for w, o in zip(item, own, strict=True)] + ["after"] * 9))
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
