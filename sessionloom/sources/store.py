@@ -149,7 +149,7 @@ class Tables:
     def write(self, name: str, df: DataFrame, keys: list[str] | None = None, buckets: int | None = None) -> None:
         """The whole table anew."""
         old = self.version(name)
-        v = Version(old.number + 1 if old else 1, keys or self._keys(name, df.columns, old), buckets or (old.n if old else self.buckets), df.schema, {}, {})
+        v = Version(old.number + 1 if old else 1, keys or self._keys(name, df.columns, old), buckets or (old.n if old else self.buckets), _wider(df.schema, df.schema), {}, {})
         folders, rows = self._written(name, df, v)
         self._commit(name, old, replace(v, folders=folders, rows=rows))
 
@@ -294,5 +294,13 @@ def _conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def _wider(old: T.StructType, new: T.StructType) -> T.StructType:
     """The columns of both; rows that lack one have null in it."""
-    fields = [*old.fields, *(f for f in new.fields if f.name not in old.names)]
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    return _as_read(T.StructType([*old.fields, *(f for f in new.fields if f.name not in old.names)]))
+
+
+def _as_read(kind: T.DataType) -> T.DataType:
+    """A type as files give it back: anything may be null."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_read(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_read(kind.elementType), True)
+    return T.MapType(_as_read(kind.keyType), _as_read(kind.valueType), True) if isinstance(kind, T.MapType) else kind
