@@ -7,9 +7,14 @@ rotates it into new files, as a file stream reads each file once.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionloom.operators.extract import facts
 from sessionloom.sources.store import Tables
@@ -46,9 +51,12 @@ def batch_metrics(batch: DataFrame, number: int, now: int) -> DataFrame:
     return n.crossJoin(F.broadcast(kinds)).select(F.lit(number).cast("long").alias("batch"), F.lit(now).alias("at"), "*")
 
 
-def remember_live(spark: SparkSession, folder: str, store: str, checkpoint: str, project: str, now: int, once: bool = True) -> StreamingQuery:
-    """Run the stream into the table working_memory of ``store``."""
+def remember_live(spark: SparkSession, folder: str, store: str, checkpoint: str, project: str, now: int | Callable[[], int] | None = None, once: bool = True) -> StreamingQuery:
+    """Run the stream into the table working_memory of ``store``. Facts are dated by ``now``: a fixed time, or a clock that each batch reads (that of the machine, unless another is given)."""
+    clock = now if callable(now) else (lambda: int(time.time() * 1000)) if now is None else (lambda: now)
+
     def sink(batch: DataFrame, number: int) -> None:
+        now = clock()
         rows = live_facts(batch)
         fresh = rows.select(F.lit(project).alias("project_path"), "key", "value", F.array("kind").alias("tags"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), (F.lit(now) + F.col("ttl") * 1000).cast("long").alias("expires_at"))
         tables = Tables(spark, store)
@@ -59,6 +67,32 @@ def remember_live(spark: SparkSession, folder: str, store: str, checkpoint: str,
     return (q.trigger(availableNow=True) if once else q.trigger(processingTime="1 second")).start()
 
 
+def rested(changes: DataFrame, key: str = "path", quiet_ms: int = 1_000, cooldown_ms: int = 0) -> DataFrame:
+    """Keys (files) of a stream of changes that have rested: (key, changes), once for each burst, ``quiet_ms`` after its last change (STR-2, STR-6).
+
+    Each key has a timer of its own, which every change sets anew, in the state store: it survives a restart. With ``cooldown_ms`` a key that was
+    given out is not given out again before that time is over; what changes meanwhile waits for it.
+    """
+
+    def wait(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        seen, given = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            if seen:
+                yield pd.DataFrame({key: [name[0]], "changes": [seen]})
+            if seen and cooldown_ms:
+                state.update((0, now))
+                state.setTimeoutDuration(cooldown_ms)
+            else:
+                state.remove()
+            return
+        seen += sum(len(b) for b in batches)
+        state.update((seen, given))
+        state.setTimeoutDuration(max(quiet_ms, given + cooldown_ms - now if given else 0))
+
+    return changes.groupBy(key).applyInPandasWithState(wait, f"{key} string, changes long", "seen long, given long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type, for batch or stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

@@ -1,21 +1,26 @@
 """A streaming source of lines appended to session logs (STR-1, STR-3, SRC-16).
 
-Spark's file stream reads a file once; this source goes on where it stopped. The offset is the end of the last complete
-line of each file, in bytes, so a restart from the checkpoint neither loses nor repeats lines; a file that has become
-shorter is read from its start. The driver lists files and looks at their ends only; tasks read the appended ranges, long
+Spark's file stream reads a file once; this source goes on where it stopped. An offset holds for each file the end of the last complete
+line, in bytes, the file's number and a checksum of its first bytes. A restart begins with the offsets of the query's checkpoint (option
+``checkpoint``), so that a file that cannot be read then keeps its place; a file of another number or with another beginning (rotated), or one that has become
+shorter (cut off), is read from its start. The driver lists files and looks at their ends only; tasks read the appended ranges, long
 ones in parts of ``PART_BYTES``, each from its first line start to the end of the line that begins in it.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 PART_BYTES = 32 << 20
 LOOK_BYTES = 1 << 16
+#: First bytes by which a file is known again.
+HEAD_BYTES = 256
 
 
 @dataclass
@@ -45,23 +50,54 @@ def complete_bytes(path: str) -> int | None:
         return None
 
 
+def identity(path: str, upto: int) -> list[int] | None:
+    """The file's number, how many of its first bytes are looked at, and their checksum; None if it cannot be read now."""
+    try:
+        with open(path, "rb") as f:
+            n = min(HEAD_BYTES, upto)
+            return [os.fstat(f.fileno()).st_ino, n, zlib.crc32(f.read(n))]
+    except OSError:
+        return None
+
+
+def checkpointed(folder: str) -> dict:
+    """The offsets of the last batch that a query with this checkpoint has planned."""
+    try:
+        numbers = [int(n) for n in os.listdir(os.path.join(folder, "offsets")) if n.isdigit()]
+        with open(os.path.join(folder, "offsets", str(max(numbers)))) as f:
+            return json.loads(f.read().strip().split("\n")[-1])
+    except (OSError, ValueError):
+        return {}
+
+
 class _Reader(DataSourceStreamReader):
-    def __init__(self, folder: str, pattern: str):
-        self.pattern, self.last = os.path.join(folder, "**", pattern), {}
+    """Offsets by path: [end of the last complete line, file number, first bytes looked at, their checksum]."""
+
+    def __init__(self, folder: str, pattern: str, checkpoint: str | None = None):
+        self.pattern = os.path.join(folder, "**", pattern)
+        self.last = checkpointed(checkpoint.removeprefix("file://")) if checkpoint else {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        ends = {p: complete_bytes(p) for p in sorted(glob.glob(self.pattern, recursive=True))}
-        # a file that cannot be read now keeps its offset
-        self.last = {p: self.last.get(p, 0) if n is None else n for p, n in ends.items()}
-        return self.last
+        out = {}
+        for p in sorted(glob.glob(self.pattern, recursive=True)):
+            n = complete_bytes(p)
+            own = identity(p, n) if n is not None else None
+            if own is not None:
+                out[p] = [n, *own]
+            elif p in self.last:  # a file that cannot be read now keeps its offset
+                out[p] = self.last[p]
+        self.last = out
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         out = []
-        for path, upto in sorted(end.items()):
-            begin = start.get(path, 0) if start.get(path, 0) <= upto else 0
+        for path, (upto, number, *_) in sorted(end.items()):
+            begin, known, head, checksum = start.get(path, (0, number, 0, 0))
+            if begin > upto or known != number or (head and end[path] != start[path] and identity(path, head) != [number, head, checksum]):
+                begin = 0
             out += [Range(path, at, min(at + PART_BYTES, upto), at > begin) for at in range(begin, upto, PART_BYTES)]
         return out
 
@@ -80,7 +116,7 @@ class _Reader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """``spark.dataSource.register(TailSource)``, then ``spark.readStream.format("session_tail").option("folder", ...)``."""
+    """``spark.dataSource.register(TailSource)``, then ``spark.readStream.format("session_tail").option("folder", ...).option("checkpoint", <its checkpointLocation>)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -90,4 +126,4 @@ class TailSource(DataSource):
         return "path string, start long, line string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Reader(self.options["folder"], self.options.get("pattern", "*.jsonl"))
+        return _Reader(self.options["folder"], self.options.get("pattern", "*.jsonl"), self.options.get("checkpoint"))

@@ -1,5 +1,7 @@
 """Operators and functions on small frames: the cases that the benchmark tables do not hold."""
 
+import random
+import re
 import math
 
 import pytest
@@ -75,24 +77,108 @@ def test_text(spark):
     assert s(T.json_or(F.lit("{bad"), "a int", F.struct(F.lit(1).alias("a"))))["a"] in (1, None)
 
 
+def tokens_of(t):
+    code = sum(map(len, re.findall(r"(?s)```.*?```|`[^`]+`", t)))
+    return math.ceil(code / 3.5 + (len(t) - code) / 4)
+
+
+def packed_by_hand(text, chunk, carry, hard):
+    """Chunks (start, end) of sentences, sentence by sentence."""
+    units = []
+    for s in re.findall(r"(?s)```.*?(?:```|\Z)\s*|.+?(?:[.!?](?=\s|\Z)\s*|\n+|(?=```)|\Z)", text):
+        n = int(hard * 3.5) if "`" in s else hard * 4
+        units += [s] if tokens_of(s) <= hard else re.findall(rf"(?s).{{1,{n}}}(?:\s+|\Z)|.{{1,{n}}}", s)
+    out, own, at = [], [], 0
+    for u in units:
+        if own and sum(t for _, t in own) + tokens_of(u) > chunk - carry:
+            out.append((own[0][0], at))
+            tail = []
+            for x in own[:0:-1]:
+                if sum(t for _, t in tail) + x[1] > carry:
+                    break
+                tail.insert(0, x)
+            own = tail if sum(t for _, t in tail) + tokens_of(u) <= chunk else []
+        own.append((at, tokens_of(u)))
+        at += len(u)
+    return out + ([(own[0][0], at)] if own else [])
+
+
+def windows_by_hand(text, chunk, overlap):
+    code = sum(map(len, re.findall(r"(?s)```.*?```|`[^`]+`", text)))
+    window = math.floor(chunk * (4 - 0.5 * code / len(text)))
+    step = window - math.floor(window * overlap)
+    half, at, out = step // 2, 0, []
+
+    def edge(p):
+        k = next((k for k in range(p, p - half, -1) if text[k - 1].isspace()), p)
+        return k
+
+    while at < len(text):
+        end = len(text) if at + window >= len(text) else edge(at + window)
+        out.append((at, end))
+        if end == len(text):
+            break
+        at = edge(at + step)
+    return out
+
+
 def test_chunks(spark):
-    text = "One sentence here. " * 200 + "v1. no end\nlast line"
-    d = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "x" * 9000)], "id long, text string")
-    got = {}
-    for r in C.chunks(d, "id", "text").orderBy("message_id", "chunk_index").collect():
-        got.setdefault(r["message_id"], []).append(r)
-    assert "".join(r["content"] for r in got[1]) == text and len(got[1]) > 1
-    assert [r["content"] for r in got[2]] == ["short"] and [r["content"] for r in got[3]] == [""]
-    assert all(r["estimated_tokens"] <= 505 for rows in got.values() for r in rows)
-    assert C.chunks(d, "id", "text", strategy="sliding_window").where("message_id = 4").count() > 1
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice(["word ", "longer words ", "stop. ", "why? ", "\n", "`code` ", "```x = 1\ny```\n", "é "]) for _ in range(n))
+    texts = ["One sentence here. " * 200 + "v1. no end\nlast line", "short", None, "x" * 9000, "", "word " * 3000, *[prose(rng.randint(300, 900)) for _ in range(12)]]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for chunk, overlap, strategy in ((450, 0.1, "sentence"), (60, 0.4, "paragraph"), (60, 0.0, "sentence"), (450, 0.1, "sliding_window"), (50, 0.5, "sliding_window")):
+        got = {}
+        for r in C.chunks(d, "id", "text", chunk, overlap, strategy, hard_max=chunk + 50).orderBy("message_id", "chunk_index").collect():
+            got.setdefault(r["message_id"], []).append(r)
+        for i, t in enumerate(texts):
+            t = t or ""
+            spans = [(r["start"], r["end"]) for r in got[i]]
+            want = [(0, len(t))] if tokens_of(t) <= chunk else windows_by_hand(t, chunk, overlap) if strategy == "sliding_window" else packed_by_hand(t, chunk, int(chunk * overlap), chunk + 50)
+            assert spans == want, (i, chunk, strategy)
+            assert all(r["content"] == t[r["start"] : r["end"]] and r["total_chunks"] == len(spans) for r in got[i])
+            assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(a[1] >= b[0] > a[0] for a, b in zip(spans, spans[1:]))
+    for bad in ({"strategy": "x"}, {"overlap": 1.0}, {"chunk_tokens": 0}):
+        with pytest.raises(ValueError):
+            C.chunks(d, "id", "text", **bad)
     w = spark.createDataFrame([("abcdefghij",)], "t string").select(C.sliding_windows("t", 4, 1)).first()[0]
     assert [x["content"] for x in w] == ["abcd", "defg", "ghij"]
 
 
+def snippet_by_hand(text, query, window=200, step=10):
+    """Every window against every hit."""
+    terms = [t for t in dict.fromkeys(query.lower().split()) if len(t) >= 2 and t not in C.STOP_WORDS]
+    hits = [(k, k + len(t)) for t in terms for k in range(len(text)) if text.lower().startswith(t, k)]
+    if not hits:
+        if len(text) <= window:
+            return text
+        end = max((k for k in range(1, window + 1) if text[k].isspace()), default=window)
+        return text[:end].strip() + "..."
+    a, b = 0, len(text)
+    if len(text) > window:
+        def score(s):
+            e = s + window
+            return sum(2 if x >= s and y <= e else 1 if x < e and y > s else 0 for x, y in hits) + (0.5 if s == 0 or re.search(r"[.!?]\s*$", text[max(0, s - 5) : s]) else 0)
+        a = max(range(0, len(text) - window + 1, step), key=lambda s: (score(s), -s))
+        b = a + window
+        a = max((k for k in range(1, a + 1) if text[k - 1].isspace()), default=0) if a else 0
+        b = min((k for k in range(b, len(text)) if text[k].isspace()), default=len(text))
+    shown = text[a:b].strip()
+    for t in ["|".join(map(re.escape, sorted(terms, key=len, reverse=True)))]:
+        shown = re.sub(t, lambda m: f"**{m[0]}**", shown, flags=re.I)
+    return ("..." if a > 0 else "") + shown + ("..." if b < len(text) else "")
+
+
 def test_snippet_and_expansion(spark):
+    rng = random.Random(4)
     text = "filler words " * 40 + "the cache was slow " + "more filler " * 40
-    s = spark.createDataFrame([(text,)], "t string").select(C.snippet("t", "cache slow")).first()[0]
-    assert "cache was slow" in s and s.startswith("...") and s.endswith("...")
+    words = ["cache", "Cached", "slow.", "the", "a", "end!", "filler", "longerwordsthanthat", "\n", "x" * 30]
+    texts = [text, "", None, "the cache", "no hits at all " * 30, "y" * 500, *[" ".join(rng.choices(words, k=rng.randint(1, 200))) for _ in range(40)]]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for query in ("cache slow", "the of a", "", "CACHE cached slow cache", "end! x"):
+        got = {r["i"]: r["s"] for r in d.select("i", C.snippet("t", query).alias("s")).collect()}
+        assert got == {i: snippet_by_hand(t or "", query) for i, t in enumerate(texts)}, query
+    assert "**cache** was **slow**" in d.where("i = 0").select(C.snippet("t", "cache slow")).first()[0]
     assert C.expansions("api error") == ["api error", "endpoint error", "interface error", "service error"]
     assert C.expansions("zzz", {"zzz": ["y"]}) == ["zzz", "y"]
 

@@ -323,6 +323,77 @@ def test_tail_ranges(tmp_path, monkeypatch):
         assert r.partitions(end, end) == []
 
 
+def test_tail_restart(tmp_path, monkeypatch):
+    """What a restart finds: an unreadable file keeps the place that the checkpoint has, a rotated or cut file is read anew, an appended one goes on."""
+    from sessionloom.streaming import tail
+
+    names = ("same", "grown", "rotated", "cut", "locked", "rewritten")
+    f = {n: tmp_path / f"{n}.jsonl" for n in names}
+    for n in names:
+        f[n].write_text(f"{n} one\n{n} two\n")
+    start = json.loads(json.dumps(tail._Reader(str(tmp_path), "*.jsonl").latestOffset()))
+    (tmp_path / "ck" / "offsets").mkdir(parents=True)
+    (tmp_path / "ck" / "offsets" / "9").write_text("old")
+    (tmp_path / "ck" / "offsets" / "10").write_text("v1\n{}\n" + json.dumps(start))
+    with f["grown"].open("a") as out:
+        out.write("grown three\n")
+    f["rotated"].rename(tmp_path / "rotated.1")
+    f["rotated"].write_text("rotated anew, and longer than before it was\n")
+    f["cut"].write_text("cut\n")
+    f["rewritten"].write_text("REWRITTEN one\nrewritten two\nthree\n")
+    whole = tail.complete_bytes
+    monkeypatch.setattr(tail, "complete_bytes", lambda p: None if "locked" in p else whole(p))
+    r = tail._Reader(str(tmp_path), "*.jsonl", str(tmp_path / "ck"))
+    end = r.latestOffset()
+    got = sorted(x[2] for p in r.partitions(start, end) for x in r.read(p))
+    assert got == ["REWRITTEN one", "cut", "grown three", "rewritten two", "rotated anew, and longer than before it was", "three"]
+    assert tail._Reader(str(tmp_path), "*.jsonl").latestOffset().get(str(f["locked"])) is None  # without the checkpoint its place is not known
+    monkeypatch.setattr(tail, "complete_bytes", whole)
+    with f["locked"].open("a") as out:
+        out.write("locked three\n")
+    after = r.latestOffset()
+    assert [x[2] for p in r.partitions(end, after) for x in r.read(p)] == ["locked three"]
+
+
+def test_rested_files_fire_once(spark, tmp_path):
+    """A file that keeps changing is given out once, when it rests."""
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    changes = spark.readStream.schema("path string").json(str(folder))
+    q = live.rested(changes, quiet_ms=6_000).writeStream.format("memory").queryName("rested").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for k in range(3):
+            (folder / f"{k}.json").write_text("\n".join(json.dumps({"path": p}) for p in (["a", "b"] if k == 0 else ["a"])))
+            q.processAllAvailable()
+        assert spark.sql("select * from rested where path = 'a'").count() == 0
+        until = time.time() + 60
+        while time.time() < until and spark.sql("select * from rested").count() < 2:
+            time.sleep(0.5)
+            # a batch must run for timers to fire
+            (folder / f"tick{time.time()}.json").write_text(json.dumps({"path": "tick"}))
+        got = sorted((r["path"], r["changes"]) for r in spark.sql("select * from rested where path <> 'tick'").collect())
+    finally:
+        q.stop()
+    assert got == [("a", 3), ("b", 1)]
+
+
+def test_live_stream_reads_the_clock(spark, tmp_path):
+    """Facts of a later batch are dated by that batch."""
+    from sessionloom.sources.store import Tables
+
+    folder = tmp_path / "live"
+    folder.mkdir()
+    ticks = iter(range(NOW, NOW + 10**9, 1000))
+    seen = []
+    for k in range(2):
+        (folder / f"{k}.jsonl").write_text(json.dumps({"type": "tool_use", "name": "Edit", "input": {"file_path": f"/a/{k}.ts"}}))
+        assert live.remember_live(spark, str(folder), str(tmp_path / "s"), str(tmp_path / "ck"), "/proj", lambda: next(ticks)).awaitTermination(120)
+        seen.append({r["value"]: r["created_at"] for r in Tables(spark, str(tmp_path / "s")).read("working_memory").collect()})
+    assert seen[0] == {"edit /a/0.ts": NOW} and seen[1] == {"edit /a/0.ts": NOW, "edit /a/1.ts": NOW + 1000}
+
+
 def test_git_and_tree(spark, tmp_path):
     import subprocess
 
