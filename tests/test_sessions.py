@@ -362,18 +362,20 @@ def test_rested_files_fire_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     changes = spark.readStream.schema("path string").json(str(folder))
-    q = live.rested(changes, quiet_ms=6_000).writeStream.format("memory").queryName("rested").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+    say = lambda k, *paths: (folder / f"{k}.json").write_text("\n".join(json.dumps({"path": p}) for p in paths))
+    said = lambda: sorted((r["path"], r["changes"]) for r in spark.sql("select * from rested").collect())
+    say(0, "a", "b")
+    q = live.rested(changes, quiet_ms=8_000).writeStream.format("memory").queryName("rested").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
     try:
-        for k in range(3):
-            (folder / f"{k}.json").write_text("\n".join(json.dumps({"path": p}) for p in (["a", "b"] if k == 0 else ["a"])))
-            q.processAllAvailable()
-        assert spark.sql("select * from rested where path = 'a'").count() == 0
         until = time.time() + 60
-        while time.time() < until and spark.sql("select * from rested").count() < 2:
+        for k in (1, 2):
+            while time.time() < until and sum(p["numInputRows"] for p in q.recentProgress) < k + 1:
+                time.sleep(0.2)
+            say(k, "a")
+        while time.time() < until and len(said()) < 2:
             time.sleep(0.5)
-            # a batch must run for timers to fire
-            (folder / f"tick{time.time()}.json").write_text(json.dumps({"path": "tick"}))
-        got = sorted((r["path"], r["changes"]) for r in spark.sql("select * from rested where path <> 'tick'").collect())
+        time.sleep(2)
+        got = said()
     finally:
         q.stop()
     assert got == [("a", 3), ("b", 1)]
