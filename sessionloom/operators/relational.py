@@ -133,6 +133,26 @@ def module_of(c) -> Column:
     return F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"^(.*?)/[^/]*$", 1)
 
 
+def ancestors(c) -> Column:
+    """The directories that hold a path, the outermost first; none for a path without one."""
+    parts = F.split(F.col(c) if isinstance(c, str) else c, "/")
+    above = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    return F.filter(above, lambda p: p != "")
+
+
+def contained(modules: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
+    """Rows of ``files`` with each ``module`` (a directory) that holds them at any depth (JN-20): every path meets its own directories by equality, so no
+    path is compared with a module that does not hold it. A path has as many rows as modules hold it."""
+    return files.withColumn("module", F.explode(ancestors(path))).join(modules.select("module").distinct(), "module")
+
+
+def nested_rollup(modules: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
+    """Files and distinct paths below each module at any depth, 0 for one that holds none (JN-20). Paths are counted before they are exploded."""
+    by_path = files.groupBy(path).agg(F.count("*").alias("n"))
+    held = contained(modules, by_path, path).groupBy("module").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_paths"))
+    return modules.select("module").distinct().join(held, "module", "left").na.fill(0, ["n_rows", "n_paths"])
+
+
 def module_rollup(files: DataFrame, decisions: DataFrame, mistakes: DataFrame, requirements: DataFrame | None = None, edits: DataFrame | None = None) -> DataFrame:
     """Files, decisions, mistakes, and if given requirements and edits, by directory (AGG-14). Paths are cut to their directory, so the
     joins are on equality; :func:`busiest_first` orders the result."""

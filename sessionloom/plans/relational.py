@@ -214,6 +214,13 @@ def module_rollup(s, d):
     return R.module_rollup(e, e.where("conversation_id % 7 = 1"), e.where("conversation_id % 7 = 2"))
 
 
+@query(f"""WITH m AS (SELECT unnest(['/src', '/src/m1', '/src/m10', '/src/m', '/none', 'src']) AS module)
+SELECT m.module, count(file_path) AS n_rows, count(DISTINCT file_path) AS n_paths FROM m LEFT JOIN {EDITS} e ON starts_with(e.file_path, m.module || '/') GROUP BY m.module""")
+def module_containment(s, d):
+    m = s.createDataFrame([(x,) for x in ("/src", "/src/m1", "/src/m10", "/src/m", "/none", "src")], "module string")
+    return R.nested_rollup(m, B.edits(s, d))
+
+
 @query("""SELECT scenario, failed, warned, CASE WHEN failed > 0 THEN greatest(0, 50 - 25 * failed) WHEN warned > 1 THEN greatest(50, 100 - 15 * warned) ELSE 100 - 10 * warned END AS score
 FROM (SELECT scenario, count(*) FILTER (WHERE scenario >= 3 AND r_regionkey >= 7 - scenario) AS failed, count(*) FILTER (WHERE r_regionkey > 0 AND r_regionkey <= scenario AND NOT (scenario >= 3 AND r_regionkey >= 7 - scenario)) AS warned FROM region, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS scenario) GROUP BY scenario)""")
 def health_score(s, d):

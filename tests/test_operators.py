@@ -183,6 +183,16 @@ def test_snippet_and_expansion(spark):
     assert C.expansions("zzz", {"zzz": ["y"]}) == ["zzz", "y"]
 
 
+def test_containment(spark):
+    """Modules hold a path at any depth, by whole parts of it."""
+    paths = ["/a/b/c.ts", "/a/b.ts", "/ab/c.ts", "a/b/c.ts", "c.ts", "/c.ts", "", None, "/a/b/c.ts"]
+    modules = ["/a", "/a/b", "/ab", "a", "a/b", "/none", "/"]
+    f, m = spark.createDataFrame([(p,) for p in paths], "file_path string"), spark.createDataFrame([(x,) for x in modules], "module string")
+    got = {r["module"]: (r["n_rows"], r["n_paths"]) for r in R.nested_rollup(m, f).collect()}
+    under = {x: [p for p in paths if p and p.startswith(x + "/")] for x in modules}
+    assert got == {x: (len(u), len(set(u))) for x, u in under.items()}
+
+
 def test_memory(spark):
     empty = spark.createDataFrame([], "project_path string, key string, value string, created_at long, updated_at long, expires_at long")
     items = spark.createDataFrame([("/p", "a", "1", 0), ("/p", "b", "it's 😀", 10), ("/p", "c", "3", -1)], "project_path string, key string, value string, ttl int")
