@@ -195,24 +195,26 @@ REASON = r"(?:because|since|for|due to)\s+(.+?)(?:\.|\z)"
 def requirements(messages: DataFrame) -> DataFrame:
     """All matches of the requirement patterns, with rationale and components (EXT-R1).
 
-    The description is what the pattern asks for; the rationale comes from the match, else from what follows its first
+    The description is what the pattern asks for; the rationale comes from the match, else from what follows its own
     place up to the sentence's end; components are those that the message names.
     """
-    found = F.concat(*[F.transform(F.arrays_zip(hits("content", p), hits("content", p, 1)), _typed(kind)) for kind, p in R.REQUIREMENTS])
-    rows = messages.select("message_id", "conversation_id", "timestamp", "content", F.explode(found).alias("r"))
-    rows = rows.select("message_id", "conversation_id", "timestamp", "content", F.col("r.type").alias("type"), F.trim("r.description").alias("description"), F.col("r.whole").alias("whole")).where("description <> ''")
-    after = F.expr("substring(content, locate(whole, content) + length(whole))")
+    rows = messages.select("message_id", "conversation_id", "timestamp", "content", F.explode(_matches([p for _, p in R.REQUIREMENTS])).alias("r"))
+    kinds = F.array(*[F.lit(k) for k, _ in R.REQUIREMENTS])
+    rows = rows.select("message_id", "conversation_id", "timestamp", "content", F.get(kinds, F.col("r.pattern")).alias("type"), F.trim("r.part").alias("description"), F.col("r.whole").alias("whole"), "r.pattern", "r.at").where("description <> ''")
+    after = F.expr("substring(content, at + length(whole))")
     rationale = F.coalesce(group("whole", REASON), group(after, r"\A[^.]*?" + REASON))
     low = F.lower("content")
     components = F.filter(F.array(*map(F.lit, COMPONENTS)), lambda c: F.contains(low, c))
     sig = F.concat_ws("_", F.col("message_id").cast("string"), "type", F.substring("description", 1, 50))
-    w = Window.partitionBy("_sig").orderBy("timestamp", "description", "whole")
-    out = rows.select("message_id", "conversation_id", "timestamp", "type", "description", "whole", rationale.alias("rationale"), components.alias("affects_components")).withColumn("_sig", sig)
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("id", fact_id("requirement", "_sig")).drop("_n", "_sig", "whole")
+    w = Window.partitionBy("_sig").orderBy("timestamp", "pattern", "at")
+    out = rows.select("message_id", "conversation_id", "timestamp", "type", "description", "pattern", "at", rationale.alias("rationale"), components.alias("affects_components")).withColumn("_sig", sig)
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("id", fact_id("requirement", "_sig")).drop("_n", "_sig", "pattern", "at")
 
 
-def _typed(kind: str):
-    return lambda h: F.struct(F.lit(kind).alias("type"), h["0"].alias("whole"), h["1"].alias("description"))
+def _matches(patterns: list[str], c: str = "content") -> Column:
+    """array<struct<pattern, at, whole, part>>: every match of every pattern, ignoring case, by number of the pattern and place."""
+    numbered = lambda i: lambda x: F.struct(F.lit(i).alias("pattern"), x["at"].alias("at"), x["whole"].alias("whole"), x["part"].alias("part"))
+    return F.concat(*[F.transform(T.placed(c, "(?i)" + p), numbered(i)) for i, p in enumerate(patterns)])
 
 
 def validations(uses: DataFrame, results: DataFrame) -> DataFrame:
@@ -282,15 +284,14 @@ def _tools_of(uses: DataFrame) -> DataFrame:
 def findings(messages: DataFrame, uses: DataFrame | None = None) -> DataFrame:
     """Research findings of assistant messages (EXT-F1): every discovery of 20 characters or more, cut to 500.
 
-    Topic, source, reference, relevance, confidence and related items are read from the words around the first place of
-    the match (200 before, 400 after) and, if ``uses`` are given, from the message's tool calls, which go first.
+    Topic, source, reference, relevance, confidence and related items are read from the words around the match's own place
+    (200 before, 400 after) and, if ``uses`` are given, from the message's tool calls, which go first. Of discoveries of a message
+    whose first 100 characters agree but for case, the first pattern's first one counts.
     """
     m = messages.where((F.col("role") == "assistant") & ~P.noise("content", R.SHORT_NOISE))
-    each = [F.transform(F.arrays_zip(hits("content", p), hits("content", p, 1)), lambda x: F.struct(x["0"].alias("whole"), F.trim(x["1"]).alias("text"))) for p in R.DISCOVERIES]
-    found = F.filter(F.concat(*each), lambda x: F.length(x["text"]) >= 20)
-    rows = m.select("message_id", "conversation_id", "content", F.explode(F.array_distinct(found)).alias("x")).withColumn("discovery", F.col("x.text"))
-    rows = rows.withColumn("_at", F.expr("locate(x.whole, content)")).withColumn("around", F.expr("substring(content, greatest(_at - 200, 1), _at + 400 - greatest(_at - 200, 1))"))
-    first_place = Window.partitionBy("message_id", "discovery").orderBy("_at", F.length("x.whole"), "x.whole")
+    rows = m.select("message_id", "conversation_id", "content", F.explode(_matches(R.DISCOVERIES)).alias("x"))
+    rows = rows.select("message_id", "conversation_id", F.trim("x.part").alias("discovery"), "x.pattern", "x.at", F.expr("substring(content, greatest(x.at - 200, 1), x.at + 400 - greatest(x.at - 200, 1))").alias("around")).where(F.length("discovery") >= 20)
+    first_place = Window.partitionBy("message_id", F.lower(F.substring("discovery", 1, 100))).orderBy("pattern", "at")
     rows = rows.withColumn("_n", F.row_number().over(first_place)).where("_n = 1")
     if uses is not None:
         rows = rows.join(_tools_of(uses), "message_id", "left")

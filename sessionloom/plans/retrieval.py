@@ -232,16 +232,19 @@ def mistake_next4_fix(s, d):
     return X.error_talk(B.messages(s, d)).select("message_id", "mistake_type", "what_went_wrong", "correction")
 
 
-@query(f"""WITH m AS (SELECT * FROM {MESSAGES}), h AS ({" UNION ALL ".join(f"SELECT message_id, timestamp, content, '{k}' AS type, unnest(regexp_extract_all(content, {_re(p)})) AS whole, unnest(regexp_extract_all(content, {_re(p)}, 1)) AS d FROM m" for k, p in rules.REQUIREMENTS)}),
-n AS (SELECT *, trim(d) AS description, row_number() OVER (PARTITION BY message_id, type, substr(trim(d), 1, 50) ORDER BY timestamp, trim(d), whole) AS n FROM h WHERE trim(d) <> '')
-SELECT message_id, type, description, coalesce({_group("whole", X.REASON)}, {_group("substr(content, instr(content, whole) + length(whole))", chr(92) + "A[^.]*?" + X.REASON)}) AS rationale, array_to_string(list_filter({X.COMPONENTS!r}, lambda c: contains(lower(content), c)), ',') AS affects_components FROM n WHERE n = 1""")
-def requirement_extract(s, d):
-    return X.requirements(B.messages(s, d)).select("message_id", "type", "description", "rationale", F.array_join("affects_components", ",").alias("affects_components"))
+def _places(patterns: list[str]) -> str:
+    """Rows of ``m`` once for each match: number of the pattern, place, match and first group."""
+    one = lambda i, p: f"SELECT *, {i} AS pattern, string_split_regex(content, {_re(p)}) AS gaps, regexp_extract_all(content, {_re(p)}) AS wholes, regexp_extract_all(content, {_re(p)}, 1) AS parts FROM m"
+    size = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    return f"""SELECT *, unnest(wholes) AS whole, unnest(parts) AS part, unnest(list_transform(range(1, len(wholes) + 1), lambda i: {size("gaps[1:i]")} + {size("wholes[1:i - 1]")} + 1))::BIGINT AS pos
+FROM ({" UNION ALL ".join(one(i, p) for i, p in enumerate(patterns))})"""
 
 
-@query(None)
-def requirement_extract_all(s, d):
-    return X.requirements(B.messages(s, d)).withColumn("affects_components", F.array_join("affects_components", ","))
+@query(f"""WITH m AS (SELECT * FROM {MESSAGES}), h AS (SELECT *, [{", ".join(f"'{k}'" for k, _ in rules.REQUIREMENTS)}][pattern + 1] AS type, trim(part) AS description FROM ({_places([p for _, p in rules.REQUIREMENTS])})),
+n AS (SELECT *, row_number() OVER (PARTITION BY message_id, type, substr(description, 1, 50) ORDER BY timestamp, pattern, pos) AS n FROM h WHERE description <> '')
+SELECT message_id, type, description, coalesce({_group("whole", X.REASON)}, {_group("substr(content, pos + length(whole))", chr(92) + "A[^.]*?" + X.REASON)}) AS rationale, array_to_string(list_filter({X.COMPONENTS!r}, lambda c: contains(lower(content), c)), ',') AS affects_components FROM n WHERE n = 1""")
+def requirement_extract(s, d):
+    return X.requirements(B.messages(s, d)).select("message_id", "type", "description", "rationale", F.array_join("affects_components", ",").alias("affects_components"))
 
 
 RUNS = "(SELECT event_id, event_type = 'error' AS is_error, CASE event_id % 3 WHEN 0 THEN (event_id % 50) || ' passed, 0 failed in ' || (event_id % 900) || ' ms' WHEN 1 THEN (event_id % 40) || ' passed, ' || (event_id % 7 + 1) || ' failed in 2 s' ELSE 'ran' END AS content FROM events)"
@@ -291,8 +294,8 @@ def methodology_segments(s, d):
 PATHS = "'" + X.PATHS + "'"
 
 
-@query(f"""WITH m AS (SELECT * FROM {MESSAGES} WHERE role = 'assistant' AND {_noise(rules.SHORT_NOISE)}), h AS ({" UNION ALL ".join(f"SELECT message_id, conversation_id, content, unnest(regexp_extract_all(content, {_re(p)})) AS whole, trim(unnest(regexp_extract_all(content, {_re(p)}, 1))) AS t FROM m" for p in rules.DISCOVERIES)}),
-n AS (SELECT *, instr(content, whole) AS pos, row_number() OVER (PARTITION BY message_id, t ORDER BY instr(content, whole), length(whole), whole) AS n FROM h WHERE length(t) >= 20),
+@query(f"""WITH m AS (SELECT * FROM {MESSAGES} WHERE role = 'assistant' AND {_noise(rules.SHORT_NOISE)}), h AS (SELECT *, trim(part) AS t FROM ({_places(rules.DISCOVERIES)})),
+n AS (SELECT *, row_number() OVER (PARTITION BY message_id, lower(substr(t, 1, 100)) ORDER BY pattern, pos) AS n FROM h WHERE length(t) >= 20),
 a AS (SELECT *, substr(content, greatest(pos - 200, 1), pos + 400 - greatest(pos - 200, 1)) AS around FROM n WHERE n = 1)
 SELECT message_id, conversation_id, substr(t, 1, 500) AS discovery, substr(coalesce({", ".join(_group("around", p) for p in rules.TOPICS)}, t), 1, 100) AS topic, {_label("around", rules.FINDING_SOURCES.items(), "code")} AS source_type,
 CASE WHEN regexp_matches(around, {PATHS}) THEN regexp_extract(around, {PATHS}) WHEN regexp_matches(around, 'https?://[^\\s)]+') THEN regexp_extract(around, 'https?://[^\\s)]+') END AS source_reference,

@@ -359,5 +359,35 @@ def test_requirement_query_keeps_every_type(spark):
     for r in bindings.messages(spark, sf).select("message_id", "content").collect():
         for kind, p in rules.REQUIREMENTS:
             want |= {(r["message_id"], kind, m[1].strip(" ")[:50]) for m in re.finditer(p, r["content"] or "", re.I)}
-    got = retrieval.QUERIES["requirement_extract_all"](spark, sf).collect()
+    got = retrieval.QUERIES["requirement_extract"](spark, sf).collect()
     assert {(r["message_id"], r["type"], r["description"][:50]) for r in got} == want and want
+
+
+def test_matches_keep_their_own_place(spark):
+    """Places of all matches against Python's own, also where a match's words stand earlier in another match."""
+    import re
+
+    from sessionloom.functions import text as T
+
+    texts = [None, "", "plain", "ab ab", "xaby ab", "äab😀ab ab", "ab", "ababab tail", "x" * 3000 + "ab" * 500]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for pattern in ("ab", "(?i)A(b)", r"(?:a(b)\s*)+", r"a(.?)\z"):
+        g = 1 if "(b)" in pattern or "(.?)" in pattern else 0
+        got = spark.createDataFrame(rows, "i int, t string").select("i", T.placed("t", pattern, g).alias("p")).collect()
+        want = {i: [(m.start() + 1, m[0], m[g]) for m in re.finditer(pattern.replace(r"\z", r"\Z"), t or "")] for i, t in rows}
+        assert {r["i"]: [tuple(x) for x in r["p"]] for r in got} == want, pattern
+
+
+def test_findings_and_requirements_read_their_own_surroundings(spark):
+    from sessionloom.operators.extract import facts
+
+    columns = "message_id int, conversation_id int, role string, content string, timestamp long"
+    filler = " Plain words fill the page." * 40
+    said = "This means the cache holds old rows today. Maybe, possibly so." + filler + " We have confirmed and verified it. This means the cache holds old rows"
+    got = {r["discovery"]: r["confidence"] for r in facts.findings(spark.createDataFrame([(1, 1, "assistant", said, 1)], columns)).collect()}
+    assert got == {"the cache holds old rows today": "uncertain", "the cache holds old rows": "verified"}, got
+    same = "I found that The Index is never used by queries. x. I found that the index is never used by queries."
+    assert [r["discovery"] for r in facts.findings(spark.createDataFrame([(1, 1, "assistant", same, 1)], columns)).collect()] == ["The Index is never used by queries"]
+    asked = "Constraint: keep logs as they are. Yes.\nConstraint: keep logs\n, since disks are small."
+    r = {x["description"]: x["rationale"] for x in facts.requirements(spark.createDataFrame([(1, 1, "user", asked, 1)], columns)).collect()}
+    assert r["keep logs"] == "disks are small", r
