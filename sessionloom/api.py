@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import predicates as P
 from sessionloom.functions import text as T
 from sessionloom.functions import vectors as V
-from sessionloom.operators import chunking, maintenance, memory, relational, report, search, tools
+from sessionloom.operators import chunking, embedding, maintenance, memory, relational, report, search, tools
 from sessionloom.operators.extract import facts
 from sessionloom.operators.text_index import TextIndex
 from sessionloom.sources import files, session_logs
@@ -103,12 +103,12 @@ class Engine:
     def _embed(self, own: DataFrame) -> int:
         """Vectors of the chunks of messages whose text has none yet or has changed; how many messages (VEC-6)."""
         t, known = self.tables, self.tables.read("embeddings")
-        said = own.select("id", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("content_hash"))
+        said = own.select("id", "content", self._text_hash(F.coalesce("content", F.lit(""))).alias("content_hash"))
         if known is not None:
             said = said.join(known.select(F.col("message_id").alias("id"), "content_hash"), ["id", "content_hash"], "left_anti")
         todo, n = t.staged(said)
         if n or known is None:
-            parts = chunking.chunks(todo, "id", "content").withColumn("embedding", V.hashed_embedding(T.tokens("content")))
+            parts = self._with_vectors(chunking.chunks(todo, "id", "content"), "content")
             parts, _ = t.staged(parts.withColumn("id", F.concat_ws("_", "message_id", F.col("chunk_index").cast("string"))))
             t.delete("chunk_embeddings", todo.select(F.col("id").alias("message_id")))  # of an earlier text
             t.append("chunk_embeddings", parts, ["id"])
@@ -122,10 +122,41 @@ class Engine:
     def _embed_facts(self, kind: str, columns: list[str], rows: DataFrame) -> int:
         """Vectors of facts that have none yet or whose text has changed; how many (VEC-5)."""
         known, said = self.tables.read("fact_embeddings"), F.concat_ws(" ", *columns)
-        rows = rows.select(F.lit(kind).alias("kind"), "id", said.alias("said"), F.xxhash64(said).alias("content_hash"))
+        rows = rows.select(F.lit(kind).alias("kind"), "id", said.alias("said"), self._text_hash(said).alias("content_hash"))
         if known is not None:
             rows = rows.join(known.select("kind", "id", "content_hash"), ["kind", "id", "content_hash"], "left_anti")
-        return self.tables.upsert("fact_embeddings", rows.withColumn("embedding", V.hashed_embedding(T.tokens("said"))).drop("said"))
+        return self.tables.upsert("fact_embeddings", self._with_vectors(rows, "said").drop("said"))
+
+    def fit_embedding(self, common: int = 1) -> int:
+        """Term weights and common directions learnt from all messages; messages and facts get vectors of the new model; how many messages, none if nothing is indexed (SRC-13).
+
+        Later messages are embedded by this model until it is fitted again. After a failure the call can be made again: what has a
+        vector of the model by then keeps it, if the messages are the same.
+        """
+        t = self.tables
+        said = t.read("messages")
+        if said is None:
+            return 0
+        model = embedding.fit(self.spark, said, T.tokens("content"), common=common)
+        t.upsert("embedding_model", model.select(F.lit("current").alias("id"), "weights", "directions", F.xxhash64("weights", "directions").alias("version")), ["id"])
+        n = self._embed(said)
+        for kind, columns in FACT_TEXT.items():
+            if (rows := t.read(kind)) is not None:
+                self._embed_facts(kind, columns, rows)
+        return n
+
+    def _text_hash(self, text):
+        """Hash of what a vector is made of: the text, and the model if one is fitted."""
+        model = self.tables.read("embedding_model")
+        return F.xxhash64(text) if model is None else F.xxhash64(text, F.lit(model.first()["version"]))
+
+    def _with_vectors(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``embedding`` of a text column, by the fitted model if there is one, else hashed."""
+        model = self.tables.read("embedding_model")
+        return df.withColumn("embedding", V.hashed_embedding(T.tokens(text))) if model is None else embedding.embedded(df, T.tokens(text), model, "embedding")
+
+    def _query_vector(self, text: str) -> list[float]:
+        return self._with_vectors(self.spark.createDataFrame([(text,)], "q string"), "q").first()["embedding"]
 
     def link_commits(self, repo: str, days: int | None = None) -> int:
         """Commits of a repository with the conversation that they belong to; how many are linked (link_commits)."""
@@ -159,7 +190,7 @@ class Engine:
         m = self.tables.read("messages")
         m = m if where is None else m.where(where)
         own = m.select(F.col("id").alias("message_id"))
-        q = self.spark.createDataFrame([(query,)], "q string").select(V.hashed_embedding(T.tokens("q"))).first()[0]
+        q = self._query_vector(query)
         near = lambda name, key: search.knn(self.tables.read(name).join(own, "message_id", "left_semi"), q, 5 * limit, id_col=key)
         chunk_hits = search.chunks_to_messages(near("chunk_embeddings", "id"), 1e-6)
         hits = search.merge_hits(chunk_hits, near("embeddings", "message_id").where("similarity > 0"), 3 * limit)
@@ -183,7 +214,7 @@ class Engine:
         rows = relational.with_source(rows, self.tables.read("conversations"), self.tables.read("messages"))
         if not text:
             return rows.orderBy(F.desc("timestamp"), "id").limit(limit)
-        q = self.spark.createDataFrame([(text,)], "q string").select(V.hashed_embedding(T.tokens("q"))).first()[0]
+        q = self._query_vector(text)
         vectors = self.tables.read("fact_embeddings").where(F.col("kind") == name).select("id", F.col("embedding").alias("_vector"))
         scored = rows.join(vectors, "id", "left").withColumn("similarity", F.coalesce(V.cosine_to(F.col("_vector"), q), F.lit(0.0))).drop("_vector")
         scored = scored.withColumn("_named", P.contains_any(columns, text) | search.match_all(F.concat_ws(" ", *columns), text))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import text as T
 from sessionloom.functions import vectors as V
 from sessionloom.operators import chunking as C
+from sessionloom.operators import embedding as E
 from sessionloom.operators import relational as R
 from sessionloom.operators import search as S
 from sessionloom.operators.extract import facts as X
@@ -172,6 +173,12 @@ def hashed_embeddings(s, d):
     return table(s, d, "benchmark").select("item_id", V.hashed_embedding(T.tokens("text"), 32).alias("embedding"))
 
 
+@query(None)
+def fitted_embeddings(s, d):
+    docs = table(s, d, "documents")
+    return E.embedded(docs, T.tokens("text"), E.fit(s, docs, T.tokens("text")), "embedding").select("doc_id", "embedding")
+
+
 # SQL of the extraction rules, from the same patterns -----------------------------------------------------------------
 
 
