@@ -137,8 +137,11 @@ class Engine:
         said = t.read("messages")
         if said is None:
             return 0
-        model = embedding.fit(self.spark, said, T.tokens("content"), common=common)
-        t.upsert("embedding_model", model.select(F.lit("current").alias("id"), "weights", "directions", F.xxhash64("weights", "directions").alias("version")), ["id"])
+        told = said.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("content"), F.lit(1 << 31))).alias("s")).select(F.xxhash64("n", "s", F.lit(common)).alias("version"))
+        version, old = told.first()[0], t.read("embedding_model")
+        if old is None or old.first()["version"] != version:  # else the messages are those of the last fit
+            model = embedding.fit(self.spark, said, T.tokens("content"), common=common)
+            t.upsert("embedding_model", model.select(F.lit("current").alias("id"), "weights", "directions", F.lit(version).alias("version")), ["id"])
         n = self._embed(said)
         for kind, columns in FACT_TEXT.items():
             if (rows := t.read(kind)) is not None:
