@@ -20,6 +20,10 @@ from sessionloom.sources.store import Tables
 #: Facts that are found by likeness, and the columns that speak for them.
 FACT_TEXT = {"decisions": ["decision_text", "rationale"], "mistakes": ["what_went_wrong", "correction"]}
 FACTS = ("decisions", "mistakes", "requirements", "validations", "methodologies", "research_findings", "solution_patterns")
+#: Tools that open a file, and what they do to it.
+FILE_ACTIONS = {"Read": "read", "Edit": "edit", "Write": "create"}
+#: Hits that are looked for beyond a page, so that it is known whether there are more.
+BEYOND = 50
 #: Tables whose rows are counted by run and in all.
 COUNTED = ("conversations", "messages", "tool_uses", "tool_results", *FACTS)
 
@@ -185,13 +189,21 @@ class Engine:
         return found["canonical_path"] if found else project
 
     # search
-    def search(self, query: str, limit: int = 10, where=None, expand: bool = False, by_session: bool = False) -> DataFrame:
+    def _conversations(self, project: str | None = None, source: str | None = None) -> DataFrame | None:
+        """Ids (conversation_id) of the conversations of a project and of a source type; None if neither is given."""
+        if project is None and source is None:
+            return None
+        return self.tables.read("conversations").where(P.all_of({"project_path": project, "source_type": source})).select(F.col("id").alias("conversation_id"))
+
+    def search(self, query: str, limit: int = 10, where=None, expand: bool = False, by_session: bool = False, project: str | None = None, source: str | None = None) -> DataFrame:
         """Messages by vectors of chunks and messages and by full text, fused by rank, with snippets; filters come before any cut (HYB-4).
 
         Chunk hits make message hits, which replace them where they are better; near repeats go before ranks are given.
         """
         m = self.tables.read("messages")
         m = m if where is None else m.where(where)
+        of = self._conversations(project, source)
+        m = m if of is None else m.join(of, "conversation_id", "left_semi")
         own = m.select(F.col("id").alias("message_id"))
         q = self._query_vector(query)
         near = lambda name, key: search.knn(self.tables.read(name).join(own, "message_id", "left_semi"), q, 5 * limit, id_col=key)
@@ -205,15 +217,40 @@ class Engine:
         out = fused.join(m, "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
         return search.sessions_of(out.withColumnRenamed("score", "similarity"), limit) if by_session else out
 
+    def search_all(self, query: str, limit: int = 20, offset: int = 0, since: int | None = None, until: int | None = None, source: str | None = None) -> DataFrame:
+        """A page of the messages that :meth:`search` finds in all projects, with the project and source of each (search_all_conversations)."""
+        return self._page(self.search(query, limit + offset + BEYOND, P.between_ms("timestamp", since, until), source=source), [F.desc("score"), F.asc("id")], limit, offset)
+
+    def all_decisions(self, query: str, file_path: str | None = None, limit: int = 20, offset: int = 0, source: str | None = None) -> DataFrame:
+        """A page of the decisions of all projects that are like a query, those that name a file if one is given (get_all_decisions)."""
+        named = P.contains_any(["decision_text", "rationale", "context"], file_path) if file_path else None
+        return self._page(self._found("decisions", query, limit + offset + BEYOND, named, source=source), self._fact_order(query), limit, offset)
+
+    def all_mistakes(self, query: str, kind: str | None = None, limit: int = 20, offset: int = 0, source: str | None = None) -> DataFrame:
+        """A page of the mistakes of all projects that are like a query (search_all_mistakes)."""
+        of = F.col("mistake_type") == kind if kind else None
+        return self._page(self._found("mistakes", query, limit + offset + BEYOND, of, source=source), self._fact_order(query), limit, offset)
+
+    @staticmethod
+    def _fact_order(text: str | None) -> list:
+        return [*([F.desc("similarity")] if text else []), F.desc("timestamp"), F.asc("id")]
+
+    def _page(self, hits: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
+        # a few hits, searched once: the page, its probe for a next one and the counts read them
+        found = self.spark.createDataFrame(hits.collect(), hits.schema)
+        return tools.hits_page(found, self.tables.read("conversations"), order, limit, offset)
+
     def search_words(self, query: str, limit: int = 10) -> DataFrame:
         """Messages by BM25 over any word of the query, from the stored index (FTS-5)."""
         best = self.text.bm25(query, limit)
         return best.join(self.tables.read("messages"), "id").select("id", "conversation_id", "role", "timestamp", "score", chunking.snippet("content", query).alias("snippet")).orderBy(F.desc("score"), "id")
 
-    def _found(self, name: str, text: str | None, limit: int, *where) -> DataFrame:
+    def _found(self, name: str, text: str | None, limit: int, *where, source: str | None = None) -> DataFrame:
         """Facts with their source, by likeness of their stored vectors to ``text`` and by words of it, the likest first; without text the latest (VEC-5, JN-2, JN-3)."""
         columns = FACT_TEXT[name]
         rows = self.tables.read(name).where(P.all_of(None, *where))
+        of = self._conversations(source=source)
+        rows = rows if of is None else rows.join(of, "conversation_id", "left_semi")
         rows = relational.with_source(rows, self.tables.read("conversations"), self.tables.read("messages"))
         if not text:
             return rows.orderBy(F.desc("timestamp"), "id").limit(limit)
@@ -282,6 +319,11 @@ class Engine:
             parts.append(hit.select(F.lit("commit").alias("kind"), F.col("hash").alias("ref"), "timestamp", F.col("message").alias("detail")))
         return relational.timeline(*parts)
 
+    def check_before_modify(self, path: str, k: int = 5) -> DataFrame:
+        """What to know of a file before it is changed: its latest edits and commits, decisions and mistakes that name it (check_before_modify)."""
+        edits = self.tables.read("file_edits").withColumn("timestamp", F.col("snapshot_timestamp"))
+        return tools.before_change(k, edits, self.tables.read("git_commits"), self.tables.read("decisions"), self.tables.read("mistakes"), path)
+
     # memory
     def remember(self, items: DataFrame, now: int) -> None:
         """items: project_path, key, value, tags, ttl (seconds)."""
@@ -290,6 +332,42 @@ class Engine:
     def recall(self, now: int, **filters) -> DataFrame:
         return memory.recall(self.tables.read("working_memory"), now, **filters)
 
+    def hand_off(self, project: str, session: str, now: int, include: tuple[str, ...] = ("decisions", "files", "tasks", "memory")) -> DataFrame:
+        """Stores the latest decisions and active files of a project, its tasks and its memory for a session to come; the stored row (HND-1)."""
+        t, blank = self.tables, lambda ddl: self.spark.createDataFrame([], ddl)
+        none = {"decisions": blank("decision_text string, timestamp long"), "files": blank("file_path string, timestamp long"), "tasks": blank("key string, value string, updated_at long"), "memory": blank("key string, value string, tags array<string>, updated_at long")}
+        parts, own = dict(none), None
+        if t.read("conversations") is not None:
+            own = t.read("messages").join(self._conversations(project), "conversation_id", "left_semi").select(F.col("id").alias("message_id"))
+        if own is not None and (made := t.read("decisions")) is not None:
+            parts["decisions"] = made.join(own, "message_id", "left_semi")
+        if own is not None and (uses := t.read("tool_uses")) is not None:
+            action = F.element_at(F.create_map(*[F.lit(x) for pair in FILE_ACTIONS.items() for x in pair]), F.col("tool_name"))
+            uses = uses.where(F.col("tool_name").isin(*FILE_ACTIONS)).join(own, "message_id", "left_semi")
+            parts["files"] = memory.active_files(uses, F.get_json_object("tool_input", "$.file_path")).withColumn("action", action)
+        if (items := t.read("working_memory")) is not None:
+            parts["tasks"], parts["memory"] = memory.pending_tasks(items, now, project), memory.recall(items, now, project)
+        chosen = {n: parts[n] if n in include else none[n] for n in none}
+        row = memory.handoff_row(memory.handoff(**chosen), project, session, now)
+        row = self.spark.createDataFrame(row.collect(), row.schema)
+        t.upsert("session_handoffs", row)
+        return row
+
+    def handoffs(self, project: str | None = None, resumed: bool = False, limit: int = 10) -> DataFrame | None:
+        """list_handoffs (HND-3); None if there never was one."""
+        kept = self.tables.read("session_handoffs")
+        return None if kept is None else memory.list_handoffs(kept, project, resumed, limit)
+
+    def handoff(self, handoff_id: str) -> DataFrame | None:
+        """The hand-off of an id, whole (HND-3)."""
+        one = self.spark.createDataFrame([(handoff_id,)], "id string")
+        kept = self.tables.read_keys("session_handoffs", one)
+        return None if kept is None else kept.where(F.col("id") == handoff_id)
+
+    def delete_handoff(self, handoff_id: str) -> bool:
+        """Whether there was a hand-off of this id; it is in no file any more (HND-3)."""
+        return self.tables.delete("session_handoffs", self.spark.createDataFrame([(handoff_id,)], "id string")) > 0
+
     def resume(self, project: str, session: str, now: int, handoff_id: str | None = None, inject: bool = True) -> DataFrame | None:
         """The latest hand-off of a project that is open, or the one of an id: marked as resumed, its memory put back (HND-2)."""
         all_of = self.tables.read("session_handoffs")

@@ -170,11 +170,26 @@ def active_files(tool_uses: DataFrame, path: Column, last: int = 50, first: int
     return one.orderBy(F.desc("timestamp"), F.desc("id")).limit(first)
 
 
+#: Tags that make a memory item a task; an item's status is the first of them that it has, a mere task is pending.
+TASK_TAGS = ("blocked", "in_progress", "pending", "task")
+
+
+def pending_tasks(memory: DataFrame, now: int, project: str | None = None) -> DataFrame:
+    """Live items that are tagged as tasks, with their status (HND-1)."""
+    has = lambda tag: F.array_contains("tags", tag)
+    status = F.when(has("blocked"), "blocked").when(has("in_progress"), "in_progress").otherwise("pending")
+    return recall(memory, now, project, tags=list(TASK_TAGS)).withColumn("status", status)
+
+
 def handoff(decisions: DataFrame, files: DataFrame, tasks: DataFrame, memory: DataFrame, k: int = 20) -> DataFrame:
     """One row with the parts of a hand-off: recent decisions, active files, pending tasks, memory (HND-1)."""
-    pack = lambda df, cols, by: df.orderBy(F.desc(by), cols[0]).limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("o"), *cols))).alias("x"))
-    d, f = pack(decisions, ["decision_text"], "timestamp"), pack(files, ["file_path"], "timestamp")
-    t, m = pack(tasks, ["key", "value"], "updated_at"), pack(memory, ["key", "value"], "updated_at")
+
+    def pack(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+        there = [c for c in columns if c in df.columns]
+        return df.orderBy(F.desc(by), columns[0]).limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("o"), *there))).alias("x"))
+
+    d, f = pack(decisions, ["decision_text", "rationale", "context"], "timestamp"), pack(files, ["file_path", "action"], "timestamp")
+    t, m = pack(tasks, ["key", "value", "status"], "updated_at"), pack(memory, ["key", "value", "tags"], "updated_at")
     names = ("decisions", "files", "tasks", "memory")
     out = None
     for n, df in zip(names, (d, f, t, m), strict=True):
@@ -183,6 +198,36 @@ def handoff(decisions: DataFrame, files: DataFrame, tasks: DataFrame, memory: Da
     return out.drop("_j")
 
 
+def handoff_summary() -> Column:
+    """What a hand-off (columns of :func:`handoff`) holds, in a line (HND-1)."""
+    told = lambda n, noun, rest=None: F.when(F.size(n) > 0, F.concat(F.size(n).cast("string"), F.lit(noun), *([rest] if rest is not None else [])))
+    some = lambda n, sep, text: F.concat(F.lit(": "), F.array_join(F.transform(F.slice(n, 1, 3), text), sep))
+    parts = [
+        told("decisions", " decision(s)", some("decisions", "; ", lambda e: F.substring(e["decision_text"], 1, 50))),
+        told("files", " file(s) active", some("files", ", ", lambda e: F.substring_index(e["file_path"], "/", -1))),
+        told("tasks", " pending task(s)"),
+        told("memory", " memory item(s)"),
+    ]
+    line = F.concat_ws(". ", *parts)
+    return F.when(line == "", "Empty handoff.").otherwise(F.concat(line, F.lit(".")))
+
+
+def handoff_row(parts: DataFrame, project: str, session: str, now: int) -> DataFrame:
+    """The parts of a hand-off as a row of the table: its id, and its data as JSON with a summary (HND-1)."""
+    kept = [F.transform(n, lambda e: e.dropFields("o")).alias(n) for n in ("decisions", "files", "tasks", "memory")]
+    data = F.to_json(F.struct(*kept, handoff_summary().alias("summary")))
+    key = F.sha2(F.concat_ws("|", F.lit(project), F.lit(session), F.lit(now)), 256)
+    unset = F.lit(None)
+    return parts.select(key.alias("id"), F.lit(session).alias("from_session_id"), F.lit(project).alias("project_path"), F.lit(now).cast("long").alias("created_at"), data.alias("handoff_data"), unset.cast("string").alias("resumed_by_session_id"), unset.cast("long").alias("resumed_at"))
+
+
+def list_handoffs(handoffs: DataFrame, project: str | None = None, resumed: bool = False, limit: int = 10) -> DataFrame:
+    """Hand-offs of a project with their summaries, the latest first; those that somebody has resumed only if asked for (HND-3)."""
+    rows = handoffs.where(P.all_of({"project_path": project}, None if resumed else F.col("resumed_by_session_id").isNull()))
+    rows = rows.orderBy(F.desc("created_at"), "id").limit(limit)
+    return rows.select("id", "from_session_id", "project_path", "created_at", "resumed_by_session_id", "resumed_at", F.get_json_object("handoff_data", "$.summary").alias("summary"))
+
+
 def within_budget(items: DataFrame, max_tokens: int, priority: str = "priority", ts: str = "timestamp", tokens: str = "tokens", tie: str = "id") -> DataFrame:
     """Items in order of priority and recency until the first that overflows the budget (WIN-7, CTX-1); items without tokens cost nothing.
 

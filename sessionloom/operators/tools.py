@@ -60,6 +60,36 @@ def per_source(hits: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select("source_type").distinct().join(n, "source_type", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def hits_page(hits: DataFrame, conversations: DataFrame, order: list[Column], limit: int = 20, offset: int = 0, source: str | None = None) -> DataFrame:
+    """A page of the hits (conversation_id and more) of all projects: project, branch and source type of each, how many hits its source has, and whether there is a next page (search_all_conversations, get_all_decisions, search_all_mistakes).
+
+    The source filter comes before the page is cut and before hits are counted.
+    """
+    own = conversations.where(P.all_of({"source_type": source}))
+    told = [c for c in ("project_path", "git_branch", "source_type") if c not in hits.columns]
+    all_of = hits.join(own.select(F.col("id").alias("conversation_id"), *told), "conversation_id")
+    n = all_of.groupBy("source_type").agg(F.count("*").alias("n_in_source")).withColumnRenamed("source_type", "_s")
+    page = R.page(all_of, order, limit, offset)
+    return page.join(n, page["source_type"].eqNullSafe(n["_s"])).drop("_s").orderBy(*order)
+
+
+def before_change(k: int, edits: DataFrame, commits: DataFrame | None, decisions: DataFrame, mistakes: DataFrame, path: str) -> DataFrame:
+    """(kind, ref, timestamp, detail): the latest ``k`` edits and commits of a file, decisions and mistakes that name it (check_before_modify)."""
+
+    def part(df: DataFrame, kind: str, ref: str, text: str, where: Column) -> DataFrame:
+        return df.where(where).orderBy(F.desc("timestamp"), ref).limit(k).select(F.lit(kind).alias("kind"), F.col(ref).cast("string").alias("ref"), "timestamp", F.col(text).alias("detail"))
+
+    parts = [
+        part(edits, "edit", "id", "file_path", F.lower("file_path") == path.lower()),
+        part(decisions, "decision", "id", "decision_text", P.contains_any(["decision_text", "rationale"], path)),
+        part(mistakes, "mistake", "id", "what_went_wrong", P.contains_any(["what_went_wrong", "correction"], path)),
+    ]
+    if commits is not None:
+        touched = F.exists("files_changed", lambda f: (F.length(f) > 0) & F.lit(path.lower()).endswith(F.lower(f)))
+        parts.append(part(commits, "commit", "hash", "message", touched))
+    return R.timeline(*parts)
+
+
 def old_projects(folders: DataFrame, current: str, least: float = 50.0) -> DataFrame:
     """Folders (path, folder, has_db, n_files) that may be an older place of ``current``, best first (discover_old_conversations)."""
     here, name = F.lit(current), F.lit(current.replace("/", "-"))

@@ -11,6 +11,7 @@ from sessionloom.functions import predicates as P
 from sessionloom.functions import text as T
 from sessionloom.operators import memory as M
 from sessionloom.operators import relational as R
+from sessionloom.operators import search as S
 from sessionloom.operators import tools as O
 
 from . import bindings as B
@@ -317,3 +318,22 @@ def hits_per_source(s, d):
 def methodology_features(s, d):
     uses = B.tool_uses(s, d).withColumn("message_id", F.col("id") % 2000)
     return O.methodologies(B.messages(s, d), uses, B.tool_results(s, d))
+
+
+HITS = f"(SELECT m.message_id AS id, m.conversation_id, m.timestamp, '/proj/' || (m.conversation_id % 5) AS project_path, CASE WHEN m.conversation_id % 3 = 0 THEN 'secondary' ELSE 'primary' END AS source_type FROM {MESSAGES} m WHERE regexp_matches(lower(m.content), '\\b(fixed|wrong)\\b'))"
+
+
+@query(f"""SELECT id, conversation_id, project_path, source_type, count(*) OVER (PARTITION BY source_type) AS n_in_source, (SELECT count(*) FROM {HITS}) > 35 AS has_more FROM {HITS} ORDER BY timestamp DESC, id LIMIT 25 OFFSET 10""")
+def search_all_page(s, d):
+    m = B.messages(s, d).withColumnRenamed("message_id", "id")
+    k = F.col("conversation_id")
+    c = m.select("conversation_id").distinct().select(k.alias("id"), F.concat(F.lit("/proj/"), (k % 5).cast("string")).alias("project_path"), F.lit(None).cast("string").alias("git_branch"), F.when(k % 3 == 0, "secondary").otherwise("primary").alias("source_type"))
+    hits = m.where(S.match_any("content", "fixed wrong")).select("id", "conversation_id", "timestamp")
+    return O.hits_page(hits, c, [F.desc("timestamp"), F.asc("id")], 25, 10).drop("timestamp", "git_branch")
+
+
+@query(f"""SELECT key, project_path, CASE id % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'in_progress' ELSE 'pending' END AS status FROM {MEMORY} WHERE id % 4 <> 3 AND (expires_at IS NULL OR expires_at > {NOW})""")
+def pending_tasks(s, d):
+    k = F.col("id") % 4
+    tags = F.when(k == 0, F.array(F.lit("task"), F.lit("blocked"))).when(k == 1, F.array(F.lit("in_progress"))).when(k == 2, F.array(F.lit("task"))).otherwise(F.array(F.lit("other")))
+    return M.pending_tasks(B.memory(s, d).withColumn("tags", tags), NOW).select("key", "project_path", "status")

@@ -194,6 +194,85 @@ def test_handoff_resume(spark):
     assert [(r["key"], r["value"], r["expires_at"]) for r in memory.injected(m, h, 7).where("project_path = '/p'").collect()] == [("k", "v", None)]
 
 
+def test_handoffs_of_the_engine(spark, tmp_path):
+    """A hand-off holds what its project has, is listed until it is resumed, and is in no file once deleted."""
+    folder = tmp_path / "p"
+    folder.mkdir()
+    say = lambda i, content, role="assistant": {"type": role, "uuid": f"u{i}", "sessionId": "s1", "timestamp": f"2025-01-17T10:0{i}:00.000Z", "message": {"role": role, "content": content}}
+    use = lambda i, name, path: say(i, [{"type": "tool_use", "id": f"x{i}", "name": name, "input": {"file_path": path}}])
+    rows = [say(0, "add a cache", "user"), say(1, "We decided to use redis because it is fast."), use(2, "Read", "/a/b.py"), use(3, "Edit", "/a/b.py"), use(4, "Write", "/a/c.py"), use(5, "Glob", "/a/d.py")]
+    (folder / "s1.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.handoffs("/proj") is None and e.handoff("x") is None and not e.delete_handoff("x")
+    assert e.handoffs("/proj") is None  # nothing is stored by asking
+    empty = e.hand_off("/proj", "s0", NOW - 1).first()
+    assert json.loads(empty["handoff_data"])["summary"] == "Empty handoff."
+    e.index("/proj", [str(folder)], NOW)
+    items = spark.createDataFrame([("/proj", "k", "v", ["x"], 0), ("/proj", "t", "do it", ["task", "blocked"], 0), ("/q", "z", "w", ["task"], 0), ("/proj", "old", "w", ["task"], -5)], "project_path string, key string, value string, tags array<string>, ttl int")
+    e.remember(items, NOW)
+    row = e.hand_off("/proj", "s1", NOW + 1).first()
+    data = json.loads(row["handoff_data"])
+    assert [x["decision_text"] for x in data["decisions"]] == ["redis"] or data["decisions"][0]["decision_text"].startswith("use redis")
+    assert [(f["file_path"], f["action"]) for f in data["files"]] == [("/a/c.py", "create"), ("/a/b.py", "edit")]
+    assert [(x["key"], x["status"]) for x in data["tasks"]] == [("t", "blocked")]
+    assert sorted((x["key"], tuple(x["tags"])) for x in data["memory"]) == [("k", ("x",)), ("t", ("task", "blocked"))]
+    assert data["summary"].startswith("1 decision(s): ") and data["summary"].endswith(". 2 file(s) active: c.py, b.py. 1 pending task(s). 2 memory item(s).")
+    part = json.loads(e.hand_off("/proj", "s1", NOW + 2, include=("memory",)).first()["handoff_data"])  # the latest
+    assert part["decisions"] == [] and part["summary"] == "2 memory item(s)."
+    assert [r["created_at"] for r in e.handoffs("/proj").collect()] == [NOW + 2, NOW + 1, NOW - 1]
+    assert e.handoffs("/q").count() == 0 and e.handoffs(limit=1).first()["summary"] == "2 memory item(s)."
+    assert e.handoff(row["id"]).first()["handoff_data"] == row["handoff_data"]
+    e.tables.delete("working_memory", items.select("project_path", "key"))
+    assert e.resume("/proj", "s2", NOW + 3, row["id"]).count() == 1
+    assert sorted(r["key"] for r in e.recall(NOW + 4, project="/proj").collect()) == ["k", "t"]
+    assert row["id"] not in [r["id"] for r in e.handoffs("/proj").collect()]
+    assert (row["id"], "s2") in [(r["id"], r["resumed_by_session_id"]) for r in e.handoffs("/proj", resumed=True).collect()]
+    assert e.delete_handoff(row["id"]) and not e.delete_handoff(row["id"])
+    left = [f for f in (tmp_path / "store" / "session_handoffs").rglob("part-*") if any(r["id"] == row["id"] for r in spark.read.parquet(str(f)).collect())]
+    assert left == [] and e.handoffs("/proj", resumed=True).count() == 2
+
+
+def test_search_of_all_projects(spark, tmp_path):
+    """Pages of hits say where each is from; filters come before the page and the counts."""
+    e = Engine(spark, str(tmp_path / "store"))
+    for p in ("one", "two"):
+        (tmp_path / p).mkdir()
+        say = [("user", "please add a database cache"), ("assistant", f"We decided to use redis{p} because the database is slow."), ("assistant", "That's wrong, /a/b.py has a bug. Error: the database failed to start."), ("user", "that's wrong, use postgres for the database")]
+        rows = [{"type": r, "uuid": f"{p}{i}", "sessionId": p, "timestamp": f"2025-01-17T10:0{i}:00.000Z", "message": {"role": r, "content": t}} for i, (r, t) in enumerate(say)]
+        edit = {"type": "file-history-snapshot", "messageId": f"{p}1", "sessionId": p, "timestamp": "2025-01-17T10:05:00.000Z", "snapshot": {"timestamp": "2025-01-17T10:02:00.000Z", "trackedFileBackups": {"/a/b.py": {"version": 2, "backupTime": "2025-01-17T10:02:00.000Z"}}}}
+        (tmp_path / p / f"{p}.jsonl").write_text("\n".join(map(json.dumps, [*rows, edit])))
+        e.index(f"/{p}", [str(tmp_path / p)], NOW)
+    every = e.search_all("database", 50).collect()
+    assert {r["project_path"] for r in every} == {"/one", "/two"} and not every[0]["has_more"]
+    assert {r["n_in_source"] for r in every} == {len(every)} and {r["source_type"] for r in every} == {"primary"}
+    page = e.search_all("database", 2, 1).collect()
+    assert [r["id"] for r in page] == [r["id"] for r in every[1:3]] and page[0]["has_more"]
+    assert e.search_all("database", source="secondary").count() == 0
+    first = min(r["timestamp"] for r in every)
+    assert {r["timestamp"] for r in e.search_all("database", until=first).collect()} == {first}
+    made = e.all_decisions("redis").collect()
+    assert {r["project_path"] for r in made} == {"/one", "/two"} and e.all_decisions("redis", limit=1).first()["has_more"]
+    wrong = e.all_mistakes("database").collect()
+    assert wrong and {r["n_in_source"] for r in wrong} == {len(wrong)}
+    assert e.all_mistakes("database", kind="none such").count() == 0
+    known = e.check_before_modify("/A/b.py").collect()
+    assert [r["detail"] for r in known if r["kind"] == "edit"] == ["/a/b.py"] * 2
+    assert len([r for r in e.check_before_modify("/A/b.py", 1).collect() if r["kind"] == "edit"]) == 1
+    assert e.check_before_modify("/no/file").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sessionloom import __main__ as cli
+
+    write_log(tmp_path / "p")
+    run = lambda *words: (cli.main([str(tmp_path / "store"), *words, "--now", str(NOW)]), capsys.readouterr().out)[1]
+    assert "'messages': 3" in run("index", str(tmp_path / "p"), "--project", "/proj")
+    assert "'messages': 3" in run("status")
+    assert run("handoffs") == "none\n"
+    for words, told in ((("all", "redis"), "We decided"), (("check", "/a/b.ts"), "edit"), (("sources",), "sessions")):
+        assert told in run(*words), words
+
+
 def test_project_ids(spark):
     from sessionloom.operators import relational as R
 
