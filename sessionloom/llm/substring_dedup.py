@@ -14,7 +14,7 @@ a smaller doc_id; each word that a repeated window covers is removed.
    lengths of context: what is left is equal for most of them and goes once. No repeated window is cut off,
    as both its contexts occur in another class.
    The shard's index is the Burrows-Wheeler transform of its segments in a wavelet matrix of packed
-   bits with rank counts. Segments stream through it from right to left: one backward step adds a
+   bits with rank counts in two steps (:class:`Bits`). Segments stream through it from right to left: one backward step adds a
    word at the left; before it, the interval is widened to the suffixes that share the 49 words that stay.
    So each window's matching statistic reaches 50 after one step, and the smallest doc_id in the interval says
    whether a smaller document holds the window.
@@ -110,11 +110,44 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     return keyed(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, start int, n int, mini long, h1 long, h2 long")
 
 
+class Bits:
+    """A vector of bits with the number of ones before each place, in 1.31 bits a bit.
+
+    Ones are counted up to each 512 bits (32 bits a count) and, inside those, up to each 64 bits (16 bits a count).
+    """
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits)
+        padded = np.zeros(n + 512 - n % 512, np.uint8)
+        padded[:n] = bits
+        self.words = np.packbits(padded, bitorder="little").view(_U)
+        ones = np.bitwise_count(self.words).reshape(-1, 8).astype(np.uint16)
+        inside = np.cumsum(ones, axis=1, dtype=np.uint16)
+        self.inside = (inside - ones).ravel()
+        totals = np.cumsum(inside[:, -1], dtype=np.int64)
+        assert not len(totals) or totals[-1] < 2**32, "a shard holds fewer than 2^32 words"
+        self.blocks = np.concatenate(([0], totals[:-1])).astype(np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.inside.nbytes + self.blocks.nbytes
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before place ``i``."""
+        word = i >> 6
+        part = np.bitwise_count(self.words[word] & ((_U(1) << (i & 63).astype(_U)) - _U(1)))
+        return self.blocks[i >> 9].astype(np.int64) + self.inside[word] + part
+
+
 class FMIndex:
     """Backward search over sequences of words, exact for patterns of up to ``depth`` words.
 
     ``docs`` gives the doc_id of each sequence. Suffixes are sorted by their first 64 words, which is enough for
     patterns of up to 63; the suffix array itself is not kept.
+
+    What is kept, a word: 1.31 bits for each bit of a symbol, 1.31 bits for each of two vectors that mark where another pattern
+    begins, and 4 bytes for each distinct pattern of ``depth - 1`` words and 4 for each of ``depth``, so 9 bytes and 1.31 bits a symbol bit
+    at most, beside 24 bytes for each distinct word and 8 for each document (:attr:`nbytes`). The symbols' bits are not coded by frequency.
     """
 
     def __init__(self, sequences: list[np.ndarray], docs: np.ndarray, depth: int = WINDOW):
@@ -125,7 +158,8 @@ class FMIndex:
         place[np.cumsum(lengths + 1) - 1] = False
         text[place] = inverse + 1
         n = self.n = len(text)
-        ranks = {1: text}
+        small = np.int32 if n < 2**31 else np.int64
+        ranks = {1: text.astype(small)}
         rank, order = text, None
         step = 1
         while step < 64:
@@ -137,30 +171,31 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
             step *= 2
-            ranks[step] = rank
+            ranks[step] = rank.astype(small)
         bwt = text[order - 1]
         bits = self.bits = max(1, int(len(self.symbols)).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         level = bwt
         for b in range(bits - 1, -1, -1):  # wavelet matrix, highest bit first
             bit = (level >> b) & 1
-            packed = np.packbits(np.concatenate((bit, np.zeros(-n % 64 + 64, np.int64))).astype(np.uint8), bitorder="little").view(_U)
-            self.words.append(packed)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64))).astype(np.int64))
+            self.levels.append(Bits(bit))
             self.zeros.append(int(n - bit.sum()))
             level = np.concatenate((level[bit == 0], level[bit == 1]))
         every = np.arange(len(self.symbols) + 1)
         self.base = self._walk(every, np.zeros(len(every), np.int64))
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(every)))))[:-1]
-        same = lambda d: self._same(ranks, order, d)
-        shorter = same(depth - 1)
-        edges = np.flatnonzero(~shorter)
-        group = np.cumsum(~shorter) - 1
-        self.low, self.high = edges[group], np.concatenate((edges[1:], [n]))[group]
-        whole = same(depth)
-        edges = np.flatnonzero(~whole)
-        owner = np.repeat(docs, lengths + 1)[order]
-        self.group, self.least = np.cumsum(~whole) - 1, np.minimum.reduceat(owner, edges)
+        shorter, whole = ~self._same(ranks, order, depth - 1), ~self._same(ranks, order, depth)
+        self.shorter, self.whole = Bits(shorter), Bits(whole)
+        self.edges = np.concatenate((np.flatnonzero(shorter), [n])).astype(small)
+        self.docs, owner = np.unique(docs, return_inverse=True)
+        owner = np.repeat(owner, lengths + 1)[order]
+        self.least = np.minimum.reduceat(owner, np.flatnonzero(whole)).astype(small)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of all that is kept."""
+        vectors = sum(x.nbytes for x in (*self.levels, self.shorter, self.whole))
+        return vectors + sum(x.nbytes for x in (self.edges, self.least, self.docs, self.symbols, self.base, self.before))
 
     @staticmethod
     def _same(ranks: dict[int, np.ndarray], order: np.ndarray, depth: int) -> np.ndarray:
@@ -169,7 +204,7 @@ class FMIndex:
         out[0] = False
         for size in (32, 16, 8, 4, 2, 1):
             if depth & size:
-                r = np.concatenate((ranks[size], np.full(at, -1)))
+                r = np.concatenate((ranks[size], np.full(at, -1, ranks[size].dtype)))
                 values = r[order + at]
                 out[1:] &= (values[1:] == values[:-1]) & (order[1:] + at < n)
                 at += size
@@ -177,8 +212,7 @@ class FMIndex:
 
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k in range(self.bits):
-            word = i >> 6
-            ones = self.counts[k][word] + np.bitwise_count(self.words[k][word] & ((_U(1) << (i & 63).astype(_U)) - _U(1)))
+            ones = self.levels[k].rank(i)
             i = np.where((symbol >> (self.bits - 1 - k)) & 1, self.zeros[k] + ones, i - ones)
         return i
 
@@ -187,6 +221,15 @@ class FMIndex:
         at = self.before[symbol] - self.base[symbol]
         return at + self._walk(symbol, low), at + self._walk(symbol, high)
 
+    def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals after the last of ``depth`` words is taken off each pattern."""
+        group = self.shorter.rank(low + 1)
+        return self.edges[group - 1].astype(np.int64), self.edges[group].astype(np.int64)
+
+    def smallest(self, low: np.ndarray) -> np.ndarray:
+        """The smallest doc_id in which each pattern of ``depth`` words starts."""
+        return self.docs[self.least[self.whole.rank(low + 1) - 1]]
+
     def encode(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.symbols, words) + 1
 
@@ -202,10 +245,10 @@ class FMIndex:
             more = k < lengths[live]
             live, at, low, high = live[more], at[more], low[more], high[more]
             if k >= depth:  # the word at the right leaves
-                low, high = self.low[low], self.high[low]
+                low, high = self.shorten(low)
             low, high = self.extend(codes[at], low, high)
             if k >= depth - 1:
-                hit = self.least[self.group[low]] < docs[live]
+                hit = self.smallest(low) < docs[live]
                 for s in live[hit]:
                     out[s][lengths[s] - 1 - k] = True
             at = at - 1

@@ -150,6 +150,28 @@ def test_fm_index_counts():
     assert hits[4].all() and not any(h.any() for h in hits[:4])
 
 
+def test_fm_index_bits_and_memory():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 511, 512, 513, 5000):
+        bits = rng.integers(0, 2, n).astype(bool)
+        b = substring_dedup.Bits(bits)
+        assert b.rank(np.arange(n + 1)).tolist() == [0, *np.cumsum(bits).tolist()]
+        assert 8 * b.nbytes <= 1.32 * (n + 512)
+    seqs = [rng.integers(0, 500, 300).astype(np.uint64) for _ in range(200)]
+    seqs += [np.concatenate((x[:120], y[100:])) for x, y in zip(seqs[:100], seqs[100:], strict=True)]
+    docs = rng.permutation(len(seqs)) * 7
+    index = substring_dedup.FMIndex(seqs, docs)
+    words = sum(map(len, seqs)) + len(seqs)
+    assert index.nbytes <= words * (9 + 1.32 * index.bits / 8) + 24 * len(index.symbols) + 8 * len(docs) + 100 * (index.bits + 4)
+    first = {}
+    for s, d in zip(seqs, docs, strict=True):
+        for k in range(len(s) - 49):
+            key = s[k : k + 50].tobytes()
+            first[key] = min(first.get(key, d), d)
+    for s, d, flags in zip(seqs, docs, index.repeated(seqs, docs), strict=True):
+        assert flags.tolist() == [first[s[k : k + 50].tobytes()] < d for k in range(len(s) - 49)]
+
+
 def test_sharding(spark, texts):
     docs = frame(spark, texts * 20, range(len(texts) * 20))
     rows = sharding.assign(docs).collect()
