@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from sessionloom.functions import text as T
 from sessionloom.functions import vectors as V
@@ -27,19 +31,119 @@ def knn(vectors: DataFrame, query: list[float], limit: int, where: Column | None
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, block_bytes: int = 32 << 20) -> DataFrame:
-    """k nearest for each row of ``queries`` (query_id, query), against all vectors. Queries are measured and dealt into blocks of about ``block_bytes``; each is
-    broadcast and met in one pass, in which a task keeps its own best ``limit``, so the shuffle carries k rows a task and query."""
-    measured = queries.agg(F.sum(8 * F.size("query") + 24)).first()[0] or 0
-    n_blocks = max(1, -(-measured // block_bytes))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id"))
-
-    def nearest(i: int) -> DataFrame:
-        own = dealt.where(F.col("_block") == i).drop("_block")
-        pairs = vectors.crossJoin(F.broadcast(own)).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-    return reduce(DataFrame.unionByName, map(nearest, range(n_blocks)))
+    """Exact k nearest for each row of ``queries`` (query_id, query), against all vectors. Both sides are measured and dealt into blocks of about ``block_bytes``; a task
+    takes a block of each, scores it by matrix products and keeps the best ``limit`` of each query, so k rows a query and block are shuffled, never pairs.
+
+    A product only finds what may be among the best; similarities that rank are summed in the vectors' order in double precision, and equal ones go by vec_id.
+    Null vectors, and vectors that hold a null, have no similarity and come last; NaN comes first; 0 when a norm is 0; vectors of unequal length raise.
+    """
+    measured = lambda df, vector: df.agg(F.sum(8 * F.coalesce(F.size(vector), F.lit(0)) + 24)).first()[0] or 0
+    size = measured(vectors, "embedding")
+    n_queries = max(1, -(-measured(queries, "query") // block_bytes))
+    n_vectors = max(1, -(-size // block_bytes), min(2 * vectors.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("vec_id", F.col("embedding").alias("vector"), dealt("vec_id", n_vectors).alias("_v"), each(n_queries).alias("_q"))
+    right = queries.select("query_id", F.col("query").alias("vector"), dealt("query_id", n_queries).alias("_q"), each(n_vectors).alias("_v"))
+    schema = K.StructType([K.StructField("query_id", queries.schema["query_id"].dataType), K.StructField("vec_id", vectors.schema["vec_id"].dataType), K.StructField("similarity", K.DoubleType())])
+    met = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(_nearest(limit), schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc_nulls_last("vec_id"))
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def _nearest(limit: int, rows: int = 256, columns: int = 4096, slack: float = 1e-9):
+    """The task of :func:`knn_join`: the best ``limit`` vectors of a block for each query of a block, by tiles of ``rows`` queries and ``columns`` vectors."""
+
+    def read(column: pa.ChunkedArray):
+        """Vectors as a matrix, which of them have no similarity, and their squared lengths."""
+        v = pa.chunked_array(column.chunks, column.type).combine_chunks()
+        there = v.is_valid().to_numpy(zero_copy_only=False)
+        sizes, flat = pc.fill_null(pc.list_value_length(v), 0).to_numpy().astype(np.int64), pc.cast(v.flatten(), pa.float64())
+        if len(widths := np.unique(sizes[there])) > 1:
+            raise ValueError("vectors differ in length")
+        width = int(widths[0]) if len(widths) else 0
+        x, unknown = np.zeros((len(v), width)), ~there
+        x[there] = pc.fill_null(flat, 0.0).to_numpy().reshape(-1, width) if width else 0.0
+        unknown[np.repeat(np.arange(len(v)), sizes)[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = True
+        squares = np.zeros(len(v))
+        for d in range(width):
+            squares += x[:, d] * x[:, d]
+        return x, unknown, squares, width if there.any() else None
+
+    def unit(x, unknown, squares):
+        """Vectors of length 1 for the products, and which vectors are no matter for products."""
+        odd = unknown | ~((squares > 1e-200) & (squares < 1e200))
+        return np.where(odd[:, None], 0.0, x / np.sqrt(np.where(odd, 1.0, squares))[:, None]), odd
+
+    def few(x, unknown):
+        """Rows without those of equal vectors that ``limit`` rows come before."""
+        same = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_inverse=True)[1].ravel() if x.shape[1] else np.zeros(len(x), np.int64)
+        same = np.where(unknown, -1, same)
+        order = np.argsort(same, kind="stable")
+        return np.sort(order[place(same[order]) < limit])
+
+    def place(sorted_keys):
+        """Place of each item in its run of equal keys."""
+        first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+        return np.arange(len(sorted_keys)) - np.repeat(first, np.diff(np.append(first, len(sorted_keys))))
+
+    def exact(q, v, i, j):
+        """What pairs rank by: the similarity; 2 for NaN, -2 for none."""
+        out = []
+        for at in range(0, len(i), 1 << 17):
+            a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+            total = np.zeros(len(a))
+            for d in range(q[0].shape[1]):
+                total += q[0][a, d] * v[0][b, d]
+            x, y = q[2][a], v[2][b]
+            square = x * y
+            length = np.where((square > 0) & (square < np.inf), np.sqrt(square), np.sqrt(x) * np.sqrt(y))
+            key = np.where(length == 0, 0.0, np.clip(total / length, -1.0, 1.0)) + 0.0
+            out.append(np.where(q[1][a] | v[1][b], -2.0, np.where(np.isnan(key), 2.0, key)))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        with np.errstate(all="ignore"):
+            return best(left, right)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left, sort_keys=[("vec_id", "ascending")], null_placement="at_end"))
+        v, q = read(left.column("vector")), read(right.column("vector"))
+        if v[3] is not None and q[3] is not None and v[3] != q[3]:
+            raise ValueError("vectors differ in length")
+        if v[3] is None or q[3] is None:  # one side has null vectors only
+            v, q = (np.zeros((len(v[0]), 0)), *v[1:]), (np.zeros((len(q[0]), 0)), *q[1:])
+        kept = few(v[0], v[1])
+        v = tuple(x[kept] for x in v[:3])
+        (unit_v, odd_v), (unit_q, odd_q) = unit(*v), unit(*q[:3])
+        found = []
+        for top in range(0, right.num_rows, rows):
+            n = min(rows, right.num_rows - top)
+            own = tuple(x[top : top + n] for x in q[:3])
+            key, at = np.full((n, limit), -3.0), np.full((n, limit), -1)
+            for start in range(0, len(kept), columns):
+                score, odd = unit_q[top : top + n] @ unit_v[start : start + columns].T, odd_v[start : start + columns]
+                score[:, odd] = -np.inf
+                least = key[:, -1]
+                if start == 0 and score.shape[1] > limit:
+                    least = np.maximum(least, np.partition(score, -limit, axis=1)[:, -limit])
+                i, j = np.nonzero((score >= least[:, None] - slack) | odd | odd_q[top : top + n, None])
+                if not len(i):
+                    continue
+                i, j = np.concatenate([i, np.repeat(np.arange(n), limit)]), np.concatenate([j + start, at.ravel()])
+                new = len(i) - n * limit
+                k = np.concatenate([exact(own, v, i[:new], j[:new]), key.ravel()])
+                order = np.lexsort((j, -k, i))
+                order = order[place(i[order]) < limit]
+                key, at = k[order].reshape(n, limit), j[order].reshape(n, limit)
+            i, p = np.nonzero(at >= 0)
+            found.append((i + top, kept[at[i, p]], key[i, p]))
+        i, j, k = (np.concatenate([f[x] for f in found]) if found else np.zeros(0) for x in range(3))
+        similarity = pa.array(np.where(k == 2.0, np.nan, k), mask=k == -2.0, type=pa.float64())
+        ids = right.column("query_id").take(pa.array(i.astype(np.int64))), left.column("vec_id").take(pa.array(j.astype(np.int64)))
+        return pa.table([*ids, similarity], names=["query_id", "vec_id", "similarity"])
+
+    return run
 
 
 # full text ---------------------------------------------------------------------------------------------------------
