@@ -18,6 +18,8 @@ from sessionloom.operators import search
 from sessionloom.sources.store import Tables
 
 BLOCK = 1024
+#: Rows up to which ids or groups are broadcast.
+SMALL = 1_000_000
 
 
 class TextIndex:
@@ -30,33 +32,56 @@ class TextIndex:
     def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> int:
         """Documents that are not indexed yet, or whose text has changed; how many."""
         t = self.tables
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content_hash")).where("id is not null").dropDuplicates(["id"])
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content_hash")).where("id is not null")
+        # texts are moved for ids that come more than once alone
+        twice, many = t.staged(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+        if many:
+            ids = self._small(twice, many)
+            rows = rows.join(ids, "id", "left_anti").unionByName(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]))
         known = t.read(self.documents)
         if known is not None:
             rows = rows.join(known.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
-        todo, n = t.staged(rows)
+        words, n = t.staged(self._counted(rows))
         if n or known is None:
             if known is not None:
-                self.remove(todo.select("id"))
-            words, _ = t.staged(todo.select("id", "content_hash", F.coalesce(T.tokens("text"), F.array().cast("array<string>")).alias("tokens")))
-            lengths = words.select("id", "content_hash", F.size("tokens").cast("long").alias("length"))
-            counted = words.select("id", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-            counted, _ = t.staged(counted.withColumns({"often": F.floor(F.log2("tf")).cast("int"), "size": F.floor(F.log2("length")).cast("int")}))
-            parts = counted.groupBy("term", "often", "size").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+                self.remove(words.select("id"))
+            lengths = words.select("id", "content_hash", "length")
+            counted = words.select("id", F.col("length").cast("int").alias("length"), F.inline(F.arrays_zip("term", "tf")))
+            often, size = F.floor(F.log2("tf")).cast("int"), F.floor(F.log2("length")).cast("int")
+            counted = counted.withColumn("group", F.xxhash64("term", often, size))
+            # groups that fill more than a block; where hashes of groups meet, a block is only smaller
+            parts, full = t.staged(counted.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"))
             run = uuid.uuid4().hex
-            dealt = counted.join(parts, ["term", "often", "size"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+            dealt = counted.join(self._small(parts, full), "group", "left").select("term", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "id", "tf", "length")
+            # plain rows are shuffled, by what their group is part of: partial lists of rare terms would be several times as large
+            met = dealt.repartition("term", "part").select("term", "part", often.alias("often"), size.alias("size"), "id", F.col("tf").cast("long").alias("tf"), F.col("length").cast("long").alias("length"))
+            blocks = self._blocks(met, "often", "size", "part")
             name = F.concat_ws("/", F.lit(run), "often", "size", "part").alias("block")
-            t.append(self.postings, self._blocks(dealt.select("term", name, "id", "tf", "length")), ["term"])
+            t.append(self.postings, blocks.select("term", name, *[c for c in blocks.columns if c not in ("term", "often", "size", "part")]), ["term"], as_dealt=True)
             total = lengths.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
             t.append(self.totals, total.select(F.lit(run).alias("run"), "documents", "tokens"), ["run"])
             t.upsert(self.documents, lengths, ["id"])  # written last: it says that they are indexed
-            t.unstage(words, counted)
-        t.unstage(todo)
+            t.unstage(parts)
+        t.unstage(words, twice)
         return n
 
     @staticmethod
-    def _blocks(rows: DataFrame) -> DataFrame:
-        g = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.min("tf").alias("low_tf"), F.max("tf").alias("top_tf"), F.min("length").alias("low_length"), F.max("length").alias("top_length"), F.collect_list(F.struct("id", "tf", "length")).alias("docs"))
+    def _small(df: DataFrame, n: int) -> DataFrame:
+        """``df`` (one number or id a row) is sent to all tasks while that is little."""
+        return F.broadcast(df) if n <= SMALL else df
+
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        """id, content_hash, length, and the distinct terms of each text with how often they occur: runs of its sorted tokens, found inside the row."""
+        words = rows.select("id", "content_hash", F.sort_array(F.coalesce(T.tokens("text"), F.array().cast("array<string>"))).alias("t"))
+        begins = F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i))
+        runs = words.select("id", "content_hash", "t", F.filter(begins, lambda i: i.isNotNull()).alias("at"))
+        times = F.transform("at", lambda a, k: (F.coalesce(F.get("at", k + 1), F.size("t")) - a))
+        return runs.select("id", "content_hash", F.size("t").cast("long").alias("length"), F.transform("at", lambda a: F.get("t", a)).alias("term"), times.alias("tf"))
+
+    @staticmethod
+    def _blocks(rows: DataFrame, *by: str) -> DataFrame:
+        g = rows.groupBy("term", *by).agg(F.count("*").alias("n"), F.min("tf").alias("low_tf"), F.max("tf").alias("top_tf"), F.min("length").alias("low_length"), F.max("length").alias("top_length"), F.collect_list(F.struct("id", "tf", "length")).alias("docs"))
         return g
 
     def remove(self, ids: DataFrame) -> int:
@@ -68,7 +93,7 @@ class TextIndex:
         if n:
             every = blocks.select("term", "block", F.explode("docs").alias("d")).select("term", "block", "d.*")
             hit, _ = t.staged(every.join(gone.select("id"), "id", "left_semi").select("term", "block").distinct())
-            left, _ = t.staged(self._blocks(every.join(hit, ["term", "block"], "left_semi").join(gone.select("id"), "id", "left_anti")))
+            left, _ = t.staged(self._blocks(every.join(hit, ["term", "block"], "left_semi").join(gone.select("id"), "id", "left_anti"), "block"))
             t.delete(self.postings, hit, left)
             total = gone.agg((-F.count("*")).alias("documents"), (-F.sum("length")).alias("tokens"))
             t.append(self.totals, total.select(F.lit(uuid.uuid4().hex).alias("run"), "documents", "tokens"))

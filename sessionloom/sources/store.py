@@ -95,10 +95,11 @@ class Tables:
                 fs.delete(self._path(name, folder), True)
             fs.delete(self._path(name, "_versions", f"{old.number:08d}.json"), False)
 
-    def _written(self, name: str, df: DataFrame, as_version: Version) -> tuple[dict[int, list[str]], dict[int, int]]:
-        """``df`` written in the buckets of a version; folders and rows of each bucket that has rows."""
+    def _written(self, name: str, df: DataFrame, as_version: Version, as_dealt: bool = False) -> tuple[dict[int, list[str]], dict[int, int]]:
+        """``df`` written in the buckets of a version; folders and rows of each bucket that has rows. ``as_dealt``: nothing is moved, each task writes its own file of a bucket."""
         folder, seen = f"data/{uuid.uuid4().hex}", Observation()
-        dealt = df.withColumn(BUCKET, as_version.bucket()).repartition(BUCKET)
+        dealt = df.withColumn(BUCKET, as_version.bucket())
+        dealt = dealt if as_dealt else dealt.repartition(BUCKET)
         few = as_version.n <= OBSERVED
         if few:  # counted on the way
             dealt = dealt.observe(seen, *[F.count_if(F.col(BUCKET) == b).alias(f"n{b}") for b in range(as_version.n)])
@@ -146,11 +147,11 @@ class Tables:
     def _keys(self, name: str, columns: list[str], old: Version | None) -> list[str]:
         return old.keys if old is not None else [k for k in schemas.KEYS.get(name, columns[:1]) if k in columns] or columns[:1]
 
-    def write(self, name: str, df: DataFrame, keys: list[str] | None = None, buckets: int | None = None) -> None:
+    def write(self, name: str, df: DataFrame, keys: list[str] | None = None, buckets: int | None = None, as_dealt: bool = False) -> None:
         """The whole table anew."""
         old = self.version(name)
         v = Version(old.number + 1 if old else 1, keys or self._keys(name, df.columns, old), buckets or (old.n if old else self.buckets), _wider(df.schema, df.schema), {}, {})
-        folders, rows = self._written(name, df, v)
+        folders, rows = self._written(name, df, v, as_dealt)
         self._commit(name, old, replace(v, folders=folders, rows=rows))
 
     def _replaced(self, name: str, old: Version, df: DataFrame, touched: list[int]) -> None:
@@ -159,13 +160,13 @@ class Tables:
         rest = lambda d: {b: x for b, x in d.items() if b not in touched}
         self._commit(name, old, replace(old, number=old.number + 1, schema=_wider(old.schema, df.schema), folders={**rest(old.folders), **folders}, rows={**rest(old.rows), **rows}))
 
-    def append(self, name: str, new: DataFrame, keys: list[str] | None = None) -> int:
+    def append(self, name: str, new: DataFrame, keys: list[str] | None = None, as_dealt: bool = False) -> int:
         """Rows whose keys are not in the table: no bucket is read or written anew. How many."""
         old = self.version(name)
         if old is None:
-            self.write(name, new, keys)
+            self.write(name, new, keys, as_dealt=as_dealt)
             return self.count(name)
-        folders, rows = self._written(name, _conformed(new, old.schema), old)
+        folders, rows = self._written(name, _conformed(new, old.schema), old, as_dealt)
         both = {b: [*old.folders.get(b, []), *folders.get(b, [])] for b in {*old.folders, *folders}}
         self._commit(name, old, replace(old, number=old.number + 1, schema=_wider(old.schema, new.schema), folders=both, rows={b: old.rows.get(b, 0) + rows.get(b, 0) for b in both}))
         return sum(rows.values())

@@ -57,3 +57,23 @@ def test_text_index_of_nothing(spark, tmp_path):
     index = text_index.TextIndex(Tables(spark, str(tmp_path)))
     assert index.bm25("x", 3).count() == 0 and index.matching("x").count() == 0 and index.remove(docs(spark, [("a", "")])) == 0
     assert index.add(docs(spark, [])) == 0 and index.bm25("x", 3).count() == 0 and index.matching("x").count() == 0
+
+
+def test_text_index_moves_little(spark, tmp_path):
+    """Building an index shuffles and writes a few times the texts; ids that come twice count once, null texts have no terms."""
+    rng = random.Random(9)
+    vocab = [f"word{i}" for i in range(4000)]
+    texts = [(f"d{i:05}", " ".join(rng.choices(vocab, k=150))) for i in range(2000)]
+    read = spark.createDataFrame([*texts, texts[0], texts[1], ("none", None)], "id string, text string")
+    read.repartition(4).write.parquet(f"{tmp_path}/in")
+    index = text_index.TextIndex(Tables(spark, f"{tmp_path}/out", buckets=4))
+    jvm = spark.sparkContext._jvm
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    moved = lambda seen: sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (seen.apply(i) for i in range(seen.size())))
+    before = moved(stages())
+    assert index.add(spark.read.parquet(f"{tmp_path}/in")) == 2001
+    assert moved(stages()) - before < 3 * sum(len(t) for _, t in texts)
+    got = {(r["term"], d["id"]): (d["tf"], d["length"]) for r in index.tables.read(index.postings).collect() for d in r["docs"]}
+    assert got == {(w, k): (t.split().count(w), 150) for k, t in texts for w in set(t.split())}
+    assert {r["id"]: r["length"] for r in index.tables.read(index.documents).collect()} == {k: 150 for k, _ in texts} | {"none": 0}
+    assert not any((tmp_path / "out" / "_staged").glob("*"))
