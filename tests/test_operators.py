@@ -391,3 +391,18 @@ def test_findings_and_requirements_read_their_own_surroundings(spark):
     asked = "Constraint: keep logs as they are. Yes.\nConstraint: keep logs\n, since disks are small."
     r = {x["description"]: x["rationale"] for x in facts.requirements(spark.createDataFrame([(1, 1, "user", asked, 1)], columns)).collect()}
     assert r["keep logs"] == "disks are small", r
+
+
+def test_matches_are_spread_and_found_once(spark):
+    """Messages of one row group are dealt before they are searched; a text without a match is searched once by each pattern, one with matches once for each of its arrays."""
+    from sessionloom.functions import text as T
+    from sessionloom.operators.extract import facts
+
+    m = spark.createDataFrame([(1, 1, "user", "We must support Ruby version.", 1), (2, 1, "user", None, 2), (3, 1, "user", "Nothing.", 3)], "message_id int, conversation_id int, role string, content string, timestamp long")
+    for df in (facts.requirements(m), facts.findings(m)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")] and "Exchange" in plan
+    assert [(r["message_id"], r["type"], r["description"]) for r in facts.requirements(m).collect()] == [(1, "compatibility", "Ruby version.")]
+    one = T.placed("content", "(?i)must")
+    assert str(one).count("regexp_extract_all") == 2 and "CASE WHEN" in str(one)
+    assert [[tuple(x) for x in r["p"]] for r in m.orderBy("message_id").select(T.placed("content", "(?i)(must)").alias("p")).collect()] == [[(4, "must", "must")], [], []]
